@@ -104,8 +104,7 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
         if n >= size:
             sets.append(np.unique(full[a : b - size + 1]))
         elif n:
-            part = (h[a:b] * _STEP[:n]).sum(dtype=np.uint64) + _STEP[32 + n]
-            sets.append(mix(np.array([part], np.uint64)))
+            sets.append(mix((h[a:b] * _STEP[:n]).sum(dtype=np.uint64, keepdims=True) + _STEP[32 + n : 33 + n]))
         else:
             sets.append(np.empty(0, np.uint64))
     return sets
