@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard_join, langid, packing, quality, sharding, toxicity
+from . import decontamination, fingerprints, jaccard_join, langid, packing, pii, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack_documents(
         docs,
@@ -78,6 +82,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
