@@ -17,18 +17,21 @@ each label, by hash); calibration takes all labelled rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold_of, materialize, record_batch, text_blocks
 from .quality import calibrate
 
 #: Lengths of word beginnings that count as words when toxic words are sought.
 STEMS = (4, 5, 6)
-LEVEL = 3
+LEVEL = 9
 
 
 def _stems(word: bytes) -> list[bytes]:
@@ -95,12 +98,17 @@ def train_detector(
     sample: DataFrame,
     window_words: int = 10,
     vocabulary: int = 150_000,
-    toxic_words: int = 5_000,
+    toxic_words: int = 2_000,
     dictionary_bytes: int = 2048,
     base_bytes: int = 1 << 17,
-    least_lift: float = 2.0,
+    least_lift: float = 1.0,
+    weight_share: float = 0.03,
 ) -> Detector:
-    """From a bounded sample with text and y: all that is collected is bounded by the parameters."""
+    """From a bounded sample with text and y: all that is collected is bounded by the parameters.
+
+    A word (or stem) goes with toxic documents by n1 * log(share of toxic / share
+    of ordinary documents with it), and counts if it has ``weight_share`` of the greatest such weight.
+    """
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = materialize(_word_counts(sample), "words")
@@ -109,9 +117,11 @@ def train_detector(
     common = counts.where(whole & (F.col("n0") >= least)).orderBy(F.desc("n0"), "word").limit(vocabulary)
     ordinary = frozenset(bytes(r.word) for r in common.select("word").collect())
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    telling = counts.where((lift > least_lift) & (F.col("n1") >= F.when(whole, max(5, n1 // 1000)).otherwise(max(8, n1 // 600))))
-    telling = telling.orderBy(F.desc(F.col("n1") * lift), "word").limit(toxic_words)
-    marked = frozenset(bytes(r.word) for r in telling.select("word").collect())
+    weight = F.col("n1") * lift
+    telling = counts.where((lift > least_lift) & (F.col("n1") >= 3)).select("word", weight.alias("weight"))
+    telling = telling.orderBy(F.desc("weight"), "word").limit(toxic_words)
+    rows = telling.collect()
+    marked = frozenset(bytes(r.word) for r in rows if r.weight >= weight_share * rows[0].weight)
     detector = Detector(ordinary, (b"", b""), window_words)
 
     schema = pa.schema([("y", pa.int32()), ("window", pa.binary())])
@@ -147,6 +157,48 @@ def train_detector(
     return detector
 
 
+@dataclass
+class Calibrated:
+    """The isotonic points of distances."""
+
+    points: np.ndarray
+    values: np.ndarray
+
+    def score(self, distance: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(distance, self.points, self.values), 0, 1)
+
+
+def _with_distances(docs: DataFrame, detector: Detector, name: str) -> DataFrame:
+    """All columns and rows, and the distance of each text."""
+    sent = docs.sparkSession.sparkContext.broadcast(detector)
+
+    def run(batches):
+        opened = sent.value.open()
+        for block, data, offsets in text_blocks(batches):
+            raw = data.tobytes()
+            found = [opened.distance(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.float64())], [*block.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def _known(labels: DataFrame, folds: int, held_out_fold: int) -> DataFrame:
+    known = labels.where("y IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))
+    return known.where(fold_of(F.col("doc_id"), folds) != held_out_fold)
+
+
+def _detector(docs: DataFrame, known: DataFrame, sample: int) -> Detector:
+    # 2 * sample ids at most: bounded, so they are broadcast
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = materialize(rows.join(F.broadcast(parts[0].union(parts[1])), "doc_id"), "sample")
+    return train_detector(chosen)
+
+
+def _calibrated(distances: DataFrame, known: DataFrame) -> Calibrated:
+    return Calibrated(*calibrate(distances.join(known, "doc_id"), "distance", "y", 1 / 8))
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -163,33 +215,16 @@ def score_toxicity(
     Null ids are scored and never labelled; repeated rows get repeated results.
     Without labels all scores are 0.5; without documents the result is empty.
     """
-    known = labels.where("y IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))
-    known = known.where(fold_of(F.col("doc_id"), folds) != held_out_fold)
+    known = _known(labels, folds, held_out_fold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # 2 * sample ids at most: bounded, so they are broadcast
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked = part if picked is None else picked.union(part)
-    chosen = materialize(rows.join(F.broadcast(picked), "doc_id"), "sample")
-    sent = docs.sparkSession.sparkContext.broadcast(train_detector(chosen))
-    schema = pa.schema([("doc_id", pa.int64()), ("distance", pa.float64())])
-
-    def run(batches):
-        detector = sent.value.open()
-        for block, data, offsets in text_blocks(batches):
-            raw = data.tobytes()
-            found = [detector.distance(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield record_batch(schema, [block.column("doc_id"), found])
-
-    distances = materialize(rows.mapInArrow(run, "doc_id long, distance double"), "distances")
-    points, values = calibrate(distances.join(known, "doc_id"), "distance", "y", 1 / 8)
+    found = _with_distances(rows, _detector(docs, known, sample), "distance").drop("text")
+    distances = materialize(found, "distances")
+    fitted = _calibrated(distances, known)
 
     def final(batches):
         for batch in batches:
-            distance = np.asarray(batch.column("distance"))
-            score = np.clip(np.interp(distance, points, values), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("distance"), pa.array(score)], ["doc_id", "distance", "score"])
+            score = fitted.score(np.asarray(batch.column("distance")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], ["doc_id", "distance", "score"])
 
     scored = distances.mapInArrow(final, "doc_id long, distance double, score double")
     return scored.select(
@@ -199,3 +234,25 @@ def score_toxicity(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def remove_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    folds: int = 5,
+    held_out_fold: int = 0,
+    sample: int = 8_000,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """The documents that ``score_toxicity`` doesn't predict to be toxic, with all their columns."""
+    known = _known(labels, folds, held_out_fold)
+    name = "_distance"
+    while name in docs.columns:
+        name += "_"
+    tagged = materialize(_with_distances(docs, _detector(docs, known, sample), name), "tagged")
+    distances = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("distance"))
+    fitted = _calibrated(distances, known)
+    # scores rise with the distance: keep what lies below the threshold's distance
+    grid = np.arange(-2000, 2001) / 64
+    toxic = grid[fitted.score(grid) >= threshold]
+    return (tagged.where(F.col(name) < float(toxic[0])) if len(toxic) else tagged).drop(name)
