@@ -54,7 +54,7 @@ def current_state(
 
 def orphan_sessions(turns: DataFrame, session: str) -> DataFrame:
     """Sessions without a user's turn."""
-    counts = turns.groupBy(session).pivot("role", ["user", "assistant"]).agg(F.count("*"))
+    counts = turns.groupBy(session).pivot("role", ["user", "assistant"]).agg(F.count(F.lit(1)))
     counts = counts.select(session, F.coalesce("user", F.lit(0)).alias("user_turns"), F.coalesce("assistant", F.lit(0)).alias("assistant_turns"))
     return counts.where("user_turns = 0")
 

@@ -121,23 +121,29 @@ def confidence(rows: DataFrame, query: str) -> DataFrame:
     return rows.groupBy(query).agg(F.min("score").alias("lowest"), mean.alias("mean"), best.alias("highest"), level.alias("confidence"))
 
 
-def diversify(rows: DataFrame, limit: int, band: float = 0.1278) -> DataFrame:
-    """Greedy selection of ``limit`` rows of each query (query_id, vec_id, kind, score): each pick maximises its score less
-    a penalty for every row picked before of the same kind, ``band`` of the score at most.  A query
-    has few candidates, so a group is small."""
+def diversify(rows: DataFrame, limit: int, same_kind: float = 0.05, band: float = 0.12784) -> DataFrame:
+    """``limit`` rows of each query (query_id, vec_id, kind, score), in turns from conversation,
+    ingested and other rows.  Each pick has the greatest score less ``same_kind`` for every
+    row of its kind picked before, a share ``band`` of the score at most.  A turn
+    passes on from what has no rows left.  A query has few candidates, so a group is small."""
+    turns = ("conversation", "ingested", "other")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values(["score", "vec_id"], ascending=[False, True]).to_dict("records")
-        counts: dict = {}
-        out = []
-        while left and len(out) < limit:
-            def worth(row):
-                return row["score"] - min(0.05 * counts.get(row["kind"], 0), band * abs(row["score"]))
-
-            best = max(range(len(left)), key=lambda i: (worth(left[i]), -i))
-            row = left.pop(best)
-            counts[row["kind"]] = counts.get(row["kind"], 0) + 1
-            out.append((row["query_id"], row["vec_id"], row["kind"], row["score"], len(out) + 1))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "kind", "score", "place"])
+        left: dict[str, list] = {t: [] for t in turns}
+        for row in pdf.sort_values(["score", "vec_id"], ascending=[False, True]).itertuples():
+            left[row.kind if row.kind in turns else "other"].append(row)
+        picked: list = []
+        while len(picked) < limit and any(left.values()):
+            for name in turns:
+                if left[name] and len(picked) < limit:
+                    def worth(row):
+                        alike = sum(p.kind == row.kind for p in picked)
+                        return row.score - min(same_kind * alike, band * abs(row.score))
+
+                    best = max(left[name], key=lambda row: (worth(row), row.score, -row.vec_id))
+                    left[name].remove(best)
+                    picked.append(best)
+        rows_ = [(p.query_id, p.vec_id, p.kind, p.score, k) for k, p in enumerate(picked, 1)]
+        return pd.DataFrame(rows_, columns=["query_id", "vec_id", "kind", "score", "place"])
 
     return rows.groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, kind string, score double, place int")

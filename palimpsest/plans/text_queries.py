@@ -69,9 +69,10 @@ def n10_item_date(spark, d):
 
 
 def n11_cosine(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 9).alias("cosine"))
+    """Of each vector and the one after it."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(after, "vec_id").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("next")), 9).alias("cosine"))
 
 
 def n12_token_estimate(spark, d):
@@ -229,7 +230,7 @@ SELECT event_id,
        WHEN s < 172800 THEN 'yesterday' WHEN s < 604800 THEN (s // 86400) || ' days ago' ELSE {_ago(604800, 'week')} END AS recorded
 FROM (SELECT event_id, abs(floor((epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(ts)) / 1000000.0))::BIGINT AS s FROM events)""",
     "n10_item_date": "SELECT event_id, CASE WHEN floor((epoch_us(TIMESTAMP '2025-01-16 00:00:00') - epoch_us(ts)) / 86400000000.0) > 365 THEN strftime(ts, '%b %d, %Y') ELSE strftime(ts, '%b %d') END AS item_date FROM events",
-    "n11_cosine": "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id < 5",
+    "n11_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "n12_token_estimate": r"SELECT conv_id, turn, (len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) * 13 // 10)::BIGINT AS tokens FROM conversations",
     "n13_version": "SELECT event_id, (props->>'$.k')::BIGINT AS version FROM events",
     "n15_title": r"SELECT conv_id, CASE WHEN h = '' THEN 'New conversation' WHEN length(t) > 50 AND contains(h, ' ') THEN regexp_replace(h, ' [^ ]*$', '') || '...' ELSE h END AS title FROM (SELECT conv_id, t, trim(substr(t, 1, 50)) AS h FROM (SELECT conv_id, regexp_replace(text, '\s', ' ', 'g') AS t FROM conversations WHERE turn = 0))",
