@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import materialize, record_batch, text_blocks
 from .words import NOT_SPACE, mix, shingle_sets, words_of
@@ -42,7 +43,7 @@ BUCKET_SHINGLES = 2_000_000
 #: Largest size that the light part is considered for.
 LIGHT_SIZES = 12
 #: Rounds of stars before the remaining pairs are verified one by one.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
 
 _SETS = "set binary, n int, hashes binary"
 
@@ -289,15 +290,17 @@ def light_links(sets: DataFrame, light: int, num: int, den: int) -> DataFrame:
 
 
 def heavy_lists(sets: DataFrame, light: int, num: int, den: int) -> DataFrame:
-    """Step 4: member, set, n for the prefix of each set that may have a heavy partner."""
+    """Step 4: member, set, n, shared (how many of its members other sets have too)
+    and place (of the member in the set's order) for the prefix of each set that may have a heavy partner."""
 
     def postings(key, n, members, ranks):
-        for m in members[: max(0, _prefix(n, len(members), num, den))].astype(np.int64).tolist():
-            yield m, key, n
+        alone = n - len(members)
+        for k, m in enumerate(members[: max(0, _prefix(n, len(members), num, den))].astype(np.int64).tolist(), alone):
+            yield m, key, n, len(members), k
 
-    schema = pa.schema([("member", pa.int64()), ("set", pa.binary()), ("n", pa.int32())])
+    schema = pa.schema([("member", pa.int64()), ("set", pa.binary()), ("n", pa.int32()), ("shared", pa.int32()), ("place", pa.int32())])
     indexed = sets.where(F.col("n") >= least_partner(light + 1, num, den))
-    return _rows_of(indexed, postings, schema, "member long, set binary, n int")
+    return _rows_of(indexed, postings, schema, "member long, set binary, n int, shared int, place int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -320,11 +323,12 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return whole.mapInArrow(run, "a binary, b binary")
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """set, label: the least key of each linked set's component.
 
     Every round takes the least label of a set's neighbours, then the label of
-    its label, until nothing changes.
+    its label, until nothing changes.  After ``rounds`` rounds, equal labels mean one
+    component, but one component may still have several labels.
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     both = materialize(both, "links")
@@ -336,7 +340,8 @@ def connected(links: DataFrame) -> DataFrame:
         up = hooked.select(F.col("set").alias("label"), F.col("label").alias("top"))
         moved = materialize(hooked.join(up, "label").select("set", "old", F.col("top").alias("label")), "labels")
         labels = moved.select("set", "label")
-        if moved.where("old <> label").isEmpty():
+        rounds = rounds and rounds - 1
+        if rounds == 0 or moved.where("old <> label").isEmpty():
             return labels
 
 
@@ -346,15 +351,18 @@ def heavy_links(sets: DataFrame, links: DataFrame, light: int, num: int, den: in
     many = lists.groupBy("member").agg(F.count("*").alias("k")).where("k > 1").select("member")
     lists = materialize(lists.join(many, "member"), "lists")
     checked: DataFrame | None = None
-    near = f"{den} * least(n, m) >= {num} * greatest(n, m) AND greatest(n, m) > {light}"
+    # A pair of n and m members must have o in common.  Neither set shares fewer with
+    # all others, and the rarest common member is among the first n - o + 1, and m - o + 1.
+    overlap = f"ceil({num} * (n + m) / {num + den})"
+    near = f"greatest(n, m) > {light} AND {overlap} <= least(shared, t) AND place + {overlap} <= n AND there + {overlap} <= m"
     for turn in range(STAR_ROUNDS + 1):
         if turn or light:
-            labels = connected(links)
+            labels = connected(links, rounds=2)
             at = lists.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
         else:
             at = lists.withColumn("label", F.col("set"))
         # a list whose sets are all in one component is done
-        parts = at.groupBy("member", "label").agg(F.count("*").alias("k"), F.min(F.struct("n", "set")).alias("first"))
+        parts = at.groupBy("member", "label").agg(F.count("*").alias("k"), F.min(F.struct(F.expr("1 - shared / n").alias("alone"), "n", "set", "shared", "place")).alias("first"))
         heads = parts.groupBy("member").agg(
             F.count("*").alias("parts"),
             F.max("k").alias("largest"),
@@ -369,10 +377,10 @@ def heavy_links(sets: DataFrame, links: DataFrame, light: int, num: int, den: in
         last = turn == STAR_ROUNDS or pairs <= 4 * left + 10_000
         if last:
             # sets outside a list's largest component against all of other components
-            some = open_.where("label <> main").select("member", F.col("set").alias("s"), F.col("n").alias("m"), F.col("label").alias("other"))
+            some = open_.where("label <> main").select("member", F.col("set").alias("s"), F.col("n").alias("m"), F.col("shared").alias("t"), F.col("place").alias("there"), F.col("label").alias("other"))
             found = open_.join(some, "member").where("label <> other")
         else:
-            found = open_.withColumn("s", F.col("leader.set")).withColumn("m", F.col("leader.n")).where("set <> s")
+            found = open_.withColumn("s", F.col("leader.set")).withColumn("m", F.col("leader.n")).withColumn("t", F.col("leader.shared")).withColumn("there", F.col("leader.place")).where("set <> s")
         found = found.where(near).select(F.least("set", "s").alias("a"), F.greatest("set", "s").alias("b")).distinct()
         if checked is not None:
             found = found.join(checked, ["a", "b"], "left_anti")
@@ -382,7 +390,7 @@ def heavy_links(sets: DataFrame, links: DataFrame, light: int, num: int, den: in
             return links
         checked = found if checked is None else checked.union(found)
         # a leader has met all of its list
-        lists = open_.where("set <> leader.set").select("member", "set", "n")
+        lists = open_.where("set <> leader.set").select("member", "set", "n", "shared", "place")
     return links
 
 
@@ -422,7 +430,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> D
     tag = "_set"
     while tag in names:
         tag += "_"
-    schema = docs.schema.add(tag, "binary")
+    schema = StructType([*docs.schema.fields, StructField(tag, BinaryType())])
 
     def run(batches):
         for block, data, offsets in text_blocks(batches):
