@@ -1,0 +1,14 @@
+"""Where streams keep their checkpoints."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared folder; a local one only where none is set (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
