@@ -163,9 +163,9 @@ def _ordered(docs: DataFrame, target_rows: int, max_slices: int) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     # the slice before in the order; the first row of all follows the last slice
     firsts = firsts.withColumn("to", F.coalesce(F.lag("slice").over(down), F.min("slice").over(every)))
-    firsts = firsts.select("slice", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h"), "to")
-    same = (rows["slice"] == firsts["slice"]) & rows["doc_id"].eqNullSafe(firsts["first_id"]) & (rows["h"] == firsts["first_h"])
-    marked = rows.join(F.broadcast(firsts), same, "left").drop(firsts["slice"])
+    firsts = firsts.select(F.col("slice").alias("of"), F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h"), "to")
+    same = (F.col("slice") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    marked = rows.join(F.broadcast(firsts), same, "left")
     own = F.struct(F.col("slice"), F.lit(0).alias("ahead"))
     ahead = F.struct(F.col("to").alias("slice"), F.lit(1).alias("ahead"))
     dealt = marked.select("doc_id", "text", "h", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, ahead))).alias("s"))
