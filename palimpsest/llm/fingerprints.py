@@ -222,11 +222,14 @@ def fingerprint_documents(docs: DataFrame, target_rows: int = 4096, max_slices:
 
     def run(batches):
         held: list[tuple] = []
-        size, current = 0, None
+        size, current, done = 0, None, False
         for batch in batches:
             for doc_id, text, at, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "slice", "ahead")), strict=True):
                 if at != current:
-                    held, size, current = [], 0, at
+                    held, size, current, done = [], 0, at, False
+                if done:  # rows equal to the one that follows the slice
+                    continue
+                done = bool(ahead)
                 held.append((doc_id, text))
                 size += len(text)
                 if len(held) > 1 and (ahead or size > 1 << 20):
