@@ -100,7 +100,7 @@ def train_detector(
     vocabulary: int = 150_000,
     toxic_words: int = 2_000,
     dictionary_bytes: int = 2048,
-    base_bytes: int = 1 << 17,
+    base_bytes: int = 1 << 19,
     least_lift: float = 1.0,
     weight_share: float = 0.03,
 ) -> Detector:
