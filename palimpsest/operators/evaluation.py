@@ -48,9 +48,10 @@ def mean_pairwise_jaccard(rows: DataFrame) -> DataFrame:
     l, r = rows.select("id", F.col("query_id").alias("q1")), rows.select("id", F.col("query_id").alias("q2"))
     met = l.join(r, "id").where("q1 < q2").groupBy("q1", "q2").agg(F.count("*").alias("i"))
     met = met.join(sizes.select(F.col("query_id").alias("q1"), F.col("n").alias("n1")), "q1").join(sizes.select(F.col("query_id").alias("q2"), F.col("n").alias("n2")), "q2")
-    total = sizes.agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
-    sums = met.agg(F.coalesce(F.sum(F.expr("i / (n1 + n2 - i)")), F.lit(0.0)).alias("s"), F.count("*").alias("sharing"))
-    return sums.crossJoin(total).select((F.col("s") / F.col("pairs")).alias("mean_jaccard"), "sharing")  # one row each
+    shared = met.select(F.expr("i / (n1 + n2 - i)").alias("j"), F.lit(1).alias("sharing"), F.lit(0).alias("queries"))
+    rows_ = shared.unionByName(sizes.select(F.lit(0.0).alias("j"), F.lit(0).alias("sharing"), F.lit(1).alias("queries")))
+    n = F.sum("queries")
+    return rows_.agg((F.sum("j") / (n * (n - 1) / 2)).alias("mean_jaccard"), F.sum("sharing").alias("sharing"))
 
 
 def rank_displacement(a: DataFrame, b: DataFrame) -> DataFrame:

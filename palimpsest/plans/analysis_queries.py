@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,8 +31,6 @@ def _graded(spark, d):
 
 
 def _arms(spark, d):
-    from pyspark.sql import Window
-
     s = _scored(spark, d)
     w = Window.partitionBy("query_id")
     plain = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("cosine"), "vec_id")))
@@ -163,8 +162,8 @@ def m9_m10_sobol(spark, d):
     The candidates enter by the sums that the score needs: their count and mean cosine by tier.
     """
     c = _scored(spark, d).groupBy("tier").agg(F.avg("cosine").alias("cosine"), F.count("*").alias("n"))
-    total = c.agg(F.sum("n").alias("all"))
-    c = c.crossJoin(total).select("tier", "cosine", (F.col("n") / F.col("all")).alias("weight"))  # three rows and one
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # of three rows
+    c = c.select("tier", "cosine", share.alias("weight"))
     design = M.saltelli_design(spark, 2048, 4)
 
     def score(x, rows):

@@ -32,11 +32,12 @@ def sobol_indices(outputs: DataFrame, parameters: int) -> DataFrame:
     """parameter, s1 (Saltelli 2010) and st (Jansen) from columns sample, matrix and y."""
     names = ["A", "B"] + [f"AB{k}" for k in range(parameters)]
     wide = outputs.groupBy("sample").pivot("matrix", names).agg(F.first("y"))
-    both = F.array("A", "B")
-    variance = wide.select(F.explode(both).alias("y")).agg(F.var_pop("y").alias("v"))
+    # population variance of A and B together
+    square = (F.avg(F.pow(F.col("A"), F.lit(2))) + F.avg(F.pow(F.col("B"), F.lit(2)))) / 2
+    variance = square - F.pow((F.avg("A") + F.avg("B")) / 2, F.lit(2))
     sums = [F.avg(F.col("B") * (F.col(f"AB{k}") - F.col("A"))).alias(f"s{k}") for k in range(parameters)]
     sums += [(F.avg(F.pow(F.col("A") - F.col(f"AB{k}"), F.lit(2))) / 2).alias(f"t{k}") for k in range(parameters)]
-    one = wide.agg(*sums).crossJoin(variance)  # a row each
+    one = wide.agg(variance.alias("v"), *sums)
     rows = F.array(*[F.struct(F.lit(k).alias("parameter"), (F.col(f"s{k}") / F.col("v")).alias("s1"), (F.col(f"t{k}") / F.col("v")).alias("st")) for k in range(parameters)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
