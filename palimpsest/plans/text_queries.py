@@ -47,7 +47,7 @@ def _stamped(spark, d):
 
 
 def n6_parse_timestamp(spark, d):
-    return _stamped(spark, d).select("event_id", F.unix_micros(T.parse_timestamp(F.col("raw"))).alias("micros"))
+    return _stamped(spark, d).select("event_id", F.coalesce(F.unix_micros(T.parse_timestamp(F.col("raw"))), F.lit(-1)).alias("micros"))
 
 
 def n7_age(spark, d):
@@ -217,7 +217,7 @@ ORACLES = {
     "n2_token_set": f"SELECT doc_id, len(s)::INT AS n_tokens, md5(array_to_string(list_sort(s), ' ')) AS tokens_md5 FROM (SELECT doc_id, list_distinct({WORDS.format('text')}) AS s FROM documents)",
     "n3_query_terms": f"SELECT item_id, array_to_string(list_filter({WORDS.format('text')}, lambda w: NOT list_contains({_STOP}, w)), ' ') AS terms FROM benchmark",
     "n4_jaccard": f"WITH c AS (SELECT conv_id, turn, list_distinct({WORDS.format('text')}) AS w FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 9) AS jaccard FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
-    "n6_parse_timestamp": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 + 500000 WHEN 1 THEN epoch_us(ts) WHEN 2 THEN epoch_us(ts) // 1000000 * 1000000 END AS micros FROM events",
+    "n6_parse_timestamp": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 + 500000 WHEN 1 THEN epoch_us(ts) WHEN 2 THEN epoch_us(ts) // 1000000 * 1000000 ELSE -1 END AS micros FROM events",
     "n7_age": f"SELECT event_id, a AS age_days, CASE WHEN a <= 7 THEN 'd7' WHEN a <= 30 THEN 'd30' WHEN a <= 90 THEN 'd90' WHEN a <= 365 THEN 'd365' ELSE 'older' END AS bucket FROM (SELECT event_id, {_AGE} AS a FROM events)",
     "n8_n9_phrases": f"""
 SELECT event_id,
