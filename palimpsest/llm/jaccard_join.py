@@ -39,7 +39,7 @@ from .common import materialize, record_batch, text_blocks
 from .words import NOT_SPACE, mix, shingle_sets, words_of
 
 #: Shingles in one bucket of step 2, and sets' shared shingles in one of the second deal.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_000_000
 #: Largest size that the light part is considered for.
 LIGHT_SIZES = 12
 #: Rounds of stars before the remaining pairs are verified one by one.
@@ -133,7 +133,7 @@ def _deal(size: int, buckets: int):
 
     def run(batches):
         seen: set[bytes] = set()
-        for _, data, offsets in text_blocks(batches, 4 << 20):
+        for _, data, offsets in text_blocks(batches, 2 << 20):
             sets, keys = [], []
             for members in _sets_of_block(data, offsets, size):
                 key = set_key(members)
