@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one is made only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+        folder = _own_folder[0]
     return folder.rstrip("/")
 
 
