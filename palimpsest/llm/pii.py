@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers;
-these are the seeds.  They, and every other token with a digit or an @, are instances; the words to
+these are the seeds.  They, and every other token with a digit or an @, are instances (neighbouring
+groups of digits are one, as in ``(415) 555-2671``); the words to
 their left (and a ``key=`` or ``key:`` within) are their lexical patterns.  Patterns and
 instances score each other over their graph: a pattern by the mean score of its distinct
 instances, an instance by its best pattern.  Patterns that end up trusted, with enough
@@ -37,6 +38,12 @@ GUARDS = {
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What may lie between the groups of a number, tokens after which one may go on, and tokens that go on.
+GAP = r"^[\h().\[\]-]++$"
+FIRST_GROUP = r"^(?:[^\s=:0-9@]++[=:])?[+().\[\]-]*+[0-9][0-9().\[\]-]*+$"
+NEXT_GROUP = r"^[().\[\]-]*+[0-9][0-9().\[\]-]*+(?:[xX#][0-9]++)?+(?:[^\s0-9A-Za-z@][^\s@]*+)?+$"
+#: A token with as many digits as the shortest phone number ends its number.
+WHOLE_DIGITS = 9
 
 
 def _digits(m: Column) -> Column:
@@ -98,6 +105,7 @@ def _base_spans(text: Column, kind: str) -> Column:
 
 
 _INSTANCE = "struct<start:int,end:int,token:string,left:string,seed:int>"
+_TOKEN = "struct<start:int,end:int,token:string,before:string>"
 
 
 def _instance(begin: Column, end: Column, token: Column, before: Column, seed: Column) -> Column:
@@ -116,13 +124,70 @@ def _seeds(text: Column, base: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Tokens with a digit or @."""
+    """Tokens with a digit or @, and the text since the token before."""
 
     def make(m, before, begin, end):
-        return _instance(begin, end, m, before, F.lit(None))
+        return F.struct(begin.alias("start"), end.alias("end"), m.alias("token"), before.alias("before"))
 
-    found = _located(text, TOKEN, make, lambda m: F.lit(True), _INSTANCE)
-    return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(f"array<{_INSTANCE}>"))
+    found = _located(text, TOKEN, make, lambda m: F.lit(True), _TOKEN)
+    return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(f"array<{_TOKEN}>"))
+
+
+def _with_contexts(tokens: Column) -> Column:
+    """Each token as an instance with the 80 characters before it, and whether it goes on with the number before it.
+
+    80 characters hold 40 tokens and the space before each at most.
+    """
+
+    def told(t: Column, i: Column) -> Column:
+        earlier = F.slice(tokens, F.greatest(i - 39, F.lit(1)), F.least(i, F.lit(40)))
+        pieces = F.transform(earlier, lambda e: F.concat(F.right(e["before"], F.lit(80)), F.right(e["token"], F.lit(80))))
+        before = F.when(F.length(t["before"]) >= 80, t["before"]).otherwise(F.concat(F.array_join(pieces, ""), t["before"]))
+        last = F.get(tokens, i - 1)
+        follows = (i > 0) & t["before"].rlike(GAP) & t["token"].rlike(NEXT_GROUP) & last["token"].rlike(FIRST_GROUP)
+        follows = follows & (F.length(_digits(last["token"])) < WHOLE_DIGITS)
+        instance = _instance(t["start"], t["end"], t["token"], before, F.lit(None))
+        return F.struct(instance.alias("t"), F.coalesce(follows, F.lit(False)).alias("follows"), t["before"].alias("before"))
+
+    return F.transform(tokens, told)
+
+
+def _joined(tokens: Column, first: Column) -> Column:
+    """Instances: neighbouring groups of digits are one, so a number written in groups is seen whole.
+
+    ``first`` has the places (from 1) of ``tokens`` that don't go on with a number.
+    """
+
+    def run(at: Column, j: Column) -> Column:
+        t = F.get(tokens, at - 1)["t"]
+        n = F.coalesce(F.get(first, j + 1), F.size(tokens) + 1) - at
+        rest = F.transform(F.slice(tokens, at + 1, n - 1), lambda x: F.concat(x["before"], x["t"]["token"]))
+        return F.struct(
+            t["start"].alias("start"),
+            F.get(tokens, at + n - 2)["t"]["end"].alias("end"),
+            F.concat(t["token"], F.array_join(rest, "")).alias("token"),
+            t["left"].alias("left"),
+            t["seed"].alias("seed"),
+        )
+
+    return F.transform(first, run)
+
+
+def _instances(rows: DataFrame) -> DataFrame:
+    """``rows`` with the seeds and the other instances of ``_text``; each array is a column, so that it is made once."""
+    rows = rows.withColumn("tokens", _tokens(F.col("_text")))
+    rows = rows.withColumn("tokens", _with_contexts(F.col("tokens")))
+    # a base span parts the groups on both sides of it
+    hit = F.transform("tokens", lambda x: F.exists("base", lambda s: (s["start"] < x["t"]["end"]) & (s["end"] > x["t"]["start"])))
+    rows = rows.withColumn("hit", hit)
+    kept = F.filter(F.transform("tokens", lambda x, i: F.struct(
+        x["t"].alias("t"), (x["follows"] & ~F.get("hit", i - 1)).alias("follows"), x["before"].alias("before"), F.get("hit", i).alias("hit"))
+    ), lambda x: ~x["hit"])
+    rows = rows.withColumn("tokens", kept).drop("hit")
+    places = F.transform("tokens", lambda x, i: F.when(~F.coalesce(x["follows"], F.lit(False)), i + 1))
+    rows = rows.withColumn("first", F.filter(places, lambda i: i.isNotNull()))
+    joined = _joined(F.col("tokens"), F.col("first"))
+    return rows.withColumn("instances", F.concat(_seeds(F.col("_text"), F.col("base")), joined)).drop("tokens", "first", "_text")
 
 
 def _contexts(instances: DataFrame) -> DataFrame:
@@ -166,18 +231,14 @@ def find_personal_data(
 
     Null texts are empty and have no spans.  ``base`` holds the base patterns'
     valid matches, leftmost and non-overlapping in each kind; ``spans`` adds what
-    trusted patterns discover (tokens with an @ or six digits that overlap no base span).  Both
+    trusted patterns discover (instances with an @ or six digits that overlap no base span).  Both
     are ordered by start, then kind.  Repeated rows, and rows with null or equal
     ids, are rows of their own; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[_base_spans(text, k) for k in KINDS]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.alias("_text"), base.alias("base"))
-    apart = F.filter(
-        _tokens(F.col("_text")),
-        lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])),
-    )
-    rows = rows.withColumn("instances", F.concat(_seeds(F.col("_text"), F.col("base")), apart)).drop("_text")
+    rows = _instances(rows)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
     exploded = rows.select("row", F.explode("instances").alias("t")).select("row", "t.*")
     trusted = trusted_patterns(exploded, rounds, confidence, least_seeds)

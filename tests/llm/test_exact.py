@@ -298,6 +298,27 @@ def test_personal_data(spark):
     assert got[len(texts) - 1].spans == "phone:5:17"  # discovered by its context
 
 
+def test_grouped_numbers_are_discovered(spark):
+    """Numbers in groups, and after words with digits, have the text before them as context."""
+    seeds = [f"{key} +1 ({k}) 555-7{k}" for k in range(200, 240) for key in ("phone:", "tel2")]
+    seeds += [f"card: 4111 1111 1111 {k}" for k in range(1000, 1400) if luhn(f"411111111111{k}")]
+    cases = {
+        "phone: (415) 555-2671": ["phone:7:21"],
+        "phone: 415 555 2671, now": ["phone:7:20"],
+        "phone: 415 - 555.2671 extra 12": ["phone:7:21"],
+        "x1 phone:\t(415)555 2671": ["phone:10:23"],
+        "Tel2 5551234567": ["phone:5:15"],
+        "card: 4111 1111 1111 1112 12": ["card:6:28"],
+        "phone: 5551234567 2025": ["phone:7:17"],
+        "phone: 415 555\n2671": ["phone:7:14"],
+        "phone: 415 555 +1 (487) 555-7209": ["phone:7:14", "phone:15:32"],
+        "phone: 12 34": [""],
+    }
+    df = spark.createDataFrame(list(enumerate([*cases, *seeds])), "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.digest(pii.find_personal_data(df)).collect()}
+    assert {text: got[k] for k, text in enumerate(cases)} == cases
+
+
 def test_redaction(spark):
     df = edge_docs(spark).union(spark.createDataFrame([(20, "mail a.b@c.de or 1.2.3.4!", "en", "s", 1, 1, "i")], SCHEMA))
     out = pii.redact_documents(df)
