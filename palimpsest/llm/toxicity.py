@@ -7,7 +7,7 @@ distances are calibrated on all labelled rows.
 
 Most words of a toxic document are as ordinary as any, and compress alike either
 way.  So windows hold only a text's words that the ordinary training text
-doesn't hold often, the toxic dictionary learns from those of them that go with toxic
+doesn't hold often or the toxic training text holds more often, the toxic dictionary learns from those of them that go with toxic
 documents, and both dictionaries begin with the same ordinary base, which leaves
 the trained parts as their only difference.
 
@@ -64,10 +64,10 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 
 class Detector:
-    """Ordinary vocabulary, dictionaries and window size; what tasks need to score."""
+    """Ordinary vocabulary, dictionaries and window size; what tasks need to score.  ``learned`` says if both labels were there."""
 
-    def __init__(self, ordinary: frozenset, dictionaries: tuple[bytes, bytes], window_words: int):
-        self.ordinary, self.dictionaries, self.window_words = ordinary, dictionaries, window_words
+    def __init__(self, ordinary: frozenset, dictionaries: tuple[bytes, bytes], window_words: int, learned: bool):
+        self.ordinary, self.dictionaries, self.window_words, self.learned = ordinary, dictionaries, window_words, learned
 
     def open(self) -> Detector:
         self.packers = []
@@ -103,18 +103,23 @@ def train_detector(
     base_bytes: int = 1 << 19,
     least_lift: float = 1.0,
     weight_share: float = 0.03,
+    chance: float = 3.0,
 ) -> Detector:
     """From a bounded sample with text and y: all that is collected is bounded by the parameters.
 
     A word (or stem) goes with toxic documents by n1 * log(share of toxic / share
     of ordinary documents with it), and counts if it has ``weight_share`` of the greatest such weight.
+    An ordinary word is left out of windows unless toxic documents hold it more often by over ``chance`` standard errors.
     """
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = materialize(_word_counts(sample), "words")
     least = max(3, n0 // 1500)
     whole = F.substring("word", -1, 1) != F.lit(b"\0")
-    common = counts.where(whole & (F.col("n0") >= least)).orderBy(F.desc("n0"), "word").limit(vocabulary)
+    # documents with the word beyond what ordinary text's share of it gives: a word that toxic text holds more often, chance aside, stays
+    ratio = n1 / max(n0, 1)
+    beyond = (F.col("n1") - ratio * F.col("n0")) / F.sqrt(F.col("n1") + ratio * ratio * F.col("n0"))
+    common = counts.where(whole & (F.col("n0") >= least) & (beyond <= chance)).orderBy(F.desc("n0"), "word").limit(vocabulary)
     ordinary = frozenset(bytes(r.word) for r in common.select("word").collect())
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     weight = F.col("n1") * lift
@@ -122,7 +127,7 @@ def train_detector(
     telling = telling.orderBy(F.desc("weight"), "word").limit(toxic_words)
     rows = telling.collect()
     marked = frozenset(bytes(r.word) for r in rows if r.weight >= weight_share * rows[0].weight)
-    detector = Detector(ordinary, (b"", b""), window_words)
+    detector = Detector(ordinary, (b"", b""), window_words, n0 > 0 and n1 > 0)
 
     schema = pa.schema([("y", pa.int32()), ("window", pa.binary())])
 
@@ -213,11 +218,13 @@ def score_toxicity(
     crc32(doc_id) mod folds isn't the held-out fold are learned from.  Null and
     empty texts, and texts of ordinary words only, have the least distance.
     Null ids are scored and never labelled; repeated rows get repeated results.
-    Without labels all scores are 0.5; without documents the result is empty.
+    Without labels all scores are 0.5; where a label is missing no document is predicted to
+    be toxic; without documents the result is empty.
     """
     known = _known(labels, folds, held_out_fold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = _with_distances(rows, _detector(docs, known, sample), "distance").drop("text")
+    detector = _detector(docs, known, sample)
+    found = _with_distances(rows, detector, "distance").drop("text")
     distances = materialize(found, "distances")
     fitted = _calibrated(distances, known)
 
@@ -232,7 +239,7 @@ def score_toxicity(
         (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"),
         "distance",
         "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        ((F.col("score") >= threshold) & F.lit(detector.learned)).cast("int").alias("predicted"),
     )
 
 
@@ -244,12 +251,15 @@ def remove_toxic(
     sample: int = 8_000,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """The documents that ``score_toxicity`` doesn't predict to be toxic, with all their columns."""
+    """The documents that ``score_toxicity`` doesn't predict to be toxic, with all their columns; all where a label is missing."""
     known = _known(labels, folds, held_out_fold)
     name = "_distance"
     while name in docs.columns:
         name += "_"
-    tagged = materialize(_with_distances(docs, _detector(docs, known, sample), name), "tagged")
+    detector = _detector(docs, known, sample)
+    if not detector.learned:
+        return docs
+    tagged = materialize(_with_distances(docs, detector, name), "tagged")
     distances = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("distance"))
     fitted = _calibrated(distances, known)
     # scores rise with the distance: keep what lies below the threshold's distance

@@ -67,6 +67,28 @@ def test_toxic_removal_keeps_columns(spark):
     assert toxicity.remove_toxic(spark.createDataFrame([], SCHEMA), labels).count() == 0
 
 
+def test_toxic_words_that_ordinary_text_holds_too(spark):
+    """Innocent uses and wrong labels don't make a telling word count for nothing."""
+    def text(k, word):
+        return " ".join([f"plain{k * j % 97}" for j in range(1, 30)] + [word] * (word != ""))
+
+    words = ["trash", "clown", "stupid"]
+    rows = [(k, text(k, words[k % 3]), 1) for k in range(300)]
+    rows += [(k, text(k, words[k % 3] if k % 50 == 0 else ""), 0) for k in range(300, 1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(4)
+    out = toxicity.score_toxicity(df, df.select("doc_id", "y")).join(df.select("doc_id", "y"), "doc_id").where("held_out")
+    r = out.agg(F.avg(F.when(F.col("y") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("y") == 0, F.col("predicted"))).alias("wrong")).first()
+    assert r.recall > 0.9 and r.wrong < 0.1
+
+
+def test_removal_keeps_all_where_nothing_was_learned(spark):
+    docs = edge_docs(spark)
+    labels = spark.createDataFrame([(k, 1) for k in range(9)], "doc_id long, y int")
+    for known in (labels, labels.limit(0)):
+        assert toxicity.remove_toxic(docs, known).count() == 13
+        assert {r.predicted for r in toxicity.score_toxicity(docs, known).collect()} == {0}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
