@@ -55,6 +55,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, copies: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row for each key, with its number of ``copies`` among rows).
+
+    Keys with more than a 1/``share`` of all ``total`` rows, fewer than ``share`` in all, are
+    broadcast; the others are shuffled, so no task gets more than a small part through one key.
+    Rows without a value aren't in the result.
+    """
+    hot = F.col(copies) * share > total
+    many, few = values.where(hot).drop(copies), values.where(~hot).drop(copies)
+    cold = rows.join(F.broadcast(many.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(many), key).unionByName(cold.join(few, key))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
