@@ -10,9 +10,11 @@ one window that is not nearly full.  Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,29 @@ _OUT = pa.schema(
 _encoders: dict = {}
 
 
+#: Characters that are encoded at once, and from which on a stretch without a word boundary goes to the tokenizer file.
+CHUNK, LONG_STRETCH = 1 << 16, 1 << 17
+#: A space between two words: tokens end before it, whatever else the text holds.
+_CUT = re.compile(r"(?<=\w) (?=\w)")
+
+
+def chunks(text: str) -> Iterator[str]:
+    """The text in parts of about CHUNK characters whose ids, one after another, are the ids of the text."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + CHUNK) if len(text) - at > CHUNK else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     ``ranks`` holds the same vocabulary as the tokenizer file in tiktoken's
-    form, which encodes several times as fast to the same ids.  Only texts with
-    the string of a special token need the tokenizer file itself.
+    form, which encodes several times as fast to the same ids, but can't take very long stretches
+    without a word boundary.  Only these and texts with the string of a special token need the
+    tokenizer file itself.
     """
 
     def __init__(self, path: str, ranks: str, pattern: str):
@@ -51,11 +70,14 @@ class Encoder:
         self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.plain.encode_ordinary(text)
-        return array("I", ids).tobytes()
+        special = any(s in text for s in self.special)
+        out = array("I")
+        for part in chunks(text):
+            if special or len(part) >= LONG_STRETCH:
+                out.extend(self.tokenizer.encode(part, add_special_tokens=False).ids)
+            else:
+                out.extend(self.plain.encode_ordinary(part))
+        return out.tobytes()
 
 
 def encoder(path: str, ranks: str, pattern: str) -> Encoder:

@@ -59,7 +59,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack_documents(
+    """Pieces with their ids."""
+    return packing.pack_documents(
         docs,
         tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"),
         ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -67,11 +68,10 @@ def packed(docs: DataFrame) -> DataFrame:
         window=2048,
         end_id=1,
     )
-    return pieces.drop("ids")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
