@@ -31,6 +31,8 @@ FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5
 NEVER = np.uint64(PAIRS + 1)
+#: Words of two chains that are compared at once.
+COMPARED_WORDS = 1 << 20
 
 
 def equal_pairs(data: np.ndarray) -> np.ndarray:
@@ -134,30 +136,40 @@ class Digests:
             return float(len(x) == len(y))
         if len(x) > len(y):
             x, y, p, q = y, x, q, p
-        common = np.bitwise_count(x[:, None] & y[None]).sum(axis=2, dtype=np.int64)
-        chance = p[:, None] * q[None] / FILTER_BITS
-        most = np.minimum(p[:, None], q[None])
-        score = (common - chance) / np.maximum(most - chance, 1e-9)
-        return float(np.clip(score, 0, 1).max(axis=1).mean())
+        best = np.zeros(len(x))
+        step = max(1, COMPARED_WORDS // (len(x) * x.shape[1]))  # long chains a part at a time
+        for a in range(0, len(y), step):
+            part = slice(a, a + step)
+            common = np.bitwise_count(x[:, None] & y[None, part]).sum(axis=2, dtype=np.int64)
+            chance = p[:, None] * q[None, part] / FILTER_BITS
+            most = np.minimum(p[:, None], q[None, part])
+            best = np.maximum(best, ((common - chance) / np.maximum(most - chance, 1e-9)).max(axis=1))
+        return float(np.minimum(best, 1).mean())
 
 
 def _ordered(docs: DataFrame, target_rows: int, max_slices: int) -> DataFrame:
     """Rows dealt to slices by descending id, with the row that follows a slice's
     last one added at its end (``ahead`` 1).
 
-    Slices come from quantiles of the ids, cut evenly between two quantiles.  Only
-    the first row of each slice, ``max_slices`` at most, is broadcast.
+    Slices come from quantiles of the ids, cut evenly between two quantiles.  An id that
+    spans quantiles, and the null id, are cut by the hash of the text, so only equal rows must
+    share a slice.  Only the first row of each slice, ``max_slices`` at most, is broadcast.
     """
     quantiles = F.percentile_approx("doc_id", [k / 256 for k in range(257)], 2000)
     stats = docs.agg(F.count("*"), quantiles).first()
-    bounds = sorted(set(stats[1] or [0]))
-    parts = max(1, min(max_slices // 256, -(-stats[0] // (target_rows * max(1, len(bounds) - 1)))))
+    found = stats[1] or [0]
+    hot = {a for a, b in zip(found[:-1], found[1:], strict=True) if a == b}
+    bounds = sorted(set(found) | {b + 1 for b in hot})
+    parts = max(1, min(max_slices // 520, -(-stats[0] // (target_rows * max(1, len(bounds) - 1)))))
+    rows = docs.withColumn("h", F.xxhash64("text"))
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
     coarse = F.greatest(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(1))
     low, high = F.element_at(edges, coarse), F.coalesce(F.try_element_at(edges, coarse + 1), F.element_at(edges, coarse) + 1)
-    fine = F.least(F.floor((F.col("doc_id") - low) / (high - low) * parts), F.lit(parts - 1))
-    place = F.coalesce((coarse * parts + fine).cast("int"), F.lit(-1))
-    rows = docs.withColumn("slice", place).withColumn("h", F.xxhash64("text"))
+    by_hash = F.col("h") / F.lit(2.0**64) + 0.5
+    share = F.when(high - low == 1, by_hash).otherwise((F.col("doc_id") - low) / (high - low))
+    fine = F.greatest(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0))
+    none = F.least(F.floor(by_hash * parts), F.lit(parts - 1)) - parts
+    rows = rows.withColumn("slice", F.coalesce(coarse * parts + fine, none).cast("int"))
     firsts = rows.groupBy("slice").agg(F.max(F.struct("doc_id", "h")).alias("f"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("slice"))
     every = Window.partitionBy(F.lit(0))
