@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text that a task works on at once.
 BLOCK_BYTES = 1 << 20
@@ -26,9 +27,11 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is set (tests)."""
+    """The cluster's shared folder.  A local one is made where none is set, if all tasks run on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
         folder = _own_folder[0]
@@ -55,6 +58,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """The keys, fewer than ``share``, that more than a 1/``share`` of all ``total`` rows have."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * share > total).select(key)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -63,17 +71,35 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str, copies: str, total: int, share: int = 1000) -> DataFrame:
-    """``rows`` with the columns of ``values`` (one row for each key, with its number of ``copies`` among rows).
+def join_hot(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row for each key at most.
+
+    The ``hot`` keys, a bounded number, are broadcast with their values; the others are shuffled, so no
+    task gets more than a small part through one key.  Rows without a value aren't in the result.
+    """
+    many = values.join(F.broadcast(hot), key, "left_semi")
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(values.join(F.broadcast(hot), key, "left_anti"), key)
+    return rows.join(F.broadcast(many), key).unionByName(cold)
+
+
+def add_up(parts: DataFrame, keys: list[str], fan: int = 256) -> DataFrame:
+    """``keys`` and ``sums``: arrays of doubles, as bytes, added by key over all tasks.
 
-    Keys with more than a 1/``share`` of all ``total`` rows, fewer than ``share`` in all, are
-    broadcast; the others are shuffled, so no task gets more than a small part through one key.
-    Rows without a value aren't in the result.
+    ``parts`` has the keys, ``task`` (a number of the task) and ``sums``.  Arrays of ``fan`` tasks
+    at most meet first, so the last sum is over one array for each ``fan`` tasks.
     """
-    hot = F.col(copies) * share > total
-    many, few = values.where(hot).drop(copies), values.where(~hot).drop(copies)
-    cold = rows.join(F.broadcast(many.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(many), key).unionByName(cold.join(few, key))
+    out = StructType([*(parts.schema[k] for k in keys), StructField("sums", BinaryType())])
+
+    def add(table: pa.Table) -> pa.Table:
+        total: np.ndarray | None = None
+        for chunk in table.column("sums").chunks:
+            for raw in chunk:
+                part = np.frombuffer(raw.as_buffer(), np.float64)
+                total = part.copy() if total is None else np.add(total, part, out=total)
+        return table.select(keys)[:1].append_column("sums", pa.array([total.tobytes()], pa.binary()))
+
+    some = parts.withColumn("task", F.floor(F.col("task") / fan)).groupBy(*keys, "task").applyInArrow(add, out)
+    return some.groupBy(*keys).applyInArrow(add, out)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -454,7 +454,8 @@ def document_components(docs: DataFrame, size: int = 5, num: int = 75, den: int
     tops = firsts.where("label IS NOT NULL").groupBy("label").agg(F.min("own").alias("top"))
     top = F.coalesce("top", "own")
     component = firsts.join(tops, "label", "left").select("set", "copies", F.struct(top["doc_id"].alias("doc_id"), top["set"].alias("set")).alias("component"))
-    found = join_hot(worded, component, "set", "copies", rows)
+    hot = materialize(component.where(F.col("copies") * 1000 > rows).select("set"), "hot")
+    found = join_hot(worded, component.drop("copies"), "set", hot)
     wordless = documents.where("set IS NULL").withColumn("component", F.lit(None).cast(component.schema["component"].dataType))
     return found.unionByName(wordless).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set", "component")
 

@@ -11,10 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, record_batch, text_blocks
+from .common import add_up, fold_of, record_batch, text_blocks
 
 #: Letters: code points below the limit have a place of their own, others share by hash.
 OWN_LETTERS, LETTERS = 0x500, 2048
@@ -67,9 +68,9 @@ def language_prototypes(training: DataFrame, size: int, seed: int) -> tuple[list
     """Languages and unit prototypes from columns text and lang.
 
     Each task bundles all trigrams of each language; the sums, a vector for each language and task,
-    are added by language.
+    are added by language, those of some hundred tasks first.
     """
-    schema = pa.schema([("lang", pa.string()), ("sums", pa.list_(pa.float64()))])
+    schema = pa.schema([("lang", pa.string()), ("task", pa.int64()), ("sums", pa.binary())])
 
     def partial(batches):
         binder = Binder(size, seed)
@@ -80,12 +81,12 @@ def language_prototypes(training: DataFrame, size: int, seed: int) -> tuple[list
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 total[lang] = total.get(lang, 0) + binder.vector(*binder.trigrams(" ".join(texts))).astype(np.float64)
-        yield record_batch(schema, [list(total), [v.tolist() for v in total.values()]])
+        task = TaskContext.get().partitionId()
+        yield record_batch(schema, [list(total), [task] * len(total), [v.tobytes() for v in total.values()]])
 
-    sums = training.mapInArrow(partial, "lang string, sums array<double>")
-    added = F.aggregate(F.collect_list("sums"), F.array_repeat(F.lit(0.0), size), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    rows = sums.groupBy("lang").agg(added.alias("sums")).orderBy("lang").collect()
-    vectors = np.array([r.sums for r in rows]).reshape(len(rows), size)
+    parts = training.mapInArrow(partial, "lang string, task long, sums binary")
+    rows = add_up(parts, ["lang"]).orderBy("lang").collect()
+    vectors = np.array([np.frombuffer(r.sums) for r in rows]).reshape(len(rows), size)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return [r.lang for r in rows], (vectors / np.maximum(norms, 1e-12)).astype(np.float32)
 

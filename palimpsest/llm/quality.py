@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialize, record_batch, text_blocks
+from .common import add_up, fold_of, materialize, record_batch, text_blocks
 from .words import NOT_SPACE, words_of
 
 _CODES = np.arange(256)
@@ -101,7 +102,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def normal_equations(labelled: DataFrame, features: Features, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of z z' and z y over columns x and y."""
     size = len(features.phase) + 1
-    schema = pa.schema([("row", pa.int32()), ("sums", pa.binary())])
+    schema = pa.schema([("row", pa.int32()), ("task", pa.int64()), ("sums", pa.binary())])
 
     def partial(batches):
         total = np.zeros((size, size + 1))
@@ -110,14 +111,12 @@ def normal_equations(labelled: DataFrame, features: Features, width: int) -> tup
                 z = features(_matrix(batch.column("x"), width))
                 y = np.asarray(batch.column("y"), np.float64)
                 total += z.T @ np.column_stack([z, y])
-        yield record_batch(schema, [np.arange(size, dtype=np.int32), [r.tobytes() for r in total]])
+        if total.any():
+            task = TaskContext.get().partitionId()
+            yield record_batch(schema, [np.arange(size, dtype=np.int32), [task] * size, [r.tobytes() for r in total]])
 
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b) for b in table.column("sums").to_pylist())
-        return pa.table({"row": table.column("row")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = labelled.select("x", "y").coalesce(64).mapInArrow(partial, "row int, sums binary")
-    rows = parts.groupBy("row").applyInArrow(added, "row int, sums binary").orderBy("row").collect()
+    parts = labelled.select("x", "y").mapInArrow(partial, "row int, task long, sums binary")
+    rows = add_up(parts, ["row"]).orderBy("row").collect()
     total = np.array([np.frombuffer(r.sums) for r in rows]) if rows else np.zeros((size, size + 1))
     return total[:, :-1], total[:, -1]
 
