@@ -5,10 +5,10 @@ bytes.  Ids fall into classes by the company they keep.  A token's probability
 is P(class | history) P(id | class, class before) P(word | id):
 
 * the class softmax has weights for the id before (n-gram), the id before that (skip)
-  and a hash of both (n-gram), trained by distributed updates: in each, all
-  tasks sum observed and expected counts of their features and one step of
-  iterative scaling moves the weights.  Every update takes another part of the
-  training documents, all of them together every one once;
+  and a hash of both (n-gram), trained by distributed gradient updates: in each, all
+  tasks sum observed and expected counts of their features over all training documents; their
+  difference is the gradient of the log-likelihood, and a step along it, in each
+  weight's own scale, moves the weights;
 * the id softmax within a class has weights for the class before, trained on
   their pair counts;
 * a word that shares its id gets its share of the id's tokens, (c + 0.5) / (N + 0.5 (V + 1)),
@@ -24,10 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialize, record_batch, text_blocks
+from .common import add_up, fold_of, hot_keys, join_hot, materialize, record_batch, text_blocks
 from .words import FOLD, NOT_SPACE, Words, segment_hashes, words_of
 
 CLASSES = 32
@@ -106,8 +107,8 @@ def frequent_words(training: DataFrame, heads: int) -> Vocabulary:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, held_out, part, key (of the text) and ids (16-bit, the end last)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("key", pa.binary()), ("ids", pa.binary())])
+    """doc_id, held_out, key (of the text) and ids (16-bit, the end last)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
         for block, data, offsets in text_blocks(batches):
@@ -116,11 +117,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             first = (words.first + np.arange(len(words.first))).tolist()
             raw, text = ids.tobytes(), data.tobytes()
             keys = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            parts = [k[0] % UPDATES for k in keys]
             cut = [raw[2 * a : 2 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield record_batch(schema, [block.column("doc_id"), block.column("held_out"), parts, keys, cut])
+            yield record_batch(schema, [block.column("doc_id"), block.column("held_out"), keys, cut])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, part int, key binary, ids binary")
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, key binary, ids binary")
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("copies", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("times", pa.binary())])
@@ -233,9 +233,9 @@ def text_logs(packed: DataFrame) -> DataFrame:
 
 
 def _summed(encoded: DataFrame, arrays) -> list[np.ndarray]:
-    """arrays(iterator of id arrays) gives float32 arrays in each task; their sums over all tasks."""
-    schema = pa.schema([("piece", pa.int32()), ("sums", pa.binary())])
-    width = 1 << 16
+    """arrays(iterator of id arrays) gives float64 arrays in each task; their sums over all tasks."""
+    schema = pa.schema([("piece", pa.int32()), ("task", pa.int64()), ("sums", pa.binary())])
+    width = 1 << 13
 
     def run(batches):
         def documents():
@@ -244,16 +244,12 @@ def _summed(encoded: DataFrame, arrays) -> list[np.ndarray]:
                     yield np.frombuffer(ids, np.uint16).astype(np.int64)
 
         flat = np.concatenate([a.ravel() for a in arrays(documents())]).astype(np.float64)
-        pieces = [flat[k : k + width].astype(np.float32).tobytes() for k in range(0, len(flat), width)]
-        yield record_batch(schema, [list(range(len(pieces))), pieces])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in table.column("sums").to_pylist())
-        return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        pieces = [flat[k : k + width].tobytes() for k in range(0, len(flat), width)]
+        yield record_batch(schema, [list(range(len(pieces))), [TaskContext.get().partitionId()] * len(pieces), pieces])
 
     shapes = [a.shape for a in arrays(iter(()))]
-    parts = encoded.select("ids").coalesce(64).mapInArrow(run, "piece int, sums binary")
-    rows = parts.groupBy("piece").applyInArrow(add, "piece int, sums binary").orderBy("piece").collect()
+    parts = encoded.select("ids").mapInArrow(run, "piece int, task long, sums binary")
+    rows = add_up(parts, ["piece"]).orderBy("piece").collect()
     flat = np.concatenate([np.frombuffer(r.sums) for r in rows]) if rows else np.zeros(sum(int(np.prod(s)) for s in shapes))
     out, at = [], 0
     for shape in shapes:
@@ -401,31 +397,42 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
         vocabulary, class_of, bias.astype(np.float32), weights.astype(np.float32),
         np.zeros((n + 1, CLASSES), np.float32), np.zeros((PAIR_HASHES, CLASSES), np.float32), logs,
     )
-    for update in range(UPDATES):
+    sizes = (n + 1, n + 1, PAIR_HASHES)
+
+    def observed(documents):
+        seen = [np.zeros(k * CLASSES) for k in sizes]
+        for ids, before, skip, _ in _runs(documents, vocabulary.start, 200_000):
+            c = class_of[ids]
+            for total, f in zip(seen, (before, skip, model.features(before, skip)), strict=True):
+                total += np.bincount(f * CLASSES + c, minlength=len(total))
+        return [total.reshape(-1, CLASSES) for total in seen]
+
+    seen = _summed(encoded, observed)
+    for _ in range(UPDATES):
         sent = encoded.sparkSession.sparkContext.broadcast(model)
 
-        def counts(documents, sent=sent):
+        def expected(documents, sent=sent):
             m = sent.value
-            sizes = (n + 1, n + 1, PAIR_HASHES)
-            observed = [np.zeros(s * CLASSES) for s in sizes]
-            expected = [np.zeros((s, CLASSES)) for s in sizes]
-            for ids, before, skip, _ in _runs(documents, vocabulary.start):
-                p = m.class_logits(before, skip)
-                p -= p.max(axis=1, keepdims=True)
-                np.exp(p, out=p)
-                p /= p.sum(axis=1, keepdims=True)
-                c = m.class_of[ids]
-                for k, f in enumerate((before, skip, m.features(before, skip))):
-                    observed[k] += np.bincount(f * CLASSES + c, minlength=len(observed[k]))
-                    order = np.argsort(f.astype(np.uint16), kind="stable")
-                    ordered = f[order]
-                    begins = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
-                    expected[k][ordered[begins]] += np.add.reduceat(p[order], begins, axis=0)
-            return [o.reshape(-1, CLASSES) for o in observed] + expected
-
-        sums = _summed(encoded.where(F.col("part") == update), counts)
-        for table, seen, thought in zip((model.by_before, model.by_skip, model.by_pair), sums[:3], sums[3:], strict=True):
-            table += (np.log((seen + 2) / (thought + 2)) / 3).astype(np.float32)
+            thought = [np.zeros((k, CLASSES)) for k in sizes]
+            for _, before, skip, _ in _runs(documents, vocabulary.start, 500_000):
+                # equal histories once, in the order of the id before
+                history, times = np.unique(before * (n + 1) + skip, return_counts=True)
+                for a in range(0, len(history), 20_000):
+                    before, skip = np.divmod(history[a : a + 20_000], n + 1)
+                    p = m.class_logits(before, skip)
+                    p -= p.max(axis=1, keepdims=True)
+                    np.exp(p, out=p)
+                    p *= (times[a : a + 20_000] / p.sum(axis=1))[:, None].astype(np.float32)
+                    for total, f in zip(thought, (before, skip, m.features(before, skip)), strict=True):
+                        order = np.argsort(f.astype(np.uint16), kind="stable")
+                        ordered = f[order]
+                        begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                        total[ordered[begins]] += np.add.reduceat(p[order], begins, axis=0)
+            return thought
+
+        # the gradient, observed less expected, each weight's by its own scale and a third for each of the three features of a token
+        for table, is_, thought in zip((model.by_before, model.by_skip, model.by_pair), seen, _summed(encoded, expected), strict=True):
+            table += ((is_ - thought) / (3 * ((is_ + thought) / 2 + 2))).astype(np.float32)
     return model
 
 
@@ -439,13 +446,16 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hea
     each; null ids count as the empty id.  Without training documents
     both scores follow from the smoothing alone; an empty table gives an empty result.
     """
+    if heads + 1 + SUFFIXES >= 1 << 16:
+        raise ValueError("ids have 16 bits: heads must be fewer")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", fold_of(F.col("doc_id"), folds) == held_out_fold)
     vocabulary = frequent_words(docs.where(~F.col("held_out")), heads)
     encoded = materialize(encode(docs, vocabulary), "encoded")
     training = encoded.where(~F.col("held_out"))
     single = _single_counts(training, vocabulary)
-    tokens = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 2
+    bytes_, total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)), F.count("*")).first()
+    tokens = bytes_ // 2
     rare = materialize(rare_word_logs(docs, vocabulary, max(1, -(-tokens // (3 * BUCKET_WORDS)))), "rare")
     kinds = np.zeros(SUFFIXES)
     listed = rare.where("bucket < 0").select(F.posexplode("kinds")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
@@ -463,7 +473,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hea
     shared_norm[end + 1 :] = np.log10(single[end + 1 :] + SMOOTH * (kinds + 1))
     sent = docs.sparkSession.sparkContext.broadcast((model, head_logs, shared_norm, single))
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.binary()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.binary()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]
     )
 
     def run(batches):
@@ -476,17 +486,22 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hea
                 for ids, before, skip, ends in _runs(documents, vocabulary.start):
                     begins = np.concatenate([[0], ends[:-1]])
                     logs = model.token_logs(ids, before, skip) / np.log(10) - shared_norm[ids]
-                    each = (np.diff(np.append(begins, len(ids))), (ids <= end) & (single[ids] > 0), head_logs[ids], logs)
-                    sums.append(np.array([each[0], *(np.add.reduceat(e, begins) for e in (each[1].astype(np.int64), *each[2:]))]))
-                n, head, base, score = np.hstack(sums) if sums else np.zeros((4, 0))
+                    own = ids <= end
+                    each = (own.astype(np.int64), (own & (single[ids] > 0)).astype(np.int64), head_logs[ids], logs)
+                    sums.append(np.array([np.diff(np.append(begins, len(ids))), *(np.add.reduceat(e, begins) for e in each)]))
+                n, common, head, base, score = np.hstack(sums) if sums else np.zeros((5, 0))
                 yield record_batch(
                     schema,
-                    [part.column("doc_id"), part.column("held_out"), part.column("key"), n.astype(np.int64), head.astype(np.int64), base, score],
+                    [part.column("doc_id"), part.column("held_out"), part.column("key"), n.astype(np.int64), common.astype(np.int64), head.astype(np.int64), base, score],
                 )
 
-    ddl = "doc_id long, held_out boolean, key binary, n_tokens long, n_head long, base double, model double"
-    scored = encoded.select("doc_id", "held_out", "key", "ids").mapInArrow(run, ddl)
-    joined = scored.join(text_logs(rare), "key", "left")
+    ddl = "doc_id long, held_out boolean, key binary, n_tokens long, n_common long, n_head long, base double, model double"
+    scored = materialize(encoded.select("doc_id", "held_out", "key", "ids").mapInArrow(run, ddl), "scored")
+    values = materialize(text_logs(rare), "logs")
+    # a text without rare words has no value: its rows wait for none
+    rare_rows, other = scored.where("n_tokens > n_common"), scored.where("n_tokens = n_common")
+    hot = materialize(hot_keys(encoded, "key", total), "hot")
+    joined = join_hot(rare_rows, values, "key", hot).unionByName(other, allowMissingColumns=True)
     logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return joined.select(
         "doc_id",
