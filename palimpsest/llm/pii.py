@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java forms of the contract's patterns.
@@ -76,78 +76,112 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, make, kept, element: str) -> Column:
-    """make(match, text before it, start, end) for each match for which kept(match) holds."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{element}>").alias("out"))
+def _let(value: Column, use) -> Column:
+    """use(value), where value is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: Items of a scan that are gone through together, and characters before a match that are kept as its context.
+TOGETHER, CONTEXT = 64, 80
+
+
+def _scan(items: Column, zero: Column, move, emit, element: str) -> Column:
+    """emit(state, item) for each item; the state begins with ``zero`` and becomes move(state, item).
+
+    A fold that appends to an array copies it each time.  So runs of TOGETHER items are folded, each from
+    the state before it; the arrays that grow stay short, and the time is about linear in the items.
+    """
+
+    def states(runs: Column) -> Column:
+        first = F.struct(zero.alias("s"), F.slice(F.array(zero), 1, 0).alias("out"))
+
+        def after(acc: Column, run: Column) -> Column:
+            return F.struct(F.aggregate(run, acc["s"], move).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
+
+        return F.aggregate(runs, first, after, lambda acc: acc["out"])
+
+    def emitted(run: Column, state: Column) -> Column:
+        none = F.array().cast(f"array<{element}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        made = F.concat(acc["out"], F.array(make(x["m"], x["p"], begin, end)))
-        return F.struct(end.alias("at"), F.when(kept(x["m"]), made).otherwise(acc["out"]).alias("out"))
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(move(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(emit(acc["s"], x))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.aggregate(run, F.struct(state.alias("s"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def places(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / TOGETHER).cast("int")
+        return F.when(F.size(xs) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    runs = _let(items, lambda xs: F.transform(places(xs), lambda c: F.slice(xs, c * TOGETHER + 1, TOGETHER)))
+    return _let(runs, lambda rs: F.flatten(F.zip_with(rs, states(rs), emitted)))
+
+
+def _located(text: Column, pattern: str, make, element: str) -> Column:
+    """make(match, text since the match before, up to CONTEXT characters before it, start, end) for each match."""
+
+    def tail(before: Column, more: Column) -> Column:
+        return F.right(F.concat(before, F.right(more, F.lit(CONTEXT))), F.lit(CONTEXT))
+
+    def move(state: Column, x: Column) -> Column:
+        at = state["at"] + F.length(x["p"]) + F.length(x["m"])
+        return F.struct(at.alias("at"), tail(state["tail"], F.concat(F.right(x["p"], F.lit(CONTEXT)), x["m"])).alias("tail"))
+
+    def emit(state: Column, x: Column) -> Column:
+        begin = state["at"] + F.length(x["p"])
+        return make(x["m"], x["p"], tail(state["tail"], x["p"]), begin, begin + F.length(x["m"]))
+
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
+    return _scan(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), move, emit, element)
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
+_FOUND = "struct<start:int,kind:int,end:int,before:string,token:string>"
 
 
 def _base_spans(text: Column, kind: str) -> Column:
     number = KINDS.index(kind)
 
-    def make(m, before, begin, end):
-        return F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
+    def make(m, since, before, begin, end):
+        return F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), before.alias("before"), m.alias("token"))
 
-    found = _located(text, PATTERNS[kind], make, lambda m: _valid(kind, m), _SPAN)
-    return F.when(GUARDS[kind](text), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    found = F.filter(_located(text, PATTERNS[kind], make, _FOUND), lambda s: _valid(kind, s["token"]))
+    return F.when(GUARDS[kind](text), found).otherwise(F.array().cast(f"array<{_FOUND}>"))
 
 
-_INSTANCE = "struct<start:int,end:int,token:string,left:string,seed:int>"
-_TOKEN = "struct<start:int,end:int,token:string,before:string>"
+_TOKEN = "struct<start:int,end:int,token:string,since:string,before:string>"
 
 
 def _instance(begin: Column, end: Column, token: Column, before: Column, seed: Column) -> Column:
     """``before`` is text that ends where the instance begins; its last two words are the context."""
-    near = F.split(F.trim(F.regexp_replace(F.lower(F.right(before, F.lit(80))), r"\s+", " ")), " ")
-    left = F.array_join(F.slice(near, F.greatest(F.size(near) - 1, F.lit(1)), 2), " ")
+    near = F.split(F.trim(F.regexp_replace(F.lower(before), r"\s+", " ")), " ")
+    left = _let(near, lambda words: F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " "))
     return F.struct(begin.alias("start"), end.alias("end"), token.alias("token"), left.alias("left"), seed.cast("int").alias("seed"))
 
 
-def _seeds(text: Column, base: Column) -> Column:
-    def make(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - 79, F.lit(1)), F.least(s["start"], F.lit(80)))
-        return _instance(s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), before, s["kind"])
-
-    return F.transform(base, make)
+def _seeds(base: Column) -> Column:
+    return F.transform(base, lambda s: _instance(s["start"], s["end"], s["token"], s["before"], s["kind"]))
 
 
 def _tokens(text: Column) -> Column:
-    """Tokens with a digit or @, and the text since the token before."""
+    """Tokens with a digit or @, the text since the token before, and that before the token."""
 
-    def make(m, before, begin, end):
-        return F.struct(begin.alias("start"), end.alias("end"), m.alias("token"), before.alias("before"))
+    def make(m, since, before, begin, end):
+        return F.struct(begin.alias("start"), end.alias("end"), m.alias("token"), since.alias("since"), before.alias("before"))
 
-    found = _located(text, TOKEN, make, lambda m: F.lit(True), _TOKEN)
+    found = _located(text, TOKEN, make, _TOKEN)
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(f"array<{_TOKEN}>"))
 
 
 def _with_contexts(tokens: Column) -> Column:
-    """Each token as an instance with the 80 characters before it, and whether it goes on with the number before it.
-
-    80 characters hold 40 tokens and the space before each at most.
-    """
+    """Each token as an instance, whether it goes on with the number before it, and the text since that."""
 
     def told(t: Column, i: Column) -> Column:
-        earlier = F.slice(tokens, F.greatest(i - 39, F.lit(1)), F.least(i, F.lit(40)))
-        pieces = F.transform(earlier, lambda e: F.concat(F.right(e["before"], F.lit(80)), F.right(e["token"], F.lit(80))))
-        before = F.when(F.length(t["before"]) >= 80, t["before"]).otherwise(F.concat(F.array_join(pieces, ""), t["before"]))
         last = F.get(tokens, i - 1)
-        follows = (i > 0) & t["before"].rlike(GAP) & t["token"].rlike(NEXT_GROUP) & last["token"].rlike(FIRST_GROUP)
+        follows = (i > 0) & t["since"].rlike(GAP) & t["token"].rlike(NEXT_GROUP) & last["token"].rlike(FIRST_GROUP)
         follows = follows & (F.length(_digits(last["token"])) < WHOLE_DIGITS)
-        instance = _instance(t["start"], t["end"], t["token"], before, F.lit(None))
-        return F.struct(instance.alias("t"), F.coalesce(follows, F.lit(False)).alias("follows"), t["before"].alias("before"))
+        instance = _instance(t["start"], t["end"], t["token"], t["before"], F.lit(None))
+        return F.struct(instance.alias("t"), F.coalesce(follows, F.lit(False)).alias("follows"), t["since"].alias("before"))
 
     return F.transform(tokens, told)
 
@@ -173,13 +207,26 @@ def _joined(tokens: Column, first: Column) -> Column:
     return F.transform(first, run)
 
 
+def _hit(tokens: Column, base: Column) -> Column:
+    """Whether each token overlaps a base span: some span that begins before its end ends beyond its start."""
+    ends = F.transform(tokens, lambda x: F.struct(x["t"]["end"].alias("key"), F.lit(0).alias("which"), x["t"]["start"].alias("at")))
+    starts = F.transform(base, lambda s: F.struct(s["start"].alias("key"), F.lit(1).alias("which"), s["end"].alias("at")))
+    told = _scan(
+        F.array_sort(F.concat(ends, starts)),
+        F.lit(-1),
+        lambda far, x: F.when(x["which"] == 1, F.greatest(far, x["at"])).otherwise(far),
+        lambda far, x: F.struct(x["which"].alias("which"), (far > x["at"]).alias("hit")),
+        "struct<which:int,hit:boolean>",
+    )
+    return F.transform(F.filter(told, lambda x: x["which"] == 0), lambda x: x["hit"])
+
+
 def _instances(rows: DataFrame) -> DataFrame:
     """``rows`` with the seeds and the other instances of ``_text``; each array is a column, so that it is made once."""
     rows = rows.withColumn("tokens", _tokens(F.col("_text")))
     rows = rows.withColumn("tokens", _with_contexts(F.col("tokens")))
     # a base span parts the groups on both sides of it
-    hit = F.transform("tokens", lambda x: F.exists("base", lambda s: (s["start"] < x["t"]["end"]) & (s["end"] > x["t"]["start"])))
-    rows = rows.withColumn("hit", hit)
+    rows = rows.withColumn("hit", F.when(F.size("base") > 0, _hit(F.col("tokens"), F.col("base"))).otherwise(F.transform("tokens", lambda x: F.lit(False))))
     kept = F.filter(F.transform("tokens", lambda x, i: F.struct(
         x["t"].alias("t"), (x["follows"] & ~F.get("hit", i - 1)).alias("follows"), x["before"].alias("before"), F.get("hit", i).alias("hit"))
     ), lambda x: ~x["hit"])
@@ -187,7 +234,7 @@ def _instances(rows: DataFrame) -> DataFrame:
     places = F.transform("tokens", lambda x, i: F.when(~F.coalesce(x["follows"], F.lit(False)), i + 1))
     rows = rows.withColumn("first", F.filter(places, lambda i: i.isNotNull()))
     joined = _joined(F.col("tokens"), F.col("first"))
-    return rows.withColumn("instances", F.concat(_seeds(F.col("_text"), F.col("base")), joined)).drop("tokens", "first", "_text")
+    return rows.withColumn("instances", F.concat(_seeds(F.col("base")), joined)).drop("tokens", "first", "_text")
 
 
 def _contexts(instances: DataFrame) -> DataFrame:
@@ -198,25 +245,35 @@ def _contexts(instances: DataFrame) -> DataFrame:
     return instances.withColumn("pattern", F.explode(F.filter(patterns, lambda p: F.length(p) > 0)))
 
 
-def trusted_patterns(instances: DataFrame, rounds: int, confidence: float, least_seeds: int) -> DataFrame:
-    """pattern and kind of the patterns that the graph comes to trust.
+def trusted_patterns(instances: DataFrame, rounds: int, confidence: float, least_seeds: int) -> tuple[DataFrame, DataFrame]:
+    """pattern and kind of the patterns that the graph comes to trust; and the hot patterns.
 
-    ``instances`` has token, left and seed (the kind, or null).
+    ``instances`` has token, left and seed (the kind, or null).  Hot patterns and tokens, with
+    more than a thousandth of the edges or instances each, are broadcast where the others are shuffled.
     """
     edges = _contexts(instances.select("token", "left", "seed"))
-    edges = materialize(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
+    edges = materialize(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
+    total, many = edges.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def hot(side: str) -> DataFrame:
+        sums = edges.groupBy(side).agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        return materialize(sums.where((F.col("k") * 1000 > total) | (F.col("n") * 1000 > many)).select(side), f"hot-{side}")
+
+    hot_patterns, hot_tokens = hot("pattern"), hot("token")
     scores = edges.groupBy("token").agg(F.when(F.max("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-    for _ in range(rounds):
+
+    def weighed(scores: DataFrame) -> DataFrame:
         # one unseen instance more than there are, so a pattern with few is trusted less
-        trust = edges.join(scores, "token").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"))
-        best = edges.join(trust, "pattern").groupBy("token").agg(
-            F.max("seed").alias("seed"), F.max("trust").alias("best")
-        )
+        trust = (F.sum("score") / (F.count("*") + 1)).alias("trust")
+        told = join_hot(edges, scores, "token", hot_tokens).groupBy("pattern")
+        return told.agg(trust, F.count("seed").alias("seeds"), F.mode("seed", True).alias("kind"))
+
+    for _ in range(rounds):
+        trust = weighed(scores).select("pattern", "trust")
+        best = join_hot(edges, trust, "pattern", hot_patterns).groupBy("token").agg(F.max("seed").alias("seed"), F.max("trust").alias("best"))
         scores = materialize(best.select("token", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("best")).alias("score")), "scores")
-    trust = edges.join(scores, "token").groupBy("pattern").agg(
-        (F.sum("score") / (F.count("*") + 1)).alias("trust"), F.count("seed").alias("seeds"), F.mode("seed", True).alias("kind")
-    )
-    return trust.where((F.col("trust") >= confidence) & (F.col("seeds") >= least_seeds)).select("pattern", "kind")
+    told = weighed(scores).where((F.col("trust") >= confidence) & (F.col("seeds") >= least_seeds))
+    return told.select("pattern", "kind"), hot_patterns
 
 
 def _listed(spans: Column) -> Column:
@@ -239,14 +296,15 @@ def find_personal_data(
     base = F.array_sort(F.concat(*[_base_spans(text, k) for k in KINDS]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.alias("_text"), base.alias("base"))
     rows = _instances(rows)
+    rows = rows.withColumn("base", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
     exploded = rows.select("row", F.explode("instances").alias("t")).select("row", "t.*")
-    trusted = trusted_patterns(exploded, rounds, confidence, least_seeds)
+    trusted, hot = trusted_patterns(exploded, rounds, confidence, least_seeds)
 
     whole = F.contains("token", F.lit("@")) | (F.length(_digits(F.col("token"))) >= 6)
     unseen = _contexts(exploded.where(F.col("seed").isNull() & whole))
     span = F.struct("start", "kind", "end")
-    found = unseen.join(trusted, "pattern").groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
+    found = join_hot(unseen, materialize(trusted, "trusted"), "pattern", hot).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     found = found.groupBy("row").agg(F.collect_list(span.cast(_SPAN)).alias("found"))
     both = F.array_sort(F.concat("base", F.coalesce("found", F.array().cast(f"array<{_SPAN}>"))))
     return rows.join(found, "row", "left").select("doc_id", *keep, "base", both.alias("spans"))
@@ -261,25 +319,43 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+#: Characters of a text in which its spans are replaced at once.
+PIECE = 1 << 15
+
+
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans become one.
+
+    It is cut into pieces, and every piece sees the spans that reach into it: a span's mark is written where it
+    starts.  So no fold copies more than a piece.
+    """
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.concat(acc["out"], before, F.element_at(names, s["kind"] + 1))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out")
-        )
+    def cleaned(piece: Column, i: Column) -> Column:
+        begin = i * PIECE
+        end = begin + F.length(piece)
+        start = F.struct(begin.cast("int").alias("at"), F.lit("").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            before = F.substring(piece, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            mark = F.when((s["start"] >= acc["at"]) & (s["start"] >= begin), F.element_at(names, s["kind"] + 1)).otherwise("")
+            return F.struct(F.greatest(acc["at"], F.least(s["end"], end)).alias("at"), F.concat(acc["out"], before, mark).alias("out"))
+
+        inside = F.filter(spans, lambda s: (s["start"] < end) & (s["end"] > begin))
+        return F.aggregate(inside, start, step, lambda acc: F.concat(acc["out"], F.substring(piece, acc["at"] - begin + 1, F.length(piece))))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.array_join(F.transform(pieces, cleaned), "")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """All documents and columns, with the personal data in ``text`` replaced and ``n_chars`` (if there) set anew."""
+    """All documents and columns, with the personal data in ``text`` replaced and ``n_chars`` (if there) set anew.
+
+    Null texts stay null, texts without personal data stay as they are; repeated rows are rows of
+    their own.  Extra columns may have any names.  An empty table gives an empty result.
+    """
     names = docs.columns
-    packed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names]))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     found = find_personal_data(packed, keep=("_row",))
     text = F.col("_row.text")
     redacted = F.when(F.size("spans") > 0, redact(text, F.col("spans"))).otherwise(text)
