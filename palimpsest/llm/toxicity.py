@@ -5,9 +5,11 @@ into windows of a few words; a window's distance is how many bytes shorter it ge
 with the toxic dictionary than with the ordinary one.  Thresholds on the
 distances are calibrated on all labelled rows.
 
-Most words of a toxic document are as ordinary as any, and compress alike either
-way.  So windows hold only a text's words that the ordinary training text
-doesn't hold often or the toxic training text holds more often, the toxic dictionary learns from those of them that go with toxic
+Whole windows of raw text don't tell toxic documents: most of their words are as ordinary as
+any, and which of two dictionaries happens to hold a longer piece of an ordinary word outweighs the
+few bytes that a toxic word saves (the README has the figures).  So the windows are made of chosen words: a text's
+words, once each, that the ordinary training text doesn't hold often or the toxic training
+text holds more often.  The toxic dictionary learns from those of them that go with toxic
 documents, and both dictionaries begin with the same ordinary base, which leaves
 the trained parts as their only difference.
 
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold_of, materialize, record_batch, text_blocks
+from .common import fold_of, free_name, materialize, record_batch, text_blocks
 from .quality import calibrate
 
 #: Lengths of word beginnings that count as words when toxic words are sought.
 STEMS = (4, 5, 6)
 LEVEL = 9
+#: The highest distances of a text that make its own: toxic words are few in a text, however long it is.
+HIGHEST = 3
 
 
 def _stems(word: bytes) -> list[bytes]:
@@ -90,7 +94,7 @@ class Detector:
         found = [len(ordinary(w)) - len(toxic(w)) for w in self.windows([w for w in _words(text) if w not in known])]
         if not found:
             return -20.0
-        top = sorted(found)[-3:]
+        top = sorted(found)[-HIGHEST:]
         return top[-1] + sum(top[:-1]) / 8
 
 
@@ -104,9 +108,15 @@ def train_detector(
     least_lift: float = 1.0,
     weight_share: float = 0.03,
     chance: float = 3.0,
+    rare_share: float = 1 / 1500,
+    ordinary_windows: int = 40_000,
+    toxic_windows: int = 20_000,
 ) -> Detector:
     """From a bounded sample with text and y: all that is collected is bounded by the parameters.
 
+    An ordinary word is one that a ``rare_share`` of the sample's ordinary documents hold (three at least), the ``vocabulary`` most
+    frequent ones at most.  A dictionary is trained on at most ``ordinary_windows`` or ``toxic_windows`` windows of
+    its label, by hash; half of the ordinary ones are the common base, of ``base_bytes`` at most.
     A word (or stem) goes with toxic documents by n1 * log(share of toxic / share
     of ordinary documents with it), and counts if it has ``weight_share`` of the greatest such weight.
     An ordinary word is left out of windows unless toxic documents hold it more often by over ``chance`` standard errors.
@@ -114,7 +124,7 @@ def train_detector(
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = materialize(_word_counts(sample), "words")
-    least = max(3, n0 // 1500)
+    least = max(3, int(n0 * rare_share))
     whole = F.substring("word", -1, 1) != F.lit(b"\0")
     # documents with the word beyond what ordinary text's share of it gives: a word that toxic text holds more often, chance aside, stays
     ratio = n1 / max(n0, 1)
@@ -146,11 +156,12 @@ def train_detector(
 
     windows = materialize(sample.select("text", "y").mapInArrow(run, "y int, window binary"), "windows")
     per_label = {}
-    for y, most in ((0, 40_000), (1, 20_000)):
+    for y, most in ((0, ordinary_windows), (1, toxic_windows)):
         picked = windows.where(F.col("y") == y).orderBy(F.xxhash64("window"), "window").limit(most)
         per_label[y] = [bytes(r.window) for r in picked.select("window").collect()]
 
     def trained(samples: list[bytes]) -> bytes:
+        # a trained dictionary begins with its tables and its least valuable content
         try:
             return zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()[-dictionary_bytes * 3 // 4 :]
         except zstandard.ZstdError:  # too few samples: they are the dictionary
@@ -251,11 +262,14 @@ def remove_toxic(
     sample: int = 8_000,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """The documents that ``score_toxicity`` doesn't predict to be toxic, with all their columns; all where a label is missing."""
+    """The documents that ``score_toxicity`` doesn't predict to be toxic, with all their columns.
+
+    All stay where a label is missing.  Null and empty texts have the least distance and stay, unless the calibration finds
+    even that toxic; null ids are judged by their texts, repeated rows alike.  Extra columns may have any
+    names.  An empty table gives an empty result.
+    """
     known = _known(labels, folds, held_out_fold)
-    name = "_distance"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "distance")
     detector = _detector(docs, known, sample)
     if not detector.learned:
         return docs
