@@ -3,65 +3,94 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass over the corpus holds.
-QUERY_BLOCK = 4096
+#: Queries that one pass over the corpus holds, and scores that a task computes at once.
+QUERY_BLOCK, SCORES = 4096, 1 << 22
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """query_id, vec_id, cosine and rank of the k nearest vectors of each query.
+class Best:
+    """The k best ids of each query so far, in running arrays; among equal scores the smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.id = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: a row for each query, a column for each id; -inf counts as none."""
+        score = np.concatenate([self.score, score], axis=1)
+        ids = np.concatenate([self.id, np.broadcast_to(ids, (len(score), len(ids)))], axis=1)
+        place = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k]
+        edge = np.take_along_axis(score, place, 1).min(axis=1)
+        for q in np.flatnonzero(((score >= edge[:, None]).sum(axis=1) > self.k) & (edge > -np.inf)):
+            near = np.flatnonzero(score[q] >= edge[q])
+            place[q] = near[np.lexsort((ids[q, near], -score[q, near]))][: self.k]
+        self.score, self.id = np.take_along_axis(score, place, 1), np.take_along_axis(ids, place, 1)
+
+    def rows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, j = np.nonzero(self.score > -np.inf)
+        return queries[q], self.id[q, j], self.score[q, j]
+
+
+def _blocks(queries: DataFrame, id_: str):
+    """The queries in parts of about QUERY_BLOCK, by hash."""
+    passes = max(1, -(-queries.count() // QUERY_BLOCK))
+    for turn in range(passes):
+        yield queries if passes == 1 else queries.where(F.pmod(F.xxhash64(id_), F.lit(passes)) == turn)
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None, group: str | None = None) -> DataFrame:
+    """query_id, vec_id, cosine and rank of the k nearest vectors of each query, or with a ``group`` column of the k nearest in each group.
 
     ``queries`` (query_id, embedding) is the bounded side: it is broadcast in blocks of
     QUERY_BLOCK vectors, one pass over the corpus each.  Every task multiplies
-    matrices, keeps its own k best for each query, and only those are shuffled.
+    matrices and keeps its own k best for each query and group, and only those are shuffled.
     Ties go to the smaller vec_id.  Null, empty, zero or unequal vectors have cosine 0.
     """
     spark = corpus.sparkSession
-    total = queries.count()
-    passes = max(1, -(-total // QUERY_BLOCK))
     found = None
-    for turn in range(passes):
-        block = queries.select("query_id", "embedding")
-        if passes > 1:
-            block = block.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == turn)
+    named = F.col(group).cast("string") if group else F.lit("")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64()), ("grp", pa.string())])
+    for block in _blocks(queries.select("query_id", "embedding"), "query_id"):
         rows = block.collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [list(map(float, r[1] or [])) for r in rows]))
+        width = max((len(r[1] or []) for r in rows), default=0)
+        vectors = np.array([r[1] if len(r[1] or []) == width else [0.0] * width for r in rows], np.float64).reshape(len(rows), width)
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), vectors))
 
         def nearest(batches, sent=sent):
-            ids, vectors = sent.value
-            width = max(map(len, vectors), default=0)
-            usable = np.array([len(v) == width for v in vectors], bool)
-            q = np.array([v if len(v) == width else [0.0] * width for v in vectors], np.float64).reshape(len(vectors), width)
-            norms = np.linalg.norm(q, axis=1)
-            best: list[pd.DataFrame] = []
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                fits = pdf.embedding.map(lambda v: v is not None and len(v) == width).to_numpy()
-                x = np.zeros((len(pdf), width))
-                if fits.any():
-                    x[fits] = np.vstack(pdf.embedding[fits].to_numpy())
-                scale = np.linalg.norm(x, axis=1)[:, None] * norms[None]
-                cosine = np.where((scale > 0) & usable[None], (x @ q.T) / np.where(scale > 0, scale, 1), 0.0)
-                vec = pdf.vec_id.to_numpy()
-                for j in range(len(ids)):
-                    column = cosine[:, j]
-                    top = np.lexsort((vec, -column))[:k] if len(column) <= 4 * k else None
-                    if top is None:
-                        edge = np.partition(-column, k - 1)[k - 1]
-                        near = np.flatnonzero(-column <= edge)
-                        top = near[np.lexsort((vec[near], -column[near]))][:k]
-                    best.append(pd.DataFrame({"query_id": ids[j], "vec_id": vec[top], "cosine": column[top]}))
-            if best:
-                yield pd.concat(best)
-
-        part = corpus.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, cosine double")
+            ids, q = sent.value
+            width, norms = q.shape[1], np.linalg.norm(q, axis=1)
+            best: dict[str, Best] = {}
+            step = max(1, SCORES // max(1, len(ids)))
+            for whole in batches:
+                for a in range(0, whole.num_rows, step) if len(ids) else ():
+                    batch = whole.slice(a, step)
+                    column = batch.column("embedding")
+                    fits = np.asarray(pc.equal(pc.fill_null(pc.list_value_length(column), -1), width))
+                    x = np.zeros((batch.num_rows, width))
+                    if width and fits.any():
+                        x[fits] = np.asarray(pc.fill_null(column.filter(pa.array(fits)).flatten(), 0.0), np.float64).reshape(-1, width)
+                    scale = norms[:, None] * np.linalg.norm(x, axis=1)[None]
+                    cosine = np.where(scale > 0, (q @ x.T) / np.where(scale > 0, scale, 1), 0.0)
+                    vec, names = np.asarray(batch.column("vec_id")), np.array(batch.column("grp").to_pylist(), object)
+                    for name in set(names.tolist()):
+                        own = names == name
+                        best.setdefault(name, Best(len(ids), k)).add(cosine[:, own], vec[own])
+            for name, b in best.items():
+                query, vec, cosine = b.rows(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(cosine), pa.array([name] * len(query), pa.string())], schema=schema)
+
+        part = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", named.alias("grp"))
+        part = part.mapInArrow(nearest, "query_id long, vec_id long, cosine double, grp string")
         found = part if found is None else found.union(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    by = ["query_id", "grp"] if group else ["query_id"]
+    w = Window.partitionBy(*by).orderBy(F.desc("cosine"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = found.withColumnRenamed("grp", group) if group else found.drop("grp")
     return found.where(F.col("cosine") >= floor) if floor is not None else found
 
 
@@ -82,14 +111,43 @@ def spread(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, hits: distinct words in common, through an inverted index (an equi-join on the word)."""
-    def exploded(rows: DataFrame, id_: str) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-        return rows.select(id_, F.explode(words).alias("word"))
+    """query_id, doc_id, hits and rank of the k documents with most distinct words in common, one at least.
 
-    hits = exploded(queries, "query_id").join(exploded(docs, "doc_id"), "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    The words of a block of queries are broadcast; a task counts each document's hits in its scan and keeps its own k
+    best for each query, so common words move nothing.  Ties go to the smaller doc_id.
+    """
+    spark = docs.sparkSession
+    bag = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
+    found = None
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("hits", pa.int64())])
+    for block in _blocks(queries.select("query_id", "text"), "query_id"):
+        rows = block.select("query_id", bag.alias("words")).collect()
+        places: dict[str, list[int]] = {}
+        for j, row in enumerate(rows):
+            for w in row.words:
+                places.setdefault(w, []).append(j)
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), {w: np.array(p) for w, p in places.items()}))
+
+        def counted(batches, sent=sent):
+            ids, places = sent.value
+            best = Best(len(ids), k)
+            step = max(1, SCORES // max(1, 8 * len(ids)))
+            for whole in batches:
+                for a in range(0, whole.num_rows, step) if len(ids) else ():
+                    batch = whole.slice(a, step)
+                    hits = np.zeros((len(ids), batch.num_rows))
+                    for i, words in enumerate(batch.column("words").to_pylist()):
+                        shared = [places[w] for w in words if w in places]
+                        if shared:
+                            hits[:, i] = np.bincount(np.concatenate(shared), minlength=len(ids))
+                    best.add(np.where(hits > 0, hits, -np.inf), np.asarray(batch.column("doc_id")))
+            query, doc, score = best.rows(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc), pa.array(score.astype(np.int64))], schema=schema)
+
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bag.alias("words")).mapInArrow(counted, "query_id long, doc_id long, hits long")
+        found = part if found is None else found.union(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest_label(ranked: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:

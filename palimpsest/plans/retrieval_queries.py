@@ -15,6 +15,7 @@ from ..operators import logs as L
 from ..operators import ranking as R
 from ..operators import tiering as H
 from ..operators import vectors as V
+from .sql import policy_sql
 from .tables import table
 from .text_queries import AS_OF, NORM, _any
 
@@ -93,7 +94,7 @@ def l15_recent_ids(spark, d):
 
 
 def l16_orphans(spark, d):
-    return L.orphan_sessions(table(spark, d, "conversations").where("turn % 2 = 1 OR conv_id % 3 > 0"), "conv_id")
+    return L.orphan_sessions(table(spark, d, "conversations"), "conv_id")
 
 
 def n20_increasing_times(spark, d):
@@ -143,13 +144,12 @@ def v1_top_k(spark, d):
 
 
 def v2_federated(spark, d):
-    """The best of each kind, then of all."""
-    kinds = table(spark, d, "embeddings").select("vec_id", F.expr(KINDS.format("label")).alias("kind"))
-    c = _neighbours(spark, d, 200).join(kinds, "vec_id")
-    by_kind = Window.partitionBy("query_id", "kind").orderBy(F.desc("cosine"), "vec_id")
+    """Max(4 k, 10) of each kind for k = 8, and of these the best k of all."""
+    e = table(spark, d, "embeddings").withColumn("kind", F.expr(KINDS.format("label")))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    c = V.top_k(queries, e, 32, group="kind")
     every = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    c = c.withColumn("n", F.row_number().over(by_kind)).where("n <= 3").withColumn("place", F.row_number().over(every)).where("place <= 8")
-    return c.select("query_id", "vec_id", "kind", "place")
+    return c.withColumn("place", F.row_number().over(every)).where("place <= 8").select("query_id", "vec_id", "kind", "place")
 
 
 def v5_lexical(spark, d):
@@ -198,7 +198,7 @@ def p4_relational(spark, d):
 
 
 def p5_gate(spark, d):
-    return R.relevance_gate(_candidates(spark, d), "query_id", 0.4, 0.3).select("query_id", "vec_id", "kind")
+    return R.relevance_gate(_candidates(spark, d).withColumn("policy", F.when(F.col("query_id") % 3 == 0, "recent").otherwise("default")), "query_id", F.col("policy"), 0.4, 0.3).select("query_id", "vec_id", "kind")
 
 
 def r1_r4_scores(spark, d):
@@ -215,18 +215,10 @@ def r9_slots(spark, d):
     return s.select("query_id", "vec_id", "kind", "slot")
 
 
-def r10_diversity(spark, d):
-    return R.diversify(_scored(spark, d).select("query_id", "vec_id", "kind", "score"), 6)
-
-
-def r12_assembly(spark, d):
-    """Candidates of each query: gate, floors, scores, then guaranteed slots."""
-    c = R.relevance_gate(_scored(spark, d), "query_id", 0.3, 0.15).where("cosine >= 0.25 OR kind = 'profile'")
-    return R.guaranteed_slots(c, "query_id", [F.desc("score"), "vec_id"], F.lit(6)).select("query_id", "vec_id", "kind", "score", "slot")
-
-
 def r13_confidence(spark, d):
-    c = R.confidence(_scored(spark, d), "query_id")
+    rows = _scored(spark, d).withColumn("score", F.col("score") * 2)
+    rows = rows.withColumn("age", F.expr("CASE query_id div 100 % 3 WHEN 0 THEN age % 8 WHEN 1 THEN age % 31 ELSE age END"))
+    c = R.confidence(rows, "query_id")
     return c.select("query_id", *[F.round(x, 7).alias(x) for x in ("lowest", "mean", "highest")], "confidence")
 
 
@@ -239,7 +231,7 @@ QUERIES = {f.__name__: f for f in (
     l1_latest_version, l3_sessions, l4_retries, l5_history, l7_resolved, l9_current_state, l10_newest_of_category, l15_recent_ids, l16_orphans,
     n20_increasing_times, x4_buffer, x6_exchanges, t1_frequency, t3_t4_tiers, t5_source_bound, t6_transitions, v1_top_k, v2_federated, v5_lexical,
     v8_keywords, v14_budget, v15_nearest_label, v17_spread, p1_policy, p2_policy_limits, p4_relational, p5_gate, r1_r4_scores, r8_dedup, r9_slots,
-    r10_diversity, r12_assembly, r13_confidence, r14_delivery_counts,
+    r13_confidence, r14_delivery_counts,
 )}
 
 _K = "(props->>'$.k')::BIGINT"
@@ -248,20 +240,17 @@ _RETRIED = "(SELECT * FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w
 _STATE = f"(SELECT *, CASE WHEN event_type = 'error' THEN event_id - 7 END AS original_id, value < 5 AS resolved FROM {_LOG})"
 _NEAR = "(SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= {0})"
 _CAND = f"(SELECT query_id, vec_id, cosine, {KINDS.format('label')} AS kind, CASE vec_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier, vec_id * 7 % 1500 AS length, vec_id * 13 % 500 AS age FROM {_NEAR.format(20)} WHERE query_id <> vec_id)"
-_PRIOR = f"""greatest({R.PRIOR_MIN}, least({R.PRIOR_MAX}, CASE vec_id % 4 WHEN 0 THEN {R.KIND_ARMS['experience']} WHEN 1 THEN {R.KIND_ARMS['question']} ELSE 1.0 END::DOUBLE
+_PRIOR = f"""greatest({R.PRIOR_MIN}, least({R.PRIOR_MAX}, CASE vec_id % 4 WHEN 0 THEN {R.KIND_ARMS['experience']!r} WHEN 1 THEN {R.KIND_ARMS['question']} ELSE 1.0 END::DOUBLE
  * CASE WHEN length < 50 THEN {R.SHORT_ARM} WHEN length > 1200 THEN {R.LONG_ARM} ELSE 1.0 END::DOUBLE
  * CASE WHEN age <= 7 THEN {R.RECENCY_ARMS['d7']} WHEN age <= 30 THEN {R.RECENCY_ARMS['d30']} WHEN age <= 90 THEN {R.RECENCY_ARMS['d90']} WHEN age <= 365 THEN {R.RECENCY_ARMS['d365']} ELSE {R.RECENCY_ARMS['older']} END::DOUBLE))"""
 _SCORED = f"(SELECT *, round(cosine * CASE tier WHEN 'hot' THEN 1.0 WHEN 'warm' THEN {R.TIER_FACTORS['warm']} ELSE {R.TIER_FACTORS['cold']} END::DOUBLE * {_PRIOR}, 9) AS score FROM {_CAND})"
 _SLOTS = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (kind <> 'profile')::INT, score DESC, vec_id)::INT AS slot FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind = 'profile' ORDER BY score DESC, vec_id) AS n FROM {0}) WHERE kind = 'profile' OR n <= {1})"
-_GATED = "(SELECT * FROM (SELECT *, coalesce(max(cosine) FILTER (kind NOT IN ('profile', 'ingested')) OVER (PARTITION BY query_id), -1) >= {1} OR coalesce(max(cosine) FILTER (kind = 'ingested') OVER (PARTITION BY query_id), -1) >= {2} AS open FROM {0}) WHERE open OR kind = 'profile')"
+_GATED = "(SELECT * FROM (SELECT *, query_id % 3 <> 0 AND coalesce(max(cosine) FILTER (kind NOT IN ('profile', 'ingested')) OVER (PARTITION BY query_id), 0) < {1} AND coalesce(max(cosine) FILTER (kind = 'ingested') OVER (PARTITION BY query_id), 0) < {2} AS closed FROM {0}) WHERE NOT closed OR kind = 'profile')"
 _FREQ = "(SELECT user_id, sum(pow(2.0, -(last - day) / 30.0)) AS frequency, max(ts) AS last_ts, count(*) AS deliveries FROM (SELECT *, max(day) OVER (PARTITION BY user_id) AS last FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS day FROM (SELECT *, coalesce(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0), 0) AS gap FROM events))) GROUP BY user_id)"
 _DAYS = f"greatest(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_ts)) / 86400000000.0), 0)"
 _RECENT = f"CASE WHEN kind IN ('profile', 'ingested') THEN 1.0 WHEN kind IN ('conversation', 'journal') THEN pow(2.0, -{_DAYS} / 15.0) WHEN kind = 'reflection' THEN pow(2.0, -{_DAYS} / 122.0) ELSE pow(2.0, -{_DAYS} / 52.0) END"
 _HEAT = f"(SELECT *, CASE WHEN kind = 'profile' OR heat >= 0.5 THEN 'hot' WHEN heat >= 0.2 THEN 'warm' ELSE 'cold' END AS tier FROM (SELECT *, r * 0.625 + least(frequency * r / 10.0, 1.0) * 0.375 AS heat FROM (SELECT *, {_RECENT} AS r FROM (SELECT *, {KINDS.format('(user_id % 10)')} AS kind FROM {_FREQ}))))"
-_Q = "lower(text)"
-_POLICY = f"""CASE WHEN {_any(_Q, R.TASK_MARKERS)} THEN 'task_status' WHEN {_any(_Q, R.STATE_MARKERS)} THEN 'status_state' WHEN {_any(_Q, R.REFLECTIVE_MARKERS)} THEN 'reflective'
- WHEN {_any(_Q, R.RECALL_MARKERS)} THEN 'factual_recall' WHEN {_any(_Q, R.RECENT_MARKERS)} AND {_any(_Q, R.ACTIVITY_MARKERS)} THEN 'recent_activity' WHEN {_any(_Q, R.RECENT_MARKERS)} THEN 'recent'
- WHEN {_any(_Q, R.ACTIVITY_MARKERS)} THEN 'activity' ELSE 'default' END"""
+_POLICY = policy_sql("text")
 _TERMS = r"list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]{3,}')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "], w))"
 _BAG = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))"
 
@@ -274,7 +263,7 @@ ORACLES = {
     "l9_current_state": f"WITH s AS (SELECT * FROM {_STATE} WHERE ts <= TIMESTAMP '2024-01-20'), gone AS (SELECT event_id AS id FROM s WHERE resolved UNION SELECT original_id FROM s WHERE original_id IS NOT NULL) SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM s WHERE event_id NOT IN (SELECT id FROM gone) AND (event_type = 'signup' OR epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts) <= 604800000000)) WHERE n <= CASE WHEN event_type IN ('click', 'view') THEN 5 ELSE 1 END",
     "l10_newest_of_category": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1",
     "l15_recent_ids": "SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id DESC) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5 GROUP BY user_id",
-    "l16_orphans": "SELECT conv_id, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns FROM conversations WHERE turn % 2 = 1 OR conv_id % 3 > 0 GROUP BY conv_id HAVING count(*) FILTER (role = 'user') = 0",
+    "l16_orphans": "SELECT conv_id, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') = 0",
     "n20_increasing_times": "SELECT event_id, i + max(m - i) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stamped FROM (SELECT event_id, event_type, epoch_us(ts) // 3600000000 AS m, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events)",
     "x4_buffer": r"SELECT conv_id, turn, tokens, running::BIGINT AS running FROM (SELECT *, sum(tokens) OVER w AS running, row_number() OVER w AS n FROM (SELECT conv_id, turn, (len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) * 13 // 10)::BIGINT AS tokens FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE running <= 1500 AND n <= 20",
     "x6_exchanges": "SELECT conv_id, turn, CASE WHEN r2 = 'assistant' THEN n2 END AS reply FROM (SELECT *, lead(role) OVER w AS r2, lead(turn) OVER w AS n2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'",
@@ -283,7 +272,7 @@ ORACLES = {
     "t5_source_bound": f"WITH t AS (SELECT user_id AS id, kind, tier, CASE tier WHEN 'hot' THEN 2 WHEN 'warm' THEN 1 ELSE 0 END AS r FROM {_HEAT}), b AS (SELECT e.id, coalesce(max(s.r), 0) AS r FROM (SELECT id, unnest([id + 1, id * 2 + 1]) AS source FROM t WHERE kind = 'reflection') e LEFT JOIN t s ON s.id = e.source GROUP BY e.id) SELECT t.id, ['cold', 'warm', 'hot'][least(t.r, coalesce(b.r, 2)) + 1] AS tier FROM t LEFT JOIN b ON b.id = t.id",
     "t6_transitions": f"SELECT CASE user_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS old, tier AS new, count(*) AS n FROM {_HEAT} GROUP BY ALL",
     "v1_top_k": f"SELECT query_id, vec_id, round(cosine, 8) AS cosine, rank::INT AS rank FROM {_NEAR.format(20)}",
-    "v2_federated": f"SELECT query_id, vec_id, kind, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY cosine DESC, vec_id) AS n FROM (SELECT *, {KINDS.format('label')} AS kind FROM {_NEAR.format(200)})) WHERE n <= 3) WHERE place <= 8",
+    "v2_federated": f"SELECT query_id, vec_id, kind, place::INT AS place FROM (SELECT query_id, vec_id, {KINDS.format('label')} AS kind, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM {_NEAR.format(8)})",
     "v8_keywords": f"SELECT query_id, doc_id, hits, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS hits FROM (SELECT item_id AS query_id, unnest({_BAG}) AS w FROM benchmark) JOIN (SELECT doc_id, unnest({_BAG}) AS w FROM documents) USING (w) GROUP BY 1, 2)) WHERE rank <= 5",
     "v14_budget": f"SELECT query_id, vec_id, tokens FROM (SELECT *, max((running > 100)::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS stop FROM (SELECT *, sum(vec_id % 60) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running, vec_id % 60 AS tokens FROM {_NEAR.format(10)} WHERE rank <= 5)) WHERE stop = 0",
     "v15_nearest_label": f"SELECT query_id, CASE WHEN cosine >= 0.65 THEN label END AS label, round(cosine, 8) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM {_NEAR.format(2)} WHERE query_id <> vec_id) WHERE n = 1",
@@ -293,10 +282,9 @@ ORACLES = {
     "p4_relational": r"SELECT conv_id, turn, regexp_matches(lower('my ' || text), '(?:^|[^\p{L}\p{N}_])my\s+(?:" + "|".join(R.KIN + R.DOMAINS) + r")(?:$|[^\p{L}\p{N}_])') AS relational FROM conversations",
     "p5_gate": f"SELECT query_id, vec_id, kind FROM {_GATED.format(_CAND, 0.4, 0.3)}",
     "r1_r4_scores": f"SELECT query_id, vec_id, score FROM {_SCORED}",
-    "r8_dedup": f"SELECT query_id, doc_id FROM (SELECT doc_id % 5 AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 5, {NORM} ORDER BY doc_id) AS n FROM documents WHERE {NORM} <> '') WHERE n = 1",
+    "r8_dedup": f"SELECT query_id, doc_id FROM (SELECT doc_id % 5 AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 5, {NORM} ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
     "r9_slots": f"SELECT query_id, vec_id, kind, slot FROM {_SLOTS.format(_SCORED, 4)}",
-    "r12_assembly": f"SELECT query_id, vec_id, kind, score, slot FROM {_SLOTS.format('(SELECT * FROM ' + _GATED.format(_SCORED, 0.3, 0.15) + " WHERE cosine >= 0.25 OR kind = 'profile')", 6)}",
-    "r13_confidence": f"SELECT query_id, round(min(score), 7) AS lowest, round(avg(score), 7) AS mean, round(max(score), 7) AS highest, CASE WHEN max(score) >= 0.6 AND avg(score) >= 0.45 THEN 'high' WHEN max(score) >= 0.4 THEN 'moderate' ELSE 'low' END AS confidence FROM {_SCORED} GROUP BY query_id",
+    "r13_confidence": f"SELECT query_id, round(min(score), 7) AS lowest, round(avg(score), 7) AS mean, round(max(score), 7) AS highest, CASE WHEN avg(score) >= 0.6 AND max(age) BETWEEN 1 AND 7 THEN 'high' WHEN avg(score) >= 0.4 OR max(age) BETWEEN 1 AND 30 THEN 'moderate' ELSE 'low' END AS confidence FROM (SELECT *, CASE query_id // 100 % 3 WHEN 0 THEN age % 8 WHEN 1 THEN age % 31 ELSE age END AS age FROM (SELECT * EXCLUDE (score), score * 2 AS score FROM {_SCORED}))  GROUP BY query_id",
     "r14_delivery_counts": f"SELECT kind, count(*) AS delivered, count(DISTINCT query_id) AS queries FROM {_SLOTS.format(_SCORED, 4)} GROUP BY kind",
 }
 ORACLES["v5_lexical"] = f"SELECT item_id, doc_id, round(CASE WHEN contains(c, q) THEN 0.1 ELSE 0.0 END + least(len(list_filter(terms, lambda t: contains(c, t))) * 0.03::DOUBLE, 0.18), 9) AS bonus FROM ({ORACLES['v8_keywords']}) v JOIN (SELECT item_id, {NORM} AS q, {_TERMS} AS terms FROM benchmark) b ON b.item_id = v.query_id JOIN (SELECT doc_id, {NORM} AS c FROM documents) USING (doc_id)"
