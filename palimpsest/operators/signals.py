@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,38 +28,78 @@ def reflection_score(normalized: Column, role: Column, kind: Column, experience:
 def novel_selection(rows: DataFrame, group: str, most: int = 8, alike: float = 0.3, pool: int = 400) -> DataFrame:
     """Up to ``most`` rows of each group by descending score, none more alike than ``alike`` to one before.
 
-    rows: group, id, score, words (an array).  A group's best ``pool`` rows are tried first; groups
-    for which they don't give ``most`` rows, and have more, are tried whole in slices of the score order.
+    rows: group, id, score, words (an array).  In rounds: every task cuts a group to its ``pool`` best rows, they meet, and picks are taken from
+    the best ``pool`` of all.  A group that has fewer than ``most`` picks and more rows goes into the next round without the rows up to the
+    last one seen and those too alike to a pick, so no task holds more than some pools of a group.
     """
-    w = Window.partitionBy(group).orderBy(F.desc("score"), "id")
-    ranked = rows.withColumn("_n", F.row_number().over(w))
+    kind = dict(rows.dtypes)[group]
+    out_schema = f"{group} {kind}, id long, score double, place int, words array<string>, last_score double, last_id long, seen int"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for pdf in batches:
+            best = pdf if best is None else pd.concat([best, pdf])
+            if len(best) > 4 * pool:
+                best = best.sort_values(["score", "id"], ascending=[False, True]).groupby(group, sort=False, dropna=False).head(pool)
+        if best is not None:
+            yield best.sort_values(["score", "id"], ascending=[False, True]).groupby(group, sort=False, dropna=False).head(pool)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in pdf.sort_values("_n").itertuples():
+        held = [set(w) for w in pdf["held"].iloc[0]] if pdf["held"].iloc[0] is not None else []
+        before = len(held)
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).head(pool)
+        out = []
+        for row in pdf.itertuples():
             words = set(row.words)
-            if all(len(words & s) <= alike * len(words | s) for _, s in kept if words and s):
-                kept.append((row, words))
-                if len(kept) == most:
-                    break
-        out = [(getattr(r, group), r.id, r.score, k) for k, (r, _) in enumerate(kept, 1)]
-        return pd.DataFrame(out, columns=[group, "id", "score", "place"])
-
-    kind = dict(rows.dtypes)[group]
-    schema = f"{group} {kind}, id long, score double, place int"
-    first = ranked.where(F.col("_n") <= pool).groupBy(group).applyInPandas(pick, schema)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    short = first.groupBy(group).agg(F.count("*").alias("_got")).join(sizes, group).where((F.col("_got") < most) & (F.col("_size") > pool)).select(group)
-    again = ranked.join(short, group).groupBy(group).applyInPandas(pick, schema)
-    return first.join(short, group, "left_anti").unionByName(again)
-
-
-def transcripts(turns: DataFrame, session: str, order: str, least: int = 3, limit: int = 8000) -> DataFrame:
-    """Numbered transcript of each session with ``least`` user turns, cut at ``limit`` characters."""
-    lines = F.array_sort(F.collect_list(F.struct(order, "role", "text")))
-    rows = turns.groupBy(session).agg(lines.alias("l"), F.sum((F.col("role") == "user").cast("int")).alias("exchanges"))
-    text = F.array_join(F.transform("l", lambda x, i: F.concat(F.lit("Turn "), (i + 1).cast("string"), F.lit(" "), x["role"], F.lit(": "), x["text"])), "\n")
-    return rows.where(F.col("exchanges") >= least).select(session, "exchanges", F.substring(text, 1, limit).alias("transcript"))
+            if len(held) < most and all(len(words & s) <= alike * len(words | s) for s in held if words and s):
+                held.append(words)
+                out.append((getattr(row, group), row.id, row.score, len(held), list(row.words), None, None, None))
+        last = pdf.iloc[-1]
+        out.append((last[group], None, None, before + len(out), None, last["score"], last["id"], len(pdf)))
+        return pd.DataFrame(out, columns=[group, "id", "score", "place", "words", "last_score", "last_id", "seen"])
+
+    left = rows.select(group, "id", F.col("score").cast("double").alias("score"), "words").withColumn("held", F.lit(None).cast("array<array<string>>"))
+    found: DataFrame | None = None
+    while True:
+        round_ = left.mapInPandas(cut, left.schema).groupBy(group).applyInPandas(pick, out_schema).persist()
+        picks = round_.where("id IS NOT NULL").select(group, "id", "score", "place", "words")
+        found = picks if found is None else found.unionByName(picks)
+        open_ = round_.where((F.col("id").isNull()) & (F.col("place") < most) & (F.col("seen") >= pool)).select(group, "last_score", "last_id")
+        if open_.isEmpty():
+            return found.select(group, "id", "score", "place")
+        held = found.groupBy(group).agg(F.collect_list("words").alias("held"))
+        left = rows.select(group, "id", F.col("score").cast("double").alias("score"), "words").join(F.broadcast(open_.join(held, group, "left")), group)
+        shared = F.exists("held", lambda h: jaccard(h, F.col("words")) > alike)
+        later = (F.col("score") < F.col("last_score")) | ((F.col("score") == F.col("last_score")) & (F.col("id") > F.col("last_id")))
+        left = left.where(later & ~F.coalesce(shared, F.lit(False))).drop("last_score", "last_id")
+
+
+def transcripts(turns: DataFrame, session: str, order: str, least: int = 3, limit: int = 8000, assistant: str = "Assistant") -> DataFrame:
+    """Numbered transcript of each session with ``least`` exchanges (a user's turn and the reply that follows it), cut and marked at
+    ``limit`` characters, and the turns in it (``source_ids``)."""
+    w = Window.partitionBy(session).orderBy(order)
+    replied = F.lead("role").over(w) == "assistant"
+    rows = turns.withColumn("_reply", F.when(replied, F.lead("text").over(w))).withColumn("_next", F.when(replied, F.lead(order).over(w)))
+    rows = rows.where("role = 'user'").groupBy(session).agg(F.array_sort(F.collect_list(F.struct(order, "text", "_reply", "_next"))).alias("l"))
+
+    def exchange(x, i):
+        reply = F.coalesce(x["_reply"], F.lit(""))
+        return F.concat(F.lit("Turn "), (i + 1).cast("string"), F.lit(":\nUser: "), x["text"], F.lit(f"\n{assistant}: "), reply, F.lit("\n\n"))
+
+    text = F.array_join(F.transform("l", exchange), "")
+    cut = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n[... truncated]"))).otherwise(text)
+    ids = F.flatten(F.transform("l", lambda x: F.filter(F.array(x[order], x["_next"]), lambda i: i.isNotNull())))
+    rows = rows.where(F.size("l") >= least)
+    return rows.select(session, F.size("l").cast("long").alias("exchanges"), cut.alias("transcript"), ids.alias("source_ids"))
+
+
+def evidence_window(rows: DataFrame, key: str, as_of: Column, days: int = 30, least: int = 3) -> DataFrame:
+    """Keys with ``least`` records in the last ``days``: how many, their ids by time, and the hottest of their tiers, which bounds what is derived from them."""
+    age = F.unix_micros(as_of) - F.unix_micros("ts")
+    recent = rows.where((age >= 0) & (age <= days * 86_400_000_000))
+    rank = F.array_position(F.array(F.lit("cold"), F.lit("warm"), F.lit("hot")), F.col("tier"))
+    out = recent.groupBy(key).agg(F.count("*").alias("records"), F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("l"), F.max_by("tier", rank).alias("tier"))
+    return out.where(F.col("records") >= least).select(key, "records", "tier", F.transform("l", lambda x: x["event_id"]).alias("ids"))
 
 
 def near_repeats(turns: DataFrame, session: str, order: str, least: float = 0.85) -> DataFrame:
