@@ -69,7 +69,91 @@ def drift(series: DataFrame, key: str, order: str, value: str, window: int) -> D
 
 
 def baseline_gate(metrics: DataFrame, baseline: DataFrame, drop: float = 0.05) -> DataFrame:
-    """metric, value, base and verdict: ``fail`` for a fall of more than ``drop``, ``new`` without a baseline."""
-    rows = metrics.join(baseline.withColumnRenamed("value", "base"), "metric", "left")
-    verdict = F.when(F.col("base").isNull(), "new").when(F.col("base") - F.col("value") > drop, "fail").otherwise("pass")
+    """metric, value, base and verdict of every metric of the run or the baseline: ``fail`` for a fall of more than ``drop``, ``new`` without
+    a baseline, ``not_measured`` without a value; ``calibration`` for all where there is no baseline at all.  Names that begin with _ are left out."""
+    named = ~F.startswith("metric", F.lit("_"))
+    first = baseline.where(named).isEmpty()
+    rows = metrics.where(named).join(baseline.where(named).withColumnRenamed("value", "base"), "metric", "full_outer")
+    fell = F.when(F.col("base") - F.col("value") > drop, "fail").otherwise("pass")
+    verdict = F.lit("calibration") if first else F.when(F.col("base").isNull(), "new").when(F.col("value").isNull(), "not_measured").otherwise(fell)
     return rows.withColumn("verdict", verdict)
+
+
+# The arms and the terms that each switches off.
+ARMS = {
+    "full": (), "typing_scores_off": ("typed", "weight"), "typing_off": ("typed", "weight", "eligible"), "tiers_off": ("tier",), "prior_off": ("prior",),
+    "role_off": ("assistant",), "lexical_off": ("lexical",), "typing_and_tiers_off": ("typed", "weight", "tier"),
+    "naive_cosine": ("typed", "lexical", "weight", "tier", "prior", "assistant", "eligible"),
+    "naive_lexical": ("typed", "weight", "tier", "prior", "assistant", "eligible"),
+}
+
+
+def ablate(parts: DataFrame) -> DataFrame:
+    """The candidates (query_id, id, kind and the terms of their score) under each arm: arm, score and rank.
+
+    A score is (cosine + lexical + typed) * weight * tier * prior; rows of assistants and ineligible ones go, unless the arm
+    switches that off.
+    """
+    terms = ("lexical", "typed", "weight", "tier", "prior", "assistant", "eligible")
+    arms = [F.struct(F.lit(a).alias("arm"), *[F.lit(t not in off).alias(f"use_{t}") for t in terms]) for a, off in ARMS.items()]
+    rows = parts.withColumn("_a", F.explode(F.array(*arms))).select("*", "_a.*")
+    rows = rows.where((~F.col("use_assistant") | ~F.col("assistant")) & (~F.col("use_eligible") | F.col("eligible")))
+    added = F.col("cosine") + sum(F.when(F.col(f"use_{t}"), F.col(t)).otherwise(0.0) for t in ("lexical", "typed"))
+    for t in ("weight", "tier", "prior"):
+        added = added * F.when(F.col(f"use_{t}"), F.col(t)).otherwise(1.0)
+    rows = rows.select("arm", "query_id", "id", "kind", F.round(added, 9).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("arm", "query_id").orderBy(F.desc("score"), "id")))
+
+
+def arm_summary(ranked: DataFrame, grades: DataFrame, reference: str, k: int) -> DataFrame:
+    """Per arm: mean nDCG at k over queries that have one, mean Jaccard with the reference arm's sets, and how many queries' sets differ."""
+    got = ranked.where(F.col("rank") <= k)
+    dcg = got.join(grades, ["query_id", "id"], "left").groupBy("arm", "query_id").agg(_dcg(F.coalesce("grade", F.lit(0)), F.col("rank")).alias("dcg"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
+    ideal = grades.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("query_id").agg(_dcg(F.col("grade"), F.col("_r")).alias("ideal"))
+    scored = dcg.join(ideal, "query_id", "left").select("arm", "query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).alias("ndcg"))
+    base = got.where(F.col("arm") == reference).select("query_id", "id", F.lit(1).alias("_b"))
+    sizes = base.groupBy("query_id").agg(F.count("*").alias("_n"))
+    both = got.join(base, ["query_id", "id"], "left").groupBy("arm", "query_id").agg(F.count("_b").alias("_i"), F.count("*").alias("_m")).join(sizes, "query_id", "left")
+    union = F.col("_m") + F.coalesce("_n", F.lit(0)) - F.col("_i")
+    both = both.select("arm", "query_id", (F.col("_i") / union).alias("jaccard"))
+    rows = both.join(scored, ["arm", "query_id"], "left")
+    return rows.groupBy("arm").agg(F.avg("ndcg").alias("ndcg"), F.avg("jaccard").alias("jaccard"), F.count_if(F.col("jaccard") < 1).alias("changed"))
+
+
+def abstention(ranked: DataFrame, grades: DataFrame, abstain: DataFrame, k: int) -> DataFrame:
+    """Of the queries that should get nothing: whether none of their first k rows has a grade above 0."""
+    got = ranked.where(F.col("rank") <= k).join(grades, ["query_id", "id"], "left")
+    bad = got.groupBy("query_id").agg(F.max(F.coalesce("grade", F.lit(0))).alias("_g"))
+    return abstain.join(bad, "query_id", "left").select("query_id", (F.coalesce("_g", F.lit(0)) == 0).alias("correct"))
+
+
+def leakage(ranked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Distractors (id, distractor) of each class among the queries' first k rows."""
+    return ranked.where(F.col("rank") <= k).join(classes, "id").groupBy("distractor").agg(F.count("*").alias("leaked"), F.countDistinct("query_id").alias("queries"))
+
+
+def lever_attribution(ranked: DataFrame, grades: DataFrame, reference: str, bait: Column) -> DataFrame:
+    """query_id, bait, lever and swing: the arm that separates a bait most from a relevant row (grade 2 or more) it outranks.
+
+    A swing is how much further the bait than the row falls when the lever is off; equal swings go to the first arm by name.
+    """
+    scores = ranked.select("arm", "query_id", "id", "score")
+    full = ranked.where(F.col("arm") == reference)
+    baits = full.where(bait).select("query_id", F.col("id").alias("bait"), F.col("score").alias("bait_score"))
+    good = full.join(grades.where("grade >= 2"), ["query_id", "id"]).select("query_id", F.col("id").alias("victim"), F.col("score").alias("victim_score"))
+    pairs = baits.join(good, "query_id").where("bait <> victim AND bait_score > victim_score")
+    off = scores.where(F.col("arm") != reference)
+    pairs = pairs.join(off.select("query_id", "arm", F.col("id").alias("bait"), F.col("score").alias("bait_off")), ["query_id", "bait"])
+    pairs = pairs.join(off.select("query_id", "arm", F.col("id").alias("victim"), F.col("score").alias("victim_off")), ["query_id", "arm", "victim"])
+    swing = F.round((F.col("bait_score") - F.col("bait_off")) - (F.col("victim_score") - F.col("victim_off")), 9)
+    best = pairs.groupBy("query_id", "bait", "arm").agg(F.max(swing).alias("swing"))
+    w = Window.partitionBy("query_id", "bait").orderBy(F.desc("swing"), "arm")
+    return best.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "bait", F.col("arm").alias("lever"), "swing")
+
+
+def integrity(cases: DataFrame, delivered: DataFrame) -> DataFrame:
+    """Cases (query_id, id, expect) with whether the tagged record is there, and PASS where that is as expected."""
+    got = delivered.select("query_id", "id", F.lit(True).alias("present"))
+    rows = cases.join(got, ["query_id", "id"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    return rows.withColumn("verdict", F.when(F.col("present") == (F.col("expect") == "surface"), "PASS").otherwise("FAIL"))

@@ -43,6 +43,23 @@ def heat(recent: Column, frequency: Column) -> Column:
     return recent * 0.625 + F.least(frequency * recent / CEILING, F.lit(1.0)) * 0.375
 
 
+# Importance of kinds in the old model of heat.
+OLD_IMPORTANCE = {"profile": 1.0, "state": 0.9, "reflection": 0.7, "journal": 0.6, "conversation": 0.4, "ingested": 0.3}
+
+
+def old_heat(recent: Column, deliveries: Column, kind: Column) -> Column:
+    """The old model: recency, the raw count of deliveries, and the importance of the kind."""
+    importance = F.when(F.lit(False), 0.0)
+    for name, value in OLD_IMPORTANCE.items():
+        importance = importance.when(kind == name, value)
+    return recent * 0.5 + F.least(deliveries / CEILING, F.lit(1.0)) * 0.3 + importance.otherwise(0.5) * 0.2
+
+
+def settled_heat(heat_: Column, kind: Column) -> Column:
+    """Profile and state records are hot at least."""
+    return F.when(kind.isin("profile", "state"), F.greatest(heat_, F.lit(HOT))).otherwise(heat_)
+
+
 def tier(heat_: Column, kind: Column) -> Column:
     return F.when(kind.isin("profile", "state") | (heat_ >= HOT), "hot").when(heat_ >= WARM, "warm").otherwise("cold")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from ..operators import signals as G
 from ..sources import ingest as S
 from ..streaming import streams as X
 from . import sensitivity as M
-from .checkpoints import checkpoint_folder
+from .checkpoints import shared_folder
 from .retrieval_queries import _NEAR, _SCORED, _neighbours, _scored
 from .retrieval_queries import ORACLES as RETRIEVAL_ORACLES
 from .tables import table
@@ -70,8 +68,8 @@ def e12_drift(spark, d):
 
 def e13_gate(spark, d):
     e = table(spark, d, "events")
-    now = e.where("user_id % 2 = 0").groupBy(F.col("event_type").alias("metric")).agg((F.avg("value") / 100).alias("value"))
-    base = e.groupBy(F.col("event_type").alias("metric")).agg((F.avg("value") / 90).alias("value")).where("metric <> 'error'")
+    now = e.where("ts >= '2024-01-16' AND event_type <> 'view'").groupBy(F.col("event_type").alias("metric")).agg((F.avg("value") / 100).alias("value"))
+    base = e.where("ts < '2024-01-16' AND event_type <> 'error'").groupBy(F.col("event_type").alias("metric")).agg((F.avg("value") / 90).alias("value"))
     return E.baseline_gate(now, base).select("metric", F.round("value", 8).alias("value"), F.round("base", 8).alias("base"), "verdict")
 
 
@@ -120,7 +118,7 @@ def a10_site_states(spark, d):
     return A.site_states(_counters(spark, d), declared)
 
 
-def a12_grouping_sets(spark, d):
+def documents_by_lang_and_source(spark, d):
     return A.grouped_counts(table(spark, d, "documents"), ["lang", "source"])
 
 
@@ -183,17 +181,16 @@ def m7_morris(spark, d):
     return out.select("parameter", *[F.round(c, 6).alias(c) for c in ("mu", "mu_star", "sigma")])
 
 
-def _streamed(spark, d, build, mode):
+def _streamed(spark, d, build, mode, *keys):
     # a pattern, as the source takes a single file only so
     events = X.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet"))
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return X.run_available(build(events), f"s_{uuid.uuid4().hex}", mode, checkpoint_folder(spark))
+    return X.run_available(build(events), mode, shared_folder(spark), *keys)
 
 
 def x1_delivery_frequency(spark, d):
-    rows = _streamed(spark, d, X.delivery_frequency, "update")
-    last = rows.groupBy("user_id").agg(F.max_by(F.struct("frequency", "deliveries"), "deliveries").alias("r"))
-    return last.select("user_id", F.round("r.frequency", 8).alias("frequency"), "r.deliveries")
+    rows = _streamed(spark, d, X.delivery_frequency, "update", ["user_id"], "deliveries")
+    return rows.select("user_id", F.round("frequency", 8).alias("frequency"), "deliveries")
 
 
 def x3_windows(spark, d):
@@ -203,7 +200,7 @@ def x3_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     e1_ndcg, e2_contamination, e3_tie_bands, e4_selection_jaccard, e5_pairwise_jaccard, e6_displacement, e12_drift, e13_gate, a1_inventory, a2_missing,
-    a4_duplicates, a5_junk, a6_verdict, a7_growth, a9_counters, a10_site_states, a12_grouping_sets, f1_reflection_score, f3_novel,
+    a4_duplicates, a5_junk, a6_verdict, a7_growth, a9_counters, a10_site_states, documents_by_lang_and_source, f1_reflection_score, f3_novel,
     f7_patterns, f17_near_repeats, f18_urls, m9_m10_sobol, m7_morris, x1_delivery_frequency, x3_windows,
 )}
 
@@ -224,7 +221,7 @@ ORACLES = {
     "e5_pairwise_jaccard": f"WITH a AS {_PLAIN}, n AS (SELECT query_id, count(*) AS n FROM a GROUP BY 1), m AS (SELECT x.query_id AS p, y.query_id AS q, count(*) AS i FROM a x JOIN a y USING (id) WHERE x.query_id < y.query_id GROUP BY 1, 2) SELECT round((SELECT coalesce(sum(i / (u.n + v.n - i)), 0) FROM m JOIN n u ON u.query_id = p JOIN n v ON v.query_id = q) / (SELECT count(*) * (count(*) - 1) / 2 FROM n), 9) AS mean_jaccard, (SELECT count(*) FROM m) AS sharing",
     "e6_displacement": f"SELECT query_id, round(avg(abs(a.rank - b.rank)), 9) AS displacement, count(*) AS common FROM {_PLAIN} a JOIN {_FULL} b USING (query_id, id) GROUP BY query_id",
     "e12_drift": "SELECT event_type, round(avg(value) FILTER (d <= 10) - avg(value) FILTER (u <= 10), 6) AS change, round(regr_slope(value, u), 8) AS slope FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS u, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS d FROM events) GROUP BY event_type",
-    "e13_gate": "SELECT metric, round(n.value, 8) AS value, round(b.value, 8) AS base, CASE WHEN b.value IS NULL THEN 'new' WHEN b.value - n.value > 0.05 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT event_type AS metric, avg(value) / 100 AS value FROM events WHERE user_id % 2 = 0 GROUP BY 1) n LEFT JOIN (SELECT event_type AS metric, avg(value) / 90 AS value FROM events WHERE event_type <> 'error' GROUP BY 1) b USING (metric)",
+    "e13_gate": "SELECT metric, round(n.value, 8) AS value, round(b.value, 8) AS base, CASE WHEN b.value IS NULL THEN 'new' WHEN n.value IS NULL THEN 'not_measured' WHEN b.value - n.value > 0.05 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT event_type AS metric, avg(value) / 100 AS value FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> 'view' GROUP BY 1) n FULL JOIN (SELECT event_type AS metric, avg(value) / 90 AS value FROM events WHERE event_type <> 'error' AND ts < TIMESTAMP '2024-01-16' GROUP BY 1) b USING (metric)",
     "a1_inventory": "SELECT coalesce(source, 'total') AS source, count(*) AS records, sum(strlen(text))::BIGINT AS bytes, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY ROLLUP (source)",
     "a2_missing": "SELECT source, field, count(*) AS n FROM (SELECT source, unnest(['text', 'lang', 'quality', 'toxic']) AS field, unnest([text IS NULL OR text = '', lang IS NULL OR lang = '', quality IS NULL, toxic IS NULL]) AS gone FROM documents LEFT JOIN labels USING (doc_id)) WHERE gone GROUP BY 1, 2",
     "a4_duplicates": f"SELECT lang, md5({NORM}) AS key, min(doc_id) AS first_id, count(*) - 1 AS surplus FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
@@ -233,7 +230,7 @@ ORACLES = {
     "a7_growth": "SELECT day::VARCHAR AS day, bytes::BIGINT AS bytes, records, total::BIGINT AS total, round(total + total / (datediff('day', first_day, day) + 1) * 30, 6) AS projected FROM (SELECT *, sum(bytes) OVER w AS total, min(day) OVER w AS first_day FROM (SELECT ts::DATE AS day, sum(strlen(props)) AS bytes, count(*) AS records FROM events GROUP BY 1) WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING))",
     "a9_counters": f"SELECT * FROM {_COUNTERS}",
     "a10_site_states": f"SELECT site, coalesce(evaluations, 0) AS evaluations, coalesce(firings, 0) AS firings, CASE WHEN coalesce(evaluations, 0) = 0 THEN 'unreached' WHEN firings = 0 THEN 'dead' WHEN firings = evaluations THEN 'always' ELSE 'live' END AS state FROM (SELECT unnest(['short', 'json', 'any', 'question', 'never']) AS site) LEFT JOIN {_COUNTERS} USING (site)",
-    "a12_grouping_sets": "SELECT CASE WHEN lang IS NOT NULL THEN 'lang' ELSE 'source' END AS \"column\", coalesce(lang, source) AS value, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source))",
+    "documents_by_lang_and_source": "SELECT CASE WHEN lang IS NOT NULL THEN 'lang' ELSE 'source' END AS \"column\", coalesce(lang, source) AS value, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source))",
     "f1_reflection_score": f"SELECT conv_id, turn, round(1.0 + CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN -0.4 WHEN 'tool' THEN -1.0 WHEN 'system' THEN -1.0 ELSE 0 END::DOUBLE + CASE kind WHEN 'experience' THEN 0.6 WHEN 'user_content' THEN 0.2 WHEN 'question' THEN -0.3 WHEN 'answer' THEN -0.1 ELSE 0 END::DOUBLE + CASE WHEN length(s) > 100 AND {_any('s', S.EXPERIENCE_MARKERS)} THEN 0.4 ELSE 0 END::DOUBLE + CASE WHEN {_any('s', S.QUESTION_MARKERS)} THEN -0.2 ELSE 0 END::DOUBLE + CASE WHEN length(s) < 40 THEN -0.5 WHEN length(s) > 1500 THEN -0.2 ELSE 0 END::DOUBLE + CASE WHEN length(s) > 200 THEN 0.15 ELSE 0 END::DOUBLE, 9) AS score FROM (SELECT *, {_KINDS} AS kind FROM (SELECT *, {_ROLE} AS role FROM (SELECT conv_id, turn, {_SAID} AS s FROM conversations)))",
     "f7_patterns": f"SELECT query_id, count(*) AS rows, count(DISTINCT vec_id % 25) AS sessions, round(max(cosine), 8) AS closest FROM {_NEAR.format(20)} WHERE query_id <> vec_id AND cosine >= 0.3 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT vec_id % 25) >= 2",
     "f17_near_repeats": f"SELECT conv_id, turn, round(j, 9) AS similarity FROM (SELECT conv_id, turn, CASE WHEN len(w) = 0 OR len(v) = 0 THEN 0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v))) END AS j FROM (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM (SELECT conv_id, turn, {_RWORDS} AS w FROM conversations WHERE role = 'assistant')) WHERE v IS NOT NULL) WHERE j > 0.2",

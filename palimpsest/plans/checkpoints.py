@@ -1,14 +1,21 @@
-"""Where streams keep their checkpoints."""
+"""Where streams and sinks keep their files."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
+_own: list[str] = []
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one where none is set, if all tasks run on this machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+    return _own[0]

@@ -119,7 +119,7 @@ def t1_frequency(spark, d):
 def _heated(spark, d):
     f = H.accumulated_frequency(table(spark, d, "events"), "user_id").withColumn("kind", F.expr(KINDS.format("user_id % 10")))
     heat = H.heat(H.recency(F.col("last_ts"), F.col("kind"), _now()), F.col("frequency"))
-    return f.withColumn("heat", heat).withColumn("tier", H.tier(F.col("heat"), F.col("kind")))
+    return f.withColumn("heat", H.settled_heat(heat, F.col("kind"))).withColumn("tier", H.tier(F.col("heat"), F.col("kind")))
 
 
 def t3_t4_tiers(spark, d):
@@ -249,7 +249,7 @@ _GATED = "(SELECT * FROM (SELECT *, query_id % 3 <> 0 AND coalesce(max(cosine) F
 _FREQ = "(SELECT user_id, sum(pow(2.0, -(last - day) / 30.0)) AS frequency, max(ts) AS last_ts, count(*) AS deliveries FROM (SELECT *, max(day) OVER (PARTITION BY user_id) AS last FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS day FROM (SELECT *, coalesce(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0), 0) AS gap FROM events))) GROUP BY user_id)"
 _DAYS = f"greatest(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_ts)) / 86400000000.0), 0)"
 _RECENT = f"CASE WHEN kind IN ('profile', 'ingested') THEN 1.0 WHEN kind IN ('conversation', 'journal') THEN pow(2.0, -{_DAYS} / 15.0) WHEN kind = 'reflection' THEN pow(2.0, -{_DAYS} / 122.0) ELSE pow(2.0, -{_DAYS} / 52.0) END"
-_HEAT = f"(SELECT *, CASE WHEN kind = 'profile' OR heat >= 0.5 THEN 'hot' WHEN heat >= 0.2 THEN 'warm' ELSE 'cold' END AS tier FROM (SELECT *, r * 0.625 + least(frequency * r / 10.0, 1.0) * 0.375 AS heat FROM (SELECT *, {_RECENT} AS r FROM (SELECT *, {KINDS.format('(user_id % 10)')} AS kind FROM {_FREQ}))))"
+_HEAT = f"(SELECT *, CASE WHEN kind = 'profile' OR heat >= 0.5 THEN 'hot' WHEN heat >= 0.2 THEN 'warm' ELSE 'cold' END AS tier FROM (SELECT *, greatest(r * 0.625 + least(frequency * r / 10.0, 1.0) * 0.375, CASE WHEN kind = 'profile' THEN 0.5 ELSE 0 END::DOUBLE) AS heat FROM (SELECT *, {_RECENT} AS r FROM (SELECT *, {KINDS.format('(user_id % 10)')} AS kind FROM {_FREQ}))))"
 _POLICY = policy_sql("text")
 _TERMS = r"list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]{3,}')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "], w))"
 _BAG = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))"

@@ -165,8 +165,8 @@ def s19_dry_run(spark, d):
 
 
 def s22_rebuild_plan(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", S.content_key(F.col("text")).alias("content_key"))
-    plan = S.rebuild_plan(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), "content_key", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "source", S.content_key(F.col("text")).alias("content_key"))
+    plan = S.rebuild_plan(docs.where("source <> 'src1'"), docs.where("source <> 'src2'"), "content_key", "doc_id")
     return plan.select("record_id", "index_id", "class")
 
 
@@ -199,7 +199,9 @@ def _skip_sql() -> str:
 
 
 _ROLE = "CASE WHEN starts_with(s, 'user:') THEN 'user' WHEN starts_with(s, 'assistant:') THEN 'assistant' WHEN starts_with(s, 'tool:') THEN 'tool' WHEN starts_with(s, 'system:') THEN 'system' ELSE 'unknown' END"
-_CHUNKS = "(SELECT doc_id, source, i, trim(substr(text, i * 1050 + 1, 1200)) AS chunk FROM (SELECT doc_id, source, text, unnest(range(CASE WHEN length(text) <= 1200 THEN 1 ELSE ceil((length(text) - 1200) / 1050.0)::INT + 1 END)) AS i FROM {0}) WHERE length(trim(substr(text, i * 1050 + 1, 1200))) > 0)"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CUT = _STRIP.format("substr(text, i * 1050 + 1, 1200)")
+_CHUNKS = "(SELECT doc_id, source, i, " + _CUT + " AS chunk FROM (SELECT doc_id, source, text, unnest(range(CASE WHEN length(text) <= 1200 THEN 1 ELSE ceil((length(text) - 1200) / 1050.0)::INT + 1 END)) AS i FROM (SELECT doc_id, source, " + _STRIP.format("text") + " AS text FROM {0})) WHERE length(" + _CUT + ") > 0)"
 _PLURAL = "({0} || ' {1}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END)"
 _UPSERT = f"""
 (WITH k AS (SELECT doc_id, {_KEY} AS content_key FROM documents), store AS (SELECT * FROM k WHERE doc_id % 3 = 0),
@@ -247,7 +249,7 @@ FROM (SELECT event_id, abs(floor((epoch_us(TIMESTAMP '2024-01-31 12:00:00') - ep
     "s17_upsert": f"SELECT * FROM {_UPSERT}",
     "s18_unique_ids": "SELECT user_id || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS unique_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS n FROM (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2))",
     "s19_dry_run": f"SELECT outcome, count(*) AS n FROM {_UPSERT} GROUP BY outcome",
-    "s22_rebuild_plan": f"WITH k AS (SELECT doc_id, {_KEY} AS c FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM k WHERE doc_id % 2 = 0), x AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM k WHERE doc_id % 3 = 0) SELECT r.doc_id AS record_id, x.doc_id AS index_id, CASE WHEN x.doc_id IS NULL THEN 'added' WHEN r.doc_id IS NULL THEN 'orphan' ELSE 'matched' END AS class FROM r FULL JOIN x ON r.c = x.c AND r.n = x.n",
+    "s22_rebuild_plan": f"WITH k AS (SELECT doc_id, source, {_KEY} AS c FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM k WHERE source <> 'src1'), x AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM k WHERE source <> 'src2') SELECT r.doc_id AS record_id, x.doc_id AS index_id, CASE WHEN x.doc_id IS NULL THEN 'added' WHEN r.doc_id IS NULL THEN 'orphan' ELSE 'matched' END AS class FROM r FULL JOIN x ON r.c = x.c AND r.n = x.n",
 }
 _THIRD = "(?:^|[^\\p{L}\\p{N}_])"
 _AFTER = "(?:$|[^\\p{L}\\p{N}_])"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.replies import stripped
-from ..functions.text import normalize, parse_timestamp
+from ..functions.text import normalize
 from .ingest import content_kind, detected_role, skip_reason
 
 # Suffixes of files that are text, and of files that are passed over.
@@ -90,7 +90,8 @@ def flatten_chats(raw: DataFrame, payload: str, file: str) -> DataFrame:
 
     said = F.filter(F.transform(nodes, message), lambda m: F.coalesce(m["text"], F.lit("")) != "")
     rows = rows.withColumn("said", said).where(F.size("said") > 0)
-    created = F.coalesce(F.date_format(parse_timestamp(F.when(F.col("c.create_time").rlike(r"^[0-9.]+$"), F.col("c.create_time"))), "yyyy-MM-dd'T'HH-mm-ss"), F.col("c.create_time"))
+    epoch = F.timestamp_micros((F.col("c.create_time").try_cast("double") * 1_000_000).cast("long"))
+    created = F.coalesce(F.date_format(epoch, "yyyy-MM-dd'T'HH-mm-ss"), F.col("c.create_time"))
     messages = F.transform("said", lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["text"]))
     return rows.select(
         F.concat("file", F.lit("_"), F.col("n").cast("string")).alias("doc_id"),

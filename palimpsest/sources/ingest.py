@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE, contains_any, normalize, starts_any
+from ..functions.replies import stripped
+from ..functions.text import contains_any, normalize, starts_any
 
 # Markers of records that were never a person's own text.
 META_MARKERS = (
-    "user asked:", "ember responded:", "assistant responded:", "assistant said:", "### task:", "generate 1-3 broad tags",
+    "user asked:", "assistant responded:", "assistant said:", "### task:", "generate 1-3 broad tags",
     '"user_message":', '"memory_items":', '"reflection_items":', '"conversation_id":', '"chunk_id":',
 )
 
@@ -54,6 +55,11 @@ EXPERIENCE_MARKERS = (
 )
 
 
+def meta_markers(assistant: str | None = None) -> tuple[str, ...]:
+    """META_MARKERS, and how an assistant of that name is quoted."""
+    return META_MARKERS + ((f"{assistant.lower()} responded:",) if assistant else ())
+
+
 def clean_text(text: Column, placeholder: str = "[structured numeric/table-like content]") -> Column:
     """NUL and non-ASCII to spaces, white space collapsed; mostly digits becomes a placeholder."""
     ascii_ = F.regexp_replace(F.regexp_replace(text, "\\x00", " "), r"[^\x00-\x7F]+", " ")
@@ -63,12 +69,22 @@ def clean_text(text: Column, placeholder: str = "[structured numeric/table-like
 
 
 def fixed_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 150) -> DataFrame:
-    """A row for each non-blank chunk with its number; numbers of blank chunks are skipped."""
+    """A row for each non-blank chunk of the stripped text, stripped, with its number; numbers of blank chunks are skipped.
+
+    ``text`` isn't among the columns of the result, so chunks don't carry it.  The text is cut at every step once, and a chunk
+    is a piece and the beginning of the next, so the work is linear in the text.
+    """
     step = size - overlap
-    n = F.when(F.length(text) <= size, 1).otherwise(F.ceil((F.length(text) - size) / step) + 1).cast("int")
-    rows = docs.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n - 1)))
-    chunk = F.trim(F.substring(F.col(text), F.col("chunk_index") * step + 1, F.lit(size)))
-    return rows.withColumn("chunk", chunk).where(F.length("chunk") > 0)
+    if not 0 <= overlap <= step:
+        raise ValueError("an overlap is half of the size at most")
+    whole = stripped(F.col(text))
+    n = F.when(F.length(whole) <= size, 1).otherwise(F.ceil((F.length(whole) - size) / step) + 1).cast("int")
+    pieces = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    rows = docs.withColumn("_n", n).withColumn("_p", pieces)
+    made = F.transform("_p", lambda p, i: stripped(F.concat(p, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, overlap))))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = rows.select(*rest, F.posexplode(F.slice(made, F.lit(1), F.col("_n"))).alias("chunk_index", "chunk"))
+    return rows.where(F.length("chunk") > 0)
 
 
 def skip_reason(normalized: Column) -> Column:
@@ -114,14 +130,14 @@ def index_target(source: Column, role: Column, chat_source: str) -> Column:
     )
 
 
-def skip_record(text: Column, kind: Column) -> Column:
+def skip_record(text: Column, kind: Column, assistant: str | None = None) -> Column:
     """Records that aren't indexed."""
     flat = normalize(F.coalesce(text, F.lit("")))
     least = F.when(kind.isin("conversation", "deviation", "profile"), 0).when(kind == "journal", 20).otherwise(40)
     return (
         (flat == "")
         | (F.length(flat) < least)
-        | contains_any(flat, META_MARKERS)
+        | contains_any(flat, meta_markers(assistant))
         | ((kind != "deviation") & starts_any(flat, ("{", "[")))
         | F.contains(F.coalesce(text, F.lit("")), F.lit("```"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ def delivery_frequency(events: DataFrame, half_life: float = 30.0) -> DataFrame:
     the state's last one is counted without decay, as it can't be put in its place."""
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         frequency, last, n = state.get if state.exists else (0.0, 0, 0)
-        rows = pd.concat(list(pdfs)).sort_values(["micros", "event_id"])
+        rows = pd.concat([p for p in pdfs if len(p)]).sort_values(["micros", "event_id"])
         for micros in rows.micros.tolist():
             days = max(0, (micros - last) // 86_400_000_000) if n else 0
             frequency = frequency * 2.0 ** (-days / half_life) + 1
@@ -50,8 +51,41 @@ def first_by_content(events: DataFrame, key: str, late: str = "1 day") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is available now, into an in-memory table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, mode: str, folder: str, keys: list[str] | None = None, latest: str | None = None) -> DataFrame:
+    """All that is available now, through Parquet files in a new folder of ``folder``.
+
+    A complete result is the last batch; of an update, the row of each of ``keys`` with the greatest ``latest``.  A batch that
+    runs again overwrites its own files.
+    """
+    spark = stream.sparkSession
+    base = f"{folder}/stream-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        written.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(f"{base}/out/batch={written[-1]}")
+    rows = spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={n}" for n in sorted(set(written))])
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), latest).alias("_r")).select(*keys, "_r.*")
+
+
+def ingest_once(stream: DataFrame, store: str, key: str, id_: str) -> None:
+    """Append what is available now to a store (a Parquet folder), each content once: what the store has, or an earlier row of the
+    batch, isn't written.  A batch that runs again finds its rows in the store."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c != key]
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), id_).alias("_r")).select(key, "_r.*")
+        known = spark.read.parquet(store).select(key)
+        first.join(known, key, "left_anti").write.mode("append").parquet(store)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{store}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
