@@ -149,21 +149,60 @@ def f18_urls(spark, d):
     return G.unlisted_urls(urls, urls.where("id % 5 = 0")).select("id", "host", "path")
 
 
-def m9_m10_sobol(spark, d):
-    """Which of four factors moves the mean score of all neighbours most.
+def _sobol_outputs(spark, d, samples, seed=1):
+    """Mean score of all neighbours under each row of a design of four factors.
 
     The candidates enter by the sums that the score needs: their count and mean cosine by tier.
     """
     c = _scored(spark, d).groupBy("tier").agg(F.avg("cosine").alias("cosine"), F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # of three rows
     c = c.select("tier", "cosine", share.alias("weight"))
-    design = M.saltelli_design(spark, 2048, 4)
 
     def score(x, rows):
         factor = F.when(F.col("tier") == "hot", x[0]).when(F.col("tier") == "warm", x[1]).otherwise(x[2])
         return F.col("cosine") * (0.5 + factor) * (0.9 + 0.2 * x[3])
 
-    return M.sobol_indices(M.rescored(c, design, score), 4).select("parameter", F.round("s1", 3).alias("s1"), F.round("st", 3).alias("st"))
+    return M.rescored(c, M.saltelli_design(spark, samples, 4, seed), score)
+
+
+def m11_bootstrap(spark, d):
+    """Intervals of the indices over 200 resamples of 512 samples."""
+    rows = M.bootstrap_indices(_sobol_outputs(spark, d, 512), 4, 200)
+    return rows.select("parameter", *[F.round(c, 3).alias(c) for c in ("s1_low", "s1_high", "st_low", "st_high")])
+
+
+def m8_stability(spark, d):
+    """Agreement of three seeds on the two strongest of the kinds of events."""
+    means = {r[0]: r[1] for r in table(spark, d, "events").groupBy("event_type").agg(F.avg("value")).orderBy("event_type").collect()}  # a row for each type
+    names = sorted(means)
+
+    def model(x):
+        total = F.lit(0.0)
+        for k, name in enumerate(names):
+            total = total + x[k] * (means[name] or 0.0)
+        return total
+
+    runs = None
+    for seed in (3, 4, 5):
+        run = M.morris_screening(spark, 32, len(names), 0.1, model, seed).withColumn("seed", F.lit(seed))
+        runs = run if runs is None else runs.unionByName(run)
+    return M.rank_stability(runs.withColumn("mu_star", F.round("mu_star", 9)), 2)
+
+
+def m12_convergence(spark, d):
+    """How wide the total indices' intervals are at 32, 64 and 128 samples, and how many samples a tenth would take."""
+    def measure(n):
+        outputs = _sobol_outputs(spark, d, n)
+        return M.sobol_indices(outputs, 4).join(M.bootstrap_indices(outputs, 4, 100), "parameter")
+
+    steps = spark.createDataFrame([(n, float(w)) for n, w, _ in M.converged_samples(measure, 0.01, 32, 128, 4)], "samples int, width double")
+    need = M.required_samples(steps, 0.1)
+    return steps.select("samples", F.round("width", 4).alias("width")).crossJoin(need.select("needed"))  # one row
+
+
+def m9_m10_sobol(spark, d):
+    """Which of four factors moves the mean score of all neighbours most."""
+    return M.sobol_indices(_sobol_outputs(spark, d, 2048), 4).select("parameter", F.round("s1", 3).alias("s1"), F.round("st", 3).alias("st"))
 
 
 def m7_morris(spark, d):
@@ -201,7 +240,7 @@ def x3_windows(spark, d):
 QUERIES = {f.__name__: f for f in (
     e1_ndcg, e2_contamination, e3_tie_bands, e4_selection_jaccard, e5_pairwise_jaccard, e6_displacement, e12_drift, e13_gate, a1_inventory, a2_missing,
     a4_duplicates, a5_junk, a6_verdict, a7_growth, a9_counters, a10_site_states, documents_by_lang_and_source, f1_reflection_score, f3_novel,
-    f7_patterns, f17_near_repeats, f18_urls, m9_m10_sobol, m7_morris, x1_delivery_frequency, x3_windows,
+    f7_patterns, f17_near_repeats, f18_urls, m9_m10_sobol, m7_morris, m8_stability, m11_bootstrap, m12_convergence, x1_delivery_frequency, x3_windows,
 )}
 
 _RANKED = f"(SELECT query_id, vec_id AS id, rank - 1 AS rank, cosine AS score FROM {_NEAR.format(20)} WHERE query_id <> vec_id)"

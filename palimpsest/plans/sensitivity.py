@@ -67,3 +67,76 @@ def rescored(candidates: DataFrame, design: DataFrame, score: Callable[[Column,
     """
     rows = design.crossJoin(F.broadcast(candidates))
     return rows.withColumn("_s", score(F.col("x"), rows)).groupBy("sample", "matrix").agg(F.sum(F.col("_s") * F.col("weight")).alias("y"))
+
+
+def rank_stability(screenings: DataFrame, top: int) -> DataFrame:
+    """Mean overlap of the ``top`` parameters of any two seeds, and the greatest change of rank of a parameter that is in some seed's top.
+
+    ``screenings``: seed, parameter and mu_star; some dozens of rows, so all windows are small.
+    """
+    w = Window.partitionBy("seed").orderBy(F.desc("mu_star"), "parameter")
+    ranked = screenings.withColumn("rank", F.row_number().over(w))
+    tops = ranked.where(F.col("rank") <= top).select("seed", "parameter")
+    seeds = ranked.select("seed").distinct()
+    pairs = seeds.join(seeds.select(F.col("seed").alias("other")), F.col("seed") < F.col("other"))
+    both = tops.join(tops.select(F.col("seed").alias("other"), "parameter"), "parameter").where("seed < other").groupBy("seed", "other").agg(F.count("*").alias("n"))
+    overlap = pairs.join(both, ["seed", "other"], "left").agg(F.coalesce(F.avg(F.coalesce("n", F.lit(0)) / top), F.lit(1.0)).alias("agreement"))
+    moved = ranked.join(tops.select("parameter").distinct(), "parameter").groupBy("parameter").agg((F.max("rank") - F.min("rank")).alias("d"))
+    return overlap.crossJoin(moved.agg(F.coalesce(F.max("d"), F.lit(0)).alias("displacement")))  # of one row each
+
+
+def bootstrap_indices(outputs: DataFrame, parameters: int, resamples: int = 1000, confidence: float = 0.95, seed: int = 5) -> DataFrame:
+    """parameter, and the percentile intervals of s1 and st over resamples of the samples.
+
+    Every sample is drawn a Poisson (mean 1) number of times in each resample, told by a hash, so all resamples come from
+    one pass of weighted sums; the sums, (4 + 2 parameters) a resample, are what is shuffled.
+    """
+    names = ["A", "B"] + [f"AB{k}" for k in range(parameters)]
+    wide = outputs.groupBy("sample").pivot("matrix", names).agg(F.first("y"))
+    rows = wide.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = _uniform(seed, F.col("sample"), F.col("resample"))
+    steps, share, below = [], 0.36787944117144233, 0.0
+    for k in range(12):  # the distribution function of Poisson, to the last double
+        below += share
+        steps.append(below)
+        share /= k + 1
+    rows = rows.withColumn("w", sum((u >= s).cast("int") for s in steps))
+    mean = lambda c: F.sum(c * F.col("w")) / F.sum("w")
+    a, b = F.col("A"), F.col("B")
+    variance = (mean(a * a) + mean(b * b)) / 2 - F.pow((mean(a) + mean(b)) / 2, F.lit(2))
+    sums = [x for k in range(parameters) for x in (mean(b * (F.col(f"AB{k}") - a)).alias(f"s{k}"), (mean((a - F.col(f"AB{k}")) * (a - F.col(f"AB{k}"))) / 2).alias(f"t{k}"))]
+    each = rows.groupBy("resample").agg(variance.alias("v"), *sums)
+    told = F.array(*[F.struct(F.lit(k).alias("parameter"), (F.col(f"s{k}") / F.col("v")).alias("s1"), (F.col(f"t{k}") / F.col("v")).alias("st")) for k in range(parameters)])
+    each = each.select(F.explode(told).alias("r")).select("r.*")
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    ends = [F.percentile(c, p).alias(f"{c}_{name}") for c in ("s1", "st") for p, name in ((low, "low"), (high, "high"))]
+    return each.groupBy("parameter").agg(*ends)
+
+
+def converged_samples(measure: Callable[[int], DataFrame], target: float, start: int = 128, most: int = 4096, top: int = 10) -> list[tuple[int, float, bool]]:
+    """Doublings of the number of samples until the widest half interval of the ``top`` total indices is at most ``target`` and
+    their membership doesn't change: (samples, half width, met) for each.
+
+    ``measure(n)`` gives parameter, st, st_low and st_high, a row for each parameter; a larger n keeps the samples of a smaller one.
+    """
+    steps: list[tuple[int, float, bool]] = []
+    before: set[int] = set()
+    n = start
+    while True:
+        rows = sorted(measure(n).select("parameter", "st", "st_low", "st_high").collect(), key=lambda r: (-r.st, r.parameter))[:top]
+        names, widest = {r.parameter for r in rows}, max((r.st_high - r.st_low) / 2 for r in rows)
+        met = widest <= target and names == before
+        steps.append((n, widest, met))
+        if met or n >= most:
+            return steps
+        before, n = names, 2 * n
+
+
+def required_samples(steps: DataFrame, target: float) -> DataFrame:
+    """needed and slope: the samples at which the half width (columns samples and width) falls to the target, by a line through the logs;
+    null with fewer than two points or where it doesn't fall."""
+    x, y = F.log("samples"), F.log("width")
+    fit = steps.where("width > 0").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
+    needed = F.ceil(F.exp((F.log(F.lit(target)) - F.col("intercept")) / F.col("slope")))
+    falls = (F.col("n") >= 2) & (F.col("slope") < 0)
+    return fit.select(F.when(falls, needed).alias("needed"), F.when(falls, F.col("slope")).alias("slope"))

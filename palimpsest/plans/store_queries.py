@@ -198,7 +198,7 @@ def e14_grounding(spark, d):
     return users.join(rows, "user_id", "left").select("user_id", F.round(share, 9).alias("share"), (share >= 0.8).alias("passed"))
 
 
-def m11_bootstrap(spark, d):
+def interval_of_means(spark, d):
     """Percentile interval of the mean value of each kind of event over 100 Poisson resamples of all rows."""
     rows = table(spark, d, "events").select("event_id", "event_type", "value")
     draws = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99))))
@@ -223,7 +223,7 @@ QUERIES = {f.__name__: f for f in (
     s1_newest_by_type, s21_suppressed, repeats_of_ten_before, v3_floor, v4_exclusions, v7_intent_adjustment, first_of_ten, not_among_reflections,
     p6_type_gate, p7_role, p10_fallback, r7_priorities, r11_render_window, t7_distribution, tiers_by_raw_count, confirmed_counts, users_main_event,
     l8_latest_unresolved, users_last_click, first_kind_of_source, turns_by_author, length_mismatch, a13_store_sizes, e7_composition, verdict_of_three, e14_grounding,
-    m11_bootstrap, x5_sessions,
+    interval_of_means, x5_sessions,
 )}
 
 _LOW = "lower(text)"
