@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 LAW = "rows"
 
 
@@ -54,7 +56,8 @@ def shard_proportionally(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         seeded.alias("_hash"),
     ).withColumn("_slice", F.pmod(F.shiftrightunsigned("_hash", 1), F.lit(1 << 62)) / F.lit(float(1 << 62)))
-    rows = rows.withColumn("_slice", _slice(F.col("_slice"), slices))
+    # ids, sizes and hashes alone are read again below, the texts once
+    rows = materialize(rows.withColumn("_slice", _slice(F.col("_slice"), slices)), "rows")
 
     counts = rows.groupBy("_source", "_slice").agg(F.count("*").alias("n"))
     counts = _offsets(counts, "_source", "_slice", "_before")
