@@ -169,7 +169,7 @@ def _ordered(docs: DataFrame, target_rows: int, max_slices: int) -> DataFrame:
     share = F.when(high - low == 1, by_hash).otherwise((F.col("doc_id") - low) / (high - low))
     fine = F.greatest(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0))
     none = F.least(F.floor(by_hash * parts), F.lit(parts - 1)) - parts
-    rows = rows.withColumn("slice", F.coalesce(coarse * parts + fine, none).cast("int"))
+    rows = rows.withColumn("slice", F.when(F.col("doc_id").isNull(), none).otherwise(coarse * parts + fine).cast("int"))
     firsts = rows.groupBy("slice").agg(F.max(F.struct("doc_id", "h")).alias("f"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("slice"))
     every = Window.partitionBy(F.lit(0))
