@@ -63,6 +63,29 @@ def test_sharding_laws(spark):
         assert abs(n - by_source[source] / 8) <= 2
 
 
+def test_sharding_ranks(spark):
+    """Shards and slots of the whole table from the definition: fractional ranks of seeded hashes within sources, cut evenly."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    hashed = docs.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", crc).alias("h"), crc.alias("crc")).collect()
+    # a slice of the hash comes before the hash itself, which is signed
+    by_source = {}
+    for r in hashed:
+        by_source.setdefault(r.source, []).append(((r.h % 2**64 >> 1) % 2**62, r.h, r.doc_id, r.crc))
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_proportionally(docs, slice_rows=1 << 20).collect()}
+    placed = []
+    for source, rows in by_source.items():
+        for rank, (_, h, doc_id, c) in enumerate(sorted(rows, key=lambda x: x[1:])):
+            placed.append(((2 * rank + 1) / (2 * len(rows)), h, doc_id, c, "=" + source))
+    placed.sort()
+    n = len(placed)
+    want, first = {}, {}
+    for at, row in enumerate(placed):
+        shard = at * 8 // n
+        want[row[2]] = (shard, at - first.setdefault(shard, at))
+    assert got == want
+
+
 def test_sharding_edges(spark):
     rows = sharding.shard_proportionally(edge_docs(spark)).collect()
     texts = Counter((r.doc_id, r.text) for r in edge_docs(spark).collect())
@@ -93,6 +116,93 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.3
 
 
+def brute_digest(text, ranks):
+    """Features of one text by the definition: in every neighbourhood of window places the least (rank, place) wins; enough wins make a feature."""
+    from palimpsest.llm.words import segment_hashes
+
+    data = text.encode()
+    n, size, span, never = len(data), fingerprints.WINDOW, fingerprints.NEIGHBOURS, int(fingerprints.NEVER)
+
+    def rank(at):
+        if not 0 <= at <= n - size:
+            return never
+        window = data[at : at + size]
+        return int(ranks[sum(window[i] == window[j] for i in range(size) for j in range(i))])
+
+    worth = {at: rank(at) for at in range(-span, n + span)}
+    wins = Counter()
+    for begin in range(-span, n + 1):
+        best = min((worth.get(at, never), at) for at in range(begin, begin + span))
+        if best[0] < never:
+            wins[best[1]] += 1
+    places = [at for at in range(n) if wins[at] >= fingerprints.WINS]
+    spans = [(at, at + size) for at in places] or ([(0, n)] if n else [])
+    array = np.frombuffer(data, np.uint8)
+    hashes = segment_hashes(array, np.array([a for a, _ in spans]), np.array([b for _, b in spans])) if spans else []
+    filters = []
+    for k, h in enumerate(hashes):
+        if k % fingerprints.FILTER_FEATURES == 0:
+            filters.append(set())
+        filters[-1] |= {int(h) >> 11 * j & fingerprints.FILTER_BITS - 1 for j in range(fingerprints.HASHES)}
+    return filters
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    bits = fingerprints.FILTER_BITS
+
+    def overlap(x, y):
+        chance = len(x) * len(y) / bits
+        return min(1.0, max(0.0, (len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9)))
+
+    return sum(max(overlap(x, y) for y in b) for x in a) / len(a)
+
+
+def test_fingerprints_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "COMPARED_WORDS", 40)
+    monkeypatch.setattr(fingerprints, "FILTER_FEATURES", 3)
+    rnd = random.Random(8)
+    docs = [(k, "".join(rnd.choice("abcdefgh é") for _ in range(n))) for k, n in enumerate((0, 10, 31, 32, 200, 500, 700))]
+    docs.append((7, docs[6][1][:400] + "tail"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    ranks = fingerprints.rarity_ranks(fingerprints.pair_counts(df))
+    down = docs[::-1]
+    texts = [t for _, t in down]
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, texts[1:] + texts[:1], strict=True)]
+    digests = fingerprints.Digests([t.encode() for t in texts] + [t.encode() for t in edited], ranks)
+    brute = [brute_digest(t, ranks) for t in texts + edited]
+    for i, filters in enumerate(brute):
+        mine = np.unpackbits(digests.packed[digests.first[i] : digests.first[i + 1]], axis=1)
+        assert [set(np.flatnonzero(m).tolist()) for m in mine] == filters, i
+    n = len(texts)
+    for i in range(n):
+        for j in (n + i, (i + 1) % n):
+            assert abs(digests.likeness(i, j) - brute_likeness(brute[i], brute[j])) < 1e-12
+
+
+def test_repeated_and_null_ids_are_ordered_by_their_texts(spark):
+    docs = [(5, f"text {k} " * 9) for k in range(300)] + [(None, f"none {k} " * 5) for k in range(200)] + [(9, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), -hashed[d[1]]))
+    want = Counter()
+    for (d, t), (_, f) in zip(order, order[1:] + order[:1], strict=True):
+        want[(d, hashlib.sha256((t[: len(t) - len(t) // 2] + f[: len(t) // 2]).encode()).hexdigest())] += 1
+    got = fingerprints.fingerprint_documents(df, target_rows=16).select("doc_id", "edited_sha256").collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_long_chains_are_compared_in_parts():
+    rnd = np.random.default_rng(1)
+    text = bytes(rnd.integers(97, 123, 3_000_000, dtype=np.uint8))
+    ranks = fingerprints.rarity_ranks(np.bincount(fingerprints.equal_pairs(np.frombuffer(text, np.uint8)), minlength=fingerprints.PAIRS + 1))
+    digests = fingerprints.Digests([text, text[: len(text) // 2], text[::-1]], ranks)
+    assert digests.likeness(0, 1) > 0.95 and digests.likeness(0, 2) < 0.5
+
+
 def test_fingerprint_edges(spark):
     got = fingerprints.fingerprint_documents(edge_docs(spark)).collect()
     assert len(got) == 13
@@ -224,6 +334,50 @@ def test_component_edges(spark):
     assert jaccard_join.keep_one(empty_docs(spark)).count() == 0
 
 
+def test_names_that_the_join_uses_may_be_columns(spark):
+    names = ["set", "kept_set", "_kept_set", "_kept_id", "kept_id", "n", "component"]
+    df = spark.createDataFrame([(1, "a b c d e f", *range(7)), (2, "a b c d e f", *range(7)), (3, None, *range(7))], ["doc_id", "text", *names])
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_hot_texts_and_families(spark):
+    """A text that a third of all rows hold, a family of near copies, and many parcels and buckets."""
+    family = [[f"w{i}" for i in range(120)] for _ in range(60)]
+    for k, words_ in enumerate(family):
+        words_[(k * 7) % 120] = f"own{k}"
+    docs = [(k, "hot text of a third of all rows") for k in range(60)] + [(100 + k, " ".join(w)) for k, w in enumerate(family)]
+    docs += [(300 + k, " ".join(f"s{k}x{i}" for i in range(20))) for k in range(60)] + [(400 + k, " " * k) for k in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert components(df) == brute_components(docs)
+
+
+def test_parcels_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", 40)
+    monkeypatch.setattr(jaccard_join, "PARCEL_SETS", 7)
+    test_components(spark)
+
+
+def test_ascending_hashes_travel_whole():
+    rnd = np.random.default_rng(3)
+    for n, most in ((0, 9), (1, 2**63), (5, 2**63), (1000, 2**63), (1000, 2**40)):
+        hashes = np.unique(rnd.integers(0, most, n, dtype=np.uint64) & ~np.uint64(0xFFFF))
+        assert (jaccard_join.unpack_ascending(jaccard_join.pack_ascending(hashes), len(hashes)) == hashes).all() or not n
+
+
+# sums
+
+
+def test_sums_are_exact_beyond_float32(spark):
+    from palimpsest.llm.common import add_up
+
+    big = 2**24 + 1
+    rows = [(t % 3, t, np.array([float(big), t], np.float64).tobytes()) for t in range(700)]
+    df = spark.createDataFrame(rows, "piece int, task long, sums binary")
+    got = {r.piece: np.frombuffer(r.sums).tolist() for r in add_up(df, ["piece"], fan=16).collect()}
+    assert got == {p: [float(big * len(range(p, 700, 3))), float(sum(range(p, 700, 3)))] for p in range(3)}
+
+
 # language model
 
 
@@ -319,6 +473,35 @@ def test_grouped_numbers_are_discovered(spark):
     assert {text: got[k] for k, text in enumerate(cases)} == cases
 
 
+def test_unseen_identifiers_are_found_by_their_contexts(spark):
+    """Of identifiers that no base pattern fits, in contexts that seeds share, nearly all are discovered, and hardly a token beside."""
+    rnd = random.Random(6)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    contexts = ["phone:", "call me at", "tel.", "my number is"]
+    seeds = [f"word {rnd.choice(contexts)} +1 ({digits(3)}) {digits(3)}-{digits(4)} more {digits(2)} words" for _ in range(400)]
+    hidden = [(c, f"{digits(3)} {digits(3)} {digits(4)}") for c in contexts for _ in range(25)]
+    clean = [f"in {1900 + k % 100} the order {digits(7)} came on page {k}" for k in range(300)]
+    texts = seeds + [f"so {c} {h} then" for c, h in hidden] + clean
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    found = 0
+    for k, (c, h) in enumerate(hidden, len(seeds)):
+        at = texts[k].index(h)
+        found += got[k] == f"phone:{at}:{at + len(h)}"
+    assert found / len(hidden) > 0.9
+    assert sum(got[k] != "" for k in range(len(texts) - len(clean), len(texts))) == 0
+
+
+def test_many_identifiers_in_one_text(spark):
+    """100,000 tokens with digits, and mails, in one text: linear work, right offsets, whole redaction."""
+    text = " ".join(f"a{k}@b.cd" if k % 10 == 0 else f"n{k}" for k in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.digest(pii.find_personal_data(df)).first()
+    assert row.n_email == 10_000
+    begin, end = map(int, row.spans.split(",")[-1].split(":")[1:])
+    assert text[begin:end] == "a99990@b.cd"
+    assert pii.redact_documents(df).first().text == re.sub(r"a\d+@b\.cd", "<email>", text)
+
+
 def test_redaction(spark):
     df = edge_docs(spark).union(spark.createDataFrame([(20, "mail a.b@c.de or 1.2.3.4!", "en", "s", 1, 1, "i")], SCHEMA))
     out = pii.redact_documents(df)
@@ -332,6 +515,19 @@ def test_redaction(spark):
 # packing
 
 
+def test_long_stretches_are_encoded(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    long = ["x" + " " * 1_000_000 + "y", "\n" * 300_000 + " b c" * 60_000, "a" * 400_000, "é_1 <|endoftext|> z " * 20_000, "lorem ipsum " * 100_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(5)
+    ids = {}
+    for r in queries.packed(df).collect():
+        ids.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for k, text in enumerate(long):
+        want = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(part for _, part in sorted(ids[k])) == want, k
+
+
+
 def check_packing(rows, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = {}
