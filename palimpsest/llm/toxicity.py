@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, on toxic and on ordinary text.  A text is cut
-into windows of a few words; a window's distance is how many bytes shorter it gets
+into windows of one word or some; a window's distance is how many bytes shorter it gets
 with the toxic dictionary than with the ordinary one.  Thresholds on the
 distances are calibrated on all labelled rows.
 
@@ -10,8 +10,7 @@ any, and which of two dictionaries happens to hold a longer piece of an ordinary
 few bytes that a toxic word saves (the README has the figures).  So the windows are made of chosen words: a text's
 words, once each, that the ordinary training text doesn't hold often or the toxic training
 text holds more often.  The toxic dictionary learns from those of them that go with toxic
-documents, and both dictionaries begin with the same ordinary base, which leaves
-the trained parts as their only difference.
+documents.
 
 The dictionaries are fitted on a bounded sample of labelled rows (``sample`` of
 each label, by hash); calibration takes all labelled rows.
@@ -20,6 +19,7 @@ each label, by hash); calibration takes all labelled rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,10 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def windows(words: list[bytes], k: int) -> list[bytes]:
+    return [b" " + b" ".join(words[i : i + k]) + b" " for i in range(0, len(words), k)]
+
+
 class Detector:
     """Ordinary vocabulary, dictionaries and window size; what tasks need to score.  ``learned`` says if both labels were there."""
 
@@ -74,24 +78,22 @@ class Detector:
         self.ordinary, self.dictionaries, self.window_words, self.learned = ordinary, dictionaries, window_words, learned
 
     def open(self) -> Detector:
-        self.packers = []
+        packers = []
         for content in self.dictionaries:
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(level=LEVEL)
-            self.packers.append(
+            packers.append(
                 zstandard.ZstdCompressor(dict_data=data, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
             )
+        ordinary, toxic = packers
+        # a task meets many words again
+        self.shorter = lru_cache(1 << 16)(lambda window: len(ordinary(window)) - len(toxic(window)))
         return self
 
-    def windows(self, words: list[bytes]) -> list[bytes]:
-        k = self.window_words
-        return [b" " + b" ".join(words[i : i + k]) + b" " for i in range(0, len(words), k)]
-
     def distance(self, text: bytes) -> float:
         """The greatest window distance, and a part of the next two as a finer order."""
-        ordinary, toxic = self.packers
         known = self.ordinary
-        found = [len(ordinary(w)) - len(toxic(w)) for w in self.windows([w for w in _words(text) if w not in known])]
+        found = [self.shorter(w) for w in windows([w for w in _words(text) if w not in known], self.window_words)]
         if not found:
             return -20.0
         top = sorted(found)[-HIGHEST:]
@@ -100,11 +102,11 @@ class Detector:
 
 def train_detector(
     sample: DataFrame,
-    window_words: int = 10,
+    window_words: int = 1,
+    training_words: int = 10,
     vocabulary: int = 150_000,
     toxic_words: int = 2_000,
-    dictionary_bytes: int = 2048,
-    base_bytes: int = 1 << 19,
+    dictionary_bytes: int = 8192,
     least_lift: float = 1.0,
     weight_share: float = 0.03,
     chance: float = 3.0,
@@ -115,10 +117,10 @@ def train_detector(
     """From a bounded sample with text and y: all that is collected is bounded by the parameters.
 
     An ordinary word is one that a ``rare_share`` of the sample's ordinary documents hold (three at least), the ``vocabulary`` most
-    frequent ones at most.  A dictionary is trained on at most ``ordinary_windows`` or ``toxic_windows`` windows of
-    its label, by hash; half of the ordinary ones are the common base, of ``base_bytes`` at most.
+    frequent ones at most.  A dictionary is trained on at most ``ordinary_windows`` or ``toxic_windows`` windows of ``training_words`` words of
+    its label, by hash.
     A word (or stem) goes with toxic documents by n1 * log(share of toxic / share
-    of ordinary documents with it), and counts if it has ``weight_share`` of the greatest such weight.
+    of ordinary documents with it), and counts if it has ``weight_share`` of the greatest such weight and chance doesn't give it.
     An ordinary word is left out of windows unless toxic documents hold it more often by over ``chance`` standard errors.
     """
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -133,7 +135,10 @@ def train_detector(
     ordinary = frozenset(bytes(r.word) for r in common.select("word").collect())
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     weight = F.col("n1") * lift
-    telling = counts.where((lift > least_lift) & (F.col("n1") >= 3)).select("word", weight.alias("weight"))
+    # more often in toxic text than chance gives any of all the words: a likelihood ratio beyond their number
+    expected = ratio * (F.col("n0") + 0.5)
+    surely = F.col("n1") * F.log(F.col("n1") / expected) - (F.col("n1") - expected) > F.log(F.lit(max(counts.count(), 2)))
+    telling = counts.where((lift > least_lift) & (F.col("n1") > 0) & surely).select("word", weight.alias("weight"))
     telling = telling.orderBy(F.desc("weight"), "word").limit(toxic_words)
     rows = telling.collect()
     marked = frozenset(bytes(r.word) for r in rows if r.weight >= weight_share * rows[0].weight)
@@ -149,15 +154,15 @@ def train_detector(
                 told = [w for w in rest if w in marked or any(s in marked for s in _stems(w))]
                 if not y:
                     told = [w for w in rest if w not in set(told)]
-                for w in detector.windows(told):
+                for w in windows(told, training_words):
                     ys.append(y)
                     out.append(w)
             yield record_batch(schema, [ys, out])
 
-    windows = materialize(sample.select("text", "y").mapInArrow(run, "y int, window binary"), "windows")
+    cut = materialize(sample.select("text", "y").mapInArrow(run, "y int, window binary"), "windows")
     per_label = {}
     for y, most in ((0, ordinary_windows), (1, toxic_windows)):
-        picked = windows.where(F.col("y") == y).orderBy(F.xxhash64("window"), "window").limit(most)
+        picked = cut.where(F.col("y") == y).orderBy(F.xxhash64("window"), "window").limit(most)
         per_label[y] = [bytes(r.window) for r in picked.select("window").collect()]
 
     def trained(samples: list[bytes]) -> bytes:
@@ -167,9 +172,7 @@ def train_detector(
         except zstandard.ZstdError:  # too few samples: they are the dictionary
             return b"".join(samples)[: dictionary_bytes * 3 // 4]
 
-    half = len(per_label[0]) // 2
-    base = b"".join(per_label[0][half:])[:base_bytes]
-    detector.dictionaries = (base + trained(per_label[0][:half]), base + trained(per_label[1]))
+    detector.dictionaries = (trained(per_label[0]), trained(per_label[1]))
     return detector
 
 
