@@ -84,7 +84,7 @@ def test_toxicity_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     learn = docs.join(labels, "doc_id").where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) != 0)
     words = learn.select("doc_id", "y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w"))
-    odds = words.groupBy("w").agg(F.count_if("y = 1").alias("n1"), F.count_if("y = 0").alias("n0")).where("n1 >= 5 AND n1 > 3 * n0").select("w")
+    odds = words.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")).where("n1 >= 5 AND n1 > 3 * n0").select("w")
     hit = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).join(odds, "w", "left_semi").select("doc_id").distinct()
     control = rows.join(hit.withColumn("c", F.lit(1)), "doc_id", "left").where("held_out").join(labels, "doc_id")
     bare = control.agg(F.avg((F.coalesce("c", F.lit(0)) == F.col("y")).cast("double"))).first()[0]
