@@ -14,7 +14,8 @@ is P(class | history) P(id | class, class before) P(word | id):
 * a word that shares its id gets its share of the id's tokens, (c + 0.5) / (N + 0.5 (V + 1)),
   as in the unigram base.  Its count comes from a shuffle of the rare words, in packed arrays.
 
-Everything that is broadcast or collected has a size fixed by the parameters.
+The ids and the hashed pairs grow with the training words (as their cube root), and so do the counts of rare
+words, which stay in the shuffle.  Everything that is broadcast or collected has a size bounded by the parameters.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from .words import FOLD, NOT_SPACE, Words, segment_hashes, words_of
 
 CLASSES = 32
 CONTEXTS = 64
-PAIR_HASHES = 4096
 SUFFIXES = 512
 UPDATES = 3
 #: Rare words in one bucket of the count shuffle.
@@ -55,6 +55,11 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.heads) + 1 + SUFFIXES
 
+    @property
+    def pairs(self) -> int:
+        """Hashes of a pair of ids."""
+        return 2 * self.size
+
     @property
     def start(self) -> int:
         """The id before the first token."""
@@ -85,24 +90,30 @@ def _merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values, np.bincount(place, counts, len(values)).astype(np.int64)
 
 
-def frequent_words(training: DataFrame, heads: int) -> Vocabulary:
-    """About the most frequent words.  Each task nominates its own; which words have an id
-    is a choice of the model, their counts are taken exactly later."""
+def frequent_words(training: DataFrame, least: int, most: int, growth: float = 2e7) -> Vocabulary:
+    """About the most frequent words: ``least``, and as the cube root of the training words beyond ``growth`` more, ``most`` at most.
+
+    Each task nominates its own; which words have an id is a choice of the model, their counts are taken exactly later.
+    """
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        values, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        values, counts, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for _, data, offsets in text_blocks(batches, 2 << 20):
             new = hashed_words(data, offsets).hashes
+            total += len(new)
             values, counts = _merged(np.concatenate([values, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
             if len(values) > 400_000:
                 top = np.sort(np.argpartition(-counts, 200_000)[:200_000])
                 values, counts = values[top], counts[top]
-        top = np.argsort(-counts, kind="stable")[: 2 * heads]
-        yield record_batch(schema, [values[top].view(np.int64), counts[top]])
-
-    named = training.select("text").mapInArrow(run, "h long, n long")
-    rows = named.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(heads).select("h").collect()
+        top = np.argsort(-counts, kind="stable")[: 2 * most]
+        yield record_batch(schema, [[None, *values[top].view(np.int64).tolist()], [total, *counts[top].tolist()]])
+
+    named = training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    named = materialize(named, "named")
+    words = named.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heads = min(most, int(least * max(1.0, words / growth) ** (1 / 3)))
+    rows = named.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(heads).select("h").collect()
     return Vocabulary(np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64)))
 
 
@@ -294,7 +305,7 @@ class Model:
     id_logs: np.ndarray  # log P(id | its class, class before), by class before
 
     def features(self, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        return (before * 40503 + skip * 10007) % PAIR_HASHES
+        return (before * 40503 + skip * 10007) % self.vocabulary.pairs
 
     def class_logits(self, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
         return self.bias + self.by_before[before] + self.by_skip[skip] + self.by_pair[self.features(before, skip)]
@@ -395,9 +406,9 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
 
     model = Model(
         vocabulary, class_of, bias.astype(np.float32), weights.astype(np.float32),
-        np.zeros((n + 1, CLASSES), np.float32), np.zeros((PAIR_HASHES, CLASSES), np.float32), logs,
+        np.zeros((n + 1, CLASSES), np.float32), np.zeros((vocabulary.pairs, CLASSES), np.float32), logs,
     )
-    sizes = (n + 1, n + 1, PAIR_HASHES)
+    sizes = (n + 1, n + 1, vocabulary.pairs)
 
     def observed(documents):
         seen = [np.zeros(k * CLASSES) for k in sizes]
@@ -436,7 +447,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
     return model
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, heads: int = 2048) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, heads: int = 2048, most_heads: int = 16_384) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learns from documents whose crc32(doc_id) mod folds isn't the held-out fold.
@@ -446,11 +457,11 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hea
     each; null ids count as the empty id.  Without training documents
     both scores follow from the smoothing alone; an empty table gives an empty result.
     """
-    if heads + 1 + SUFFIXES >= 1 << 16:
-        raise ValueError("ids have 16 bits: heads must be fewer")
+    if 2 * (max(heads, most_heads) + 1 + SUFFIXES) > 1 << 16:
+        raise ValueError("ids and hashed pairs have 16 bits: heads must be fewer")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", fold_of(F.col("doc_id"), folds) == held_out_fold)
-    vocabulary = frequent_words(docs.where(~F.col("held_out")), heads)
+    vocabulary = frequent_words(docs.where(~F.col("held_out")), heads, max(heads, most_heads))
     encoded = materialize(encode(docs, vocabulary), "encoded")
     training = encoded.where(~F.col("held_out"))
     single = _single_counts(training, vocabulary)
