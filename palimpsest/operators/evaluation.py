@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .logs import ranked
+
 
 def _dcg(grade: Column, rank: Column) -> Column:
     return F.sum((F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1))
@@ -59,13 +61,17 @@ def rank_displacement(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg(F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("displacement"), F.count("*").alias("common"))
 
 
-def drift(series: DataFrame, key: str, order: str, value: str, window: int) -> DataFrame:
-    """Mean of the last rows less mean of the first, and the least-squares slope over the row number."""
-    up = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    down = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    rows = series.withColumn("_u", up).withColumn("_d", down)
-    change = F.avg(F.when(F.col("_d") <= window, F.col(value))) - F.avg(F.when(F.col("_u") <= window, F.col(value)))
-    return rows.groupBy(key).agg(change.alias("change"), F.regr_slope(F.col(value), F.col("_u").cast("double")).alias("slope"))
+def drift(series: DataFrame, key: str, order: str, value: str, window: int, threshold: float | None = None) -> DataFrame:
+    """Mean of the last rows less mean of the first, the least-squares slope over the row number, and whether the fall is within the threshold.
+
+    A series shorter than the window is its own window, and its change is 0.
+    """
+    rows = ranked(series, key, order, "_u")
+    sizes = series.groupBy(key).agg(F.count("*").alias("_n"))
+    rows = rows.join(F.broadcast(sizes), key)  # a row for each dimension
+    change = F.avg(F.when(F.col("_u") > F.col("_n") - window, F.col(value))) - F.avg(F.when(F.col("_u") <= window, F.col(value)))
+    out = rows.groupBy(key).agg(change.alias("change"), F.coalesce(F.regr_slope(F.col(value), F.col("_u").cast("double")), F.lit(0.0)).alias("slope"))
+    return out if threshold is None else out.withColumn("passed", F.col("change") >= -threshold)
 
 
 def baseline_gate(metrics: DataFrame, baseline: DataFrame, drop: float = 0.05) -> DataFrame:
@@ -105,9 +111,9 @@ def ablate(parts: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("arm", "query_id").orderBy(F.desc("score"), "id")))
 
 
-def arm_summary(ranked: DataFrame, grades: DataFrame, reference: str, k: int) -> DataFrame:
+def arm_summary(rows_: DataFrame, grades: DataFrame, reference: str, k: int) -> DataFrame:
     """Per arm: mean nDCG at k over queries that have one, mean Jaccard with the reference arm's sets, and how many queries' sets differ."""
-    got = ranked.where(F.col("rank") <= k)
+    got = rows_.where(F.col("rank") <= k)
     dcg = got.join(grades, ["query_id", "id"], "left").groupBy("arm", "query_id").agg(_dcg(F.coalesce("grade", F.lit(0)), F.col("rank")).alias("dcg"))
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
     ideal = grades.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("query_id").agg(_dcg(F.col("grade"), F.col("_r")).alias("ideal"))

@@ -59,13 +59,37 @@ def orphan_sessions(turns: DataFrame, session: str) -> DataFrame:
     return counts.where("user_turns = 0")
 
 
+def sliced(rows: DataFrame, order: str, slices: int = 256) -> DataFrame:
+    """``rows`` with ``_slice``, which rises with ``order``: slices are cut at quantiles, so a window over a key and a slice holds a small part of a key
+    however large it is."""
+    edges = rows.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 10 * slices)).first()[0] or []
+    cuts = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast(f"array<{dict(rows.dtypes)[order]}>")
+    return rows.withColumn("_slice", F.size(F.filter(cuts, lambda e: e <= F.col(order))))
+
+
+def ranked(rows: DataFrame, key: str, order: str, name: str, slices: int = 256) -> DataFrame:
+    """``rows`` with their number (from 1) in the order of their key, and ``_slice``.  Only counts by key and slice are summed up in order."""
+    cut = sliced(rows, order, slices)
+    counts = cut.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(key, "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(order))
+    return cut.join(counts, [key, "_slice"]).withColumn(name, F.col("_before") + place).drop("_before")
+
+
 def increasing_times(rows: DataFrame, key: str, order: str, micros: Column, unit: int = 1) -> DataFrame:
-    """Strictly increasing times of a burst: each is the later of its own and the last one plus ``unit``."""
-    w = Window.partitionBy(key).orderBy(order)
-    n = F.row_number().over(w)
-    rows = rows.withColumn("_i", n).withColumn("_m", micros - F.col("_i") * unit)
-    top = F.max("_m").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("stamped", top + F.col("_i") * unit).drop("_i", "_m")
+    """Strictly increasing times of a burst: each is the later of its own and the last one plus ``unit``.
+
+    In closed form: with a row's number i, its time is i * unit plus the greatest (time - number * unit) so far: within
+    its slice by a window, before it by the slices' own greatest ones.
+    """
+    rows = ranked(rows.withColumn("_m", micros), key, order, "_i").withColumn("_m", F.col("_m") - F.col("_i") * unit)
+    w = Window.partitionBy(key, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy(key, "_slice").agg(F.max("_m").alias("_t"))
+    earlier = F.max("_t").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(key, "_slice", earlier.alias("_earlier"))
+    rows = rows.withColumn("_top", F.max("_m").over(w)).join(tops, [key, "_slice"])
+    return rows.withColumn("stamped", F.greatest("_top", "_earlier") + F.col("_i") * unit).drop("_i", "_m", "_top", "_earlier", "_slice")
 
 
 def exchange_pairs(turns: DataFrame, session: str, order: str) -> DataFrame:

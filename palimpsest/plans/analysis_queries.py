@@ -62,8 +62,8 @@ def e6_displacement(spark, d):
 
 
 def e12_drift(spark, d):
-    rows = E.drift(table(spark, d, "events"), "event_type", "event_id", "value", 10)
-    return rows.select("event_type", F.round("change", 6).alias("change"), F.round("slope", 8).alias("slope"))
+    rows = E.drift(table(spark, d, "events"), "event_type", "event_id", "value", 10, 5.0)
+    return rows.select("event_type", "passed", F.round("change", 6).alias("change"), F.round("slope", 8).alias("slope"))
 
 
 def e13_gate(spark, d):
@@ -259,7 +259,7 @@ ORACLES = {
     "e4_selection_jaccard": f"SELECT query_id, round(count(*) FILTER (a.rank IS NOT NULL AND b.rank IS NOT NULL) / count(*), 9) AS jaccard FROM {_PLAIN} a FULL JOIN {_FULL} b USING (query_id, id) GROUP BY query_id",
     "e5_pairwise_jaccard": f"WITH a AS {_PLAIN}, n AS (SELECT query_id, count(*) AS n FROM a GROUP BY 1), m AS (SELECT x.query_id AS p, y.query_id AS q, count(*) AS i FROM a x JOIN a y USING (id) WHERE x.query_id < y.query_id GROUP BY 1, 2) SELECT round((SELECT coalesce(sum(i / (u.n + v.n - i)), 0) FROM m JOIN n u ON u.query_id = p JOIN n v ON v.query_id = q) / (SELECT count(*) * (count(*) - 1) / 2 FROM n), 9) AS mean_jaccard, (SELECT count(*) FROM m) AS sharing",
     "e6_displacement": f"SELECT query_id, round(avg(abs(a.rank - b.rank)), 9) AS displacement, count(*) AS common FROM {_PLAIN} a JOIN {_FULL} b USING (query_id, id) GROUP BY query_id",
-    "e12_drift": "SELECT event_type, round(avg(value) FILTER (d <= 10) - avg(value) FILTER (u <= 10), 6) AS change, round(regr_slope(value, u), 8) AS slope FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS u, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS d FROM events) GROUP BY event_type",
+    "e12_drift": "SELECT event_type, avg(value) FILTER (d <= 10) - avg(value) FILTER (u <= 10) >= -5 AS passed, round(avg(value) FILTER (d <= 10) - avg(value) FILTER (u <= 10), 6) AS change, round(regr_slope(value, u), 8) AS slope FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS u, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS d FROM events) GROUP BY event_type",
     "e13_gate": "SELECT metric, round(n.value, 8) AS value, round(b.value, 8) AS base, CASE WHEN b.value IS NULL THEN 'new' WHEN n.value IS NULL THEN 'not_measured' WHEN b.value - n.value > 0.05 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT event_type AS metric, avg(value) / 100 AS value FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> 'view' GROUP BY 1) n FULL JOIN (SELECT event_type AS metric, avg(value) / 90 AS value FROM events WHERE event_type <> 'error' AND ts < TIMESTAMP '2024-01-16' GROUP BY 1) b USING (metric)",
     "a1_inventory": "SELECT coalesce(source, 'total') AS source, count(*) AS records, sum(strlen(text))::BIGINT AS bytes, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY ROLLUP (source)",
     "a2_missing": "SELECT source, field, count(*) AS n FROM (SELECT source, unnest(['text', 'lang', 'quality', 'toxic']) AS field, unnest([text IS NULL OR text = '', lang IS NULL OR lang = '', quality IS NULL, toxic IS NULL]) AS gone FROM documents LEFT JOIN labels USING (doc_id)) WHERE gone GROUP BY 1, 2",

@@ -1,18 +1,24 @@
 """Edge rows and invariants of the operators."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import replies as Y
 from palimpsest.functions import text as T
+from palimpsest.operators import detectors as D
 from palimpsest.operators import evaluation as E
+from palimpsest.operators import gates as P
 from palimpsest.operators import logs as L
 from palimpsest.operators import ranking as R
 from palimpsest.operators import signals as G
 from palimpsest.operators import tiering as H
 from palimpsest.operators import vectors as V
 from palimpsest.plans import sensitivity as M
+from palimpsest.sources import imports as I
 from palimpsest.sources import ingest as S
 
 
@@ -128,7 +134,194 @@ def test_morris_of_a_linear_function(spark):
     assert math.isclose(got[0].mu, 3, rel_tol=1e-9) and math.isclose(got[1].mu, -1, rel_tol=1e-9) and abs(got[0].sigma) < 1e-9
 
 
+def greedy(rows, most):
+    """Picks by the rule, one by one: (vec_id, kind, score, tokens, doc, title) in ranking order."""
+    groups = {"conversation": [], "ingested": [], "other": []}
+    for r in rows:
+        groups[r[1] if r[1] in groups else "other"].append(r)
+    picked = []
+
+    def worth(r):
+        cap = abs(r[2]) * R.SPREAD
+        alike = max((len(set(r[3]) & set(p[3])) / len(set(r[3]) | set(p[3])) for p in picked if r[3] and p[3]), default=0.0)
+        cost = alike * cap + sum(0.05 * (p[1] == r[1]) + 0.22 * (bool(r[4]) and p[4] == r[4]) + 0.08 * (bool(r[5]) and p[5] == r[5]) for p in picked)
+        return r[2] - min(cap, cost)
+
+    while len(picked) < most and any(groups.values()):
+        for rows_ in groups.values():
+            if rows_ and len(picked) < most:
+                best = max(rows_, key=worth) if picked else rows_[0]
+                rows_.remove(best)
+                picked.append(best)
+    return [p[0] for p in picked]
+
+
 def test_diversity_takes_turns(spark):
-    rows = [(1, 1, "conversation", 0.9), (1, 2, "conversation", 0.8), (1, 3, "ingested", 0.1), (1, 4, "profile", 0.2)]
-    df = spark.createDataFrame(rows, "query_id long, vec_id long, kind string, score double")
-    assert [r.vec_id for r in R.diversify(df, 4).orderBy("place").collect()] == [1, 3, 4, 2]
+    rnd = random.Random(3)
+    kinds = ["conversation", "ingested", "profile", "journal"]
+    rows = [(k, rnd.choice(kinds), round(1 - k / 40, 3), [f"t{rnd.randint(0, 8)}" for _ in range(4)], rnd.choice(["d1", "d2", None]), rnd.choice(["x", "", None])) for k in range(30)]
+    schema = "query_id long, vec_id long, kind string, score double, place int, most int, tokens array<string>, doc string, title string"
+    df = spark.createDataFrame([(1, v, k, s, n, 9, t, d, x) for n, (v, k, s, t, d, x) in enumerate(rows, 1)], schema)
+    assert [r.vec_id for r in R.diversify(df).orderBy("place").collect()] == greedy(rows, 9)
+
+
+def test_prior_arms_reach_the_bounds_together():
+    assert math.isclose(R.UP["experience"] * R.UP["recency"] * R.UP["active_work"] * R.UP["project"], R.PRIOR_MAX)
+    assert math.isclose(R.DOWN["question"] * R.DOWN["short"] * R.DOWN["recency"] * R.DOWN["exact_question"] * R.DOWN["reflection"], R.PRIOR_MIN)
+
+
+def test_novelty_beyond_a_pool_of_near_copies(spark):
+    """The best rows of a group are all alike, so picks lie beyond several pools."""
+    rows = [(g, i, float(1000 - i), [f"same{g}", "a", "b", f"x{i % 2}"] if i < 60 else [f"own{g}{i // 2}", f"o{i // 2}"]) for g in (1, 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "g long, id long, score double, words array<string>").repartition(3)
+    got = {}
+    for r in G.novel_selection(df, "g", pool=7).orderBy("place").collect():
+        got.setdefault(r.g, []).append(r.id)
+    for g in (1, 2):
+        kept = []
+        for _, i, _, words in [r for r in rows if r[0] == g]:
+            if len(kept) < 8 and all(len(set(words) & s) / len(set(words) | s) <= 0.3 for _, s in kept):
+                kept.append((i, set(words)))
+        assert got[g] == [i for i, _ in kept]
+
+
+def test_confidence_levels(spark):
+    rows = [(1, 0.7, 5), (1, 0.6, 1), (2, 0.7, 0), (3, 0.1, 30), (4, 0.1, 31), (5, 0.4, None), (6, 0.1, None), (7, 0.9, 8)]
+    df = spark.createDataFrame(rows, "query_id long, score double, age int")
+    got = {r.query_id: r.confidence for r in R.confidence(df, "query_id").collect()}
+    assert got == {1: "high", 2: "moderate", 3: "moderate", 4: "low", 5: "moderate", 6: "low", 7: "moderate"}
+
+
+def test_first_blank_content_stays(spark):
+    df = spark.createDataFrame([(1, 1, " "), (1, 2, ""), (1, 3, "A b"), (1, 4, "a  B")], "query_id long, id long, text string")
+    assert sorted(r.id for r in R.dedup_by_content(df, "query_id", F.col("text"), ["id"]).collect()) == [1, 3]
+
+
+def test_top_k_by_group_equals_a_loop(spark):
+    rnd = np.random.default_rng(1)
+    x = np.round(rnd.normal(size=(200, 3)), 1)
+    corpus = spark.createDataFrame([(k, v.tolist(), "ab"[k % 2]) for k, v in enumerate(x)], "vec_id long, embedding array<float>, kind string").repartition(5)
+    queries = spark.createDataFrame([(k, x[k].tolist()) for k in range(4)], "query_id long, embedding array<float>")
+    got = {}
+    for r in V.top_k(queries, corpus, 6, group="kind").orderBy("rank").collect():
+        got.setdefault((r.query_id, r.kind), []).append(r.vec_id)
+    f = x.astype(np.float32).astype(np.float64)
+    for q in range(4):
+        cosine = f @ f[q] / (np.linalg.norm(f, axis=1) * np.linalg.norm(f[q]))
+        for g in range(2):
+            want = sorted(range(g, 200, 2), key=lambda k: (-round(cosine[k], 12), k))[:6]
+            assert got[(q, "ab"[g])] == want
+
+
+def test_low_value_and_echo(spark):
+    rows = [
+        ("x" * 39, None, "short"), ("as an ai language model i cannot say much about it", None, "non_answer"), ("that was a rather long winded answer for me today", None, "style_feedback"),
+        ("i spent the day writing a long response to the design doc", None, None), ("tell me what you remember about the trip we made", None, "meta_prompt"),
+        ("is the shop on the corner still open at this hour", "question", "short_question"), ("we walked along the river and talked about the house", "other", None),
+    ]
+    df = spark.createDataFrame(rows, "c string, k string, want string")
+    for r in df.select("c", "want", P.low_value(F.col("c"), F.col("k")).alias("got")).collect():
+        assert r.got == r.want, r.c
+    echo = spark.createDataFrame([("", "q", "empty"), ("question: yes", "q", "marker"), ("so the big dog ran", "big dog", "verbatim"), ("alpha beta gamma delta", "delta gamma beta alpha", "alike"), ("one two", "three", None)], "c string, q string, want string")
+    for r in echo.select("want", P.echo(F.col("c"), F.col("q")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_search_rules(spark):
+    rows = [("google it please", False), ("google please", True), ("Look it up for me, thanks!", True), ("google the weather", False), ("hello", False), ("search the web now thank you", True)]
+    df = spark.createDataFrame(rows, "q string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", P.bare_search(F.lower("q")).alias("got")).collect())
+    rules = [("Thanks!", "vault_answerable"), ("what's the weather in Oslo", "needs_internet"), ("my standings at work", "vault_answerable"), ("I'm watching the latest news", "needs_internet"), ("hello there", None)]
+    df = spark.createDataFrame(rules, "q string, want string")
+    assert all(r.got == r.want for r in df.select("want", P.intent_rule(F.col("q")).alias("got")).collect())
+    names = spark.createDataFrame([("Buddy and Walter met. Then Anna, My friend, left with Bo",)], "q string")
+    assert names.select(P.entity_names(F.col("q"))).first()[0] == ["walter", "anna"]
+
+
+def test_detectors(spark):
+    rows = [
+        ("Sure. I'll draft it by noon! Bye now.", "I'll draft it by noon!", None), ("I could. Let me know if I'll draft it, feel free to ask.", None, None),
+        ("You should remember to water the big plants in the hall today.", None, "Remember to water the big plants in the"), ("short", None, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, c string, s string")
+    for r in df.select("t", "c", "s", D.commitment(F.col("t")).alias("gc"), D.task_suggestion(F.col("t")).alias("gs")).collect():
+        assert r.gc == r.c, r.t
+    asked = [("create tasks for weeding, mowing, and picking up sticks", ["Weeding", "Mowing", "Picking up sticks"]), ("please remind me tomorrow to call mum", ["Call mum"]), ("hello there friend", [])]
+    df = spark.createDataFrame(asked, "t string, want array<string>")
+    assert all(r.got == r.want for r in df.select("want", D.requested_tasks(F.col("t")).alias("got")).collect())
+    claims = spark.createDataFrame([("The web search is down. I can go. My vault isn't full!", [0, 2]), ("", []), ("I cannot access memory.", [])], "t string, want array<int>")
+    assert all(r.got == r.want for r in claims.select("want", D.self_claims(F.col("t")).alias("got")).collect())
+
+
+def test_replies(spark):
+    thoughts = [("<think>a</think>Yes.", "Yes."), ("lost</THINK> b", "b"), ("x <think>never closed", "x"), ("plain", "plain")]
+    df = spark.createDataFrame(thoughts, "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", Y.without_thinking(F.col("t")).alias("got")).collect())
+    logs = [([0.0, 0.0, 0.0, 0.0], 1.0), ([], -1.0), (None, -1.0), ([-5.0], 0.0), ([-1e9, -1e9], 1.0)]
+    df = spark.createDataFrame(logs, "l array<double>, want double")
+    assert all(math.isclose(r.got, r.want, abs_tol=1e-12) for r in df.select("want", Y.normalized_entropy(F.col("l")).alias("got")).collect())
+
+
+def test_recent_duplicates_equal_a_loop(spark):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice("ab"), rnd.choice([" A ", "a", "b", "c", "d", "e", None])) for k in range(300)]
+    got = {r.id: r.skipped for r in I.recent_duplicates(spark.createDataFrame(rows, "id long, kind string, text string").repartition(3), ["kind"], "id", "text", newest=3).collect()}
+    held, want = {}, {}
+    for k, kind, text in rows:
+        key = (text or "").strip().lower()
+        last = held.setdefault(kind, [])
+        want[k] = key in last
+        if not want[k]:
+            held[kind] = [*last, key][-3:]
+    assert got == want
+
+
+def test_files_and_json(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo", encoding="utf-8")
+    (tmp_path / "b.csv").write_bytes("﻿x,y\n1,2".encode())
+    (tmp_path / "c.png").write_bytes(b"\x89PNG")
+    (tmp_path / "d.odt").write_bytes(b"zip")
+    got = {r.title: (r.doc_id, r.content, r.error) for r in I.load_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {
+        "a.txt": ("a", "one\ntwo", None), "b.csv": ("b", "x,y\n1,2", None), "c.png": ("c", None, "Skipping unsupported file type"), "d.odt": ("d", None, "Unsupported file type"),
+    }
+    payloads = [('{"text": " hi ", "tags": ["x"], "type": "journal"}',), ('[{"text": "a"}, 3, {"text": 4}, {"text": "b", "tags": 1}]',), ("nonsense",), ("[]",), (None,)]
+    rows = I.import_json(spark.createDataFrame(payloads, "p string"), "p").collect()
+    assert sorted((r.text, r.type, r.source, tuple(r.tags)) for r in rows if r.error is None) == [("a", "ingested", "json_import", ()), ("b", "ingested", "json_import", ()), ("hi", "journal", "json_import", ("x",))]
+    assert sorted(r.error.split()[0] for r in rows if r.error) == ["Expected", "Expected", "Expected", "Missing", "Record"]
+
+
+def test_chat_parts(spark):
+    chat = """[{"title": null, "create_time": 1715284775.8, "mapping": {"z": {"message": null}, "a": {"message": {"author": {"role": "user"}, "content": {"parts": ["hi", {"text": "t"}, {"content": "c"}, {"n": 1}]}}},
+      "b": {"message": {"author": {}, "content": {"parts": [" "]}}}}}, {"title": "none", "mapping": {}}]"""
+    rows = I.flatten_chats(spark.createDataFrame([("f", chat)], "file string, p string"), "p", "file").collect()
+    assert [(r.doc_id, r.title, r.created_at, r.messages, r.roles) for r in rows] == [("f_0", "chat_f_0", "2024-05-09T19-59-35", ['User: hi\nt\nc\n{"n":1}'], ["user"])]
+
+
+def test_sums_in_slices_equal_a_loop(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab"), k, rnd.randint(0, 50)) for k in range(400)]
+    df = spark.createDataFrame(rows, "key string, id long, m long").repartition(4)
+    got = {r.id: r.stamped for r in L.increasing_times(df, "key", "id", F.col("m")).collect()}
+    last = {}
+    for key, k, m in rows:
+        last[key] = max(m, last.get(key, -1) + 1)
+        assert got[k] == last[key]
+
+
+def test_bootstrap_covers_the_indices(spark):
+    outputs = M.saltelli_design(spark, 1024, 2).withColumn("y", F.col("x")[0] * 2 + F.col("x")[1])
+    got = {r.parameter: r for r in M.bootstrap_indices(outputs, 2, 100).collect()}
+    for k, want in enumerate((0.8, 0.2)):
+        assert got[k].st_low - 0.02 < want < got[k].st_high + 0.02 and got[k].st_high - got[k].st_low < 0.2
+    steps = M.converged_samples(lambda n: M.sobol_indices(outputs, 2).join(M.bootstrap_indices(outputs, 2, 20), "parameter"), 0.5, 16, 64, 2)
+    assert [n for n, _, _ in steps] == [16, 32] and steps[-1][2]
+    need = M.required_samples(spark.createDataFrame([(100, 0.2), (400, 0.1)], "samples int, width double"), 0.05).first()
+    assert need.needed in (1600, 1601) and math.isclose(need.slope, -0.5)
+
+
+def test_baseline_gate(spark):
+    now = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("_meta", 1.0), ("d", 1.0)], "metric string, value double")
+    base = spark.createDataFrame([("a", 0.6), ("b", 0.94), ("c", 1.0)], "metric string, value double")
+    assert {r.metric: r.verdict for r in E.baseline_gate(now, base).collect()} == {"a": "fail", "b": "pass", "c": "not_measured", "d": "new"}
+    assert {r.verdict for r in E.baseline_gate(now, base.limit(0)).collect()} == {"calibration"}
