@@ -160,3 +160,21 @@ def assemble(queries: DataFrame, records: DataFrame, as_of: Column, markers: tup
     rows = searched(described_queries(queries, assistant), records, markers)
     rows = gated_and_scored(channels(rows, floor), as_of, usual, ingested)
     return selected(filtered(rows, assistant))
+
+
+def rendered(delivered: DataFrame, memories: int = 4, reflections: int = 1) -> DataFrame:
+    """What of the delivered rows is shown: all profile rows, the first ``memories`` others and ``reflections``."""
+    part = F.when(F.col("channel") == "reflection", 2).when(F.col("kind") == "profile", 0).otherwise(1)
+    rows = delivered.withColumn("part", part)
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy("slot")))
+    most = F.when(F.col("part") == 0, F.col("_r")).when(F.col("part") == 1, memories).otherwise(reflections)
+    return rows.where(F.col("_r") <= most).drop("_r", "part")
+
+
+def delivery_events(shown: DataFrame, stored: DataFrame) -> DataFrame:
+    """query_id, store, requested, matched and outcome: shown rows go to their kind's store, where ``stored`` (vec_id) has them or not."""
+    store = F.when(F.col("kind") == "ingested", "ingested").otherwise("memory")
+    rows = shown.where(F.col("vec_id").isNotNull()).withColumn("store", store).join(stored.select("vec_id", F.lit(1).alias("_there")), "vec_id", "left")
+    out = rows.groupBy("query_id", "store").agg(F.count("*").alias("requested"), F.count("_there").alias("matched"))
+    outcome = F.when(F.col("matched") == F.col("requested"), "matched").when(F.col("matched") == 0, "all_missed").otherwise("missed")
+    return out.withColumn("outcome", outcome)

@@ -13,10 +13,11 @@ def latest(log: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return log.groupBy(*keys).agg(top).select(*keys, *[F.col("_top").getField(c).alias(c) for c in rest])
 
 
-def collapse_retries(turns: DataFrame, session: str, order: str) -> DataFrame:
-    """Drop a user turn that the next turn, a user's too, repeats."""
+def collapse_retries(turns: DataFrame, session: str, order: str, images: str | None = None) -> DataFrame:
+    """Drop a user turn that the next turn, a user's too, repeats, with as many images."""
     w = Window.partitionBy(session).orderBy(order)
     again = (F.col("role") == "user") & (F.lead("role").over(w) == "user") & (F.lead("text").over(w) == F.col("text"))
+    again = again & (F.lead(images).over(w) == F.col(images)) if images else again
     return turns.withColumn("_again", F.coalesce(again, F.lit(False))).where("NOT _again").drop("_again")
 
 

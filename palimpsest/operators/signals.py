@@ -110,15 +110,29 @@ def near_repeats(turns: DataFrame, session: str, order: str, least: float = 0.85
     return rows.where(F.col("similarity") > least).select(session, order, "similarity")
 
 
-def cross_session_patterns(neighbours: DataFrame, floor: float, least_rows: int, least_sessions: int) -> DataFrame:
-    """Queries with enough near rows (query_id, session, cosine) from enough sessions."""
+def cross_session_patterns(neighbours: DataFrame, floor: float = 0.82, least_rows: int = 3, least_sessions: int = 2, recent_days: int = 30) -> DataFrame:
+    """Queries with enough near rows (query_id, session, cosine, age_days, party) from enough sessions, one of them recent at least; and
+    whether one names somebody.  Rows without a session don't count as one."""
     near = neighbours.where(F.col("cosine") >= floor)
-    out = near.groupBy("query_id").agg(F.count("*").alias("rows"), F.countDistinct("session").alias("sessions"), F.max("cosine").alias("closest"))
-    return out.where((F.col("rows") >= least_rows) & (F.col("sessions") >= least_sessions))
+    out = near.groupBy("query_id").agg(
+        F.count("*").alias("rows"), F.countDistinct("session").alias("sessions"), F.max("cosine").alias("closest"), F.max("party").alias("party"),
+        F.max((F.col("age_days") <= recent_days).cast("int")).alias("_recent"),
+    )
+    return out.where((F.col("rows") >= least_rows) & (F.col("sessions") >= least_sessions) & (F.col("_recent") == 1)).drop("_recent")
+
+
+#: Hosts of this machine and of private networks.
+PRIVATE = r"^(localhost|127[.]|10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.])"
 
 
 def unlisted_urls(urls: DataFrame, allowed: DataFrame) -> DataFrame:
-    """URLs (id, host, path) for which no allowed host has a path that begins theirs, or the other way round."""
+    """URLs (id, host, path) for which no allowed host has a path that begins theirs, or the other way round; private hosts pass."""
     ok = allowed.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
     test = (F.col("host") == F.col("h")) & (F.startswith("path", F.col("p")) | F.startswith(F.col("p"), F.col("path")))
-    return urls.join(ok, test, "left_anti")
+    return urls.where(~F.col("host").rlike(PRIVATE)).join(ok, test, "left_anti")
+
+
+def without_urls(text: Column, urls: Column) -> Column:
+    """The text without some URLs (an array), the longest first, so that none is taken for a part of another."""
+    longest = F.array_sort(urls, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
+    return F.trim(F.regexp_replace(F.aggregate(longest, text, lambda t, u: F.replace(t, u, F.lit(""))), r"[ \t]{2,}", " "))

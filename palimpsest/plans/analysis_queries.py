@@ -135,8 +135,10 @@ def f3_novel(spark, d):
 
 
 def f7_patterns(spark, d):
-    rows = _neighbours(spark, d).where("query_id <> vec_id").select("query_id", (F.col("vec_id") % 25).alias("session"), "cosine")
-    return G.cross_session_patterns(rows, 0.3, 3, 2).select("query_id", "rows", "sessions", F.round("closest", 8).alias("closest"))
+    v = F.col("vec_id")
+    rows = _neighbours(spark, d).where("query_id <> vec_id")
+    rows = rows.select("query_id", (v % 25).alias("session"), "cosine", (v * 13 % 500).alias("age_days"), (v % 6 == 0).alias("party"))
+    return G.cross_session_patterns(rows, 0.3, 2, 2, 100).select("query_id", "rows", "sessions", "party", F.round("closest", 8).alias("closest"))
 
 
 def f17_near_repeats(spark, d):
@@ -271,9 +273,9 @@ ORACLES = {
     "a10_site_states": f"SELECT site, coalesce(evaluations, 0) AS evaluations, coalesce(firings, 0) AS firings, CASE WHEN coalesce(evaluations, 0) = 0 THEN 'unreached' WHEN firings = 0 THEN 'dead' WHEN firings = evaluations THEN 'always' ELSE 'live' END AS state FROM (SELECT unnest(['short', 'json', 'any', 'question', 'never']) AS site) LEFT JOIN {_COUNTERS} USING (site)",
     "documents_by_lang_and_source": "SELECT CASE WHEN lang IS NOT NULL THEN 'lang' ELSE 'source' END AS \"column\", coalesce(lang, source) AS value, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source))",
     "f1_reflection_score": f"SELECT conv_id, turn, round(1.0 + CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN -0.4 WHEN 'tool' THEN -1.0 WHEN 'system' THEN -1.0 ELSE 0 END::DOUBLE + CASE kind WHEN 'experience' THEN 0.6 WHEN 'user_content' THEN 0.2 WHEN 'question' THEN -0.3 WHEN 'answer' THEN -0.1 ELSE 0 END::DOUBLE + CASE WHEN length(s) > 100 AND {_any('s', S.EXPERIENCE_MARKERS)} THEN 0.4 ELSE 0 END::DOUBLE + CASE WHEN {_any('s', S.QUESTION_MARKERS)} THEN -0.2 ELSE 0 END::DOUBLE + CASE WHEN length(s) < 40 THEN -0.5 WHEN length(s) > 1500 THEN -0.2 ELSE 0 END::DOUBLE + CASE WHEN length(s) > 200 THEN 0.15 ELSE 0 END::DOUBLE, 9) AS score FROM (SELECT *, {_KINDS} AS kind FROM (SELECT *, {_ROLE} AS role FROM (SELECT conv_id, turn, {_SAID} AS s FROM conversations)))",
-    "f7_patterns": f"SELECT query_id, count(*) AS rows, count(DISTINCT vec_id % 25) AS sessions, round(max(cosine), 8) AS closest FROM {_NEAR.format(20)} WHERE query_id <> vec_id AND cosine >= 0.3 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT vec_id % 25) >= 2",
+    "f7_patterns": f"SELECT query_id, count(*) AS rows, count(DISTINCT vec_id % 25) AS sessions, bool_or(vec_id % 6 = 0) AS party, round(max(cosine), 8) AS closest FROM {_NEAR.format(20)} WHERE query_id <> vec_id AND cosine >= 0.3 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT vec_id % 25) >= 2 AND bool_or(vec_id * 13 % 500 <= 100)",
     "f17_near_repeats": f"SELECT conv_id, turn, round(j, 9) AS similarity FROM (SELECT conv_id, turn, CASE WHEN len(w) = 0 OR len(v) = 0 THEN 0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v))) END AS j FROM (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM (SELECT conv_id, turn, {_RWORDS} AS w FROM conversations WHERE role = 'assistant')) WHERE v IS NOT NULL) WHERE j > 0.2",
-    "f18_urls": f"SELECT id, host, path FROM {_HOSTS} u WHERE NOT EXISTS (SELECT 1 FROM {_HOSTS} a WHERE a.id % 5 = 0 AND a.host = u.host AND (starts_with(u.path, a.path) OR starts_with(a.path, u.path)))",
+    "f18_urls": f"SELECT id, host, path FROM {_HOSTS} u WHERE NOT regexp_matches(host, '^(localhost|127[.]|10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.])') AND NOT EXISTS (SELECT 1 FROM {_HOSTS} a WHERE a.id % 5 = 0 AND a.host = u.host AND (starts_with(u.path, a.path) OR starts_with(a.path, u.path)))",
     "x3_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
 }
 ORACLES["x1_delivery_frequency"] = RETRIEVAL_ORACLES["t1_frequency"]

@@ -121,6 +121,13 @@ def p11_zero_hits(spark, d):
     return q.join(got, "query_id", "left").select("query_id", F.coalesce("empty", F.lit(True)).alias("empty"))
 
 
+def r14_deliveries(spark, d):
+    """Events of what is rendered for each query, by store: how many were asked for, are still stored (ids not divisible by 9), and the outcome."""
+    got = A.rendered(r12_assembly(spark, d))
+    stored = table(spark, d, "embeddings").where("vec_id % 9 <> 0").select("vec_id")
+    return A.delivery_events(got, stored)
+
+
 def p12_routing(spark, d):
     """Policies that queries get against those their beginnings intend."""
     intended = ("default", "factual_recall", "task_status", "status_state", "default", "factual_recall", "default", "web_search")
@@ -180,7 +187,7 @@ def v20_quarantine(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    r12_assembly, r10_diversity, v9_v13_channels, v6_entities, p3_bare_search, p8_p9_filters, p9_low_value, p11_zero_hits, p12_routing, p13_declined,
+    r12_assembly, r10_diversity, v9_v13_channels, v6_entities, p3_bare_search, p8_p9_filters, p9_low_value, p11_zero_hits, r14_deliveries, p12_routing, p13_declined,
     p14_flags, v16_rules, v18_freshness, v19_low_relevance, v20_quarantine,
 )}
 
@@ -286,6 +293,7 @@ ORACLES = {
     "p8_p9_filters": _CTES + f"SELECT reason, channel, count(*) AS n FROM (SELECT coalesce({_echo('content', 'q')}, {_low_value('content', 'content_kind')}, 'kept') AS reason, channel FROM gated) GROUP BY 1, 2",
     "p9_low_value": f"SELECT conv_id, turn, coalesce({_low_value('c', 'k')}, 'kept') AS reason FROM (SELECT conv_id, turn, {_norm('said')} AS c, CASE WHEN turn % 2 = 0 THEN 'question' ELSE 'other' END AS k FROM (SELECT *, {_pick(_REMARKS, 'conv_id')} || substr(text, 1, 90) AS said FROM conversations))",
     "p11_zero_hits": _CTES + "SELECT query_id, coalesce(empty, true) AS empty FROM (SELECT query_id FROM told WHERE relational) LEFT JOIN (SELECT query_id, count(*) FILTER (kind <> 'profile' AND score <> 0) = 0 AS empty FROM delivered WHERE channel <> 'reflection' GROUP BY 1) USING (query_id)",
+    "r14_deliveries": _CTES + "SELECT query_id, store, count(*) AS requested, count(*) FILTER (vec_id % 9 <> 0) AS matched, CASE WHEN count(*) FILTER (vec_id % 9 <> 0) = count(*) THEN 'matched' WHEN count(*) FILTER (vec_id % 9 <> 0) = 0 THEN 'all_missed' ELSE 'missed' END AS outcome FROM (SELECT *, CASE WHEN kind = 'ingested' THEN 'ingested' ELSE 'memory' END AS store, row_number() OVER (PARTITION BY query_id, CASE WHEN channel = 'reflection' THEN 2 WHEN kind = 'profile' THEN 0 ELSE 1 END ORDER BY slot) AS r, CASE WHEN channel = 'reflection' THEN 2 WHEN kind = 'profile' THEN 0 ELSE 1 END AS part FROM delivered) WHERE part = 0 OR (part = 1 AND r <= 4) OR (part = 2 AND r <= 1) GROUP BY 1, 2",
     "p12_routing": f"SELECT intended, policy, count(*) AS n, count(*) FILTER (relational) AS relational FROM (SELECT {_pick(_INTENDED, 'query_id')} AS intended, {policy_sql('text')} AS policy, {relational_sql('text')} AS relational FROM {_ASKED}) GROUP BY 1, 2",
     "p13_declined": rf"WITH t AS (SELECT conv_id, list_filter(string_split_regex(lower(regexp_extract(text, '^\s*(\S+\s+\S+)', 1)), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({_list(G.DECLINE_STOPWORDS)}, w)) AS ws FROM conversations WHERE turn = 0) SELECT doc_id, len(ws) > 0 AND len(list_filter(ws, lambda w: contains(lower(text), w))) = len(ws) AS declined FROM documents JOIN t ON conv_id = doc_id // 10",
     "p14_flags": f"SELECT conv_id, turn, list_contains({_list(G.PERSONAL_POLICIES)}, {policy_sql('said')}) OR {_matches('lower(said)', G.EDGE + 'my' + chr(92) + 's+[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')} AS personal, length(trim({_curly('said')})) < 100 AND {_any(_curly('said'), G.CHECK_IN_MARKERS)} AS check_in FROM (SELECT *, {_pick(_GREETS, 'conv_id')} || substr(text, 1, 60) AS said FROM conversations)",

@@ -61,7 +61,8 @@ def l3_sessions(spark, d):
 
 
 def l4_retries(spark, d):
-    return L.collapse_retries(table(spark, d, "conversations"), "conv_id", "turn").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    turns = table(spark, d, "conversations").withColumn("images", F.floor(F.col("turn") / 4))
+    return L.collapse_retries(turns, "conv_id", "turn", "images").groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
 def l5_history(spark, d):
@@ -126,6 +127,11 @@ def t3_t4_tiers(spark, d):
     return _heated(spark, d).select("user_id", "kind", F.round("heat", 8).alias("heat"), "tier")
 
 
+def t2_half_lives(spark, d):
+    """Activity of each record's last delivery after the half-life of its kind."""
+    return _heated(spark, d).select("user_id", "kind", F.round(H.recency(F.col("last_ts"), F.col("kind"), _now()), 8).alias("recency"))
+
+
 def t5_source_bound(spark, d):
     tiers = _heated(spark, d).select(F.col("user_id").alias("id"), "kind", "tier")
     derived = tiers.where("kind = 'reflection'")
@@ -229,7 +235,7 @@ def r14_delivery_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     l1_latest_version, l3_sessions, l4_retries, l5_history, l7_resolved, l9_current_state, l10_newest_of_category, l15_recent_ids, l16_orphans,
-    n20_increasing_times, x4_buffer, x6_exchanges, t1_frequency, t3_t4_tiers, t5_source_bound, t6_transitions, v1_top_k, v2_federated, v5_lexical,
+    n20_increasing_times, x4_buffer, x6_exchanges, t1_frequency, t2_half_lives, t3_t4_tiers, t5_source_bound, t6_transitions, v1_top_k, v2_federated, v5_lexical,
     v8_keywords, v14_budget, v15_nearest_label, v17_spread, p1_policy, p2_policy_limits, p4_relational, p5_gate, r1_r4_scores, r8_dedup, r9_slots,
     r13_confidence, r14_delivery_counts,
 )}
@@ -237,6 +243,7 @@ QUERIES = {f.__name__: f for f in (
 _K = "(props->>'$.k')::BIGINT"
 _LOG = f"(SELECT event_id, ts, user_id, event_type, value, {_K} AS version FROM events)"
 _RETRIED = "(SELECT * FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE NOT (role = 'user' AND coalesce(r2 = 'user', false) AND coalesce(t2 = text, false)))"
+_RETRIED_IMAGES = _RETRIED.replace("lead(text) OVER w AS t2", "lead(text) OVER w AS t2, lead(turn // 4) OVER w AS i2").replace("coalesce(t2 = text, false)", "coalesce(t2 = text, false) AND coalesce(i2 = turn // 4, false)")
 _STATE = f"(SELECT *, CASE WHEN event_type = 'error' THEN event_id - 7 END AS original_id, value < 5 AS resolved FROM {_LOG})"
 _NEAR = "(SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= {0})"
 _CAND = f"(SELECT query_id, vec_id, cosine, {KINDS.format('label')} AS kind, CASE vec_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier, vec_id * 7 % 1500 AS length, vec_id * 13 % 500 AS age FROM {_NEAR.format(20)} WHERE query_id <> vec_id)"
@@ -257,7 +264,7 @@ _BAG = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), la
 ORACLES = {
     "l1_latest_version": f"SELECT user_id, version, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, ts DESC, event_id DESC) AS n FROM {_LOG}) WHERE n = 1",
     "l3_sessions": "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
-    "l4_retries": f"SELECT conv_id, count(*) AS turns FROM {_RETRIED} GROUP BY conv_id",
+    "l4_retries": f"SELECT conv_id, count(*) AS turns FROM {_RETRIED_IMAGES} GROUP BY conv_id",
     "l5_history": f"SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {_RETRIED}) WHERE n <= 3",
     "l7_resolved": f"SELECT event_id AS id FROM {_STATE} WHERE resolved UNION SELECT original_id FROM {_STATE} WHERE original_id IS NOT NULL",
     "l9_current_state": f"WITH s AS (SELECT * FROM {_STATE} WHERE ts <= TIMESTAMP '2024-01-20'), gone AS (SELECT event_id AS id FROM s WHERE resolved UNION SELECT original_id FROM s WHERE original_id IS NOT NULL) SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM s WHERE event_id NOT IN (SELECT id FROM gone) AND (event_type = 'signup' OR epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts) <= 604800000000)) WHERE n <= CASE WHEN event_type IN ('click', 'view') THEN 5 ELSE 1 END",
@@ -268,6 +275,7 @@ ORACLES = {
     "x4_buffer": r"SELECT conv_id, turn, tokens, running::BIGINT AS running FROM (SELECT *, sum(tokens) OVER w AS running, row_number() OVER w AS n FROM (SELECT conv_id, turn, (len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) * 13 // 10)::BIGINT AS tokens FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE running <= 1500 AND n <= 20",
     "x6_exchanges": "SELECT conv_id, turn, CASE WHEN r2 = 'assistant' THEN n2 END AS reply FROM (SELECT *, lead(role) OVER w AS r2, lead(turn) OVER w AS n2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'",
     "t1_frequency": f"SELECT user_id, round(frequency, 8) AS frequency, deliveries FROM {_FREQ}",
+    "t2_half_lives": f"SELECT user_id, kind, round({_RECENT}, 8) AS recency FROM {_HEAT}",
     "t3_t4_tiers": f"SELECT user_id, kind, round(heat, 8) AS heat, tier FROM {_HEAT}",
     "t5_source_bound": f"WITH t AS (SELECT user_id AS id, kind, tier, CASE tier WHEN 'hot' THEN 2 WHEN 'warm' THEN 1 ELSE 0 END AS r FROM {_HEAT}), b AS (SELECT e.id, coalesce(max(s.r), 0) AS r FROM (SELECT id, unnest([id + 1, id * 2 + 1]) AS source FROM t WHERE kind = 'reflection') e LEFT JOIN t s ON s.id = e.source GROUP BY e.id) SELECT t.id, ['cold', 'warm', 'hot'][least(t.r, coalesce(b.r, 2)) + 1] AS tier FROM t LEFT JOIN b ON b.id = t.id",
     "t6_transitions": f"SELECT CASE user_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS old, tier AS new, count(*) AS n FROM {_HEAT} GROUP BY ALL",

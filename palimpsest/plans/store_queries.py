@@ -34,9 +34,9 @@ def s1_newest_by_type(spark, d):
 
 
 def s21_suppressed(spark, d):
-    """What a store keeps when the ids that labels mark as poor are taken out."""
+    """The rows that a store keeps when the ids that labels mark as poor are taken out."""
     poor = table(spark, d, "labels").where("quality = 0").select("doc_id")
-    return table(spark, d, "documents").join(poor, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("kept"))
+    return table(spark, d, "documents").select("doc_id", "source").join(poor, "doc_id", "left_anti")
 
 
 def repeats_of_ten_before(spark, d):
@@ -233,7 +233,7 @@ _PL = "(greatest(s // {0}, {2}) || ' {1}' || CASE WHEN greatest(s // {0}, {2}) =
 
 ORACLES = {
     "s1_newest_by_type": "SELECT event_type, event_id, n::INT AS n FROM (" + _RN.format("events", "event_type", "ts DESC, event_id DESC") + "<= 10)",
-    "s21_suppressed": "SELECT source, count(*) AS kept FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY source",
+    "s21_suppressed": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "repeats_of_ten_before": "SELECT doc_id, coalesce(list_contains(before, k), false) AS skipped FROM (SELECT doc_id, k, list(k) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS before FROM (SELECT doc_id, source, md5(trim(lower(text))) AS k FROM documents))",
     "v3_floor": f"SELECT query_id, count(*) AS n FROM {_NEAR.format(20)} WHERE cosine >= 0.25 GROUP BY 1",
     "v4_exclusions": f"SELECT CASE WHEN s = '' THEN 'empty' WHEN length(s) < 40 THEN 'short' WHEN {_any('s', S.META_MARKERS)} THEN 'meta' WHEN s[1] IN ('{{', '[') THEN 'json' WHEN contains(s, '```') THEN 'fence' ELSE 'kept' END AS reason, lang, count(*) AS n FROM (SELECT lang, {NORM} AS s FROM documents) GROUP BY 1, 2",
