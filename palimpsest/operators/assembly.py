@@ -6,6 +6,7 @@ some hundred rows a query at most.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ def searched(queries: DataFrame, records: DataFrame, markers: tuple[str, ...]) -
     """The nearest records of each kind for described queries, with their content and adjusted score."""
     live = records.where("NOT coalesce(suppressed, false)")
     near = V.top_k(queries.select("query_id", "embedding"), live.select("vec_id", "embedding", "kind"), PER_KIND, group="kind")
+    # few bytes but much work follows: a fixed number of parts, by query, which later windows use too
+    near = near.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     rows = near.join(queries.drop("embedding"), "query_id").join(live.drop("embedding", "kind"), "vec_id")
     # a generator's output is computed once a row, and filters on it stay here, on the candidates, instead of going to the records
     rows = rows.withColumn("content", F.explode(F.array(T.normalize(F.col("text")))))
@@ -72,10 +75,9 @@ def channels(rows: DataFrame, floor: float = 0.25) -> DataFrame:
     """Profile, memory and reflection channel of each query, each record in one of them, with ``channel`` and ``place``.
 
     A memory whose id or content is among the query's reflections is left to them; of equal contents in the other two
-    channels the first stays, profile first.  The rows are dealt by query once; all windows here and below need no other shuffle.
+    channels the first stays, profile first.  Rows that are dealt by query stay so through all windows here and below.
     """
     wide = F.col("identity")
-    rows = rows.repartition("query_id")
     tests = {
         "profile": (F.col("kind") == "profile") & (F.col("rank") <= F.when(wide, PER_KIND).otherwise(12)) & (F.col("cosine") >= F.when(wide, 0.0).otherwise(0.3)),
         "memory": F.col("cosine") >= floor,
@@ -135,20 +137,23 @@ def filtered(rows: DataFrame, assistant: str | None = None) -> DataFrame:
 
 def selected(rows: DataFrame) -> DataFrame:
     """query_id, vec_id, kind, channel, score and slot: profile rows first, then others up to the policy's limit (by turns where it wants
-    diversity), then reflections."""
+    diversity), then reflections.  A query has some twenty rows here, and is chosen from in one pass."""
     part = F.when(F.col("channel") == "reflection", 2).when(F.col("kind") == "profile", 0).otherwise(1)
     w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "_order", "place")
     ranked = rows.withColumn("part", part).withColumn("n", F.row_number().over(w))
-    limit = F.when(F.col("part") == 0, F.col("n")).when(F.col("part") == 1, F.col("memory_limit")).otherwise(F.col("reflection_limit"))
-    turns = (F.col("part") == 1) & F.col("diversity")
-    columns = ("query_id", "vec_id", "kind", "channel", "score", "part", "n")
-    plain = ranked.where(~turns & (F.col("n") <= limit)).select(*columns)
-    pool = ranked.where(turns).select(
-        "query_id", "vec_id", "kind", "score", F.col("n").alias("place"), F.col("memory_limit").alias("most"), T.token_set(F.col("content")).alias("tokens"), "doc", "title"
-    )
-    picked = R.diversify(pool).select("query_id", "vec_id", "kind", F.lit("memory").alias("channel"), "score", F.lit(1).alias("part"), F.col("place").alias("n"))
-    slot = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "n"))
-    return plain.unionByName(picked).withColumn("slot", slot).drop("part", "n")
+    tokens = F.when(F.col("diversity") & (F.col("part") == 1), T.token_set(F.col("content"))).otherwise(F.array().cast("array<string>"))
+    columns = ("query_id", "vec_id", "kind", "channel", "score", "part", "n", "doc", "title", "diversity", "memory_limit", "reflection_limit")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        sorted_ = list(pdf.sort_values(["part", "n"]).itertuples())
+        first, others = sorted_[0], [r for r in sorted_ if r.part == 1]
+        others = R.pick_in_turns(others, int(first.memory_limit)) if first.diversity else others[: int(first.memory_limit)]
+        chosen = [r for r in sorted_ if r.part == 0] + others + [r for r in sorted_ if r.part == 2][: int(first.reflection_limit)]
+        out = [(r.query_id, r.vec_id, r.kind, r.channel, r.score, slot) for slot, r in enumerate(chosen, 1)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "kind", "channel", "score", "slot"])
+
+    schema = "query_id long, vec_id long, kind string, channel string, score double, slot int"
+    return ranked.select(*columns, tokens.alias("tokens")).groupBy("query_id").applyInPandas(choose, schema)
 
 
 def assemble(queries: DataFrame, records: DataFrame, as_of: Column, markers: tuple[str, ...], assistant: str | None = None, floor: float = 0.25, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:

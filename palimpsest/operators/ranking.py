@@ -192,39 +192,47 @@ def confidence(rows: DataFrame, query: str, age_days: str = "age") -> DataFrame:
     return rows.groupBy(query).agg(F.min("score").alias("lowest"), mean.alias("mean"), F.max("score").alias("highest"), level.alias("confidence"))
 
 
-def diversify(rows: DataFrame, same_kind: float = 0.05, same_doc: float = 0.22, same_title: float = 0.08, band: float = SPREAD) -> DataFrame:
-    """Up to ``most`` rows of each query in turns from conversation, ingested and other rows.
+TURNS = ("conversation", "ingested", "other")
 
-    rows: query_id, vec_id, kind, score, place (in the ranking), most, tokens (of the content), doc and title.  A turn takes the row of
-    its group with the greatest score less its penalty, the first by place among equals; the first pick of all is the group's first.  The penalty adds up
-    the greatest Jaccard similarity to a picked row (a share of the band), and what each picked row of its kind,
-    document or title costs; it is a share ``band`` of the score at most.  A query has some forty rows, so a group is small.
+
+def pick_in_turns(rows: list, most: int, same_kind: float = 0.05, same_doc: float = 0.22, same_title: float = 0.08, band: float = SPREAD) -> list:
+    """Up to ``most`` of a query's rows (kind, score, tokens, doc and title, in ranking order) in turns from conversation, ingested and other rows.
+
+    A turn takes the row of its group with the greatest score less its penalty, the first among equals; the first pick of all is the
+    group's first.  The penalty adds up the greatest Jaccard similarity to a picked row (a share of the band), and what each picked row of
+    its kind, document or title costs; it is a share ``band`` of the score at most.
+    """
+    left: dict[str, list] = {t: [] for t in TURNS}
+    for row in rows:
+        left[row.kind if row.kind in TURNS else "other"].append((row, set(row.tokens)))
+    picked: list = []
+
+    def worth(item) -> float:
+        row, tokens = item
+        ceiling = abs(row.score) * band
+        cost = ceiling * max((len(tokens & t) / len(tokens | t) if tokens and t else 0.0 for _, t in picked), default=0.0)
+        for p, _ in picked:
+            cost += same_kind * (p.kind == row.kind) + same_doc * (bool(row.doc) and p.doc == row.doc) + same_title * (bool(row.title) and p.title == row.title)
+        return row.score - min(cost, ceiling)
+
+    while len(picked) < most and any(left.values()):
+        for name in TURNS:
+            if left[name] and len(picked) < most:
+                best = max(left[name], key=worth) if picked else left[name][0]
+                left[name].remove(best)
+                picked.append(best)
+    return [row for row, _ in picked]
+
+
+def diversify(rows: DataFrame) -> DataFrame:
+    """``pick_in_turns`` for each query: query_id, vec_id, kind, score, place (in the ranking), most, tokens, doc and title.
+
+    A query has some forty rows, so a group is small.
     """
-    turns = ("conversation", "ingested", "other")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left: dict[str, list] = {t: [] for t in turns}
-        for row in pdf.sort_values("place").itertuples():
-            left[row.kind if row.kind in turns else "other"].append((row, set(row.tokens)))
-        most = int(pdf["most"].iloc[0])
-        picked: list = []
-
-        def worth(item) -> float:
-            row, tokens = item
-            ceiling = abs(row.score) * band
-            alike = max((len(tokens & t) / len(tokens | t) if tokens and t else 0.0 for _, t in picked), default=0.0)
-            cost = alike * ceiling
-            for p, _ in picked:
-                cost += same_kind * (p.kind == row.kind) + same_doc * (bool(row.doc) and p.doc == row.doc) + same_title * (bool(row.title) and p.title == row.title)
-            return row.score - min(cost, ceiling)
-
-        while len(picked) < most and any(left.values()):
-            for name in turns:
-                if left[name] and len(picked) < most:
-                    best = max(left[name], key=worth) if picked else left[name][0]
-                    left[name].remove(best)
-                    picked.append(best)
-        out = [(p.query_id, p.vec_id, p.kind, p.score, k) for k, (p, _) in enumerate(picked, 1)]
+        picked = pick_in_turns(list(pdf.sort_values("place").itertuples()), int(pdf["most"].iloc[0]))
+        out = [(p.query_id, p.vec_id, p.kind, p.score, k) for k, p in enumerate(picked, 1)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "kind", "score", "place"])
 
     return rows.groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, kind string, score double, place int")
