@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_parts(spark: SparkSession, parts: Iterable[DataFrame], label: str) -> DataFrame:
+    """The rows of all ``parts``, at least one, of one schema: each is written before the next one is made, and all are read back as one table."""
+    path = f"{shared_folder(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{path}/{k}")
+    return spark.read.schema(part.schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def hot_keys(rows: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
     """The keys, fewer than ``share``, that more than a 1/``share`` of all ``total`` rows have."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * share > total).select(key)

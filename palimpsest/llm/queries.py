@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard_join, langid, lm_scoring, packing, pii, quality, sharding, toxicity
+from . import decontamination, exact_dedup, fingerprints, hard_negatives, jaccard_join, langid, lm_scoring, packing, pii, quality, sharding, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", relabelled), F.col("vec_id") % 50 == 0)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -90,6 +105,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -97,6 +115,29 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size,
+           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS s FROM documents),
+r AS (SELECT *, count(*) OVER (PARTITION BY s) AS n, first_value(doc_id) OVER w AS keep, row_number() OVER w AS place
+      FROM d WINDOW w AS (PARTITION BY s ORDER BY size DESC, doc_id NULLS LAST))
+SELECT doc_id, keep AS keep_id, n::BIGINT AS group_size, place = 1 AS kept, s AS text_sha256 FROM r
+""",
+    "op11_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+             list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS place
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3
+""",
     "op5_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE
