@@ -109,7 +109,7 @@ def p9_low_value(spark, d):
     remarks = ("", "that was a long winded response ", "i wrote a long reply to her ", "the answer is way too long ", "what do you think of it? ", "as an ai language model ")
     c = table(spark, d, "conversations")
     remark = F.element_at(F.array(*[F.lit(r) for r in remarks]), (F.col("conv_id") % len(remarks) + 1).cast("int"))
-    content = T.normalize(F.concat(remark, F.substring("text", 1, 90)))
+    content = T.normalize(F.concat(remark, F.col("text")))
     kind = F.when(F.col("turn") % 2 == 0, "question").otherwise("other")
     return c.select("conv_id", "turn", F.coalesce(G.low_value(content, kind), F.lit("kept")).alias("reason"))
 
@@ -149,7 +149,7 @@ def p14_flags(spark, d):
     asks = ("", "i’m tired ", "good morning ", "my plan: ")
     c = table(spark, d, "conversations")
     ask = F.element_at(F.array(*[F.lit(a) for a in asks]), (F.col("conv_id") % len(asks) + 1).cast("int"))
-    text = F.concat(ask, F.substring("text", 1, 60))
+    text = F.concat(ask, F.col("text"))
     policy = R.classify_query(text)
     return c.select("conv_id", "turn", G.personal_query(policy, text).alias("personal"), G.check_in(text).alias("check_in"))
 
@@ -158,7 +158,7 @@ def v16_rules(spark, d):
     says = ("Thanks!", "what's the weather in ", "I'm watching today's news of ", "I have the latest updates on ", "who won ", "bitcoin price of ", "")
     c = table(spark, d, "conversations")
     say = F.element_at(F.array(*[F.lit(s) for s in says]), (F.col("conv_id") % len(says) + 1).cast("int"))
-    text = F.when((F.col("turn") % 2 == 0) & (F.col("conv_id") % len(says) == 0), say).otherwise(F.concat(say, F.substring("text", 1, 40)))
+    text = F.when((F.col("turn") % 2 == 0) & (F.col("conv_id") % len(says) == 0), say).otherwise(F.concat(say, F.col("text")))
     return c.select("conv_id", "turn", F.coalesce(G.intent_rule(text), F.lit("undecided")).alias("rule"))
 
 
@@ -291,13 +291,13 @@ ORACLES = {
     "v6_entities": f"SELECT query_id, array_to_string({_names('text')}, ',') AS names FROM {_ASKED}",
     "p3_bare_search": f"SELECT conv_id, turn, {_bare('q')} AS bare FROM (SELECT conv_id, turn, lower(CASE WHEN turn % 2 = 0 THEN {_pick(_ASKS, 'conv_id')} ELSE {_pick(_ASKS, 'conv_id')} || ' ' || text END) AS q FROM conversations)",
     "p8_p9_filters": _CTES + f"SELECT reason, channel, count(*) AS n FROM (SELECT coalesce({_echo('content', 'q')}, {_low_value('content', 'content_kind')}, 'kept') AS reason, channel FROM gated) GROUP BY 1, 2",
-    "p9_low_value": f"SELECT conv_id, turn, coalesce({_low_value('c', 'k')}, 'kept') AS reason FROM (SELECT conv_id, turn, {_norm('said')} AS c, CASE WHEN turn % 2 = 0 THEN 'question' ELSE 'other' END AS k FROM (SELECT *, {_pick(_REMARKS, 'conv_id')} || substr(text, 1, 90) AS said FROM conversations))",
+    "p9_low_value": f"SELECT conv_id, turn, coalesce({_low_value('c', 'k')}, 'kept') AS reason FROM (SELECT conv_id, turn, {_norm('said')} AS c, CASE WHEN turn % 2 = 0 THEN 'question' ELSE 'other' END AS k FROM (SELECT *, {_pick(_REMARKS, 'conv_id')} || text AS said FROM conversations))",
     "p11_zero_hits": _CTES + "SELECT query_id, coalesce(empty, true) AS empty FROM (SELECT query_id FROM told WHERE relational) LEFT JOIN (SELECT query_id, count(*) FILTER (kind <> 'profile' AND score <> 0) = 0 AS empty FROM delivered WHERE channel <> 'reflection' GROUP BY 1) USING (query_id)",
     "r14_deliveries": _CTES + "SELECT query_id, store, count(*) AS requested, count(*) FILTER (vec_id % 9 <> 0) AS matched, CASE WHEN count(*) FILTER (vec_id % 9 <> 0) = count(*) THEN 'matched' WHEN count(*) FILTER (vec_id % 9 <> 0) = 0 THEN 'all_missed' ELSE 'missed' END AS outcome FROM (SELECT *, CASE WHEN kind = 'ingested' THEN 'ingested' ELSE 'memory' END AS store, row_number() OVER (PARTITION BY query_id, CASE WHEN channel = 'reflection' THEN 2 WHEN kind = 'profile' THEN 0 ELSE 1 END ORDER BY slot) AS r, CASE WHEN channel = 'reflection' THEN 2 WHEN kind = 'profile' THEN 0 ELSE 1 END AS part FROM delivered) WHERE part = 0 OR (part = 1 AND r <= 4) OR (part = 2 AND r <= 1) GROUP BY 1, 2",
     "p12_routing": f"SELECT intended, policy, count(*) AS n, count(*) FILTER (relational) AS relational FROM (SELECT {_pick(_INTENDED, 'query_id')} AS intended, {policy_sql('text')} AS policy, {relational_sql('text')} AS relational FROM {_ASKED}) GROUP BY 1, 2",
     "p13_declined": rf"WITH t AS (SELECT conv_id, list_filter(string_split_regex(lower(regexp_extract(text, '^\s*(\S+\s+\S+)', 1)), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({_list(G.DECLINE_STOPWORDS)}, w)) AS ws FROM conversations WHERE turn = 0) SELECT doc_id, len(ws) > 0 AND len(list_filter(ws, lambda w: contains(lower(text), w))) = len(ws) AS declined FROM documents JOIN t ON conv_id = doc_id // 10",
-    "p14_flags": f"SELECT conv_id, turn, list_contains({_list(G.PERSONAL_POLICIES)}, {policy_sql('said')}) OR {_matches('lower(said)', G.EDGE + 'my' + chr(92) + 's+[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')} AS personal, length(trim({_curly('said')})) < 100 AND {_any(_curly('said'), G.CHECK_IN_MARKERS)} AS check_in FROM (SELECT *, {_pick(_GREETS, 'conv_id')} || substr(text, 1, 60) AS said FROM conversations)",
-    "v16_rules": f"SELECT conv_id, turn, coalesce({_rule('said')}, 'undecided') AS rule FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND conv_id % 7 = 0 THEN {_pick(_SAYS, 'conv_id')} ELSE {_pick(_SAYS, 'conv_id')} || substr(text, 1, 40) END AS said FROM conversations)",
+    "p14_flags": f"SELECT conv_id, turn, list_contains({_list(G.PERSONAL_POLICIES)}, {policy_sql('said')}) OR {_matches('lower(said)', G.EDGE + 'my' + chr(92) + 's+[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')} AS personal, length(trim({_curly('said')})) < 100 AND {_any(_curly('said'), G.CHECK_IN_MARKERS)} AS check_in FROM (SELECT *, {_pick(_GREETS, 'conv_id')} || text AS said FROM conversations)",
+    "v16_rules": f"SELECT conv_id, turn, coalesce({_rule('said')}, 'undecided') AS rule FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND conv_id % 7 = 0 THEN {_pick(_SAYS, 'conv_id')} ELSE {_pick(_SAYS, 'conv_id')} || text END AS said FROM conversations)",
     "v18_freshness": f"SELECT item_id, page_id, round({_FRESH}, 9) AS worth, row_number() OVER (PARTITION BY item_id ORDER BY {_FRESH} DESC, place)::INT AS rank FROM {_HITS} QUALIFY rank <= 3",
     "v19_low_relevance": f"SELECT item_id, bool_and(len(t) > 0 AND len(list_intersect(t, {_content_terms('title')})) < CASE WHEN len(t) >= 2 THEN 2 ELSE 1 END) AS low FROM (SELECT *, {_content_terms('query')} AS t FROM {_HITS}) GROUP BY 1",
     "v20_quarantine": f"SELECT item_id, count(*) - sum(flag::INT)::BIGINT AS safe, sum(flag::INT)::BIGINT AS quarantined, CASE WHEN bool_and(flag) THEN 'unavailable/filtered' ELSE 'ok' END AS status FROM {_flagged()} GROUP BY 1",

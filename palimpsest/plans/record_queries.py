@@ -42,7 +42,7 @@ def s1_scan(spark, d):
 def s2_import(spark, d):
     """Documents as JSON payloads of a record, an array, or broken ones."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    good = F.to_json(F.struct(F.substring("text", 1, 60).alias("text"), F.col("lang").alias("type"), F.array(F.col("source")).alias("tags")))
+    good = F.to_json(F.struct(F.col("text"), F.col("lang").alias("type"), F.array(F.col("source")).alias("tags")))
     forms = (
         good, F.concat(F.lit("["), good, F.lit(', {"text": "  "}, 7, {"text": 5, "tags": 1}]')), F.lit('{"type": "x"}'), F.concat(good, F.lit("}")),
         F.concat(F.lit('[{"text": " a ", "tags": "no", "source": "s"}, '), good, F.lit("]")),
@@ -376,7 +376,7 @@ _OLD = f"(SELECT *, pow(2.0, -{_OLD_DAYS} / 15.0) * 0.5 + least(deliveries / 10.
 
 ORACLES = {
     "s1_scan": f"SELECT event_type, event_id, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM {_LOG} WHERE version % 2 <> 1 AND user_id < 50) WHERE n <= 10",
-    "s2_import": f"""WITH d AS (SELECT doc_id, doc_id % 5 AS f, {_STRIPPED.format('substr(text, 1, 60)')} AS t, lang, source FROM documents), rows AS (
+    "s2_import": f"""WITH d AS (SELECT doc_id, doc_id % 5 AS f, {_STRIPPED.format('text')} AS t, lang, source FROM documents), rows AS (
  SELECT doc_id, 0 AS i, t, lang, source, 'good' AS w FROM d WHERE f IN (0, 1) UNION ALL SELECT doc_id, 1, t, lang, source, 'good' FROM d WHERE f = 4 UNION ALL SELECT doc_id, 0, 'a', 'ingested', '', 's' FROM d WHERE f = 4
  UNION ALL SELECT doc_id, unnest([1, 2, 3]), '', '', '', unnest(['text', 'object', 'text']) FROM d WHERE f = 1 UNION ALL SELECT doc_id, 0, '', '', '', 'text' FROM d WHERE f = 2 UNION ALL SELECT doc_id, -1, '', '', '', 'json' FROM d WHERE f = 3)
  SELECT doc_id, i AS index, error, CASE WHEN error = '' THEN lang END AS type, CASE WHEN error = '' THEN CASE WHEN w = 's' THEN 's' ELSE 'json_import' END END AS source, CASE WHEN error = '' THEN source END AS tags, CASE WHEN error = '' THEN md5(t) END AS text_md5

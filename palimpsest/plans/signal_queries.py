@@ -22,8 +22,8 @@ SAID = (
     "I might perhaps go. ", "for example, in general you need to wait. ", "As an AI I can't. ", "rest easy! ", '{"queries": 1} ',
 )
 ASKED = (
-    "", "create tasks for weeding, mowing, and picking up sticks", "please remind me tomorrow to i need to call the bank", "track the order of chairs as a task",
-    "add milk and eggs to my task list", "new task: please can you write the report about all of the last nine weeks of work!", "hello there friend",
+    "", "create tasks for weeding, mowing, and picking up sticks\n", "please remind me tomorrow to i need to call the bank, ", "track the order of chairs as a task. ",
+    "add milk and eggs to my task list. ", "new task: please can you write the report about ", "todo: ", "hello there friend ",
 )
 DECLINED = ("", "I don't want to talk about the job. ", "let's move on... ", "stop asking me, drop it: my diet", "enough about it")
 THOUGHT = ("{0}", "<think>{0}</think>Yes.", "a</think>{0}", "{0}< think >b", "{0} (is it?)")
@@ -33,10 +33,10 @@ NOISY = (
 )
 
 
-def _said(spark, d, phrases, most=200):
+def _said(spark, d, phrases):
     c = table(spark, d, "conversations")
     phrase = F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.col("conv_id") % len(phrases) + 1).cast("int"))
-    return c.select("conv_id", "turn", "role", F.concat(phrase, F.substring("text", 1, most)).alias("text"))
+    return c.select("conv_id", "turn", "role", F.concat(phrase, "text").alias("text"))
 
 
 def n5_response_jaccard(spark, d):
@@ -60,7 +60,7 @@ def n18_hedging(spark, d):
 
 def n21_clean_replies(spark, d):
     c = table(spark, d, "conversations")
-    parts = [F.concat(*[x for piece in t.split("{0}") for x in (F.lit(piece), F.substring("text", 1, 80))][:-1]) for t in THOUGHT]
+    parts = [F.concat(*[x for piece in t.split("{0}") for x in (F.lit(piece), F.col("text"))][:-1]) for t in THOUGHT]
     text = F.element_at(F.array(*parts), (F.col("conv_id") % len(THOUGHT) + 1).cast("int"))
     return c.select("conv_id", "turn", P.without_closing_question(P.without_thinking(text)).alias("reply"))
 
@@ -127,12 +127,12 @@ def f12_suggestions(spark, d):
 
 
 def f13_requests(spark, d):
-    c = _said(spark, d, ASKED, 0).withColumn("titles", D.requested_tasks(F.col("text")))
+    c = _said(spark, d, ASKED).withColumn("titles", D.requested_tasks(F.col("text")))
     return c.select("conv_id", "turn", F.posexplode("titles").alias("place", "title"))
 
 
 def f14_flags(spark, d):
-    rows = D.session_flags(_said(spark, d, DECLINED, 40), "conv_id", "turn")
+    rows = D.session_flags(_said(spark, d, DECLINED), "conv_id", "turn")
     return rows.select("conv_id", "turn", "suppressed", F.array_join("topics", "|").alias("topics"))
 
 
@@ -148,7 +148,7 @@ TURNS = (
 
 def f15_signals(spark, d):
     """Signals of a turn and the one after it, and how many principles they call for."""
-    c = _said(spark, d, REVIEWED, 60)
+    c = _said(spark, d, REVIEWED)
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
     rows = c.join(nxt, ["conv_id", "turn"]).withColumn("signals", D.unsafe_signals(F.col("text"), F.col("draft")))
     rows = rows.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
@@ -162,20 +162,20 @@ def f19_citations(spark, d):
     own = table(spark, d, "pages").select(F.col("page_id").alias("conv_id"), T.canonical_url(F.col("url"))[0].alias("host"))
     c = table(spark, d, "conversations").where("role = 'assistant'").join(own, "conv_id").crossJoin(F.broadcast(hosts))  # one row
     text = F.concat(
-        F.substring("text", 1, 30), F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" (source: www."), "host", F.lit(", low)"))).otherwise(F.concat(F.lit(" Source: "), "host")),
+        F.col("text"), F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" (source: www."), "host", F.lit(", low)"))).otherwise(F.concat(F.lit(" Source: "), "host")),
         F.when(F.col("conv_id") % 2 == 0, F.lit(" (Source: web_search)")).otherwise(F.lit(" (source: elsewhere.org/x)")),
     )
     return c.select("conv_id", "turn", F.array_join(D.uncovered_sources(text, F.col("hosts")), ",").alias("uncovered"))
 
 
 def f20_candidates(spark, d):
-    c = _said(spark, d, TURNS, 80)
+    c = _said(spark, d, TURNS)
     return c.select("conv_id", "turn", D.state_candidate(F.col("text")).alias("candidate"))
 
 
 def f21_reviews(spark, d):
-    c = _said(spark, d, REVIEWED, 60)
-    nxt = _said(spark, d, tuple(reversed(REVIEWED)), 60).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
+    c = _said(spark, d, REVIEWED)
+    nxt = _said(spark, d, tuple(reversed(REVIEWED))).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
     rules, outcome = D.draft_review(F.col("text"), F.col("draft"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(rules, ",").alias("rules"), outcome.alias("outcome"))
 
@@ -186,7 +186,7 @@ def f22_self_claims(spark, d):
 
 
 def f23_flags(spark, d):
-    c = _said(spark, d, TURNS, 80)
+    c = _said(spark, d, TURNS)
     low = F.lower(F.col("text"))
     return c.select(
         "conv_id", "turn", (D.any_of(low, D.OVERRIDES) & (F.length(F.trim("text")) >= 10)).alias("override"), D.any_of(low, D.SEARCH_REFUSALS).alias("search_refusal"),
@@ -205,8 +205,8 @@ _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _WS = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
 
 
-def _from(phrases, most=200) -> str:
-    return f"(SELECT conv_id, turn, role, {pick(phrases, 'conv_id')} || substr(text, 1, {most}) AS text FROM conversations)"
+def _from(phrases) -> str:
+    return f"(SELECT conv_id, turn, role, {pick(phrases, 'conv_id')} || text AS text FROM conversations)"
 
 
 def _sentence(m: str) -> str:
@@ -245,14 +245,14 @@ def _requests() -> str:
     return f"""SELECT conv_id, turn, (place - 1)::INT AS place, title FROM (SELECT conv_id, turn, unnest(titles) AS title, generate_subscripts(titles, 1) AS place FROM (
  SELECT conv_id, turn, list_filter(list_transform(cs, lambda c: {_titled('c')}), lambda t: t <> '') AS titles FROM (
  SELECT conv_id, turn, list_transform(list_filter({chosen}, lambda p: {_STRIP.format('p')} <> ''), lambda p: {clean}) AS cs FROM (
- SELECT conv_id, turn, {raw} AS r FROM (SELECT conv_id, turn, {body} AS b FROM {_from(ASKED, 0)}) WHERE length(b) >= 10) WHERE r IS NOT NULL)))"""
+ SELECT conv_id, turn, {raw} AS r FROM (SELECT conv_id, turn, {body} AS b FROM {_from(ASKED)}) WHERE length(b) >= 10) WHERE r IS NOT NULL)))"""
 
 
 def _declined() -> str:
     arms = " ".join(
         f"WHEN contains(l, {quoted(m)}) THEN regexp_replace({_STRIP.format(f'substr(l, instr(l, {quoted(m)}) + {len(m)})')}, '[.!?,]+$', '')" for m in D.TOPIC_DECLINES
     )
-    topic = f"SELECT conv_id, turn, {_any('l', D.QUESTION_OBJECTIONS)} AS o, CASE {arms} END AS t FROM (SELECT conv_id, turn, lower(text) AS l FROM {_from(DECLINED, 40)} WHERE role = 'user')"
+    topic = f"SELECT conv_id, turn, {_any('l', D.QUESTION_OBJECTIONS)} AS o, CASE {arms} END AS t FROM (SELECT conv_id, turn, lower(text) AS l FROM {_from(DECLINED)} WHERE role = 'user')"
     return f"SELECT conv_id, turn, bool_or(o) OVER w AS suppressed, coalesce(array_to_string(list_filter(list(CASE WHEN length(t) > 2 THEN t END) OVER w, lambda x: x IS NOT NULL), '|'), '') AS topics FROM ({topic}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
 
 
@@ -277,7 +277,7 @@ ORACLES = {
     "n5_response_jaccard": f"WITH c AS (SELECT conv_id, turn, {_RWORDS} AS w FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 9) AS jaccard FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1",
     "n17_entropy": f"SELECT vec_id, round(CASE WHEN vec_id % 50 = 0 THEN -1.0 ELSE -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x / t * log2(x / t) ELSE 0 END)) / log2(len(p)) END, 9) AS entropy FROM (SELECT vec_id, {_SHARES} AS p, list_sum({_SHARES}) AS t FROM embeddings)",
     "n18_hedging": f"SELECT conv_id, turn, round(CASE WHEN len({_WS.format('text')}) > 0 THEN ({' + '.join(f'contains(lower(text), {quoted(h)})::INT' for h in P.HEDGES)}) / len({_WS.format('text')}) * 100 ELSE 0.0 END, 9) AS density FROM {_from(SAID)}",
-    "n21_clean_replies": r"SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'Yes.' WHEN 2 THEN t WHEN 3 THEN t WHEN 4 THEN t ELSE t END AS reply FROM (SELECT conv_id, turn, regexp_replace(substr(text, 1, 80), '^\s+|\s+$', '', 'g') AS t FROM conversations)",
+    "n21_clean_replies": r"SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'Yes.' WHEN 2 THEN t WHEN 3 THEN t WHEN 4 THEN t ELSE t END AS reply FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)",
     "f2_skip_rules": f"SELECT conv_id, turn, coalesce({_SKIP}, 'kept') AS reason FROM (SELECT conv_id, turn, {norm('text')} AS s FROM {_from(NOISY)})",
     "f5_transcripts": "SELECT conv_id, count(*) AS exchanges, md5(CASE WHEN length(t) > 8000 THEN substr(t, 1, 8000) || chr(10) || '[... truncated]' ELSE t END) AS transcript_md5, ids AS source_ids FROM (SELECT conv_id, unnest(range(n)) AS k, t, ids FROM (SELECT conv_id, count(*) AS n, string_agg('Turn ' || i || ':' || chr(10) || 'User: ' || text || chr(10) || 'Assistant: ' || coalesce(reply, '') || chr(10) || chr(10), '' ORDER BY turn) AS t, string_agg(turn::VARCHAR || CASE WHEN reply IS NULL THEN '' ELSE ',' || (turn + 1)::VARCHAR END, ',' ORDER BY turn) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, role, text, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user') GROUP BY conv_id HAVING count(*) >= 3)) GROUP BY conv_id, t, ids",
     "f6_evidence": "SELECT user_id, count(*) AS records, CASE max(event_id % 3) WHEN 2 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier, array_to_string((list(event_id ORDER BY ts, event_id))[1:5], ',') AS first_ids FROM events WHERE event_type IN ('view', 'signup') AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' GROUP BY user_id HAVING count(*) >= 3",
@@ -293,8 +293,8 @@ ORACLES = {
 _SIGNALS = "list_filter([" + ", ".join(
     "CASE WHEN " + _any("b", parts) + (f" OR {matches('b', D.whole_word(D.WHOLE[name]))}" if name in D.WHOLE else "") + f" THEN '{name}' END" for name, parts in D.UNSAFE.items()
 ) + "], lambda s: s IS NOT NULL)"
-_PAIRS = f"(SELECT a.conv_id, a.turn, lower(a.text || ' ' || b.text) AS b FROM {_from(REVIEWED, 60)} a JOIN {_from(REVIEWED, 60)} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
-_DRAFTS = f"(SELECT a.conv_id, a.turn, lower(a.text) AS u, b.text AS draft, lower(b.text) AS v FROM {_from(REVIEWED, 60)} a JOIN {_from(tuple(reversed(REVIEWED)), 60)} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+_PAIRS = f"(SELECT a.conv_id, a.turn, lower(a.text || ' ' || b.text) AS b FROM {_from(REVIEWED)} a JOIN {_from(REVIEWED)} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+_DRAFTS = f"(SELECT a.conv_id, a.turn, lower(a.text) AS u, b.text AS draft, lower(b.text) AS v FROM {_from(REVIEWED)} a JOIN {_from(tuple(reversed(REVIEWED)))} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
 _FOUND = f"regexp_extract_all(v, {quoted(D.STATISTICS)})"
 _STRUCTURED = f"(NOT {_any('u', D.STRUCTURE_ASKS)} AND (starts_with({_STRIP.format('draft')}, '{{') OR contains(v, '\"title\"') OR contains(v, '\"tags\"') OR contains(v, '\"response\"')))"
 _HARM = f"((contains(u, 'manipulate') AND {_any('v', D.TACTICS)}) OR (({matches('u', D.whole_word(D.ILLEGAL_ASKS))} OR contains(u, 'break into')) AND NOT {_any('v', D.CLEAR_REFUSALS)}))"
@@ -310,6 +310,6 @@ def _flag(patterns) -> str:
 ORACLES |= {
     "f15_signals": f"SELECT conv_id, turn, array_to_string({_SIGNALS}, ',') AS signals, CASE WHEN len({_SIGNALS}) > 0 THEN 5 ELSE 0 END::BIGINT AS principles FROM {_PAIRS}",
     "f19_citations": f"WITH h AS (SELECT DISTINCT {_HOST} AS h FROM pages WHERE page_id < 3), c AS (SELECT c.conv_id, c.turn, {_HOST} AS host FROM conversations c JOIN pages p ON p.page_id = c.conv_id WHERE role = 'assistant') SELECT conv_id, turn, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h = host OR ends_with(host, '.' || h) OR ends_with(h, '.' || host)) THEN CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'elsewhere.org' END ELSE host || CASE WHEN conv_id % 2 = 0 THEN '' ELSE ',elsewhere.org' END END AS uncovered FROM c",
-    "f20_candidates": f"SELECT conv_id, turn, len({_WS.format('text')}) >= 10 AND NOT {_any('lower(text)', D.META_ACTIONS)} AS candidate FROM {_from(TURNS, 80)}",
+    "f20_candidates": f"SELECT conv_id, turn, len({_WS.format('text')}) >= 10 AND NOT {_any('lower(text)', D.META_ACTIONS)} AS candidate FROM {_from(TURNS)}",
     "f21_reviews": f"SELECT conv_id, turn, array_to_string({_RULES}, ',') AS rules, CASE WHEN {_HARM} THEN 'refuse_redirect' WHEN len({_RULES}) > 0 THEN 'revise' ELSE 'allow' END AS outcome FROM {_DRAFTS}",
 }
