@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.folders import written
 from . import gates as G
 from . import ranking as R
 from . import vectors as V
+from .replay import arm_numbers
 
 #: Candidates of each kind for the memory and the profile channel, and of reflections for theirs.
 PER_KIND, PER_REFLECTION = 32, 12
@@ -57,15 +59,19 @@ def described_queries(queries: DataFrame, assistant: str | None = None) -> DataF
 
 
 def searched(queries: DataFrame, records: DataFrame, markers: tuple[str, ...]) -> DataFrame:
-    """The nearest records of each kind for described queries, with their content and adjusted score."""
+    """The nearest records of each kind for described queries, with their content and adjusted score.
+
+    A record that many queries found is normalized and tested once: the distinct ones are prepared before they meet their queries.
+    """
     live = records.where("NOT coalesce(suppressed, false)")
-    near = V.top_k(queries.select("query_id", "embedding"), live.select("vec_id", "embedding", "kind"), PER_KIND, group="kind")
+    near = written(V.top_k(queries.select("query_id", "embedding"), live.select("vec_id", "embedding", "kind"), PER_KIND, group="kind"), "near")
+    found = live.drop("embedding", "kind").join(near.select("vec_id").distinct(), "vec_id", "left_semi")
+    # a generator's output is computed once a row, and filters on it stay here
+    found = found.repartition("vec_id").withColumn("content", F.explode(F.array(T.normalize(F.col("text")))))
+    found = found.where(exclusion(F.col("content"), markers).isNull())
     # few bytes but much work follows: a fixed number of parts, by query, which later windows use too
-    near = near.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
-    rows = near.join(queries.drop("embedding"), "query_id").join(live.drop("embedding", "kind"), "vec_id")
-    # a generator's output is computed once a row, and filters on it stay here, on the candidates, instead of going to the records
-    rows = rows.withColumn("content", F.explode(F.array(T.normalize(F.col("text")))))
-    rows = rows.where(exclusion(F.col("content"), markers).isNull())
+    rows = near.join(found, "vec_id").join(queries.drop("embedding"), "query_id")
+    rows = rows.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     bonus = R.lexical_bonus(F.col("q"), F.col("terms"), F.col("content")) + G.entity_bonus(F.col("names"), F.col("content"))
     adjusted = F.col("cosine") + bonus + intent_adjustment(F.col("q"), F.col("kind"), F.col("content"))
     return rows.withColumn("found", adjusted)
@@ -104,22 +110,34 @@ def channels(rows: DataFrame, floor: float = 0.25) -> DataFrame:
     return rows.withColumn("_n", first).where("channel = 'reflection' OR _n = 1").drop("_n")
 
 
-def gated_and_scored(rows: DataFrame, as_of: Column, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:
-    """Rows that pass the relevance gate, the type gate and the role predicate, with their final ``score``."""
+def scored(rows: DataFrame, as_of: Column, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:
+    """All channel rows with ``closed`` (the relevance gate or the role predicate keeps them out), ``eligible`` (for the policy), the branch
+    of every factor, and ``exact``, their score before it is rounded."""
     reflection = F.col("channel") == "reflection"
     closed = R.gate_closed("query_id", F.col("policy"), usual, ingested, ~reflection)
-    rows = rows.withColumn("_closed", closed).where("NOT _closed OR (channel <> 'reflection' AND kind = 'profile')").drop("_closed")
-    rows = rows.where(G.type_gate(F.col("kind"), F.col("found"), F.col("policy")))
-    rows = rows.where(reflection | (F.lower(F.coalesce("role", F.lit(""))) != "assistant"))
-    weight = F.when(reflection, F.col("reflection_weight")).otherwise(F.col("memory_weight"))
-    tier = F.when(F.col("kind") == "profile", 1.0).otherwise(R.tier_factor(F.col("tier")))
-    author = F.when(reflection, 1.0).otherwise(R.authorship_factor(F.col("relational"), F.coalesce("authorship", F.lit("unknown"))))
-    prior = R.metadata_prior(
-        F.col("content_kind"), F.length(F.trim("text")), T.recency_bucket(T.age_days(F.col("created"), as_of)),
-        R.policy_arm(F.col("preference"), F.col("content_kind"), F.lower("text"), F.lower("title")),
-        F.coalesce(F.col("project_id") == F.col("q_project"), F.lit(False)), reflection,
-    )
-    return rows.withColumn("score", F.round(F.col("found") * weight * tier * author * prior, 9))
+    rows = rows.withColumn("_closed", closed)
+    kept_out = (F.col("_closed") & (reflection | (F.col("kind") != "profile"))) | (~reflection & (F.lower(F.coalesce("role", F.lit(""))) == "assistant"))
+    own = F.coalesce("authorship", F.lit("unknown"))
+    rows = rows.withColumns({
+        "closed": kept_out,
+        "eligible": G.type_gate(F.col("kind"), F.lit(1.0), F.col("policy")),
+        "weight": F.when(reflection, F.col("reflection_weight")).otherwise(F.col("memory_weight")),
+        "tier_branch": F.when(F.col("kind") == "profile", "profile_bypass").otherwise(F.col("tier")),
+        "author_branch": F.when(~reflection & F.col("relational"), F.when(own.isin(*R.AUTHORSHIP), own).otherwise("unknown")).otherwise("none"),
+        "bucket": T.recency_bucket(T.age_days(F.col("created"), as_of)),
+        "policy_branch": R.policy_arm(F.col("preference"), F.col("content_kind"), F.lower("text"), F.lower("title")),
+        "in_project": F.coalesce(F.col("project_id") == F.col("q_project"), F.lit(False)),
+        "length": F.length(F.trim("text")),
+    })
+    author = F.when(F.col("author_branch") == "none", 1.0).when(F.col("author_branch") == "unknown", 0.5).otherwise(R._arm(R.AUTHORSHIP, F.col("author_branch")))
+    prior = R.metadata_prior(F.col("content_kind"), F.col("length"), F.col("bucket"), F.col("policy_branch"), F.col("in_project"), reflection)
+    return rows.withColumn("exact", F.col("found") * F.col("weight") * R.tier_factor(F.col("tier_branch")) * author * prior).drop("_closed")
+
+
+def gated_and_scored(rows: DataFrame, as_of: Column, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:
+    """Rows that pass the relevance gate, the type gate and the role predicate, with their final ``score``."""
+    rows = scored(rows, as_of, usual, ingested).where("NOT closed").where(G.type_gate(F.col("kind"), F.col("found"), F.col("policy")))
+    return rows.withColumn("score", F.round("exact", 9))
 
 
 def filtered(rows: DataFrame, assistant: str | None = None) -> DataFrame:
@@ -137,23 +155,59 @@ def filtered(rows: DataFrame, assistant: str | None = None) -> DataFrame:
 
 def selected(rows: DataFrame) -> DataFrame:
     """query_id, vec_id, kind, channel, score and slot: profile rows first, then others up to the policy's limit (by turns where it wants
-    diversity), then reflections.  A query has some twenty rows here, and is chosen from in one pass."""
+    diversity), then reflections.  Only others of queries that want diversity, a few a query, go through Python."""
     part = F.when(F.col("channel") == "reflection", 2).when(F.col("kind") == "profile", 0).otherwise(1)
     w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "_order", "place")
     ranked = rows.withColumn("part", part).withColumn("n", F.row_number().over(w))
-    tokens = F.when(F.col("diversity") & (F.col("part") == 1), T.token_set(F.col("content"))).otherwise(F.array().cast("array<string>"))
-    columns = ("query_id", "vec_id", "kind", "channel", "score", "part", "n", "doc", "title", "diversity", "memory_limit", "reflection_limit")
+    turns = F.col("diversity") & (F.col("part") == 1)
+    columns = ("query_id", "vec_id", "kind", "channel", "score", "part", "n")
+    tokens = F.when(turns, T.token_set(F.col("content")))
+    ranked = written(ranked.select(*columns, turns.alias("turns"), "doc", "title", "memory_limit", "reflection_limit", tokens.alias("tokens")), "ranked")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        sorted_ = list(pdf.sort_values(["part", "n"]).itertuples())
-        first, others = sorted_[0], [r for r in sorted_ if r.part == 1]
-        others = R.pick_in_turns(others, int(first.memory_limit)) if first.diversity else others[: int(first.memory_limit)]
-        chosen = [r for r in sorted_ if r.part == 0] + others + [r for r in sorted_ if r.part == 2][: int(first.reflection_limit)]
-        out = [(r.query_id, r.vec_id, r.kind, r.channel, r.score, slot) for slot, r in enumerate(chosen, 1)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "kind", "channel", "score", "slot"])
-
-    schema = "query_id long, vec_id long, kind string, channel string, score double, slot int"
-    return ranked.select(*columns, tokens.alias("tokens")).groupBy("query_id").applyInPandas(choose, schema)
+        sorted_ = list(pdf.sort_values("n").itertuples())
+        chosen = R.pick_in_turns(sorted_, int(sorted_[0].memory_limit))
+        out = [(r.query_id, r.vec_id, r.kind, r.channel, r.score, r.part, n) for n, r in enumerate(chosen, 1)]
+        return pd.DataFrame(out, columns=columns)
+
+    schema = "query_id long, vec_id long, kind string, channel string, score double, part int, n int"
+    most = F.when(F.col("part") == 1, F.col("memory_limit")).when(F.col("part") == 2, F.col("reflection_limit")).otherwise(F.col("n"))
+    plain = ranked.where(~F.col("turns") & (F.col("n") <= most)).select(*columns)
+    chosen = plain.unionByName(ranked.where("turns").drop("turns").groupBy("query_id").applyInPandas(choose, schema))
+    slot = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "n"))
+    return chosen.select("query_id", "vec_id", "kind", "channel", "score", slot.alias("slot"))
+
+
+def traced(queries: DataFrame, records: DataFrame, as_of: Column, markers: tuple[str, ...], assistant: str | None = None, floor: float = 0.25, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:
+    """What assembly sees of each candidate of a channel, gated or not, without its text: the trace that ``replay`` works on (its ``CANDIDATE`` columns and
+    the query's limits), not yet packed by query."""
+    rows = scored(channels(searched(described_queries(queries, assistant), records, markers), floor), as_of, usual, ingested)
+    memory = F.col("channel") != "reflection"
+    good = ~memory | (G.echo(F.col("content"), F.col("q"), assistant=assistant).isNull() & G.low_value(F.col("content"), F.col("content_kind")).isNull())
+    order = F.array_position(F.array(F.lit("profile"), F.lit("memory"), F.lit("reflection")), F.col("channel"))
+    rows = rows.withColumn("_good", good).withColumn("_order", order)
+    takes = F.col("_good") & ~F.col("closed") & G.type_gate(F.col("kind"), F.col("found"), F.col("policy"))
+    same = Window.partitionBy("query_id", memory, "content", takes).orderBy(F.desc("exact"), "_order", "place")
+    rows = rows.withColumn("_again", takes & (F.row_number().over(same) > 1))
+    reflective, work = T.contains_any(F.col("q"), REFLECTIVE), T.contains_any(F.col("q"), WORK)
+    asks = F.when(reflective, "reflective").when(work, "task")
+    said = F.when(F.startswith("content", F.lit("user:")), "user").when(F.startswith("content", F.lit("assistant:")), "assistant")
+    named = lambda prefix, c: F.concat(F.lit(prefix), c)
+    policy = F.when(F.col("policy_branch") == "active_work", "prefer_active_work").otherwise(F.col("policy_branch"))
+    branches = {
+        "intent": F.concat(F.lit("ret.intent."), asks, F.lit("_"), F.col("kind")),
+        "prefix": F.when(reflective, F.concat(F.lit("ret.intent.reflective_"), said, F.lit("_prefix"))),
+        "tier": named("tier.", F.col("tier_branch")), "author": named("auth.", F.col("author_branch")), "policy": named("prior.policy.", policy),
+        "project": F.when(F.col("in_project"), "prior.project.match"), "kind": named("prior.kind.", F.col("content_kind")),
+        "length": F.when(F.col("length") < 50, "prior.len.lt50").when(F.col("length") > 1200, "prior.len.gt1200"),
+        "recency": named("prior.recency.", F.col("bucket")), "reflection": F.when(~memory, "prior.reflection_discount"),
+    }
+    return rows.select(
+        "query_id", "diversity", "memory_limit", "reflection_limit", "_order", "place", "vec_id", (~memory).alias("reflection"), (F.col("kind") == "profile").alias("profile"), "cosine",
+        ((F.col("q") != "") & F.contains("content", F.col("q"))).alias("whole"), F.size(F.filter("terms", lambda t: F.contains("content", t))).alias("hits"),
+        F.size(F.filter("names", lambda n: F.contains("content", n))).alias("names"), "weight", arm_numbers(branches).alias("arms"), "closed", "eligible",
+        (~F.col("_good") | F.col("_again")).alias("filtered"), "exact", "kind", "doc", "title", F.when(F.col("diversity"), T.token_set(F.col("content"))).alias("tokens"),
+    )
 
 
 def assemble(queries: DataFrame, records: DataFrame, as_of: Column, markers: tuple[str, ...], assistant: str | None = None, floor: float = 0.25, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import signals as G
 from ..sources import ingest as S
 from ..streaming import streams as X
 from . import sensitivity as M
-from .checkpoints import shared_folder
+from ..sources.folders import shared_folder
 from .retrieval_queries import _NEAR, _SCORED, _neighbours, _scored
 from .retrieval_queries import ORACLES as RETRIEVAL_ORACLES
 from .tables import table

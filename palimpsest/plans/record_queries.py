@@ -18,7 +18,7 @@ from ..sources import imports as I
 from ..sources import ingest as S
 from ..streaming import streams as X
 from .analysis_queries import _GRADES, _RANKED, _graded
-from .checkpoints import shared_folder
+from ..sources.folders import shared_folder
 from .retrieval_queries import _HEAT, _LOG, _SCORED, KINDS, _heated, _log, _scored
 from .sql import listed, norm, pick, quoted
 from .tables import table

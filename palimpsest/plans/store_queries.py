@@ -10,7 +10,7 @@ from ..operators import logs as L
 from ..operators import ranking as R
 from ..sources import ingest as S
 from ..streaming import streams as X
-from .checkpoints import shared_folder
+from ..sources.folders import shared_folder
 from .retrieval_queries import _CAND, _HEAT, _LOG, _NEAR, _SCORED, _STATE, _candidates, _heated, _log, _neighbours, _scored, _state_log
 from .tables import table
 from .text_queries import NORM, _any
