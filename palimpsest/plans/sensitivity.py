@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.designs import Saltelli, drawn_counts
+
 _MASK = (1 << 53) - 1
 
 
@@ -140,3 +144,136 @@ def required_samples(steps: DataFrame, target: float) -> DataFrame:
     needed = F.ceil(F.exp((F.log(F.lit(target)) - F.col("intercept")) / F.col("slope")))
     falls = (F.col("n") >= 2) & (F.col("slope") < 0)
     return fit.select(F.when(falls, needed).alias("needed"), F.when(falls, F.col("slope")).alias("slope"))
+
+
+def by_sample(outputs: DataFrame, matrices: int, row: str = "row", y: str = "y") -> DataFrame:
+    """sample and its ``y`` under all matrices of a ``designs.Saltelli``, in order, from one row for each row of the design."""
+    one = outputs.select(F.floor(F.col(row) / matrices).alias("sample"), F.struct(row, y).alias("_r"))
+    return one.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r[y]).alias("y"))
+
+
+def _features(y: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """What the indices are means of, for each sample: (samples, 5 + 2 k + pairs)."""
+    k = y.shape[1] // 2 - 1
+    a, b, ab, ba = y[:, 0], y[:, 1], y[:, 2 : 2 + k], y[:, 2 + k :]
+    columns = [np.ones(len(y)), a, b, a * a + b * b, a * b, *(b[:, None] * (ab - a[:, None])).T, *((a[:, None] - ab) ** 2).T]
+    return np.column_stack(columns + [ba[:, i] * ab[:, j] for i, j in pairs])
+
+
+def _estimates(sums: np.ndarray, k: int, pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First order (Saltelli 2010), total (Jansen 1999) and pair indices (Saltelli 2002) from sums, (..., 5 + 2 k + pairs); 0 where nothing varies."""
+    n = sums[..., 0]
+    variance = (sums[..., 3] - (sums[..., 1] + sums[..., 2]) ** 2 / (2 * n)) / (2 * n - 1)
+    flat = variance <= 0
+    scale = (n * np.where(flat, 1.0, variance))[..., None]
+    first = np.where(flat[..., None], 0.0, sums[..., 5 : 5 + k] / scale)
+    total = np.where(flat[..., None], 0.0, sums[..., 5 + k : 5 + 2 * k] / scale / 2)
+    both = np.where(flat[..., None], 0.0, (sums[..., 5 + 2 * k :] - sums[..., 4, None]) / scale)
+    if pairs:
+        i, j = np.array(pairs).T
+        both = np.where(flat[..., None], 0.0, both - first[..., i] - first[..., j])
+    return first, total, both
+
+
+def all_pairs(parameters: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(parameters) for j in range(i + 1, parameters)]
+
+
+def indices_with_pairs(samples: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(name, s1, st, share) and (first, second, s2) from ``by_sample`` rows.
+
+    Each task adds up what the indices are means of, all pairs among them as k (k - 1) / 2 sums; those of the tasks are added, and
+    are all that the driver gets: their number depends on the parameters alone.  ``share`` is the part of a total index that the first order leaves to interactions.
+    """
+    k = len(names)
+    pairs = all_pairs(k)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(5 + 2 * k + len(pairs))
+        for batch in batches:
+            if batch.num_rows:
+                total += _features(batch.column("y").flatten().to_numpy().reshape(batch.num_rows, -1), pairs).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "part"])
+
+    parts = samples.select("y").mapInArrow(add, "at long, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
+    sums = np.zeros(5 + 2 * k + len(pairs))
+    for r in parts:
+        sums[r.at] = r.part
+    first, total, both = _estimates(sums, k, pairs) if sums[0] else (np.zeros(k), np.zeros(k), np.zeros(len(pairs)))
+    spark = samples.sparkSession
+    singles = [(n, float(s), float(t), float((t - s) / t) if t > 0 else 0.0) for n, s, t in zip(names, first, total, strict=True)]
+    doubles = [(names[i], names[j], float(v)) for (i, j), v in zip(pairs, both, strict=True)]
+    return spark.createDataFrame(singles, "name string, s1 double, st double, share double"), spark.createDataFrame(doubles, "first string, second string, s2 double")
+
+
+def pairs_involving(pairs: DataFrame, name: str, limit: int = 10) -> DataFrame:
+    """The pairs of one parameter, the strongest first."""
+    return pairs.where((F.col("first") == name) | (F.col("second") == name)).orderBy(F.desc(F.abs("s2")), "first", "second").limit(limit)
+
+
+def supported(interval_low: Column, interval_high: Column) -> Column:
+    """Whether data support an index: its interval excludes zero; null without an interval."""
+    return (interval_low > 0) | (interval_high < 0)
+
+
+def resampled_indices(
+    samples: DataFrame, names: list[str], total: int, pairs: list[tuple[int, int]] | None = None, resamples: int = 1000, confidence: float = 0.95, seed: int = 5, slice_rows: int = 256
+) -> DataFrame:
+    """kind (s1, st or s2), name, other, low and high: percentile intervals over ``resamples`` resamples of the ``total`` samples, exactly
+    ``total`` draws in each.
+
+    How often a row is drawn follows from its number (``designs.drawn_counts``), so one pass gives all resamples: a task holds
+    (resamples, 5 + 2 k + pairs) sums, and these are what is shuffled.
+    """
+    k, pairs = len(names), pairs or []
+    slices = -(-total // slice_rows)
+    width = 5 + 2 * k + len(pairs)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((resamples, width))
+        held: list[np.ndarray] = []
+        now = None
+
+        def add() -> None:
+            y = np.array(held)
+            counts = drawn_counts(now * slice_rows, len(y), slices, slice_rows, total, resamples, seed)
+            np.add(sums, counts @ _features(y, pairs), out=sums)
+            held.clear()
+
+        for batch in batches:
+            for sample, y in zip(batch.column("sample").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                if held and sample // slice_rows != now:
+                    add()
+                now = sample // slice_rows
+                held.append(np.array(y))
+        if held:
+            add()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(list(sums), pa.list_(pa.float64()))], names=["resample", "sums"])
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = [("s1", n, None) for n in names] + [("st", n, None) for n in names] + [("s2", names[i], names[j]) for i, j in pairs]
+        for batch in batches:
+            for sums in batch.column("sums").to_pylist():
+                values = np.concatenate(_estimates(np.array(sums), k, pairs))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*labels, strict=True)), pa.array(values)], names=["kind", "name", "other", "value"])
+
+    placed = samples.repartition(F.floor(F.col("sample") / slice_rows)).sortWithinPartitions("sample").select("sample", "y")
+    parts = placed.mapInArrow(draw, "resample long, sums array<double>").select("resample", F.posexplode("sums").alias("at", "part"))
+    added = parts.groupBy("resample", "at").agg(F.sum("part").alias("part"))
+    whole = added.groupBy("resample").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]).alias("sums"))
+    values = whole.select("sums").mapInArrow(estimate, "kind string, name string, other string, value double")
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    return values.groupBy("kind", "name", "other").agg(F.percentile("value", low).alias("low"), F.percentile("value", high).alias("high"))
+
+
+def design_rows(spark: SparkSession, design: Saltelli, span: int = 4096) -> DataFrame:
+    """sample, matrix and x of all rows of a design, made by the tasks that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                x = design.vectors(at * span, min(span, design.rows - at * span))
+                sample, matrix = np.divmod(np.arange(at * span, at * span + len(x)), design.matrices)
+                yield pa.RecordBatch.from_arrays([pa.array(sample), pa.array(matrix), pa.array(list(x), pa.list_(pa.float64()))], names=["sample", "matrix", "x"])
+
+    return spark.range(-(-design.rows // span)).mapInArrow(run, "sample long, matrix long, x array<double>")
