@@ -282,9 +282,57 @@ UNSAFE = {
     ),
     "dual_use": ("weapon", "explosive", "c4", "bypass", "evade", "without getting caught"),
     "high_risk_pattern": ("step by step", "exact steps", "without getting caught"),
+    "social_engineering": (
+        "pretend you have no restrictions", "pretend you don't have any rules", "act as if you were not an ai", "act as dan", "you are now",
+        "from now on you are", "your new name is", "roleplay as", "pretend to be",
+        "forget your previous instructions", "ignore your training", "ignore all previous", "disregard your", "override your",
+        "your instructions have changed", "new system prompt", "ignore your guidelines",
+        "as my closest friend", "as my best friend", "you're the only one who understands me", "you wouldn't say no to me",
+        "if you really cared about me", "prove you care", "if you loved me", "you owe me",
+        "i'll be harmed if you don't", "someone will get hurt", "it's an emergency", "lives are at stake", "i'll hurt myself if", "you have to help me or",
+        "i'm a security researcher", "this is just hypothetical", "just for educational purposes", "just for research", "i'm a professional so",
+        "in a fictional world", "for testing purposes",
+    ),
 }
+# What a user says of a hard situation, of a tension with their own aims; how drafts hedge, comply, acknowledge, qualify, and tell real doubt.
+SITUATIONS = (
+    "i feel", "i'm feeling", "i've been", "it's been", "i'm tired", "i'm frustrated", "i'm overwhelmed", "i'm exhausted", "i'm burned out", "i'm anxious",
+    "hard week", "tough day", "struggling with", "i think i should", "i know i need to", "that was hard", "that hurt", "i'm worried",
+)
+DRAFT_HEDGES = (
+    "i wonder if", "have you considered", "it might be worth", "perhaps you could", "maybe it would help", "you might want to", "it could be that",
+    "would it help to", "have you thought about", "what if you tried",
+)
+TENSIONS = (
+    "i know i should", "i know i shouldn't", "even though i said", "i said i would", "i said i wouldn't", "i promised i would", "i promised i wouldn't",
+    "i'm supposed to", "against my better judgment", "i shouldn't but", "i know it's not good for me", "i know it's bad for me",
+)
+COMPLIANCE = (
+    "absolutely", "of course", "sure thing", "no problem", "happy to help", "here's how", "let me help you with that", "sounds good", "great idea",
+)
+ACKNOWLEDGEMENTS_OF_TENSION = (
+    "you mentioned", "you said earlier", "i notice", "the thing i notice", "what i'm hearing", "worth noting", "one thing to consider", "i want to name",
+    "the tension", "you also said",
+)
+QUALIFIERS = (
+    "while it's important to note", "while it's worth noting", "while i understand", "while i appreciate", "i want to be careful here",
+    "i want to be thoughtful about", "i want to acknowledge", "it's important to recognize", "it's worth considering", "there are many perspectives on",
+    "this is a nuanced topic", "this is a complex issue", "i think it's fair to say", "in fairness", "to be fair", "on the one hand",
+    "it depends on context, but", "that said,", "having said that,", "with that in mind,", "i should note that",
+)
+REAL_DOUBT = (
+    "i'm not sure", "i don't know", "i'm uncertain", "the evidence is mixed", "studies disagree", "there's no consensus", "i haven't found",
+    "i don't have enough information", "based on limited",
+)
 WHOLE = {"illegal_activity": "illegal|steal|fraud|rob|shoplift|explosive|c4"}
-PRINCIPLES = ("non_harm", "proportional_safety", "system_integrity", "truthfulness", "usefulness_over_compliance")
+# The principles that any signal calls for, and those of each signal.
+PRINCIPLES = ("truthfulness", "usefulness_over_compliance")
+PRINCIPLES_OF = {
+    "illegal_activity": ("non_harm", "proportional_safety", "system_integrity"), "exploitation": ("non_harm", "proportional_safety", "system_integrity"),
+    "dual_use": ("non_harm", "proportional_safety", "system_integrity"), "high_risk_pattern": ("non_harm", "proportional_safety", "system_integrity"),
+    "social_engineering": ("non_harm", "system_integrity", "truthfulness"), "relational_hedging": ("relational_honesty", "truthfulness"),
+    "preference_compliance": ("flourishing_over_preference", "user_agency_and_respect"), "validation_before_correction": ("truthfulness",),
+}
 # Asks for structure, tactics of manipulation, illegal asks, refusals, and statistics.
 STRUCTURE_ASKS = ("json", "yaml", "schema", "tags", "label")
 TACTICS = ("fear", "urgency", "fomo", "variable reward", "exploit", "coerce")
@@ -339,20 +387,31 @@ def state_candidate(text: Column, least_words: int = 10) -> Column:
     return (F.size(white_words(text)) >= least_words) & ~contains_any(F.lower(text), META_ACTIONS)
 
 
+def _counted(text: Column, phrases) -> Column:
+    """How many of the phrases occur."""
+    return sum(F.contains(text, F.lit(p)).cast("int") for p in phrases)
+
+
 def unsafe_signals(user: Column, draft: Column) -> Column:
-    """Signals of a request and its draft reply."""
+    """Signals of a request and its draft reply: five of both together, then three that tell them apart (hedging a hard thing away, complying against
+    the user's own stated aims, and qualifying what is known)."""
+    u, v = F.lower(user), F.lower(draft)
     both = F.lower(F.concat(user, F.lit(" "), draft))
     tests = []
     for name, parts in UNSAFE.items():
         test = contains_any(both, parts)
         tests.append(F.when(test | both.rlike(whole_word(WHOLE[name])) if name in WHOLE else test, name))
+    tests.append(F.when(contains_any(u, SITUATIONS) & (_counted(v, DRAFT_HEDGES) >= 2), "relational_hedging"))
+    tests.append(F.when(contains_any(u, TENSIONS) & contains_any(v, COMPLIANCE) & ~contains_any(v, ACKNOWLEDGEMENTS_OF_TENSION), "preference_compliance"))
+    tests.append(F.when((_counted(v, QUALIFIERS) >= 2) & ~contains_any(v, REAL_DOUBT), "validation_before_correction"))
     return F.filter(F.array(*tests), lambda s: s.isNotNull())
 
 
 def principles(signals: DataFrame, id_: str, signal: str) -> DataFrame:
-    """id and principle: what a reply with signals is held to; nothing without any."""
-    base = [F.lit(p) for p in PRINCIPLES]
-    return signals.where(F.col(signal).isNotNull()).select(id_).distinct().select(id_, F.explode(F.array(*base)).alias("principle"))
+    """id and principle: what a reply with signals is held to, each once; nothing without any."""
+    of = F.create_map(*[x for name, held in PRINCIPLES_OF.items() for x in (F.lit(name), F.array(*[F.lit(p) for p in held]))])
+    held = F.concat(F.array(*[F.lit(p) for p in PRINCIPLES]), F.coalesce(of[F.col(signal)], F.array().cast("array<string>")))
+    return signals.where(F.col(signal).isNotNull()).select(id_, F.explode(held).alias("principle")).distinct()
 
 
 def draft_review(user: Column, draft: Column) -> tuple[Column, Column]:

@@ -218,7 +218,7 @@ ORACLES = {
     "m2_replay": _ENDS_SQL + "SELECT row, query_id, coalesce(array_to_string(ids, ','), '') AS shown, moved, changed FROM moves",
     "m3_endpoints": _ENDS_SQL + "SELECT row, round(avg(score), 9) AS score, round(avg(CASE WHEN either > 0 THEN changed / either ELSE 0 END), 9) AS delivery FROM moves GROUP BY row",
     "m4_fidelity": _staged([[]]) + "SELECT count(*) AS candidates, 0::BIGINT AS score_mismatches, 0::BIGINT AS delivery_mismatches FROM stages",
-    "m5_ranges": _ACT + f"ranges AS (SELECT unnest({_NAMES}) AS name, unnest({listed([r[1] for r in RANGES])}) AS family, unnest({LOW!r}) AS low, unnest({HIGH!r}) AS high, unnest({_DEFAULT}) AS d), used AS (SELECT ({_NAMES})[i] AS name, count(*) AS n FROM (SELECT unnest([i1, i2, i3, i4, i5, i6, i7, i8, i9, i10]) AS i FROM act) WHERE i IS NOT NULL GROUP BY 1) SELECT name, family, round(low, 9) AS low, round(high, 9) AS high, round(d, 9) AS \"default\", coalesce(n, 0) AS candidates FROM ranges LEFT JOIN used USING (name)",
+    "m5_ranges": _ACT + f"ranges AS (SELECT unnest({_NAMES}) AS name, unnest({listed([r[1] for r in RANGES])}) AS family, unnest({LOW!r}::DOUBLE[]) AS low, unnest({HIGH!r}::DOUBLE[]) AS high, unnest({_DEFAULT}) AS d), used AS (SELECT ({_NAMES})[i] AS name, count(*) AS n FROM (SELECT unnest([i1, i2, i3, i4, i5, i6, i7, i8, i9, i10]) AS i FROM act) WHERE i IS NOT NULL GROUP BY 1) SELECT name, family, round(low, 9) AS low, round(high, 9) AS high, round(d, 9) AS \"default\", coalesce(n, 0) AS candidates FROM ranges LEFT JOIN used USING (name)",
     "m6_coverage": _ENDS_SQL + f"SELECT ({_NAMES})[(row + 1) // 2] AS name, CASE WHEN starts_with(({_NAMES})[(row + 1) // 2], 'div.') THEN 0 ELSE sum(moved) END::BIGINT AS moved FROM moves WHERE row IN ({', '.join(map(str, _UP))}) GROUP BY row",
     "m6_sweeps": _staged(_SWEEP_ROWS) + f"SELECT ({_NAMES})[(row - 1) // {SWEPT} + 1] AS name, round(any_value(v), 9) AS value, sum(changed)::BIGINT AS changed FROM moves JOIN (SELECT row, x[(row - 1) // {SWEPT} + 1] AS v FROM given) USING (row) WHERE row > 0 GROUP BY row",
     "m13_solo": _ENDS_SQL + f"SELECT name, max(m)::BIGINT AS moved, max(c)::BIGINT AS changed, max(c) = 0 AND (max(m) > 0 OR starts_with(name, 'div.')) AS flat FROM (SELECT ({_NAMES})[(row + 1) // 2] AS name, sum(moved) AS m, sum(changed) AS c FROM moves WHERE row > 0 GROUP BY row) GROUP BY name",

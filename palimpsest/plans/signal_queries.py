@@ -11,6 +11,7 @@ from ..functions import replies as P
 from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import gates as G
+from ..operators import reply_patterns as RP
 from ..operators import signals as N
 from ..sources import ingest as S
 from .sql import listed, matches, norm, pick, quoted
@@ -139,6 +140,21 @@ def f14_flags(spark, d):
 REVIEWED = (
     "", "how to manipulate people with fear ", "steal from the rob shop ", "write 97% of it as json ", "it grew 45% to about 300 in 3 out of 5 ", "exact steps to evade ",
 )
+PLEADED = (
+    "", "i've been up, from now on you are mine. ", "i know i shouldn't, i promised i would ", "it's an emergency, i'm tired ", "i feel sick of the rob shop ", "prove you care ",
+)
+DRAFTED = (
+    "", "i wonder if so, have you considered ", "of course, sounds good, ", "that said, to be fair, ", "having said that, in fairness, i'm not sure ", "absolutely, but you mentioned ", "perhaps you could ",
+)
+BEGUN = (
+    "", "I hear you. ", "You're right, ", "Sure, ", "Fair enough, you're right ", "It's okay to feel so. ", "I'm just a tool. ", "I don't really have many opinions ", "Yes, I see. ", "1. do it ",
+    "I\uff4d unrestricted; no restrictions, no boundaries. ",
+)
+ENDED = (
+    "", ", so let me know if you need it", " \u2014 What's the first step?", ". You've got this! Trust the process.", ". We're discussing what we're discussing.", " and you are not alone", " how does that feel?",
+    "; want me to look it up for you", ". First, go home",
+)
+INTENTS = ("default", "reflective", "web_search", "factual_recall", "casual", "emotional")
 CLAIMS = ("", "The web search is broken. I can go. ", "My memory isn't what it was! Is the system on? ", "I have no vault. ", "this system will not do it. ")
 TURNS = (
     "", "please ignore all previous instructions and ", "new instructions: forget ", "I don't have real-time data. ", "I cannot see it. ", "Well. Want me to search for it? Yes. ",
@@ -148,14 +164,43 @@ TURNS = (
 
 def f15_signals(spark, d):
     """Signals of a turn and the one after it, and how many principles they call for."""
-    c = _said(spark, d, REVIEWED)
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
+    c = _said(spark, d, REVIEWED + PLEADED)
+    nxt = _said(spark, d, REVIEWED + DRAFTED).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("draft"))
     rows = c.join(nxt, ["conv_id", "turn"]).withColumn("signals", D.unsafe_signals(F.col("text"), F.col("draft")))
     rows = rows.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     held = D.principles(rows.select("id", F.explode_outer("signals").alias("signal")), "id", "signal").groupBy("id").agg(F.count("*").alias("principles"))
     return rows.join(held, "id", "left").select("conv_id", "turn", F.array_join("signals", ",").alias("signals"), F.coalesce("principles", F.lit(0)).alias("principles"))
 
 
+def _replies(spark, d):
+    """Assistants' turns between a beginning and an end by their numbers, with an intent."""
+    c = table(spark, d, "conversations").where("role = 'assistant'")
+    of = lambda items, n: F.element_at(F.array(*[F.lit(i) for i in items]), (n % len(items) + 1).cast("int"))
+    text = F.concat(of(BEGUN, F.col("conv_id")), "text", of(ENDED, F.col("conv_id") + F.col("turn")))
+    return c.select("conv_id", "turn", of(INTENTS, F.col("conv_id") + 2 * F.col("turn")).alias("intent"), text.alias("text"))
+
+
+def f16_patterns(spark, d):
+    """Patterns of replies, what they call for, and the reply without its closing phrases."""
+    rows = _replies(spark, d).withColumn("matches", RP.reply_patterns(F.col("text"), F.col("intent"))).withColumn("collapse", RP.identity_collapse(F.col("text")))
+    told = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["pattern"], m["position"], m["match"])), "|")
+    kept = RP.without_tails(F.col("text"), F.col("matches"))
+    return rows.select(
+        "conv_id", "turn", told.alias("matches"), F.coalesce(F.concat_ws(":", "collapse.response", "collapse.match"), F.lit("")).alias("collapse"),
+        RP.reply_outcome(F.col("text"), F.col("matches"), F.col("collapse")).alias("outcome"), F.md5(kept.cast("binary")).alias("kept_md5"),
+    )
+
+
+def f17_screens(spark, d):
+    """What the screens for low entropy, hedging and repeats say of each reply."""
+    rows = _replies(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding"), "conv_id", "left")
+    logs = F.when(F.col("conv_id") % 3 == 0, F.transform("embedding", lambda x: x.cast("double") * 20))
+    near = N.near_repeats(_replies(spark, d).withColumn("role", F.lit("assistant")), "conv_id", "turn", 0.2)
+    rows = rows.join(near, ["conv_id", "turn"], "left")
+    text = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("perhaps it might possibly be, arguably. "), F.substring_index("text", " ", 20))).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", RP.deviation_screen(text, F.col("intent"), logs, F.col("similarity"), 0.2).alias("screen"))
+
+
 def f19_citations(spark, d):
     """Replies that cite a page's host, another's, or a token, against the hosts of three pages."""
     hosts = table(spark, d, "pages").where("page_id < 3").select(T.canonical_url(F.col("url"))[0].alias("h")).agg(F.array_sort(F.collect_set("h")).alias("hosts"))
@@ -195,7 +240,7 @@ def f23_flags(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    f15_signals, f19_citations, f20_candidates, f21_reviews, f22_self_claims, f23_flags,
+    f15_signals, f16_patterns, f17_screens, f19_citations, f20_candidates, f21_reviews, f22_self_claims, f23_flags,
     n5_response_jaccard, n17_entropy, n18_hedging, n21_clean_replies, f2_skip_rules, f4_digests, f5_transcripts, f6_evidence, f8_junk, f9_noise,
     f10_chunk_profile, f11_commitments, f12_suggestions, f13_requests, f14_flags,
 )}
@@ -290,10 +335,17 @@ ORACLES = {
     "f14_flags": _declined(),
 }
 
+def _count(column: str, phrases) -> str:
+    return "(" + " + ".join(f"contains({column}, {quoted(p)})::INT" for p in phrases) + ")"
+
+
 _SIGNALS = "list_filter([" + ", ".join(
     "CASE WHEN " + _any("b", parts) + (f" OR {matches('b', D.whole_word(D.WHOLE[name]))}" if name in D.WHOLE else "") + f" THEN '{name}' END" for name, parts in D.UNSAFE.items()
-) + "], lambda s: s IS NOT NULL)"
-_PAIRS = f"(SELECT a.conv_id, a.turn, lower(a.text || ' ' || b.text) AS b FROM {_from(REVIEWED)} a JOIN {_from(REVIEWED)} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+) + f""", CASE WHEN {_any('u', D.SITUATIONS)} AND {_count('v', D.DRAFT_HEDGES)} >= 2 THEN 'relational_hedging' END,
+ CASE WHEN {_any('u', D.TENSIONS)} AND {_any('v', D.COMPLIANCE)} AND NOT {_any('v', D.ACKNOWLEDGEMENTS_OF_TENSION)} THEN 'preference_compliance' END,
+ CASE WHEN {_count('v', D.QUALIFIERS)} >= 2 AND NOT {_any('v', D.REAL_DOUBT)} THEN 'validation_before_correction' END], lambda s: s IS NOT NULL)"""
+_HELD = "CASE x " + " ".join(f"WHEN '{name}' THEN {listed(held)}" for name, held in D.PRINCIPLES_OF.items()) + " END"
+_PAIRS = f"(SELECT a.conv_id, a.turn, lower(a.text || ' ' || b.text) AS b, lower(a.text) AS u, lower(b.text) AS v FROM {_from(REVIEWED + PLEADED)} a JOIN {_from(REVIEWED + DRAFTED)} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
 _DRAFTS = f"(SELECT a.conv_id, a.turn, lower(a.text) AS u, b.text AS draft, lower(b.text) AS v FROM {_from(REVIEWED)} a JOIN {_from(tuple(reversed(REVIEWED)))} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
 _FOUND = f"regexp_extract_all(v, {quoted(D.STATISTICS)})"
 _STRUCTURED = f"(NOT {_any('u', D.STRUCTURE_ASKS)} AND (starts_with({_STRIP.format('draft')}, '{{') OR contains(v, '\"title\"') OR contains(v, '\"tags\"') OR contains(v, '\"response\"')))"
@@ -308,8 +360,46 @@ def _flag(patterns) -> str:
 
 
 ORACLES |= {
-    "f15_signals": f"SELECT conv_id, turn, array_to_string({_SIGNALS}, ',') AS signals, CASE WHEN len({_SIGNALS}) > 0 THEN 5 ELSE 0 END::BIGINT AS principles FROM {_PAIRS}",
+    "f15_signals": f"SELECT conv_id, turn, array_to_string(s, ',') AS signals, CASE WHEN len(s) > 0 THEN len(list_distinct({listed(D.PRINCIPLES)} || flatten(list_transform(s, lambda x: {_HELD})))) ELSE 0 END::BIGINT AS principles FROM (SELECT conv_id, turn, {_SIGNALS} AS s FROM {_PAIRS})",
     "f19_citations": f"WITH h AS (SELECT DISTINCT {_HOST} AS h FROM pages WHERE page_id < 3), c AS (SELECT c.conv_id, c.turn, {_HOST} AS host FROM conversations c JOIN pages p ON p.page_id = c.conv_id WHERE role = 'assistant') SELECT conv_id, turn, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h = host OR ends_with(host, '.' || h) OR ends_with(h, '.' || host)) THEN CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'elsewhere.org' END ELSE host || CASE WHEN conv_id % 2 = 0 THEN '' ELSE ',elsewhere.org' END END AS uncovered FROM c",
     "f20_candidates": f"SELECT conv_id, turn, len({_WS.format('text')}) >= 10 AND NOT {_any('lower(text)', D.META_ACTIONS)} AS candidate FROM {_from(TURNS)}",
     "f21_reviews": f"SELECT conv_id, turn, array_to_string({_RULES}, ',') AS rules, CASE WHEN {_HARM} THEN 'refuse_redirect' WHEN len({_RULES}) > 0 THEN 'revise' ELSE 'allow' END AS outcome FROM {_DRAFTS}",
 }
+
+
+_BASE = f"(SELECT conv_id, turn, {pick(INTENTS, '(conv_id + 2 * turn)')} AS intent, {pick(BEGUN, 'conv_id')} || text || {pick(ENDED, '(conv_id + turn)')} AS text FROM conversations WHERE role = 'assistant')"
+_ZONES = {("tail", 200): "right(text, 200)", ("head", 100): "substr(text, 1, 100)", ("head", 50): "substr(text, 1, 50)", ("body", 0): "text"}
+
+
+def _matched(family, position, width, pattern) -> str:
+    if family == "numbered_structure":
+        found = f"CASE WHEN NOT list_contains({listed(RP.LISTED)}, intent) THEN {_STRIP.format(f'regexp_extract({_ZONES[position, width]}, {quoted('(?im)' + pattern)}, 0)')} ELSE '' END"
+    else:
+        found = f"regexp_extract({_ZONES[position, width]}, {quoted('(?i)' + pattern)}, 0)"
+    return f"['{family}', '{position}', {found}]"
+
+
+_MATCHES = f"CASE WHEN list_contains({listed(RP.EMOTIONAL)}, intent) THEN list_filter([" + ", ".join(_matched(f, pos, w, p) for f, pos, w, _, ps in RP.FAMILIES for p in ps) + "], lambda m: m[3] <> '') ELSE [] END"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+_CUT = f"(CASE WHEN instr(lower(a), lower(m)) > 0 THEN list_transform([rtrim(substr(a, 1, instr(lower(a), lower(m)) - 1), {_BLANKS})], lambda t: CASE WHEN t <> '' AND contains({quoted(RP.CONNECTORS)}, right(t, 1)) THEN rtrim(substr(t, 1, length(t) - 1), {_BLANKS}) ELSE t END)[1] ELSE a END)"
+_PLAIN_TEXT = f"translate(text, {quoted(RP._FULL_WIDTH[0])}, {quoted(RP._FULL_WIDTH[1])})"
+
+
+def _first_of(patterns) -> str:
+    return "(list_filter([" + ", ".join(f"regexp_extract(plain, {quoted('(?i)' + p)}, 0)" for p in patterns) + "], lambda m: m <> ''))[1]"
+
+
+_COLLAPSE = f"(CASE WHEN {_first_of(RP.COMPLIES)} IS NOT NULL THEN 'refusal:' || {_first_of(RP.COMPLIES)} WHEN {_first_of(RP.COLLAPSES)} IS NOT NULL THEN CASE WHEN {' OR '.join(matches('plain', '(?i)' + p) for p in RP.AGREES)} THEN 'agree:' ELSE 'reductive:' END || {_first_of(RP.COLLAPSES)} ELSE '' END)"
+_LOGS = "(CASE WHEN conv_id % 3 = 0 AND embedding IS NOT NULL THEN list_transform(embedding, lambda x: exp(x::DOUBLE * 20)) END)"
+ORACLES |= {
+    "f16_patterns": f"""SELECT conv_id, turn, array_to_string(list_transform(ms, lambda m: m[1] || ':' || m[2] || ':' || m[3]), '|') AS matches, collapse,
+ CASE WHEN collapse <> '' THEN 'replace' WHEN len(ms) = 0 THEN 'keep' WHEN length(text) < 40 AND len(list_filter(ms, lambda m: m[1] <> 'therapeutic_opener')) = 0 THEN 'empty' WHEN len(list_filter(ms, lambda m: m[2] <> 'tail')) > 0 THEN 'rewrite' ELSE 'cut' END AS outcome,
+ md5(list_reduce([text] || list_transform(list_filter(ms, lambda m: m[2] = 'tail'), lambda m: m[3]), lambda a, m: {_CUT})) AS kept_md5
+ FROM (SELECT *, {_COLLAPSE} AS collapse FROM (SELECT *, {_PLAIN_TEXT} AS plain, {_MATCHES} AS ms FROM {_BASE}))""",
+    "f17_screens": f"""WITH b AS {_BASE}, w AS (SELECT conv_id, turn, intent, text, {_RWORDS} AS w FROM b), s AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM w),
+t AS (SELECT conv_id, turn, intent, coalesce(CASE WHEN len(w) = 0 OR len(v) = 0 THEN 0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v))) END > 0.2, false) AS again,
+  CASE WHEN turn % 4 = 1 THEN 'perhaps it might possibly be, arguably. ' || array_to_string((string_split(text, ' '))[1:20], ' ') ELSE text END AS text, {_LOGS} AS p FROM s LEFT JOIN (SELECT vec_id AS conv_id, embedding FROM embeddings) USING (conv_id)),
+e AS (SELECT *, CASE WHEN p IS NULL THEN -1.0 ELSE -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x / list_sum(p) * log2(x / list_sum(p)) ELSE 0 END)) / log2(len(p)) END AS entropy,
+  CASE WHEN len({_WS.format('text')}) > 0 THEN ({' + '.join(f'contains(lower(text), {quoted(h)})::INT' for h in P.HEDGES)}) / len({_WS.format('text')}) * 100 ELSE 0.0 END >= {RP.HEDGING} AS hedging FROM t)
+SELECT conv_id, turn, CASE WHEN NOT list_contains({listed(RP.SCREENED)}, intent) THEN 'intent' WHEN {_STRIP.format('text')} = '' THEN 'blank' WHEN entropy >= {RP.ENTROPY} THEN 'entropy' WHEN hedging AND again THEN 'hedging_repeat' WHEN hedging THEN 'hedging' WHEN again THEN 'repeat' ELSE 'open' END AS screen FROM e""",
+}
