@@ -31,6 +31,8 @@ FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5
 NEVER = np.uint64(PAIRS + 1)
+#: Windows of a text that are worked on at once.
+PIECE = 1 << 20
 #: Words of two chains that are compared at once.
 COMPARED_WORDS = 1 << 20
 
@@ -57,12 +59,13 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(PAIRS + 1, np.int64)
         for _, data, offsets in text_blocks(batches):
-            pairs = equal_pairs(data)
-            # windows that cross a document's end don't count
-            inside = np.ones(len(pairs), bool)
-            for cut in offsets[1:-1].tolist():
-                inside[max(0, cut - WINDOW + 1) : cut] = False
-            total += np.bincount(pairs[inside], minlength=PAIRS + 1)
+            for begin in range(0, max(1, len(data) - WINDOW + 1), PIECE):  # a block is one text, if that is long
+                pairs = equal_pairs(data[begin : begin + PIECE + WINDOW - 1])
+                # windows that cross a document's end don't count
+                inside = np.ones(len(pairs), bool)
+                for cut in (offsets[1:-1] - begin).tolist():
+                    inside[max(0, cut - WINDOW + 1) : max(0, cut)] = False
+                total += np.bincount(pairs[inside], minlength=PAIRS + 1)
         schema = pa.schema([("pairs", pa.int32()), ("n", pa.int64())])
         yield record_batch(schema, [np.arange(PAIRS + 1, dtype=np.int32), total])
 
@@ -81,36 +84,81 @@ def rarity_ranks(counts: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def _features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of the features of texts, in order of owner and place.
+
+    Texts are worked on some at a time, long ones in pieces of ``PIECE`` windows: a piece has the bytes that the neighbourhoods of its
+    windows reach into, so its windows win what they would win in the whole text, and memory doesn't follow a text's length.
+    """
+    owners, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    pieces: list[tuple[int, int, int, bytes]] = []
+    size = 0
+
+    def work() -> None:
+        owner, found = _piece_features(pieces, ranks)
+        owners.append(owner)
+        hashes.append(found)
+        pieces.clear()
+
+    for i, text in enumerate(texts):
+        for begin in range(0, max(1, len(text) - WINDOW + 1), PIECE):
+            context = min(begin, NEIGHBOURS - 1)
+            end = min(begin + PIECE, max(0, len(text) - WINDOW + 1))
+            part = text[begin - context : end + NEIGHBOURS + WINDOW - 2] if end > begin else b""
+            pieces.append((i, context, context + end - begin, part))
+            size += len(part)
+            if size >= PIECE:
+                work()
+                size = 0
+    work()
+    owner, found = np.concatenate(owners), np.concatenate(hashes)
+    # a text without a feature is one as a whole
+    without = [i for i in np.flatnonzero(np.bincount(owner, minlength=len(texts)) == 0).tolist() if texts[i]]
+    whole = np.array([_whole_hash(texts[i]) for i in without], np.uint64)
+    owner, found = np.concatenate([owner, np.array(without, np.int64)]), np.concatenate([found, whole])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], found[order]
+
+
+def _whole_hash(text: bytes) -> int:
+    """Of the bytes, or for a long text of its pieces' hashes."""
+    parts = [np.frombuffer(text[a : a + PIECE], np.uint8) for a in range(0, len(text), PIECE)]
+    found = np.array([segment_hashes(p, np.array([0]), np.array([len(p)]))[0] for p in parts], np.uint64)
+    return int(found[0]) if len(found) == 1 else _whole_hash(found.tobytes())
+
+
+def _piece_features(pieces: list[tuple[int, int, int, bytes]], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces (owner, first and end of the windows that count, bytes)."""
+    gap = bytes(NEIGHBOURS + WINDOW)
+    lengths = np.array([len(p[3]) for p in pieces], np.int64)
+    data = np.frombuffer(gap + b"".join(p[3] + gap for p in pieces), np.uint8)
+    if not len(lengths):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    begins = len(gap) + np.cumsum(np.append(0, lengths[:-1] + len(gap)))
+    windows = np.maximum(lengths - WINDOW + 1, 0)
+    rank = np.full(len(data), NEVER, np.uint64)
+    inside = np.repeat(begins, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    rank[inside] = ranks[equal_pairs(data)[inside]]
+    # least (rank, place) of each neighbourhood, by doubling
+    best = (rank << np.uint64(32)) | np.arange(len(data), dtype=np.uint64)
+    span = 1
+    while span < NEIGHBOURS:
+        best[:-span] = np.minimum(best[:-span], best[span:])
+        span *= 2
+    winner = best[best < (NEVER << np.uint64(32))] & np.uint64(0xFFFFFFFF)
+    chosen = np.flatnonzero(np.bincount(winner.astype(np.int64), minlength=len(data)) >= WINS)
+    at = np.searchsorted(begins, chosen, side="right") - 1
+    first, end = (np.array([p[k] for p in pieces], np.int64) for k in (1, 2))
+    counts = (chosen - begins[at] >= first[at]) & (chosen - begins[at] < end[at])
+    chosen, at = chosen[counts], at[counts]
+    return np.array([p[0] for p in pieces], np.int64)[at], segment_hashes(data, chosen, chosen + WINDOW)
+
+
 class Digests:
     """Filters of the texts of a block: those of text i are first[i]:first[i + 1]."""
 
     def __init__(self, texts: list[bytes], ranks: np.ndarray):
-        gap = bytes(NEIGHBOURS + WINDOW)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
-        begins = len(gap) + np.cumsum(np.append(0, lengths[:-1] + len(gap)))
-        windows = np.maximum(lengths - WINDOW + 1, 0)
-        rank = np.full(len(data), NEVER, np.uint64)
-        inside = np.repeat(begins, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        rank[inside] = ranks[equal_pairs(data)[inside]]
-        # least (rank, place) of each neighbourhood, by doubling
-        best = (rank << np.uint64(32)) | np.arange(len(data), dtype=np.uint64)
-        span = 1
-        while span < NEIGHBOURS:
-            best[:-span] = np.minimum(best[:-span], best[span:])
-            span *= 2
-        winner = best[best < (NEVER << np.uint64(32))] & np.uint64(0xFFFFFFFF)
-        wins = np.bincount(winner.astype(np.int64), minlength=len(data))
-        chosen = np.flatnonzero(wins >= WINS)
-        owner = np.searchsorted(begins, chosen, side="right") - 1
-        # a text without a feature is one as a whole
-        none = np.flatnonzero((np.bincount(owner, minlength=len(texts)) == 0) & (lengths > 0))
-        starts = np.concatenate([chosen, begins[none]])
-        ends = np.concatenate([chosen + WINDOW, begins[none] + lengths[none]])
-        owner = np.concatenate([owner, none])
-        hashes = segment_hashes(data, starts, ends)
-        order = np.argsort(owner, kind="stable")
-        owner, hashes = owner[order], hashes[order]
+        owner, hashes = _features(texts, ranks)
         self.features = np.bincount(owner, minlength=len(texts))
         chain = -(-self.features // FILTER_FEATURES)
         self.first = np.concatenate([[0], np.cumsum(chain)])
@@ -192,7 +240,7 @@ def fingerprint_documents(docs: DataFrame, target_rows: int = 4096, max_slices:
     first as many (or all) of the next document's, in descending order of ids,
     the first following the last; equal ids go by a hash of their texts, null ids come
     last.  Null text is empty.  Empty texts have no features; two of them are alike (1),
-    one is unlike any other (0).  Equal texts have equal fingerprints.  Repeated
+    one is unlike any other (0).  Equal texts have equal fingerprints.  Texts of any length are read whole, in pieces.  Repeated
     rows are rows of their own; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -60,6 +60,11 @@ class Vocabulary:
         """Hashes of a pair of ids."""
         return 2 * self.size
 
+    @property
+    def kind(self) -> type:
+        """The narrowest numbers that hold ids and hashed pairs."""
+        return np.uint16 if self.pairs <= 1 << 16 else np.uint32
+
     @property
     def start(self) -> int:
         """The id before the first token."""
@@ -90,11 +95,15 @@ def _merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values, np.bincount(place, counts, len(values)).astype(np.int64)
 
 
-def frequent_words(training: DataFrame, least: int, most: int, growth: float = 2e7) -> Vocabulary:
-    """About the most frequent words: ``least``, and as the cube root of the training words beyond ``growth`` more, ``most`` at most.
+def frequent_words(training: DataFrame, least: int, growth: float = 2e7) -> Vocabulary:
+    """About the most frequent words: ``least``, and as the cube root of the training words beyond ``growth`` more.
 
-    Each task nominates its own; which words have an id is a choice of the model, their counts are taken exactly later.
+    Each task nominates its own, twice as many as all may become; which words have an id is a choice of the model, their counts are taken exactly later.
     """
+    # a word and what ends it take two bytes at least
+    size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    nominated = 2 * int(least * max(1.0, (size / 2 + 1) / growth) ** (1 / 3))
+    held = max(200_000, 2 * nominated)
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -103,32 +112,34 @@ def frequent_words(training: DataFrame, least: int, most: int, growth: float = 2
             new = hashed_words(data, offsets).hashes
             total += len(new)
             values, counts = _merged(np.concatenate([values, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-            if len(values) > 400_000:
-                top = np.sort(np.argpartition(-counts, 200_000)[:200_000])
+            if len(values) > 2 * held:
+                top = np.sort(np.argpartition(-counts, held)[:held])
                 values, counts = values[top], counts[top]
-        top = np.argsort(-counts, kind="stable")[: 2 * most]
+        top = np.argsort(-counts, kind="stable")[:nominated]
         yield record_batch(schema, [[None, *values[top].view(np.int64).tolist()], [total, *counts[top].tolist()]])
 
     named = training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     named = materialize(named, "named")
     words = named.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heads = min(most, int(least * max(1.0, words / growth) ** (1 / 3)))
+    heads = int(least * max(1.0, words / growth) ** (1 / 3))
     rows = named.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(heads).select("h").collect()
     return Vocabulary(np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64)))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, held_out, key (of the text) and ids (16-bit, the end last)."""
+    """doc_id, held_out, key (of the text) and ids (of the vocabulary's kind, the end last)."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.binary()), ("ids", pa.binary())])
 
+    wide = np.dtype(vocabulary.kind).itemsize
+
     def run(batches):
         for block, data, offsets in text_blocks(batches):
             words = hashed_words(data, offsets)
-            ids = np.insert(vocabulary.ids(words.hashes), words.first[1:], vocabulary.end).astype(np.uint16)
+            ids = np.insert(vocabulary.ids(words.hashes), words.first[1:], vocabulary.end).astype(vocabulary.kind)
             first = (words.first + np.arange(len(words.first))).tolist()
             raw, text = ids.tobytes(), data.tobytes()
             keys = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            cut = [raw[2 * a : 2 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            cut = [raw[wide * a : wide * b] for a, b in zip(first[:-1], first[1:], strict=True)]
             yield record_batch(schema, [block.column("doc_id"), block.column("held_out"), keys, cut])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, key binary, ids binary")
@@ -243,7 +254,7 @@ def text_logs(packed: DataFrame) -> DataFrame:
     return packed.where("bucket >= 0").groupBy("bucket").applyInArrow(add, "key binary, logs double, known long")
 
 
-def _summed(encoded: DataFrame, arrays) -> list[np.ndarray]:
+def _summed(encoded: DataFrame, kind: type, arrays) -> list[np.ndarray]:
     """arrays(iterator of id arrays) gives float64 arrays in each task; their sums over all tasks."""
     schema = pa.schema([("piece", pa.int32()), ("task", pa.int64()), ("sums", pa.binary())])
     width = 1 << 13
@@ -252,7 +263,7 @@ def _summed(encoded: DataFrame, arrays) -> list[np.ndarray]:
         def documents():
             for batch in batches:
                 for ids in batch.column("ids").to_pylist():
-                    yield np.frombuffer(ids, np.uint16).astype(np.int64)
+                    yield np.frombuffer(ids, kind).astype(np.int64)
 
         flat = np.concatenate([a.ravel() for a in arrays(documents())]).astype(np.float64)
         pieces = [flat[k : k + width].tobytes() for k in range(0, len(flat), width)]
@@ -336,7 +347,7 @@ def _context_counts(encoded: DataFrame, vocabulary: Vocabulary, contexts: np.nda
             right += np.bincount(before[inner] * m + contexts[ids[inner]], minlength=n * m)
         return [single, left.reshape(n, m), right.reshape(n, m)]
 
-    return _summed(encoded, arrays)
+    return _summed(encoded, vocabulary.kind, arrays)
 
 
 def _single_counts(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -346,7 +357,7 @@ def _single_counts(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             single += np.bincount(ids, minlength=vocabulary.size)
         return [single]
 
-    return _summed(encoded, arrays)[0]
+    return _summed(encoded, vocabulary.kind, arrays)[0]
 
 
 def word_classes(left: np.ndarray, right: np.ndarray, single: np.ndarray, seed: int) -> np.ndarray:
@@ -382,7 +393,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
             by_class += np.bincount(class_of[before] * n + ids, minlength=len(by_class))
         return [by_before.reshape(n + 1, CLASSES), by_class.reshape(CLASSES, n)]
 
-    by_before, by_class = _summed(encoded, pairs)
+    by_before, by_class = _summed(encoded, vocabulary.kind, pairs)
     share = (of_class + 0.1) / (of_class + 0.1).sum()
     bias = np.log(share)
     # the start of training: the smoothed class bigram, as weights
@@ -418,7 +429,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
                 total += np.bincount(f * CLASSES + c, minlength=len(total))
         return [total.reshape(-1, CLASSES) for total in seen]
 
-    seen = _summed(encoded, observed)
+    seen = _summed(encoded, vocabulary.kind, observed)
     for _ in range(UPDATES):
         sent = encoded.sparkSession.sparkContext.broadcast(model)
 
@@ -435,38 +446,36 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
                     np.exp(p, out=p)
                     p *= (times[a : a + 20_000] / p.sum(axis=1))[:, None].astype(np.float32)
                     for total, f in zip(thought, (before, skip, m.features(before, skip)), strict=True):
-                        order = np.argsort(f.astype(np.uint16), kind="stable")
+                        order = np.argsort(f.astype(vocabulary.kind), kind="stable")
                         ordered = f[order]
                         begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
                         total[ordered[begins]] += np.add.reduceat(p[order], begins, axis=0)
             return thought
 
         # the gradient, observed less expected, each weight's by its own scale and a third for each of the three features of a token
-        for table, is_, thought in zip((model.by_before, model.by_skip, model.by_pair), seen, _summed(encoded, expected), strict=True):
+        for table, is_, thought in zip((model.by_before, model.by_skip, model.by_pair), seen, _summed(encoded, vocabulary.kind, expected), strict=True):
             table += ((is_ - thought) / (3 * ((is_ + thought) / 2 + 2))).astype(np.float32)
     return model
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, heads: int = 2048, most_heads: int = 16_384) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, heads: int = 2048, growth: float = 2e7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learns from documents whose crc32(doc_id) mod folds isn't the held-out fold.
     Tokens are words between white space, A-Z folded, then one end.  Null and
-    empty texts have the end alone.  ``base_score`` is the smoothed unigram's log10
+    empty texts have the end alone; texts of any length are read whole.  ``heads`` words have ids of their own, more beyond ``growth`` training words.  ``base_score`` is the smoothed unigram's log10
     probability, ``score`` the model's.  Repeated rows are trained on and scored
     each; null ids count as the empty id.  Without training documents
     both scores follow from the smoothing alone; an empty table gives an empty result.
     """
-    if 2 * (max(heads, most_heads) + 1 + SUFFIXES) > 1 << 16:
-        raise ValueError("ids and hashed pairs have 16 bits: heads must be fewer")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", fold_of(F.col("doc_id"), folds) == held_out_fold)
-    vocabulary = frequent_words(docs.where(~F.col("held_out")), heads, max(heads, most_heads))
+    vocabulary = frequent_words(docs.where(~F.col("held_out")), heads, growth)
     encoded = materialize(encode(docs, vocabulary), "encoded")
     training = encoded.where(~F.col("held_out"))
     single = _single_counts(training, vocabulary)
     bytes_, total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)), F.count("*")).first()
-    tokens = bytes_ // 2
+    tokens = bytes_ // np.dtype(vocabulary.kind).itemsize
     rare = materialize(rare_word_logs(docs, vocabulary, max(1, -(-tokens // (3 * BUCKET_WORDS)))), "rare")
     kinds = np.zeros(SUFFIXES)
     listed = rare.where("bucket < 0").select(F.posexplode("kinds")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
@@ -492,7 +501,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, hea
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                documents = (np.frombuffer(b, np.uint16).astype(np.int64) for b in part.column("ids").to_pylist())
+                documents = (np.frombuffer(b, vocabulary.kind).astype(np.int64) for b in part.column("ids").to_pylist())
                 sums: list[np.ndarray] = []
                 for ids, before, skip, ends in _runs(documents, vocabulary.start):
                     begins = np.concatenate([[0], ends[:-1]])

@@ -104,8 +104,6 @@ def train_detector(
     sample: DataFrame,
     window_words: int = 1,
     training_words: int = 10,
-    vocabulary: int = 150_000,
-    toxic_words: int = 2_000,
     dictionary_bytes: int = 8192,
     least_lift: float = 1.0,
     weight_share: float = 0.03,
@@ -114,10 +112,9 @@ def train_detector(
     ordinary_windows: int = 40_000,
     toxic_windows: int = 20_000,
 ) -> Detector:
-    """From a bounded sample with text and y: all that is collected is bounded by the parameters.
+    """From a bounded sample with text and y: all that is collected is bounded by the sample and the parameters.
 
-    An ordinary word is one that a ``rare_share`` of the sample's ordinary documents hold (three at least), the ``vocabulary`` most
-    frequent ones at most.  A dictionary is trained on at most ``ordinary_windows`` or ``toxic_windows`` windows of ``training_words`` words of
+    An ordinary word is one that a ``rare_share`` of the sample's ordinary documents hold (three at least).  A dictionary is trained on at most ``ordinary_windows`` or ``toxic_windows`` windows of ``training_words`` words of
     its label, by hash.
     A word (or stem) goes with toxic documents by n1 * log(share of toxic / share
     of ordinary documents with it), and counts if it has ``weight_share`` of the greatest such weight and chance doesn't give it.
@@ -131,7 +128,7 @@ def train_detector(
     # documents with the word beyond what ordinary text's share of it gives: a word that toxic text holds more often, chance aside, stays
     ratio = n1 / max(n0, 1)
     beyond = (F.col("n1") - ratio * F.col("n0")) / F.sqrt(F.col("n1") + ratio * ratio * F.col("n0"))
-    common = counts.where(whole & (F.col("n0") >= least) & (beyond <= chance)).orderBy(F.desc("n0"), "word").limit(vocabulary)
+    common = counts.where(whole & (F.col("n0") >= least) & (beyond <= chance))
     ordinary = frozenset(bytes(r.word) for r in common.select("word").collect())
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     weight = F.col("n1") * lift
@@ -139,9 +136,9 @@ def train_detector(
     expected = ratio * (F.col("n0") + 0.5)
     surely = F.col("n1") * F.log(F.col("n1") / expected) - (F.col("n1") - expected) > F.log(F.lit(max(counts.count(), 2)))
     telling = counts.where((lift > least_lift) & (F.col("n1") > 0) & surely).select("word", weight.alias("weight"))
-    telling = telling.orderBy(F.desc("weight"), "word").limit(toxic_words)
     rows = telling.collect()
-    marked = frozenset(bytes(r.word) for r in rows if r.weight >= weight_share * rows[0].weight)
+    greatest = max((r.weight for r in rows), default=0.0)
+    marked = frozenset(bytes(r.word) for r in rows if r.weight >= weight_share * greatest)
     detector = Detector(ordinary, (b"", b""), window_words, n0 > 0 and n1 > 0)
 
     schema = pa.schema([("y", pa.int32()), ("window", pa.binary())])
@@ -232,19 +229,19 @@ def score_toxicity(
     crc32(doc_id) mod folds isn't the held-out fold are learned from.  Null and
     empty texts, and texts of ordinary words only, have the least distance.
     Null ids are scored and never labelled; repeated rows get repeated results.
-    Without labels all scores are 0.5; where a label is missing no document is predicted to
-    be toxic; without documents the result is empty.
+    Equal distances have equal scores; texts of any length are read whole.  Where a label is missing nothing
+    was learned, and all scores are 0; without documents the result is empty.
     """
     known = _known(labels, folds, held_out_fold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     detector = _detector(docs, known, sample)
     found = _with_distances(rows, detector, "distance").drop("text")
     distances = materialize(found, "distances")
-    fitted = _calibrated(distances, known)
+    fitted, learned = _calibrated(distances, known), float(detector.learned)
 
     def final(batches):
         for batch in batches:
-            score = fitted.score(np.asarray(batch.column("distance")))
+            score = fitted.score(np.asarray(batch.column("distance"))) * learned
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], ["doc_id", "distance", "score"])
 
     scored = distances.mapInArrow(final, "doc_id long, distance double, score double")
@@ -253,7 +250,7 @@ def score_toxicity(
         (fold_of(F.col("doc_id"), folds) == held_out_fold).alias("held_out"),
         "distance",
         "score",
-        ((F.col("score") >= threshold) & F.lit(detector.learned)).cast("int").alias("predicted"),
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 

@@ -195,6 +195,18 @@ def test_repeated_and_null_ids_are_ordered_by_their_texts(spark):
     assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
 
 
+def test_long_texts_in_pieces_have_the_features_of_the_whole(monkeypatch):
+    rng = random.Random(8)
+    ranks = fingerprints.rarity_ranks(np.random.default_rng(2).integers(0, 1000, fingerprints.PAIRS + 1))
+    texts = [bytes(rng.choice(b"abcdefgh the") for _ in range(n)) for n in (0, 5, 31, 32, 33, 200, 5000, 12_345)] + [b"a" * 300, b"a" * 9000]
+    whole = fingerprints.Digests(texts, ranks)
+    for piece in (100, 1000, 4096):
+        monkeypatch.setattr(fingerprints, "PIECE", piece)
+        cut = fingerprints.Digests(texts, ranks)
+        assert (cut.features == whole.features).all()
+        assert [cut.text(i) for i in range(8)] == [whole.text(i) for i in range(8)] and cut.text(9) != cut.text(8)
+
+
 def test_long_chains_are_compared_in_parts():
     rnd = np.random.default_rng(1)
     text = bytes(rnd.integers(97, 123, 3_000_000, dtype=np.uint8))
