@@ -394,7 +394,10 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, single: np.ndarray, seed:
         return [by_before.reshape(n + 1, CLASSES), by_class.reshape(CLASSES, n)]
 
     by_before, by_class = _summed(encoded, vocabulary.kind, pairs)
-    share = (of_class + 0.1) / (of_class + 0.1).sum()
+    # a class without ids gets no share, so probabilities of all ids sum up to 1
+    there = np.bincount(class_of[:-1], minlength=CLASSES) > 0
+    share = np.where(there, of_class + 0.1, 1e-30)
+    share /= share.sum()
     bias = np.log(share)
     # the start of training: the smoothed class bigram, as weights
     weights = np.log((by_before + 8 * share) / (by_before.sum(axis=1, keepdims=True) + 8)) - bias
