@@ -15,7 +15,7 @@ from ..sources.folders import written
 from . import gates as G
 from . import ranking as R
 from . import vectors as V
-from .replay import arm_numbers
+from .replay import arm_numbers, earlier_terms
 
 #: Candidates of each kind for the memory and the profile channel, and of reflections for theirs.
 PER_KIND, PER_REFLECTION = 32, 12
@@ -111,15 +111,16 @@ def channels(rows: DataFrame, floor: float = 0.25) -> DataFrame:
 
 
 def scored(rows: DataFrame, as_of: Column, usual: float = 0.5, ingested: float = 0.15) -> DataFrame:
-    """All channel rows with ``closed`` (the relevance gate or the role predicate keeps them out), ``eligible`` (for the policy), the branch
+    """All channel rows with ``closed`` (the relevance gate, then also ``shut``, or the role predicate keeps them out), ``eligible`` (for the policy), the branch
     of every factor, and ``exact``, their score before it is rounded."""
     reflection = F.col("channel") == "reflection"
     closed = R.gate_closed("query_id", F.col("policy"), usual, ingested, ~reflection)
     rows = rows.withColumn("_closed", closed)
-    kept_out = (F.col("_closed") & (reflection | (F.col("kind") != "profile"))) | (~reflection & (F.lower(F.coalesce("role", F.lit(""))) == "assistant"))
+    shut = F.col("_closed") & (reflection | (F.col("kind") != "profile"))
+    kept_out = shut | (~reflection & (F.lower(F.coalesce("role", F.lit(""))) == "assistant"))
     own = F.coalesce("authorship", F.lit("unknown"))
     rows = rows.withColumns({
-        "closed": kept_out,
+        "closed": kept_out, "shut": shut,
         "eligible": G.type_gate(F.col("kind"), F.lit(1.0), F.col("policy")),
         "weight": F.when(reflection, F.col("reflection_weight")).otherwise(F.col("memory_weight")),
         "tier_branch": F.when(F.col("kind") == "profile", "profile_bypass").otherwise(F.col("tier")),
@@ -203,10 +204,10 @@ def traced(queries: DataFrame, records: DataFrame, as_of: Column, markers: tuple
         "recency": named("prior.recency.", F.col("bucket")), "reflection": F.when(~memory, "prior.reflection_discount"),
     }
     return rows.select(
-        "query_id", "diversity", "memory_limit", "reflection_limit", "_order", "place", "vec_id", (~memory).alias("reflection"), (F.col("kind") == "profile").alias("profile"), "cosine",
+        "query_id", "diversity", "memory_weight", "memory_limit", "reflection_limit", "_order", "place", "vec_id", (~memory).alias("reflection"), (F.col("kind") == "profile").alias("profile"), "cosine",
         ((F.col("q") != "") & F.contains("content", F.col("q"))).alias("whole"), F.size(F.filter("terms", lambda t: F.contains("content", t))).alias("hits"),
-        F.size(F.filter("names", lambda n: F.contains("content", n))).alias("names"), "weight", arm_numbers(branches).alias("arms"), "closed", "eligible",
-        (~F.col("_good") | F.col("_again")).alias("filtered"), "exact", "kind", "doc", "title", F.when(F.col("diversity"), T.token_set(F.col("content"))).alias("tokens"),
+        F.size(F.filter("names", lambda n: F.contains("content", n))).alias("names"), "weight", arm_numbers(branches).alias("arms"), "closed", "shut", "eligible",
+        (~F.col("_good") | F.col("_again")).alias("filtered"), "exact", earlier_terms(F.col("kind"), F.col("role"), F.col("content")).alias("earlier"), "kind", "tier", "doc", "title", F.when(F.col("diversity"), T.token_set(F.col("content"))).alias("tokens"),
     )
 
 

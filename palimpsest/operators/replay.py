@@ -10,12 +10,16 @@ No row is made for a candidate under a parameter row, except by ``composed``, wh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_any
 from . import ranking as R
 from .designs import Listed
 
@@ -66,6 +70,57 @@ def parameter_ranges() -> list[tuple[str, str, float, float, float]]:
     return out
 
 
+@dataclass(frozen=True)
+class Arm:
+    """A treatment: which parts of assembly are on.
+
+    ``type_terms`` and ``lexical_terms`` of the search; without ``ranker_stages`` the search's score decides alone; ``type_scoring`` is the policy's own weight for
+    reflections, ``type_policy`` the eligible types and the profile's privileges; ``earlier_terms`` adds terms that searches had before (``EARLIER_KINDS``).
+    """
+
+    type_terms: bool = True
+    lexical_terms: bool = True
+    ranker_stages: bool = True
+    type_scoring: bool = True
+    type_policy: bool = True
+    tier_scoring: bool = True
+    prior: bool = True
+    role_predicate: bool = True
+    earlier_terms: bool = False
+
+
+# The treatments, and the terms of kinds, roles and contents that searches had before.
+TREATMENTS = {
+    "full": Arm(), "type_scoring_off": Arm(type_terms=False, type_scoring=False), "type_policy_off": Arm(type_terms=False, type_scoring=False, type_policy=False),
+    "tier_off": Arm(tier_scoring=False), "prior_off": Arm(prior=False), "role_off": Arm(role_predicate=False), "before": Arm(earlier_terms=True), "lexical_off": Arm(lexical_terms=False),
+    "type_and_tier_off": Arm(type_terms=False, type_scoring=False, tier_scoring=False), "naive_cosine": Arm(type_terms=False, lexical_terms=False, ranker_stages=False),
+    "naive_lexical": Arm(type_terms=False, ranker_stages=False),
+}
+EARLIER_KINDS = {"conversation": 0.10, "reflection": 0.05, "memory": 0.03, "ingested": -0.02}
+EARLIER_ROLES = {"user": 0.16, "assistant": -0.20}
+EARLIER_QUESTION, EARLIER_STATEMENT, EARLIER_CLARIFYING, EARLIER_EXPERIENCE, EARLIER_SUMMARY = -0.10, 0.04, -0.12, 0.10, -0.14
+QUESTIONS = ("?", "what ", "why ", "how ", "could you", "can you", "would you", "should i", "do i")
+CLARIFYING = ("could you clarify", "can you clarify", "tell me more", "if you'd like", "consider sharing", "this would help", "can you share", "would you like")
+EXPERIENCED = (
+    "i am", "i'm", "i was", "i have", "i've", "i feel", "i felt", "today", "yesterday", "this week", "lately", "worked on", "started", "finished", "noticed", "experienced",
+    "having",
+)
+SUMMARIES = (
+    "based on your history", "here's a summary", "here is a summary", "the main themes are", "generate", "task:", "instructions", "broad tags", "specific tags",
+)
+
+
+def earlier_terms(kind: Column, role: Column, content: Column) -> Column:
+    """What a search once added for a record's kind, role and (normalized) content."""
+    of = lambda column, values, last: reduce(lambda out, kv: out.when(column == kv[0], kv[1]), values.items(), F.when(F.lit(False), 0.0)).otherwise(last)
+    said = F.when(F.startswith(content, F.lit("user:")), EARLIER_ROLES["user"]).when(F.startswith(content, F.lit("assistant:")), EARLIER_ROLES["assistant"]).otherwise(0.0)
+    has = lambda markers, value, other=0.0: F.when(contains_any(content, markers), value).otherwise(other)
+    return (
+        of(kind, EARLIER_KINDS, 0.0) + of(F.coalesce(role, F.lit("")), EARLIER_ROLES, said) + has(QUESTIONS, EARLIER_QUESTION, EARLIER_STATEMENT)
+        + has(CLARIFYING, EARLIER_CLARIFYING) + has(EXPERIENCED, EARLIER_EXPERIENCE) + has(SUMMARIES, EARLIER_SUMMARY)
+    )
+
+
 def arm_numbers(branches: dict[str, Column]) -> Column:
     """Parameter numbers of a candidate's branches, in the order of ``ARMS``, from full names; -1 where a branch has no parameter."""
     numbers = F.create_map(*[F.lit(x) for pair in INDEX.items() for x in pair])
@@ -74,7 +129,7 @@ def arm_numbers(branches: dict[str, Column]) -> Column:
 
 CANDIDATE = (
     "vec_id long, reflection boolean, profile boolean, cosine double, whole boolean, hits int, names int, weight double, arms array<int>, closed boolean, "
-    "eligible boolean, filtered boolean, exact double, kind string, doc string, title string, tokens array<string>"
+    "shut boolean, eligible boolean, filtered boolean, exact double, earlier double, kind string, tier string, doc string, title string, tokens array<string>"
 )
 
 
@@ -82,7 +137,7 @@ def by_query(candidates: DataFrame) -> DataFrame:
     """One row per query of trace rows, its candidates in the order that decides ties."""
     fields = [f.split()[0] for f in CANDIDATE.replace("array<int>", "x").replace("array<string>", "x").split(", ")]
     row = F.struct("_order", "place", *fields)
-    packed = candidates.groupBy("query_id").agg(F.first("diversity").alias("diversity"), F.first("memory_limit").alias("memory_limit"), F.first("reflection_limit").alias("reflection_limit"), F.array_sort(F.collect_list(row)).alias("candidates"))
+    packed = candidates.groupBy("query_id").agg(F.first("diversity").alias("diversity"), F.first("memory_weight").alias("memory_weight"), F.first("memory_limit").alias("memory_limit"), F.first("reflection_limit").alias("reflection_limit"), F.array_sort(F.collect_list(row)).alias("candidates"))
     return packed
 
 
@@ -93,11 +148,12 @@ class Query:
         c = row["candidates"]
         self.query_id, self.diversity = row["query_id"], bool(row["diversity"])
         self.memory_limit, self.reflection_limit = row["memory_limit"], row["reflection_limit"]
-        for name in ("reflection", "profile", "closed", "eligible", "filtered"):
+        self.memory_weight = row["memory_weight"]
+        for name in ("reflection", "profile", "closed", "shut", "eligible", "filtered"):
             setattr(self, name, np.array([x[name] for x in c], bool))
-        for name in ("cosine", "whole", "hits", "names", "weight", "exact"):
+        for name in ("cosine", "whole", "hits", "names", "weight", "exact", "earlier"):
             setattr(self, name, np.array([x[name] for x in c], float))
-        self.ids = [x["vec_id"] for x in c]
+        self.ids, self.kinds, self.tiers = ([x[key] for x in c] for key in ("vec_id", "kind", "tier"))
         self.arms = np.array([x["arms"] for x in c])
         if self.diversity:
             self.turn = np.array([R.TURNS.index(x["kind"] if x["kind"] in R.TURNS else "other") for x in c])
@@ -161,6 +217,43 @@ class Query:
                 return shown
 
 
+    def under(self, arm: Arm) -> tuple[np.ndarray, list[int]]:
+        """Score of every candidate under an arm, and the delivered ones in order.
+
+        The least score of the gate is asked of the bare cosine here, so that an arm that scores lower doesn't lose candidates for it; diversity is off.
+        """
+        x, same = DEFAULT[None].copy(), copy(self)
+        off = lambda test, value: [x.__setitem__((0, k), value) for n, k in INDEX.items() if test(n)]
+        if not arm.type_terms:
+            off(lambda n: n.startswith("ret.intent.") and not n.endswith("_prefix"), 0.0)
+        if not arm.lexical_terms:
+            off(lambda n: n.startswith("ret.lexical.") or n.endswith("_prefix"), 0.0)
+        if not arm.tier_scoring:
+            off(lambda n: n.startswith("tier."), 1.0)
+        if not arm.prior:
+            off(lambda n: n.startswith("prior."), 1.0)
+        if not arm.type_scoring:
+            same.weight = np.full(len(self.ids), float(self.memory_weight))
+        if arm.earlier_terms:
+            same.cosine = self.cosine + self.earlier
+        profile = self.profile & arm.type_policy
+        if not arm.type_policy:  # a profile row is a row like others, with its own tier
+            same.arms = self.arms.copy()
+            same.arms[:, ARMS.index("tier")] = [INDEX.get(f"tier.{t}", -1) for t in self.tiers]
+        stages = same.compose(x)
+        if not arm.ranker_stages:
+            score = np.round(stages["retrieval"][0], 9)
+            return score, np.argsort(-score, kind="stable")[: self.memory_limit + int(self.profile.sum())].tolist()
+        score = np.round(stages["final"][0], 9)
+        kept = ~(self.closed if arm.role_predicate else self.shut) & (profile | ((self.eligible | (not arm.type_policy)) & (self.cosine >= LEAST_FOUND)))
+        memory = kept & ~self.reflection
+        good = memory & ~self.filtered
+        memory = good if good.any() else memory
+        order = np.argsort(-score, kind="stable")
+        parts = ((memory & profile, len(score)), (memory & ~profile, self.memory_limit), (kept & self.reflection & ~self.filtered, self.reflection_limit))
+        return score, [int(k) for of, most in parts for k in order[of[order]][:most]]
+
+
 def _first(score: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` best of each row; equal scores in the order of the candidates."""
     order = np.argsort(np.where(of, -score, np.inf), axis=1, kind="stable")[:, :most]
@@ -368,3 +461,22 @@ def swept(intervals: DataFrame, values: int = 9) -> DataFrame:
     steps = rows.groupBy("name", "r_low", "spread", "begin", "end").agg(F.sum("changed").alias("changed"))
     each = steps.where("end > begin").select("name", "r_low", "spread", "changed", F.explode(F.sequence("begin", F.col("end") - 1)).alias("k"))
     return each.groupBy("name", (F.col("r_low") + F.col("spread") * F.col("k") / (values + 1)).alias("value")).agg(F.sum("changed").alias("changed"))
+
+
+def ablated(trace: DataFrame, treatments: dict[str, Arm] = TREATMENTS) -> DataFrame:
+    """arm, query_id, id, kind, tier, score and rank (in what is delivered, or null) of every candidate under each treatment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                query = Query(row)
+                for name, arm in treatments.items():
+                    score, delivered = query.under(arm)
+                    rank = {k: n for n, k in enumerate(delivered, 1)}
+                    out.extend((name, query.query_id, i, kind, tier, float(s), rank.get(k)) for k, (i, kind, tier, s) in enumerate(zip(query.ids, query.kinds, query.tiers, score, strict=True)))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=["arm", "query_id", "id", "kind", "tier", "score", "rank"])
+
+    spread = trace.repartition(trace.sparkSession.sparkContext.defaultParallelism, "query_id")
+    return spread.mapInArrow(run, "arm string, query_id long, id long, kind string, tier string, score double, rank int")

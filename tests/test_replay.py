@@ -134,10 +134,10 @@ def a_query(rng, diversity=False, candidates=14):
                 maybe("prior.kind"), maybe("prior.len"), pick("prior.recency"), P.INDEX["prior.reflection_discount"] if reflection else -1]
         c.append(dict(
             _order=1, place=place, vec_id=place, reflection=reflection, profile=kind == "profile", cosine=rng.uniform(0.1, 0.9), whole=rng.random() < 0.2, hits=rng.randint(0, 8),
-            names=rng.randint(0, 3), weight=rng.choice([0.7, 1.0, 1.2]), arms=arms, closed=rng.random() < 0.1, eligible=rng.random() < 0.9, filtered=rng.random() < 0.2, exact=0.0,
-            kind=kind, doc=rng.choice("ab"), title=rng.choice("xyz"), tokens=rng.sample("abcdefgh", rng.randint(0, 5)),
+            names=rng.randint(0, 3), weight=rng.choice([0.7, 1.0, 1.2]), arms=arms, closed=(shut := rng.random() < 0.1) or rng.random() < 0.1, shut=shut, eligible=rng.random() < 0.9, filtered=rng.random() < 0.2, exact=0.0, earlier=rng.choice([0.1, -0.2]),
+            kind=kind, tier=rng.choice(("hot", "warm", "cold")), doc=rng.choice("ab"), title=rng.choice("xyz"), tokens=rng.sample("abcdefgh", rng.randint(0, 5)),
         ))
-    return dict(query_id=rng.randint(0, 9), diversity=diversity, memory_limit=rng.choice([3, 6]), reflection_limit=2, candidates=c)
+    return dict(query_id=rng.randint(0, 9), diversity=diversity, memory_weight=0.9, memory_limit=rng.choice([3, 6]), reflection_limit=2, candidates=c)
 
 
 class Row:
@@ -214,7 +214,7 @@ def test_replay_jobs_equal_the_matrices(spark):
     rng = random.Random(6)
     rows = [a_query(rng, k % 3 == 0) | {"query_id": k} for k in range(70)]
     kinds = P.CANDIDATE.replace(", ", ",\n")
-    trace = spark.createDataFrame(rows, f"query_id long, diversity boolean, memory_limit int, reflection_limit int, candidates array<struct<_order:int,place:int,{','.join(f.strip().replace(' ', ':', 1) for f in kinds.split(chr(10)))}>>".replace(",,", ","))
+    trace = spark.createDataFrame(rows, f"query_id long, diversity boolean, memory_weight double, memory_limit int, reflection_limit int, candidates array<struct<_order:int,place:int,{','.join(f.strip().replace(' ', ':', 1) for f in kinds.split(chr(10)))}>>".replace(",,", ","))
     listed = D.Listed(P.DEFAULT, [[], [(P.INDEX["tier.cold"], 0.95), (3, 0.1)], [(0, 0.2)]])
     queries = [P.Query(r) for r in rows]
     got = {r.row: r for r in P.endpoints(trace, listed).collect()}
@@ -238,3 +238,33 @@ def test_replay_jobs_equal_the_matrices(spark):
     ends = P.one_at_a_time(trace, [(n, e) for n, _, low, high, _ in P.parameter_ranges() for e in (low, high)]).groupBy("name").agg(F.max("changed").alias("c"), F.max("moved").alias("m")).collect()
     assert flat == {r.name for r in ends if r.c == 0 and (r.m > 0 or r.name.startswith("div."))}
     assert {r.name for r in P.coverage(trace).where("moved = 0").collect()} <= {r.name for r in ends if r.m == 0 or r.name.startswith("div.")} | {"tier.hot", "tier.profile_bypass"}
+
+
+def test_treatments():
+    """Each switch moves what it should: by hand, on one query."""
+    base = dict(_order=1, reflection=False, profile=False, whole=False, hits=0, names=0, weight=1.0, closed=False, shut=False, eligible=True, filtered=False, exact=0.0, earlier=0.0,
+                kind="journal", tier="hot", doc="", title="", tokens=[])
+    none = [-1] * len(P.ARMS)
+    arms = lambda **k: [P.INDEX[k[a]] if a in k else -1 for a in P.ARMS]
+    c = [
+        base | dict(place=0, vec_id=0, cosine=0.50, arms=arms(tier="tier.hot")),
+        base | dict(place=1, vec_id=1, cosine=0.52, arms=arms(tier="tier.cold"), tier="cold"),
+        base | dict(place=2, vec_id=2, cosine=0.45, arms=arms(tier="tier.hot", intent="ret.intent.reflective_conversation"), kind="conversation"),
+        base | dict(place=3, vec_id=3, cosine=0.30, hits=9, arms=arms(tier="tier.hot"), kind="ingested"),
+        base | dict(place=4, vec_id=4, cosine=0.90, arms=arms(tier="tier.hot"), closed=True),
+        base | dict(place=5, vec_id=5, cosine=0.48, arms=arms(tier="tier.hot", length="prior.len.lt50"), earlier=0.3),
+        base | dict(place=6, vec_id=6, cosine=0.27, profile=True, kind="profile", arms=arms(tier="tier.profile_bypass"), tier="cold"),
+        base | dict(place=7, vec_id=7, cosine=0.46, reflection=True, kind="reflection", weight=2.0, arms=arms(tier="tier.hot")),
+        base | dict(place=8, vec_id=8, cosine=0.60, eligible=False, arms=none),
+    ]
+    query = P.Query(dict(query_id=1, diversity=False, memory_weight=1.0, memory_limit=3, reflection_limit=1, candidates=c))
+    got = {name: query.under(arm) for name, arm in P.TREATMENTS.items()}
+    assert got["full"][1] == [6, 2, 0, 1, 7]
+    assert got["type_scoring_off"][1] == [6, 0, 1, 3, 7] and got["type_scoring_off"][0][7] == 0.46
+    assert got["type_policy_off"][1] == [8, 0, 1, 7]
+    assert got["tier_off"][1] == [6, 2, 1, 0, 7]
+    assert got["prior_off"][0][5] == 0.48 and got["full"][0][5] < 0.48
+    assert got["role_off"][1] == [6, 4, 2, 0, 7]
+    assert got["before"][1] == [6, 5, 2, 0, 7]
+    assert got["lexical_off"][0][3] == 0.3 and got["full"][0][3] == 0.48
+    assert got["naive_cosine"][1] == [4, 8, 1, 0] and got["naive_lexical"][1] == [4, 8, 1, 0]
