@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITE
+from .text import WHITE, WHITE_SET
 
 # Phrases that hedge.
 HEDGES = (
@@ -17,8 +17,8 @@ EDGE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{WHITE}|{WHITE}$", "")
+    """Without white space at both ends.  Only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SET))
 
 
 def white_words(text: Column) -> Column:

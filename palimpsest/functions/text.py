@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 WHITE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
+#: The same characters one by one, for functions that take a set.
+WHITE_SET = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Words that don't count as query terms.
 STOPWORDS = (
     "the", "and", "for", "with", "that", "this", "from", "have", "what", "when", "where", "which", "about",

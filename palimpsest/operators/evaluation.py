@@ -12,13 +12,28 @@ def _dcg(grade: Column, rank: Column) -> Column:
     return F.sum((F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1))
 
 
-def ndcg(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
-    """nDCG at k of each query; null where no grade is above 0.  ranked: query_id, id, rank; grades: query_id, id, grade."""
+def ideal_gain(counts: DataFrame, k: int) -> DataFrame:
+    """query_id and ideal: the discounted gain of the best k rows, from how many rows (``n``) of each ``grade`` a query has.
+
+    At most k places of a query are written out, however many rows it has."""
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    rows = counts.where("n > 0").withColumn("_first", first).where(F.col("_first") <= k)
+    places = F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + F.col("n") - 1, F.lit(k))))
+    return rows.select("query_id", "grade", places.alias("_r")).groupBy("query_id").agg(_dcg(F.col("grade"), F.col("_r")).alias("ideal"))
+
+
+def _counted(grades: DataFrame) -> DataFrame:
+    return grades.groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+
+
+def ndcg(ranked: DataFrame, grades: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
+    """nDCG at k of each query; null where no grade is above 0.  ranked: query_id, id, rank; grades: query_id, id, grade.
+
+    With ``counts`` (query_id, grade, n) of all graded rows, ``grades`` need only hold those of ranked rows.
+    """
     got = ranked.where(F.col("rank") <= k).join(grades, ["query_id", "id"], "left")
     got = got.groupBy("query_id").agg(_dcg(F.coalesce("grade", F.lit(0)), F.col("rank")).alias("dcg"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
-    ideal = grades.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    ideal = ideal.groupBy("query_id").agg(_dcg(F.col("grade"), F.col("_r")).alias("ideal"))
+    ideal = ideal_gain(_counted(grades) if counts is None else counts, k)
     return got.join(ideal, "query_id", "left").select("query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).alias("ndcg"))
 
 
@@ -85,38 +100,11 @@ def baseline_gate(metrics: DataFrame, baseline: DataFrame, drop: float = 0.05) -
     return rows.withColumn("verdict", verdict)
 
 
-# The arms and the terms that each switches off.
-ARMS = {
-    "full": (), "typing_scores_off": ("typed", "weight"), "typing_off": ("typed", "weight", "eligible"), "tiers_off": ("tier",), "prior_off": ("prior",),
-    "role_off": ("assistant",), "lexical_off": ("lexical",), "typing_and_tiers_off": ("typed", "weight", "tier"),
-    "naive_cosine": ("typed", "lexical", "weight", "tier", "prior", "assistant", "eligible"),
-    "naive_lexical": ("typed", "weight", "tier", "prior", "assistant", "eligible"),
-}
-
-
-def ablate(parts: DataFrame) -> DataFrame:
-    """The candidates (query_id, id, kind and the terms of their score) under each arm: arm, score and rank.
-
-    A score is (cosine + lexical + typed) * weight * tier * prior; rows of assistants and ineligible ones go, unless the arm
-    switches that off.
-    """
-    terms = ("lexical", "typed", "weight", "tier", "prior", "assistant", "eligible")
-    arms = [F.struct(F.lit(a).alias("arm"), *[F.lit(t not in off).alias(f"use_{t}") for t in terms]) for a, off in ARMS.items()]
-    rows = parts.withColumn("_a", F.explode(F.array(*arms))).select("*", "_a.*")
-    rows = rows.where((~F.col("use_assistant") | ~F.col("assistant")) & (~F.col("use_eligible") | F.col("eligible")))
-    added = F.col("cosine") + sum(F.when(F.col(f"use_{t}"), F.col(t)).otherwise(0.0) for t in ("lexical", "typed"))
-    for t in ("weight", "tier", "prior"):
-        added = added * F.when(F.col(f"use_{t}"), F.col(t)).otherwise(1.0)
-    rows = rows.select("arm", "query_id", "id", "kind", F.round(added, 9).alias("score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("arm", "query_id").orderBy(F.desc("score"), "id")))
-
-
-def arm_summary(rows_: DataFrame, grades: DataFrame, reference: str, k: int) -> DataFrame:
-    """Per arm: mean nDCG at k over queries that have one, mean Jaccard with the reference arm's sets, and how many queries' sets differ."""
+def arm_summary(rows_: DataFrame, grades: DataFrame, reference: str, k: int, counts: DataFrame | None = None) -> DataFrame:
+    """(``counts`` as in ``ndcg``.)  Per arm: mean nDCG at k over queries that have one, mean Jaccard with the reference arm's sets, and how many queries' sets differ."""
     got = rows_.where(F.col("rank") <= k)
     dcg = got.join(grades, ["query_id", "id"], "left").groupBy("arm", "query_id").agg(_dcg(F.coalesce("grade", F.lit(0)), F.col("rank")).alias("dcg"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
-    ideal = grades.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("query_id").agg(_dcg(F.col("grade"), F.col("_r")).alias("ideal"))
+    ideal = ideal_gain(_counted(grades) if counts is None else counts, k)
     scored = dcg.join(ideal, "query_id", "left").select("arm", "query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).alias("ndcg"))
     base = got.where(F.col("arm") == reference).select("query_id", "id", F.lit(1).alias("_b"))
     sizes = base.groupBy("query_id").agg(F.count("*").alias("_n"))

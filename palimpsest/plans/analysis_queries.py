@@ -12,20 +12,34 @@ from ..operators import signals as G
 from ..sources import ingest as S
 from ..streaming import streams as X
 from . import sensitivity as M
-from ..sources.folders import shared_folder
+from ..sources.folders import shared_folder, written
 from .retrieval_queries import _NEAR, _SCORED, _neighbours, _scored
 from .retrieval_queries import ORACLES as RETRIEVAL_ORACLES
 from .tables import table
 from .text_queries import _ROLE, _SAID, NORM, _any
 
 
-def _graded(spark, d):
-    """Neighbours as a ranking; rows of the query's label have grade 2, or 3 where the id is even."""
-    ranked = _neighbours(spark, d).where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"), F.col("rank"), F.col("cosine").alias("score"))
+def grades_of(spark, d, rows):
+    """query_id, id and grade of the rows (query_id, id) whose record has the query's label: 2, or 3 where the id is even."""
     labels = table(spark, d, "embeddings").select("vec_id", "label")
-    queries = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    grades = labels.join(queries, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), (2 + (F.col("vec_id") % 2 == 0).cast("int")).alias("grade"))
-    return ranked.withColumn("rank", F.col("rank") - 1), grades
+    pairs = rows.select("query_id", "id").where("query_id <> id").distinct()
+    pairs = pairs.join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("_a")), "id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_b")), "query_id")
+    return pairs.where("_a = _b").select("query_id", "id", (2 + (F.col("id") % 2 == 0).cast("int")).alias("grade"))
+
+
+def grade_counts(spark, d, queries):
+    """query_id, grade and n: how many records of each grade there are for each of ``queries`` (query_id), from two counts for each label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", (2 + (F.col("vec_id") % 2 == 0).cast("int")).alias("grade"))
+    counts = e.groupBy("label", "grade").agg(F.count("*").alias("n"))
+    own = queries.select("query_id").distinct().join(e.select(F.col("vec_id").alias("query_id"), "label", F.col("grade").alias("_own")), "query_id")
+    return own.join(counts, "label").select("query_id", "grade", (F.col("n") - (F.col("grade") == F.col("_own")).cast("int")).alias("n"))
+
+
+def _graded(spark, d):
+    """Neighbours as a ranking with their grades, and the counts of all grades."""
+    ranked = _neighbours(spark, d).where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"), (F.col("rank") - 1).alias("rank"), F.col("cosine").alias("score"))
+    ranked = written(ranked, "ranked")
+    return ranked, grades_of(spark, d, ranked), grade_counts(spark, d, ranked)
 
 
 def _arms(spark, d):
@@ -37,11 +51,12 @@ def _arms(spark, d):
 
 
 def e1_ndcg(spark, d):
-    return E.ndcg(*_graded(spark, d), 6).select("query_id", F.round("ndcg", 8).alias("ndcg"))
+    ranked, grades, counts = _graded(spark, d)
+    return E.ndcg(ranked, grades, 6, counts).select("query_id", F.round("ndcg", 8).alias("ndcg"))
 
 
 def e2_contamination(spark, d):
-    return E.contamination(*_graded(spark, d), 4).select("query_id", F.round("contamination", 9).alias("contamination"))
+    return E.contamination(*_graded(spark, d)[:2], 4).select("query_id", F.round("contamination", 9).alias("contamination"))
 
 
 def e3_tie_bands(spark, d):
@@ -247,6 +262,7 @@ QUERIES = {f.__name__: f for f in (
 
 _RANKED = f"(SELECT query_id, vec_id AS id, rank - 1 AS rank, cosine AS score FROM {_NEAR.format(20)} WHERE query_id <> vec_id)"
 _GRADES = "(SELECT q.vec_id AS query_id, e.vec_id AS id, 2 + (e.vec_id % 2 = 0)::INT AS grade FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)"
+_GRADES_OF_ALL = "(SELECT q.query_id, e.vec_id AS id, 2 + (e.vec_id % 2 = 0)::INT AS grade FROM {0} q JOIN embeddings v ON v.vec_id = q.query_id JOIN embeddings e ON v.label = e.label AND q.query_id <> e.vec_id)"
 _ARM = "(SELECT query_id, vec_id AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {1} DESC, vec_id) AS rank FROM {0}) WHERE rank <= 8)"
 _PLAIN, _FULL = _ARM.format(_SCORED, "cosine"), _ARM.format(_SCORED, "score")
 _RWORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"

@@ -16,6 +16,7 @@ from ..operators import records as K
 from ..operators import tiering as H
 from ..sources import imports as I
 from ..sources import ingest as S
+from ..streaming import buffers as B
 from ..streaming import streams as X
 from .analysis_queries import _GRADES, _RANKED, _graded
 from ..sources.folders import shared_folder
@@ -256,51 +257,17 @@ def t8_models(spark, d):
 
 def e7_abstention(spark, d):
     """Queries that should get nothing (every other): whether they do; and distractors of each class that get through."""
-    ranked, grades = _graded(spark, d)
+    ranked, grades, _ = _graded(spark, d)
     abstain = ranked.select("query_id").distinct().where("query_id div 100 % 2 = 0")
     return E.abstention(ranked, grades, abstain, 4)
 
 
 def e7_leakage(spark, d):
-    ranked, _ = _graded(spark, d)
+    ranked = _graded(spark, d)[0]
     classes = table(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), F.concat(F.lit("class"), (F.col("vec_id") % 5).cast("string")).alias("distractor"))
     return E.leakage(ranked, classes, 4)
 
 
-def _ablated(spark, d):
-    parts = _scored(spark, d).select(
-        "query_id", F.col("vec_id").alias("id"), "kind", "cosine", (F.col("vec_id") % 7 * 0.03).alias("lexical"), F.when(F.col("kind") == "conversation", 0.1).otherwise(0.0).alias("typed"),
-        F.when(F.col("kind") == "reflection", 1.4).otherwise(0.7).alias("weight"), (F.lit(1.0) - F.col("vec_id") % 3 * 0.03).alias("tier"), (F.lit(0.94) + F.col("vec_id") % 11 * 0.015).alias("prior"),
-        (F.col("vec_id") % 5 == 4).alias("assistant"), (F.col("kind") != "journal").alias("eligible"),
-    )
-    return E.ablate(parts)
-
-
-def e9_arms(spark, d):
-    rows = _ablated(spark, d).where("rank <= 6")
-    return rows.select("arm", "query_id", "id", F.round("score", 9).alias("score"), "rank")
-
-
-def e8_summary(spark, d):
-    """Per arm: mean nDCG over queries with one, mean agreement with the reference arm, and queries that changed."""
-    _, grades = _graded(spark, d)
-    out = E.arm_summary(_ablated(spark, d).where("rank <= 6"), grades, "full", 6)
-    return out.select("arm", F.round("ndcg", 8).alias("ndcg"), F.round("jaccard", 8).alias("jaccard"), "changed")
-
-
-def e10_levers(spark, d):
-    """Baits: journal and ingested rows; what they outrank: rows of the query's label."""
-    _, grades = _graded(spark, d)
-    return E.lever_attribution(_ablated(spark, d), grades, "full", F.col("kind").isin("ingested", "reflection")).select("query_id", "bait", "lever", F.round("swing", 9).alias("swing"))
-
-
-def e15_integrity(spark, d):
-    """Cases: each query's tagged record, and whether it should surface."""
-    rows = _ablated(spark, d).where("arm = 'full'")
-    cases = rows.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("expect", F.when(F.col("query_id") % 200 == 0, "suppress").otherwise("surface"))
-    return E.integrity(cases, rows.where("rank <= 6").select("query_id", "id"))
-
-
 def e11_totals(spark, d):
     """Verdicts on each query's best hit, by how many of four criteria it meets, and their totals."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
@@ -315,8 +282,24 @@ def x2_ingest(spark, d):
     docs.where("source = 'src1'").select("doc_id", "content_key").write.parquet(folder)
     stream = X.file_stream(spark, f"{d}/documents.parque[t]", spark.read.parquet(f"{d}/documents.parquet"))
     stream = stream.where("source <> 'src1'").select("doc_id", S.content_key(F.col("text")).alias("content_key"))
-    X.ingest_once(stream, folder, "content_key", "doc_id")
-    return spark.read.parquet(folder).select("doc_id", "content_key")
+    B.ingest_keyed(stream, folder, f"{folder}-checkpoint", "content_key", "doc_id")
+    return spark.read.option("recursiveFileLookup", True).parquet(folder).select("doc_id", "content_key")
+
+
+def x4_buffers(spark, d):
+    """What the buffer of each conversation holds after each exchange of a stream of turns, and what it popped."""
+    c = table(spark, d, "conversations")
+    turns = X.file_stream(spark, f"{d}/conversations.parque[t]", c).withColumn("tokens", T.token_estimate(F.col("text")).cast("long"))
+    rows = B.run_appended(B.conversation_buffers(turns, 20, 300), shared_folder(spark))
+    told = lambda name: F.array_join(F.transform(name, lambda t: t.cast("string")), ",").alias(name)
+    return rows.select("conv_id", "turn", told("held"), "tokens", told("dropped"), told("popped"), F.md5(F.col("popped_text").cast("binary")).alias("popped_md5"))
+
+
+def x1_calendar(spark, d):
+    """Deliveries by the calendar, late ones included."""
+    events = X.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = X.run_available(X.calendar_frequency(events), "update", shared_folder(spark), ["user_id"], "deliveries")
+    return rows.select("user_id", F.round("frequency", 8).alias("frequency"), "deliveries")
 
 
 def x7_transitions(spark, d):
@@ -337,8 +320,8 @@ def x7_transitions(spark, d):
 QUERIES = {f.__name__: f for f in (
     s1_scan, s2_import, s3_chats, s7_message_chunks, s11_enriched, s15_flattened, s20_sink, s23_rebuilt, s24_recent_duplicates, l2_versions, l6_projects,
     l11_timers, l12_declines, l13_tasks, l14_provenance, l17_deviations, l18_authorship, l19_reclassified, a3_type_mismatch, a6_health, a7_storage, a8_drift,
-    a8_shared_ids, a11_keywords, a12_interventions, t8_models, e7_abstention, e7_leakage, e8_summary, e9_arms, e10_levers, e11_totals, e15_integrity,
-    x2_ingest, x7_transitions,
+    a8_shared_ids, a11_keywords, a12_interventions, t8_models, e7_abstention, e7_leakage, e11_totals,
+    x2_ingest, x4_buffers, x1_calendar, x7_transitions,
 )}
 
 _STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -357,17 +340,6 @@ _ELAPSED = f"""CASE WHEN s < 60 THEN 'less than a minute ago' WHEN s < 3600 THEN
 _AUTHORED = f"(SELECT conv_id, turn, role, {pick(('chatgpt_export', 'journal', 'pdf', 'reflection_engine', 'notes'), 'conv_id')} AS source, {pick(KINDS_OF_EVENTS, 'turn')} AS kind, CASE WHEN turn % 3 = 0 THEN role || ': ' || text ELSE text END AS text FROM conversations)"
 _SPOKE = "CASE role WHEN 'user' THEN 'first_person' WHEN 'assistant' THEN 'mixed' ELSE 'unknown' END"
 _SPLIT = "(SELECT *, conv_id % 2 = 0 AND source = 'chatgpt_export' AND role IN ('user', 'assistant') AS moves, CASE WHEN conv_id % 2 = 0 THEN 'ingested' ELSE 'memory' END AS store FROM " + _AUTHORED + ")"
-_PARTS = f"(SELECT query_id, vec_id AS id, kind, cosine, vec_id % 7 * 0.03::DOUBLE AS lexical, CASE WHEN kind = 'conversation' THEN 0.1 ELSE 0.0 END::DOUBLE AS typed, CASE WHEN kind = 'reflection' THEN 1.4 ELSE 0.7 END::DOUBLE AS weight, 1.0 - vec_id % 3 * 0.03::DOUBLE AS tier, 0.94 + vec_id % 11 * 0.015::DOUBLE AS prior, vec_id % 5 = 4 AS assistant, kind <> 'journal' AS eligible FROM {_SCORED})"
-
-
-def _arm(name: str, off: tuple) -> str:
-    score = "cosine" + "".join(f" + {t}" for t in ("lexical", "typed") if t not in off)
-    score = f"({score})" + "".join(f" * {t}" for t in ("weight", "tier", "prior") if t not in off)
-    kept = " AND ".join(x for x in ("true", "" if "assistant" in off else "NOT assistant", "" if "eligible" in off else "eligible") if x)
-    return f"SELECT '{name}' AS arm, query_id, id, kind, round({score}, 9) AS score FROM {_PARTS} WHERE {kept}"
-
-
-_ARMS = "(SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY score DESC, id) AS rank FROM (" + " UNION ALL ".join(_arm(n, o) for n, o in E.ARMS.items()) + "))"
 _REVIEWS = "(SELECT a.conv_id, lower(a.text) AS u, lower(coalesce(b.text, '')) AS v, CASE WHEN a.conv_id % 40 = 1 THEN 'revise' WHEN a.conv_id % 60 = 2 THEN 'refuse_redirect' ELSE 'allow' END AS outcome, a.conv_id % 4 <> 0 AS solo FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0 AND (a.conv_id % 4 = 0 OR a.conv_id % 7 <> 0))"
 _TOLD = f"(SELECT k AS keyword, solo, outcome, contains(u, k) AS iu, contains(v, k) AS iv FROM {_REVIEWS}, (SELECT unnest({listed(KEYWORDS)}) AS k) WHERE contains(u, k) OR contains(v, k))"
 _COUNTED = f"(SELECT k.k AS keyword, count(t.keyword) AS fires, count(*) FILTER (solo) AS solo_fires, count(*) FILTER (solo AND outcome = 'allow') AS allowed, count(*) FILTER (solo AND outcome = 'revise') AS revised, count(*) FILTER (solo AND outcome = 'refuse_redirect') AS refused, count(*) FILTER (solo AND iu AND iv) AS both, count(*) FILTER (solo AND iu AND NOT iv) AS user_only, count(*) FILTER (solo AND NOT iu) AS draft_only FROM (SELECT unnest({listed(KEYWORDS)}) AS k) k LEFT JOIN {_TOLD} t ON t.keyword = k.k GROUP BY 1)"
@@ -406,17 +378,22 @@ ORACLES = {
     "t8_models": f"SELECT CASE WHEN kind = 'profile' OR o >= 0.5 THEN 'hot' WHEN o >= 0.2 THEN 'warm' ELSE 'cold' END AS old, tier AS new, count(*) AS n FROM {_OLD} GROUP BY 1, 2",
     "e7_abstention": f"SELECT query_id, coalesce(max(coalesce(g.grade, 0)), 0) = 0 AS correct FROM {_RANKED} r LEFT JOIN {_GRADES} g USING (query_id, id) WHERE r.rank <= 4 AND query_id // 100 % 2 = 0 GROUP BY 1",
     "e7_leakage": f"SELECT 'class' || id % 5 AS distractor, count(*) AS leaked, count(DISTINCT query_id) AS queries FROM {_RANKED} WHERE rank <= 4 AND id % 3 = 0 GROUP BY 1",
-    "e9_arms": f"SELECT arm, query_id, id, score, rank::INT AS rank FROM {_ARMS} WHERE rank <= 6",
-    "e8_summary": f"""WITH a AS (SELECT * FROM {_ARMS} WHERE rank <= 6), g AS {_GRADES}, dcg AS (SELECT arm, query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM a LEFT JOIN g USING (query_id, id) GROUP BY 1, 2),
- ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(n + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS n FROM g) WHERE n <= 6 GROUP BY 1),
- j AS (SELECT x.arm, x.query_id, count(y.id) AS i, count(*) AS m FROM a x LEFT JOIN (SELECT query_id, id FROM a WHERE arm = 'full') y ON y.query_id = x.query_id AND y.id = x.id GROUP BY 1, 2), b AS (SELECT query_id, count(*) AS nb FROM a WHERE arm = 'full' GROUP BY 1)
- SELECT arm, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal END), 8) AS ndcg, round(avg(i / (m + coalesce(nb, 0) - i)), 8) AS jaccard, count(*) FILTER (i / (m + coalesce(nb, 0) - i) < 1) AS changed FROM j LEFT JOIN b USING (query_id) LEFT JOIN dcg USING (arm, query_id) LEFT JOIN ideal USING (query_id) GROUP BY arm""",
-    "e10_levers": f"""WITH a AS {_ARMS}, f AS (SELECT * FROM a WHERE arm = 'full'), o AS (SELECT * FROM a WHERE arm <> 'full'), good AS (SELECT f.* FROM f JOIN {_GRADES} g USING (query_id, id) WHERE grade >= 2)
- SELECT query_id, bait, lever, swing FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bait ORDER BY swing DESC, lever) AS n FROM (SELECT b.query_id, b.id AS bait, ob.arm AS lever, max(round((b.score - ob.score) - (v.score - ov.score), 9)) AS swing
- FROM f b JOIN good v ON v.query_id = b.query_id AND v.id <> b.id AND b.score > v.score JOIN o ob ON ob.query_id = b.query_id AND ob.id = b.id JOIN o ov ON ov.query_id = v.query_id AND ov.id = v.id AND ov.arm = ob.arm WHERE b.kind IN ('ingested', 'reflection') GROUP BY 1, 2, 3)) WHERE n = 1""",
     "e11_totals": f"SELECT CASE m WHEN 4 THEN 'PASS' WHEN 3 THEN 'WARN' ELSE 'FAIL' END AS verdict, count(*) AS n FROM (SELECT (kind <> '')::INT + (score > 0.3)::INT + (length(trim(text)) >= 40)::INT + (NOT {_any('lower(trim(text))', K.DEFAULT_FILLER)})::INT AS m FROM (SELECT s.*, d.text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM {_SCORED} s JOIN documents d ON d.doc_id = vec_id) WHERE n = 1) GROUP BY 1",
-    "e15_integrity": f"WITH a AS (SELECT * FROM {_ARMS} WHERE arm = 'full'), c AS (SELECT query_id, min(id) AS id, CASE WHEN query_id % 200 = 0 THEN 'suppress' ELSE 'surface' END AS expect FROM a GROUP BY query_id) SELECT query_id, c.id, expect, x.id IS NOT NULL AS present, CASE WHEN (x.id IS NOT NULL) = (expect = 'surface') THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c LEFT JOIN (SELECT query_id, id FROM a WHERE rank <= 6) x USING (query_id, id)",
     "x2_ingest": f"WITH k AS (SELECT doc_id, source, {_KEY} AS content_key FROM documents) SELECT doc_id, content_key FROM k WHERE source = 'src1' UNION ALL SELECT min(doc_id), content_key FROM k WHERE source <> 'src1' AND content_key NOT IN (SELECT content_key FROM k WHERE source = 'src1') GROUP BY content_key",
 }
 _PAST = _HEAT.replace("FROM events", "FROM (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')").replace("2024-02-15 00:00:00", "2024-01-16 00:00:00")
 ORACLES["x7_transitions"] = f"SELECT coalesce(p.tier, 'none') AS old, n.tier AS new, count(*) AS n FROM {_HEAT} n LEFT JOIN {_PAST} p USING (user_id) GROUP BY 1, 2"
+
+_EXCHANGES = r"""(SELECT conv_id, turn, tokens + next_tokens AS tokens, text || chr(10) || reply AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (
+ SELECT *, (SELECT min(b.turn) FROM w b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.role IN ('user', 'assistant')) AS next_turn FROM w a WHERE role = 'user') u
+ JOIN (SELECT conv_id, turn AS next_turn, tokens AS next_tokens, text AS reply FROM w WHERE role = 'assistant') r USING (conv_id, next_turn))"""
+ORACLES |= {
+    "x1_calendar": "SELECT user_id, round(sum(pow(2, -(last - day) / 30.0)), 8) AS frequency, count(*) AS deliveries FROM (SELECT user_id, epoch_us(ts) // 86400000000 AS day, max(epoch_us(ts) // 86400000000) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY user_id",
+    "x4_buffers": rf"""WITH RECURSIVE w AS (SELECT conv_id, turn, role, text, (len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) * 13 // 10)::BIGINT AS tokens FROM conversations),
+ex AS {_EXCHANGES},
+b AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS turn, []::BIGINT[] AS held, []::BIGINT[] AS ns, []::VARCHAR[] AS ts, []::BIGINT[] AS dropped, []::BIGINT[] AS popped, []::VARCHAR[] AS pts FROM (SELECT DISTINCT conv_id FROM ex)
+ UNION ALL SELECT conv_id, i, turn, h[k + 1:], n[k + 1:], t[k + 1:], dropped, h[1:k], t[1:k] FROM (SELECT *, CASE WHEN list_sum(n) > 300 THEN greatest(1, len(h) // 2) ELSE 0 END AS k FROM (
+  SELECT ex.conv_id, ex.i, ex.turn, CASE WHEN len(held) >= 20 THEN (held || [ex.turn])[2:] ELSE held || [ex.turn] END AS h, CASE WHEN len(held) >= 20 THEN (ns || [ex.tokens])[2:] ELSE ns || [ex.tokens] END AS n,
+   CASE WHEN len(held) >= 20 THEN (ts || [ex.text])[2:] ELSE ts || [ex.text] END AS t, CASE WHEN len(held) >= 20 THEN held[1:1] ELSE [] END AS dropped FROM b JOIN ex ON ex.conv_id = b.conv_id AND ex.i = b.i + 1)))
+SELECT conv_id, turn, coalesce(array_to_string(held, ','), '') AS held, coalesce(list_sum(ns), 0)::BIGINT AS tokens, coalesce(array_to_string(dropped, ','), '') AS dropped, coalesce(array_to_string(popped, ','), '') AS popped, md5(coalesce(array_to_string(pts, chr(10)), '')) AS popped_md5 FROM b WHERE i > 0""",
+}

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly as A
 from ..operators import designs as D
+from ..operators import evaluation as E
 from ..operators import gates as G
 from ..operators import ranking as R
 from ..operators import replay as P
 from ..sources.folders import written
 from . import assembly_queries as Q
 from . import sensitivity as M
+from .analysis_queries import _GRADES_OF_ALL, grade_counts, grades_of
 from .sql import listed
 from .tables import table
 from .text_queries import _any
@@ -130,7 +132,38 @@ def m9_design(spark, d):
     return rows.select("sample", F.when(F.col("matrix") == 0, "A").otherwise("B").alias("matrix"), names[F.col("k")].alias("event_type"), F.round("value", 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (m1_compose, m2_replay, m3_endpoints, m4_fidelity, m4_fidelity_diverse, m5_ranges, m6_coverage, m6_sweeps, m13_solo, m9_design, m10_pairs, m11_resamples)}
+def _ablated(spark, d):
+    return written(P.ablated(_trace(spark, d)), "arms")
+
+
+def e9_arms(spark, d):
+    """What each treatment delivers."""
+    rows = _ablated(spark, d).where("rank IS NOT NULL")
+    return rows.select("arm", "query_id", "id", "kind", "tier", "score", "rank")
+
+
+def e8_summary(spark, d):
+    """Per arm: mean nDCG over queries with one, mean agreement with the full pipeline, and queries that changed."""
+    rows = _ablated(spark, d).where("rank IS NOT NULL")
+    out = E.arm_summary(rows, grades_of(spark, d, rows), "full", 6, grade_counts(spark, d, rows))
+    return out.select("arm", F.round("ndcg", 8).alias("ndcg"), F.round("jaccard", 8).alias("jaccard"), "changed")
+
+
+def e10_levers(spark, d):
+    """Baits: ingested and reflection rows; what they outrank: rows of the query's label."""
+    rows = _ablated(spark, d)
+    out = E.lever_attribution(rows, grades_of(spark, d, rows), "full", F.col("kind").isin("ingested", "reflection"))
+    return out.select("query_id", "bait", "lever", F.round("swing", 8).alias("swing"))
+
+
+def e15_integrity(spark, d):
+    """Cases: each query's candidate of the least id, and whether it should surface."""
+    rows = _ablated(spark, d).where("arm = 'full'")
+    cases = rows.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("expect", F.when(F.col("query_id") % 2 == 0, "suppress").otherwise("surface"))
+    return E.integrity(cases, rows.where("rank IS NOT NULL").select("query_id", "id"))
+
+
+QUERIES = {f.__name__: f for f in (e8_summary, e9_arms, e10_levers, e15_integrity, m1_compose, m2_replay, m3_endpoints, m4_fidelity, m4_fidelity_diverse, m5_ranges, m6_coverage, m6_sweeps, m13_solo, m9_design, m10_pairs, m11_resamples)}
 
 
 def _number(column: str, prefix: str, rename: dict | None = None, suffix: str = "") -> str:
@@ -147,10 +180,14 @@ _SHUT = f"""(policy = 'default' AND coalesce(max(cosine) FILTER (channel <> 'ref
  AND coalesce(max(cosine) FILTER (channel <> 'reflection' AND kind = 'ingested') OVER (PARTITION BY query_id), 0) < {Q.INGESTED})"""
 _BUCKET = f"CASE WHEN {Q._AGE} <= 7 THEN 'd7' WHEN {Q._AGE} <= 30 THEN 'd30' WHEN {Q._AGE} <= 90 THEN 'd90' WHEN {Q._AGE} <= 365 THEN 'd365' ELSE 'older' END"
 _AUTHOR = "CASE WHEN channel <> 'reflection' AND relational THEN CASE WHEN kind IN ('profile', 'journal') OR (kind = 'conversation' AND role = 'user') THEN 'first_person' WHEN role = 'assistant' THEN 'mixed' ELSE 'unknown' END END"
+_EARLIER = f"""({Q._case('kind', P.EARLIER_KINDS).replace('ELSE 1.0', 'ELSE 0.0')} + CASE role WHEN 'user' THEN {P.EARLIER_ROLES['user']} WHEN 'assistant' THEN {P.EARLIER_ROLES['assistant']} ELSE 0 END::DOUBLE
+ + CASE WHEN {_any('content', P.QUESTIONS)} THEN {P.EARLIER_QUESTION} ELSE {P.EARLIER_STATEMENT} END::DOUBLE + CASE WHEN {_any('content', P.CLARIFYING)} THEN {P.EARLIER_CLARIFYING} ELSE 0 END::DOUBLE
+ + CASE WHEN {_any('content', P.EXPERIENCED)} THEN {P.EARLIER_EXPERIENCE} ELSE 0 END::DOUBLE + CASE WHEN {_any('content', P.SUMMARIES)} THEN {P.EARLIER_SUMMARY} ELSE 0 END::DOUBLE)"""
 _ACT = Q._CTES + f""", seen AS (SELECT *, {_SHUT} AS shut0 FROM merged),
 act AS (SELECT query_id, vec_id, channel = 'reflection' AS reflection, kind = 'profile' AS profile, content, o, place, memory_limit, reflection_limit, cosine,
   (q <> '' AND contains(content, q))::INT AS whole, len(list_filter(terms, lambda t: contains(content, t))) AS hits, len(list_filter(names, lambda n: contains(content, n))) AS ents,
-  CASE WHEN channel = 'reflection' THEN reflection_weight ELSE memory_weight END AS w,
+  CASE WHEN channel = 'reflection' THEN reflection_weight ELSE memory_weight END AS w, memory_weight, kind, tier, {_number('tier', 'tier.')} AS own_tier,
+  shut0 AND (channel = 'reflection' OR kind <> 'profile') AS shut_only, {_EARLIER} AS earlier,
   CASE WHEN {_any('q', A.REFLECTIVE)} THEN {_number('kind', 'ret.intent.reflective_')} WHEN {_any('q', A.WORK)} THEN {_number('kind', 'ret.intent.task_')} END AS i1,
   CASE WHEN {_any('q', A.REFLECTIVE)} THEN CASE WHEN starts_with(content, 'user:') THEN {_at('ret.intent.reflective_user_prefix')} WHEN starts_with(content, 'assistant:') THEN {_at('ret.intent.reflective_assistant_prefix')} END END AS i2,
   CASE WHEN kind = 'profile' THEN {_at('tier.profile_bypass')} ELSE {_number('tier', 'tier.')} END AS i3, {_number(_AUTHOR, 'auth.')} AS i4,
@@ -224,3 +261,46 @@ ORACLES = {
     "m13_solo": _ENDS_SQL + f"SELECT name, max(m)::BIGINT AS moved, max(c)::BIGINT AS changed, max(c) = 0 AND (max(m) > 0 OR starts_with(name, 'div.')) AS flat FROM (SELECT ({_NAMES})[(row + 1) // 2] AS name, sum(moved) AS m, sum(changed) AS c FROM moves WHERE row > 0 GROUP BY row) GROUP BY name",
     "m9_design": f"WITH b AS (SELECT event_type, min(value) AS low, max(value) AS high, row_number() OVER (ORDER BY event_type) AS k FROM events GROUP BY 1), s AS (SELECT unnest(range(0, (SELECT count(DISTINCT user_id) FROM events))) AS s), j AS (SELECT s, unnest(range(1, 11)) AS j FROM s), u AS (SELECT s, j, {_points(10)} AS u FROM j) SELECT s AS sample, CASE WHEN j <= 5 THEN 'A' ELSE 'B' END AS matrix, event_type, round(low + u * (high - low), 6) AS value FROM u JOIN b ON k = (j - 1) % 5 + 1",
 }
+
+
+def _switched(arm: P.Arm) -> list[tuple[int, float]]:
+    """Parameters that a treatment sets."""
+    out = []
+    for n, k in P.INDEX.items():
+        if (n.startswith("ret.intent.") and not n.endswith("_prefix") and not arm.type_terms) or ((n.startswith("ret.lexical.") or n.endswith("_prefix")) and not arm.lexical_terms):
+            out.append((k, 0.0))
+        elif (n.startswith("tier.") and not arm.tier_scoring) or (n.startswith("prior.") and not arm.prior):
+            out.append((k, 1.0))
+    return out
+
+
+_TREATED = ", ".join(
+    f"({k}, '{name}', {str(a.ranker_stages).lower()}, {str(a.type_scoring).lower()}, {str(a.type_policy).lower()}, {str(a.role_predicate).lower()}, {str(a.earlier_terms).lower()})" for k, (name, a) in enumerate(P.TREATMENTS.items())
+)
+_arm = lambda i, none: f"coalesce(x[i{i}], {none}::DOUBLE)"
+_ARMED = _staged([[]]) + f""",
+treated AS MATERIALIZED (SELECT r.x AS x2, t.* EXCLUDE (k) FROM {_rows([_switched(a) for a in P.TREATMENTS.values()])} r JOIN (VALUES {_TREATED}) t(k, arm, ranker, scoring, policy_on, role_on, before) ON t.k = r.row),
+r0 AS (SELECT s.* EXCLUDE (x, row, retrieval, policy, authorship, final, gated, survives, n, shown), t.arm, t.x2 AS x, ranker, policy_on, role_on, CASE WHEN scoring THEN w ELSE memory_weight END AS w2,
+  CASE WHEN before THEN earlier ELSE 0 END AS extra FROM stages s, treated t WHERE s.row = 0),
+r1 AS (SELECT *, (cosine + extra) + (whole * x[1] + least(hits * x[2], x[3]) + CASE WHEN ents > 0 THEN least(ents * x[4], x[5]) ELSE 0 END) + ({_arm(1, 0.0)} + {_arm(2, 0.0)}) AS retrieval FROM r0),
+r2 AS (SELECT *, profile AND policy_on AS pf, round(CASE WHEN ranker THEN retrieval * w2 * CASE WHEN policy_on THEN {_arm(3, 1.0)} ELSE coalesce(x[own_tier], 1.0) END * {_arm(4, 1.0)}
+  * greatest({R.PRIOR_MIN!r}::DOUBLE, least({R.PRIOR_MAX!r}::DOUBLE, {' * '.join(_arm(i, 1.0) for i in (8, 7, 9, 5, 6, 10))})) ELSE retrieval END, 9) AS score FROM r1),
+r3 AS (SELECT *, NOT CASE WHEN role_on THEN shut ELSE shut_only END AND (pf OR ((eligible OR NOT policy_on) AND cosine >= 0.25)) AS kept FROM r2),
+r4 AS (SELECT *, CASE WHEN NOT ranker THEN 0 WHEN kept AND NOT reflection AND (NOT filtered OR NOT coalesce(bool_or(NOT filtered) FILTER (kept AND NOT reflection) OVER (PARTITION BY arm, query_id), false)) THEN CASE WHEN pf THEN 0 ELSE 1 END
+  WHEN kept AND reflection AND NOT filtered THEN 2 ELSE 3 END AS part, count(*) FILTER (profile) OVER (PARTITION BY arm, query_id) AS profiles FROM r3),
+r5 AS (SELECT *, row_number() OVER (PARTITION BY arm, query_id, part ORDER BY score DESC, o, place) AS n FROM r4),
+r6 AS (SELECT *, CASE WHEN NOT ranker THEN n <= memory_limit + profiles ELSE part = 0 OR (part = 1 AND n <= memory_limit) OR (part = 2 AND n <= reflection_limit) END AS ok FROM r5),
+arms AS (SELECT arm, query_id, vec_id AS id, kind, tier, score, CASE WHEN ok THEN row_number() OVER (PARTITION BY arm, query_id, ok ORDER BY part, n) END::INT AS rank FROM r6),
+grades AS {_GRADES_OF_ALL.format("(SELECT DISTINCT query_id FROM arms)")}
+"""
+ORACLES |= {
+    "e9_arms": _ARMED + "SELECT arm, query_id, id, kind, tier, score, rank FROM arms WHERE rank IS NOT NULL",
+    "e8_summary": _ARMED + """, a AS (SELECT * FROM arms WHERE rank <= 6), dcg AS (SELECT arm, query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM a LEFT JOIN grades g USING (query_id, id) GROUP BY 1, 2),
+ ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(n + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS n FROM grades) WHERE n <= 6 GROUP BY 1),
+ j AS (SELECT x.arm, x.query_id, count(y.id) AS i, count(*) AS m FROM a x LEFT JOIN (SELECT query_id, id FROM a WHERE arm = 'full') y ON y.query_id = x.query_id AND y.id = x.id GROUP BY 1, 2), b AS (SELECT query_id, count(*) AS nb FROM a WHERE arm = 'full' GROUP BY 1)
+ SELECT arm, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal END), 8) AS ndcg, round(avg(i / (m + coalesce(nb, 0) - i)), 8) AS jaccard, count(*) FILTER (i / (m + coalesce(nb, 0) - i) < 1) AS changed FROM j LEFT JOIN b USING (query_id) LEFT JOIN dcg USING (arm, query_id) LEFT JOIN ideal USING (query_id) GROUP BY arm""",
+    "e10_levers": _ARMED + """, f AS (SELECT * FROM arms WHERE arm = 'full'), off AS (SELECT * FROM arms WHERE arm <> 'full'), good2 AS (SELECT f.* FROM f JOIN grades g USING (query_id, id) WHERE grade >= 2)
+ SELECT query_id, bait, lever, round(swing, 8) AS swing FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bait ORDER BY swing DESC, lever) AS n FROM (SELECT b.query_id, b.id AS bait, ob.arm AS lever, max(round((b.score - ob.score) - (v.score - ov.score), 9)) AS swing
+ FROM f b JOIN good2 v ON v.query_id = b.query_id AND v.id <> b.id AND b.score > v.score JOIN off ob ON ob.query_id = b.query_id AND ob.id = b.id JOIN off ov ON ov.query_id = v.query_id AND ov.id = v.id AND ov.arm = ob.arm WHERE b.kind IN ('ingested', 'reflection') GROUP BY 1, 2, 3)) WHERE n = 1""",
+    "e15_integrity": _ARMED + ", a AS (SELECT * FROM arms WHERE arm = 'full'), c AS (SELECT query_id, min(id) AS id, CASE WHEN query_id % 2 = 0 THEN 'suppress' ELSE 'surface' END AS expect FROM a GROUP BY query_id) SELECT query_id, c.id, expect, x.id IS NOT NULL AS present, CASE WHEN (x.id IS NOT NULL) = (expect = 'surface') THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c LEFT JOIN (SELECT query_id, id FROM a WHERE rank IS NOT NULL) x USING (query_id, id)",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import stripped
 from ..functions.text import contains_any, normalize, starts_any
+from ..operators.logs import ranked
 
 # Markers of records that were never a person's own text.
 META_MARKERS = (
@@ -77,12 +78,13 @@ def fixed_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap:
     step = size - overlap
     if not 0 <= overlap <= step:
         raise ValueError("an overlap is half of the size at most")
-    whole = stripped(F.col(text))
-    n = F.when(F.length(whole) <= size, 1).otherwise(F.ceil((F.length(whole) - size) / step) + 1).cast("int")
-    pieces = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    rows = docs.withColumn("_n", n).withColumn("_p", pieces)
-    made = F.transform("_p", lambda p, i: stripped(F.concat(p, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, overlap))))
+    # a generator's output is computed once a row: the stripped text is needed for the count and for the pieces
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(*rest, F.explode(F.array(stripped(F.col(text)))).alias("_t"))
+    n = F.when(F.length("_t") <= size, 1).otherwise(F.ceil((F.length("_t") - size) / step) + 1).cast("int")
+    pieces = F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    rows = rows.select(*rest, n.alias("_n"), F.explode(F.array(pieces)).alias("_p"))
+    made = F.transform("_p", lambda p, i: stripped(F.concat(p, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, overlap))))
     rows = rows.select(*rest, F.posexplode(F.slice(made, F.lit(1), F.col("_n"))).alias("chunk_index", "chunk"))
     return rows.where(F.length("chunk") > 0)
 
@@ -160,8 +162,12 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, id_: str, key: str, orde
     stored under any id, or came earlier in the batch), ``replaced`` (new content for a stored id) or ``inserted``."""
     stored_keys = store.select(key).distinct().withColumn("_stored", F.lit(True))
     stored_ids = store.select(id_).distinct().withColumn("_known", F.lit(True))
-    earlier = F.row_number().over(Window.partitionBy(key).orderBy(order, id_)) > 1
-    rows = batch.withColumn("_earlier", earlier).join(stored_keys, key, "left").join(stored_ids, id_, "left")
+    # the first of each content is an aggregate, so a content of many rows isn't gathered; only rows equal in content, order and id share a window
+    same = list(dict.fromkeys((key, order, id_)))
+    first = batch.groupBy(key).agg(F.min(F.struct(*same[1:])).alias("_f")).select(key, "_f.*", F.lit(True).alias("_leads"))
+    rows = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(order))).join(first, same, "left")
+    rows = rows.withColumn("_earlier", F.col("_leads").isNull() | (F.col("_n") > 1)).drop("_leads", "_n")
+    rows = rows.join(stored_keys, key, "left").join(stored_ids, id_, "left")
     outcome = (
         F.when(F.col("_stored") | F.col("_earlier"), "present").when(F.col("_known"), "replaced").otherwise("inserted")
     )
@@ -170,9 +176,9 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, id_: str, key: str, orde
 
 def rebuild_plan(records: DataFrame, index: DataFrame, key: str, id_: str) -> DataFrame:
     """Pairs of records and index rows with equal content, in order of their ids: matched, added or orphan."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(id_))
-    left = records.select(F.col(key), F.col(id_).alias("record_id"), place.alias("_n"))
-    right = index.select(F.col(key), F.col(id_).alias("index_id"), place.alias("_n"))
+    # numbers within a content come from slices, so a content of many rows isn't in one task
+    left = ranked(records.select(key, id_), key, id_, "_n").select(F.col(key), F.col(id_).alias("record_id"), "_n")
+    right = ranked(index.select(key, id_), key, id_, "_n").select(F.col(key), F.col(id_).alias("index_id"), "_n")
     both = left.join(right, [key, "_n"], "full_outer").drop("_n")
     kind = F.when(F.col("index_id").isNull(), "added").when(F.col("record_id").isNull(), "orphan").otherwise("matched")
     return both.withColumn("class", kind)

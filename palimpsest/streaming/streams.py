@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +17,40 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, files: int =
 
 
 def delivery_frequency(events: DataFrame, half_life: float = 30.0) -> DataFrame:
-    """Per record: decayed frequency and last delivery, as of each batch.  An event earlier than
-    the state's last one is counted without decay, as it can't be put in its place."""
+    """Per record: decayed frequency and last delivery, as of each batch, by whole days between two deliveries.
+
+    A batch's events of a record are added in closed form.  This rule depends on the order: an event earlier than the state's last one is
+    counted without decay, as it can't be put in its place (``calendar_frequency`` takes events in any order)."""
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         frequency, last, n = state.get if state.exists else (0.0, 0, 0)
-        rows = pd.concat([p for p in pdfs if len(p)]).sort_values(["micros", "event_id"])
-        for micros in rows.micros.tolist():
-            days = max(0, (micros - last) // 86_400_000_000) if n else 0
-            frequency = frequency * 2.0 ** (-days / half_life) + 1
-            last, n = max(last, micros), n + 1
-        state.update((frequency, last, n))
+        micros = np.sort(np.concatenate([p.micros.to_numpy() for p in pdfs]))
+        so_far = np.maximum.accumulate(np.append(last if n else micros[0], micros))
+        days = np.maximum(0, micros - so_far[:-1]) // 86_400_000_000
+        passed = np.cumsum(days)
+        frequency = frequency * 2.0 ** (-passed[-1] / half_life) + (2.0 ** ((passed - passed[-1]) / half_life)).sum()
+        last, n = int(so_far[-1]), n + len(micros)
+        state.update((float(frequency), last, n))
         yield pd.DataFrame({"user_id": [key[0]], "frequency": [frequency], "last_micros": [last], "deliveries": [n]})
 
-    rows = events.select("user_id", "event_id", F.unix_micros("ts").alias("micros"))
+    rows = events.select("user_id", F.unix_micros("ts").alias("micros"))
     return rows.groupBy("user_id").applyInPandasWithState(
         fold, "user_id long, frequency double, last_micros long, deliveries long", "frequency double, last_micros long, n long", "update", GroupStateTimeout.NoTimeout
     )
 
 
+def calendar_frequency(events: DataFrame, half_life: float = 30.0, epoch: str = "2020-01-01") -> DataFrame:
+    """Per record: decayed frequency at its last delivery, and deliveries, with days counted by the calendar (UTC).
+
+    The sum of 2^(day / half-life) since ``epoch`` takes events in any order and however late, and merges; it is brought to the last day when read.  It
+    differs from ``delivery_frequency`` by what whole days between two deliveries leave out: a day of decay for a delivery at most.
+    The sum is a double, so days from some 1,000 half-lives before the epoch to as many after it are told apart.
+    """
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    since = day - F.floor(F.unix_micros(F.lit(epoch).cast("timestamp")) / 86_400_000_000)
+    sums = events.groupBy("user_id").agg(F.sum(F.pow(F.lit(2.0), since / half_life)).alias("_s"), F.max(since).alias("_d"), F.max("ts").alias("last_ts"), F.count("*").alias("deliveries"))
+    return sums.select("user_id", (F.col("_s") / F.pow(F.lit(2.0), F.col("_d") / half_life)).alias("frequency"), "last_ts", "deliveries")
+
+
 def counted_by_window(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Events and sum of values by kind and tumbling window."""
     windowed = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
@@ -74,18 +91,3 @@ def run_available(stream: DataFrame, mode: str, folder: str, keys: list[str] | N
     rows = spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={n}" for n in sorted(set(written))])
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), latest).alias("_r")).select(*keys, "_r.*")
-
-
-def ingest_once(stream: DataFrame, store: str, key: str, id_: str) -> None:
-    """Append what is available now to a store (a Parquet folder), each content once: what the store has, or an earlier row of the
-    batch, isn't written.  A batch that runs again finds its rows in the store."""
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), id_).alias("_r")).select(key, "_r.*")
-        known = spark.read.parquet(store).select(key)
-        first.join(known, key, "left_anti").write.mode("append").parquet(store)
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{store}-checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
