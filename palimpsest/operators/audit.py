@@ -54,6 +54,28 @@ def guard_counters(rows: DataFrame, sites: dict[str, Column], order: str) -> Dat
     )
 
 
+def branch_counters(rows: DataFrame, branches: dict[str, Column], reached: list[str], order: str, predicates: dict[str, Column] | None = None) -> DataFrame:
+    """site, kind, parent, evaluations, firings, first_seen, last_seen and denominator, of predicates, branches and reached sites in one pass.
+
+    A branch site's parent has the evaluations; each arm that was taken (``site=arm``) has its firings, and its parent's evaluations as
+    its denominator.  Others are their own.  A null arm or predicate isn't evaluated.
+    """
+    cell = lambda site, kind, parent, n, fired: F.struct(site.alias("site"), F.lit(kind).alias("kind"), parent.alias("parent"), F.lit(n).alias("n"), fired.alias("fired"))
+    none = F.lit(None).cast("string")
+    cells = [F.when(test.isNotNull(), cell(F.lit(name), "predicate", none, 1, test.cast("long"))) for name, test in (predicates or {}).items()]
+    for name, arm in branches.items():
+        cells.append(F.when(arm.isNotNull(), cell(F.lit(name), "parent", none, 1, F.lit(0).cast("long"))))
+        cells.append(F.when(arm.isNotNull(), cell(F.concat(F.lit(f"{name}="), arm), "branch", F.lit(name), 0, F.lit(1).cast("long"))))
+    cells += [cell(F.lit(name), "reached", none, 1, F.lit(1).cast("long")) for name in reached]
+    each = rows.select(order, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(order, "x.*")
+    counts = each.groupBy("site").agg(
+        F.first("kind").alias("kind"), F.first("parent").alias("parent"), F.sum("n").cast("long").alias("evaluations"), F.sum("fired").alias("firings"),
+        F.min(order).alias("first_seen"), F.max(order).alias("last_seen"),
+    )
+    parents = counts.where("kind = 'parent'").select(F.col("site").alias("parent"), F.col("evaluations").alias("_all"))
+    return counts.join(parents, "parent", "left").select(*counts.columns, F.coalesce("_all", "evaluations").alias("denominator"))
+
+
 def site_states(counters: DataFrame, declared: DataFrame) -> DataFrame:
     """dead, unreached, always or live for every declared site."""
     rows = declared.join(counters, "site", "left")

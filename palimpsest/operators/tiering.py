@@ -77,3 +77,60 @@ def source_bound(tiers: DataFrame, edges: DataFrame) -> DataFrame:
     rows = tiers.join(bound, "id", "left")
     least = F.least(tier_rank(F.col("tier")), F.coalesce("bound", F.lit(2)))
     return rows.withColumn("tier", F.element_at(names, least + 1)).drop("bound")
+
+
+def nightly_run(store: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
+    """What a run gives each record: id, kind, old_tier, old_heat, tier, heat and ``written``.
+
+    ``store``: id, kind, created, last_retrieved, frequency, tier, heat_score.  A record's age counts from its last delivery, or else its creation; a missing
+    frequency is 0, a missing tier hot; a stored heat that is missing or 0 reads as 1.  Derived records (kind reflection) are bound by their sources' tiers
+    *before* the run, all by the same snapshot (``edges``: derived, source).  A record is written when its tier changes or its heat moves by over 0.01.
+    """
+    recent = recency(F.coalesce("last_retrieved", "created"), F.col("kind"), as_of)
+    hot = settled_heat(heat(recent, F.coalesce("frequency", F.lit(0.0))), F.col("kind"))
+    old_heat = F.when(F.coalesce("heat_score", F.lit(0.0)) == 0, 1.0).otherwise(F.col("heat_score"))
+    rows = store.select("id", "kind", F.coalesce("tier", F.lit("hot")).alias("old_tier"), old_heat.alias("old_heat"), hot.alias("heat")).withColumn("tier", tier(F.col("heat"), F.col("kind")))
+    sources = rows.select(F.col("id").alias("source"), tier_rank(F.col("old_tier")).alias("_rank"))
+    bound = edges.join(sources, "source", "left").groupBy(F.col("derived").alias("id")).agg(F.coalesce(F.max("_rank"), F.lit(0)).alias("_bound"))
+    names = F.array(*[F.lit(t) for t in RANKS])
+    bound = rows.where("kind = 'reflection'").join(bound, "id", "left").select("id", F.coalesce("_bound", F.lit(0)).alias("_bound"))
+    rows = rows.join(bound, "id", "left").withColumn("tier", F.element_at(names, F.least(tier_rank(F.col("tier")), F.coalesce("_bound", F.lit(2))) + 1)).drop("_bound")
+    return rows.withColumn("written", (F.col("tier") != F.col("old_tier")) | (F.abs(F.col("heat") - F.col("old_heat")) > 0.01))
+
+
+def run_totals(run: DataFrame) -> DataFrame:
+    """name and n: every transition that may be, unchanged, and total."""
+    moved = F.col("tier") != F.col("old_tier")
+    names = [(a, b) for a in ("hot", "warm", "cold") for b in ("hot", "warm", "cold") if a != b]
+    counts = {f"{a}_to_{b}": F.count_if(moved & (F.col("old_tier") == a) & (F.col("tier") == b)) for a, b in names}
+    counts |= {"unchanged": F.count_if(~moved), "total": F.count("*"), "written": F.count_if("written")}
+    one = run.agg(*[c.alias(n) for n, c in counts.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in counts])).alias("r")).select("r.*")
+
+
+def tier_moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """old, new, n and the least id of each move between two states (id, tier) of a store; a missing tier is told as (none), a record of one state alone as (absent)."""
+    told = lambda c: F.coalesce(c, F.lit("(none)"))
+    a, b = before.select("id", told(F.col("tier")).alias("old")), after.select("id", told(F.col("tier")).alias("new"))
+    both = a.join(b, "id", "full").select("id", F.coalesce("old", F.lit("(absent)")).alias("old"), F.coalesce("new", F.lit("(absent)")).alias("new"))
+    return both.groupBy("old", "new").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def tier_shares(before: DataFrame, after: DataFrame) -> DataFrame:
+    """tier, and its records and their share before and after."""
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.coalesce("tier", F.lit("(none)")).alias("tier")).agg(F.count("*").alias(name))
+
+    both = counted(before, "before").join(counted(after, "after"), "tier", "full").na.fill(0)
+    totals = before.agg(F.count("*").alias("_b")).crossJoin(after.agg(F.count("*").alias("_a")))  # one row each
+    return both.crossJoin(F.broadcast(totals)).select("tier", "before", "after", (F.col("before") / F.col("_b")).alias("share_before"), (F.col("after") / F.col("_a")).alias("share_after"))
+
+
+def signal_counts(store: DataFrame) -> DataFrame:
+    """Rows, those with a last delivery, and those with a frequency."""
+    return store.agg(F.count("*").alias("rows"), F.count("last_retrieved").alias("with_last_retrieved"), F.count_if(F.coalesce("frequency", F.lit(0.0)) > 0).alias("with_frequency"))
+
+
+def without_signal(store: DataFrame) -> DataFrame:
+    """The store with its delivery history discarded."""
+    return store.withColumn("last_retrieved", F.lit(None).cast(store.schema["last_retrieved"].dataType)).withColumn("frequency", F.lit(0.0))

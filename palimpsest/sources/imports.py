@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.replies import stripped
 from ..functions.text import normalize
-from .ingest import content_kind, detected_role, skip_reason
+from .ingest import clean_text, content_key, content_kind, detected_role, fixed_chunks, index_target, skip_reason, skip_record
 
 # Suffixes of files that are text, and of files that are passed over.
 TEXT_SUFFIXES, SKIPPED_SUFFIXES = (".txt", ".md", ".csv"), (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".zip")
@@ -135,6 +135,29 @@ def message_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
+def ingestion(docs: DataFrame, chats: DataFrame, chat_source: str, assistant: str | None = None) -> DataFrame:
+    """From documents and chats to what is indexed: chunk_id, doc_id, content, role, content_kind, target, metadata and content_key.
+
+    ``docs`` (doc_id, source, title, text) are cleaned and cut to fixed sizes; ``chats`` (doc_id, title, messages, roles) go message by message.  Metadata carry the
+    fields of document and chunk; a chunk goes to the store of its source and role, unless it is indexed nowhere or isn't worth it.
+    """
+    cleaned = docs.select("doc_id", F.col("source").alias("_source"), "title", clean_text(F.col("text")).alias("text"))
+    plain = fixed_chunks(cleaned).withColumnRenamed("chunk", "content")
+    none = F.lit(None).cast("string")
+    plain = plain.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "_source", "title", "content",
+        F.col("chunk_index").cast("int").alias("chunk_index"), none.alias("role"), none.alias("content_kind"), F.lit(True).alias("index_for_retrieval"),
+    )
+    said = message_chunks(chats).join(chats.select("doc_id", "title"), "doc_id").withColumn("_source", F.lit(chat_source))
+    rows = plain.unionByName(said.select(*plain.columns))
+    target = index_target(F.col("_source"), F.col("role"), chat_source)
+    kind = F.substring_index(target, "/", -1)
+    rows = rows.withColumn("target", target).where("index_for_retrieval AND target IS NOT NULL").where(~skip_record(F.col("content"), kind, assistant))
+    fields = dict(source=F.col("_source"), doc_id=F.col("doc_id"), title=F.col("title"), chunk_id=F.col("chunk_id"), chunk_index=F.col("chunk_index"))
+    own = enriched(F.map_filter(F.create_map(F.lit("role"), F.col("role"), F.lit("content_kind"), F.col("content_kind")), lambda _, v: v.isNotNull()), **fields)
+    return rows.select("chunk_id", "doc_id", "content", "role", "content_kind", "target", index_metadata(own).alias("metadata"), content_key(F.col("content")).alias("content_key"))
+
+
 def enriched(metadata: Column, **fields: Column) -> Column:
     """A map of metadata with a document's or chunk's fields, which win."""
     own = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value.cast("string"))])
