@@ -60,9 +60,15 @@ def branch_counters(rows: DataFrame, branches: dict[str, Column], reached: list[
     A branch site's parent has the evaluations; each arm that was taken (``site=arm``) has its firings, and its parent's evaluations as
     its denominator.  Others are their own.  A null arm or predicate isn't evaluated.
     """
+    # a generator's output is computed once a row, and each arm is asked for twice
+    tests = {f"p{k}": test for k, test in enumerate((predicates or {}).values())} | {f"b{k}": arm for k, arm in enumerate(branches.values())}
+    if tests:
+        rows = rows.select(order, F.explode(F.array(F.struct(*[test.alias(name) for name, test in tests.items()]))).alias("_t"))
+    predicates = {name: F.col(f"_t.p{k}") for k, name in enumerate(predicates or {})}
+    branches = {name: F.col(f"_t.b{k}") for k, name in enumerate(branches)}
     cell = lambda site, kind, parent, n, fired: F.struct(site.alias("site"), F.lit(kind).alias("kind"), parent.alias("parent"), F.lit(n).alias("n"), fired.alias("fired"))
     none = F.lit(None).cast("string")
-    cells = [F.when(test.isNotNull(), cell(F.lit(name), "predicate", none, 1, test.cast("long"))) for name, test in (predicates or {}).items()]
+    cells = [F.when(test.isNotNull(), cell(F.lit(name), "predicate", none, 1, test.cast("long"))) for name, test in predicates.items()]
     for name, arm in branches.items():
         cells.append(F.when(arm.isNotNull(), cell(F.lit(name), "parent", none, 1, F.lit(0).cast("long"))))
         cells.append(F.when(arm.isNotNull(), cell(F.concat(F.lit(f"{name}="), arm), "branch", F.lit(name), 0, F.lit(1).cast("long"))))

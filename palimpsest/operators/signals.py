@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
 from ..functions.text import contains_any, jaccard, response_words
 from ..sources.ingest import QUESTION_MARKERS
 
@@ -125,11 +127,61 @@ def cross_session_patterns(neighbours: DataFrame, floor: float = 0.82, least_row
 PRIVATE = r"^(localhost|127[.]|10[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.])"
 
 
-def unlisted_urls(urls: DataFrame, allowed: DataFrame) -> DataFrame:
-    """URLs (id, host, path) for which no allowed host has a path that begins theirs, or the other way round; private hosts pass."""
-    ok = allowed.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
-    test = (F.col("host") == F.col("h")) & (F.startswith("path", F.col("p")) | F.startswith(F.col("p"), F.col("path")))
-    return urls.where(~F.col("host").rlike(PRIVATE)).join(ok, test, "left_anti")
+def unlisted_urls(urls: DataFrame, allowed: DataFrame, slice_rows: int = 50_000) -> DataFrame:
+    """URLs (id, host, path) for which no allowed host has a path that begins theirs, or the other way round; private hosts pass.
+
+    Distinct URLs and allowed ones are sorted together by host and path, and cut into slices of about ``slice_rows``, so a host of many pages is in many tasks.
+    In this order an allowed URL is followed by all that it begins; of allowed ones that begin each other the shortest is enough (a root).  So a URL is listed
+    if the last root before it begins it, or if it begins the next allowed one.  What slices must know of each other is the root that reaches into
+    them and the next allowed URL after them: two strings for each slice.
+    """
+    named = lambda rows, kind: rows.select(F.concat_ws("\0", "host", "path").alias("s"), F.lit(kind).alias("k"))
+    public = urls.where(~F.col("host").rlike(PRIVATE))
+    every = named(public, 0).unionByName(named(allowed, 1)).groupBy("s").agg(F.max("k").alias("allowed"), (F.min("k") == 0).alias("asked"))
+    every = written(every, "urls")
+    slices = max(1, -(-every.count() // slice_rows))
+    cut = every.repartitionByRange(slices, "s").select("s", "allowed", "asked", F.spark_partition_id().alias("slice"))
+    cut = written(cut, "slices")
+
+    def ends(table: pa.Table) -> pa.Table:
+        """First allowed string of a slice and its last root."""
+        known = sorted(table.column("s").to_pylist())
+        root = known[0]
+        for s in known:
+            root = root if s.startswith(root) else s
+        return pa.table({"slice": table.column("slice")[:1], "first": [known[0]], "root": [root]}, schema=pa.schema([("slice", pa.int32()), ("first", pa.string()), ("root", pa.string())]))
+
+    told = {r.slice: r for r in cut.where("allowed = 1").groupBy("slice").applyInArrow(ends, "slice int, first string, root string").collect()}  # two strings a slice
+    reaching, following, root, first = {}, {}, None, None
+    for k in range(slices):
+        reaching[k] = root
+        if k in told:
+            root = root if root is not None and told[k].root.startswith(root) else told[k].root
+    for k in reversed(range(slices)):
+        following[k] = first
+        first = told[k].first if k in told else first
+
+    def unlisted(table: pa.Table) -> pa.Table:
+        k = table.column("slice")[0].as_py()
+        rows = sorted(zip(table.column("s").to_pylist(), table.column("allowed").to_pylist(), table.column("asked").to_pylist(), strict=True))
+        root, bad = reaching[k], []
+        for s, is_allowed, asked in rows:
+            if root is None or not s.startswith(root):
+                if is_allowed:
+                    root = s
+                elif asked:
+                    bad.append(s)
+        following_, out, at = following[k], [], len(rows) - 1
+        for s in reversed(bad):
+            while at >= 0 and rows[at][0] > s:
+                following_ = rows[at][0] if rows[at][1] else following_
+                at -= 1
+            if following_ is None or not following_.startswith(s):
+                out.append(s)
+        return pa.table({"s": pa.array(out, pa.string())})
+
+    bad = cut.groupBy("slice").applyInArrow(unlisted, "s string")
+    return public.withColumn("s", F.concat_ws("\0", "host", "path")).join(bad, "s", "left_semi").drop("s")
 
 
 def without_urls(text: Column, urls: Column) -> Column:

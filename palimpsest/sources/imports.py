@@ -12,6 +12,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.replies import stripped
 from ..functions.text import normalize
+from ..operators.logs import ranked
+from .folders import written
 from .ingest import clean_text, content_key, content_kind, detected_role, fixed_chunks, index_target, skip_reason, skip_record
 
 # Suffixes of files that are text, and of files that are passed over.
@@ -186,31 +188,65 @@ def flattened_metadata(metadata: Column, most: int = 20) -> Column:
     return F.transform_values(fields, told)
 
 
-def recent_duplicates(records: DataFrame, keys: list[str], order: str, text: str, newest: int = 10) -> DataFrame:
+def recent_duplicates(records: DataFrame, keys: list[str], order: str, text: str, newest: int = 10, segment_rows: int = 100_000) -> DataFrame:
     """keys, order and ``skipped``: whether a record's stripped, lower-cased text equals one of the ``newest`` written before it under its keys.
 
-    Skipped records aren't written, so they don't count among those, which makes a key's records a
-    sequence: they pass through one task in their order, and only the last texts are held.
+    Skipped records aren't written, so they don't count among those, which makes a key's records a sequence.  A key of many records is cut into
+    segments of ``segment_rows``, which are scanned in parallel: each from the texts that the segment before it leaves, first guessed (none), then those it did
+    leave.  A scan is made again only where its guess was wrong, until none was: what a segment leaves rarely depends on what it began with, so
+    that is two rounds as a rule, and the result never depends on it.  Ten hashes of a segment are passed on.  Records equal in keys and order are taken in any one order.
     """
     said = F.md5(F.coalesce(F.lower(stripped(F.col(text))), F.lit("")).cast("binary"))
-    rows = records.select(*keys, order, said.alias("_said")).repartition(*keys).sortWithinPartitions(*keys, order)
-    schema = StructType([*(records.schema[c] for c in keys), records.schema[order], StructField("skipped", BooleanType())])
-
-    def told(batches):
-        current, held = None, deque(maxlen=newest)
-        for batch in batches:
-            skipped = []
-            owners = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
-            for owner, key in zip(owners, batch.column("_said").to_pylist(), strict=True):
-                if owner != current:
-                    current, held = owner, deque(maxlen=newest)
-                skipped.append(key in held)
-                if not skipped[-1]:
-                    held.append(key)
-            columns = [batch.column(c) for c in (*keys, order)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(skipped, pa.bool_())], [*keys, order, "skipped"])
-
-    return rows.mapInArrow(told, schema)
+    rows = records.select(*keys, order, F.to_json(F.struct(*keys)).alias("_key"), said.alias("_said"))
+    # hashes alone are sorted and scanned, the texts are read once
+    rows = written(rows, "hashes")
+    rows = written(ranked(rows, "_key", order, "_i").withColumn("_segment", F.floor((F.col("_i") - 1) / segment_rows)).drop("_slice"), "sequence")
+    left = "_key string, _segment long, _in array<string>, _out array<string>"
+
+    def scanned(parts: DataFrame, begins: DataFrame, flags: bool) -> DataFrame:
+        """Segments scanned from what ``begins`` (_key, _segment, _in) says, else from nothing: the flags of their records, or what they leave."""
+        first = begins.select("_key", (F.col("_segment") * segment_rows + 1).alias("_i"), "_in")
+        sent = parts.join(first, ["_key", "_i"], "left").repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_i")
+
+        def run(batches):
+            now, began, held, ends = None, [], deque(maxlen=newest), []
+            for batch in batches:
+                skipped = []
+                for key, segment, given, said in zip(*(batch.column(c).to_pylist() for c in ("_key", "_segment", "_in", "_said")), strict=True):
+                    if (key, segment) != now:
+                        if now is not None:
+                            ends.append((*now, began, list(held)))
+                        now, began = (key, segment), given or []
+                        held = deque(began, maxlen=newest)
+                    skipped.append(said in held)
+                    if not skipped[-1]:
+                        held.append(said)
+                if flags:
+                    ends.clear()
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, order)), pa.array(skipped, pa.bool_())], [*keys, order, "skipped"])
+            if not flags and now is not None:
+                ends.append((*now, began, list(held)))
+                listed = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends, strict=True), (pa.string(), pa.int64(), listed, listed), strict=True)], names=["_key", "_segment", "_in", "_out"])
+
+        schema = StructType([*(records.schema[c] for c in keys), records.schema[order], StructField("skipped", BooleanType())])
+        return sent.mapInArrow(run, schema if flags else left)
+
+    begins = nothing = records.sparkSession.createDataFrame([], "_key string, _segment long, _in array<string>")
+    many = rows.where("_segment > 0").select("_key").distinct()
+    if not many.isEmpty():
+        parts = written(rows.join(many, "_key", "left_semi"), "segments")
+        known = written(scanned(parts, nothing, False), "left")
+        while True:
+            due = known.select("_key", (F.col("_segment") + 1).alias("_segment"), F.col("_out").alias("_due"))
+            wrong = known.join(due, ["_key", "_segment"]).where("_in <> _due").select("_key", "_segment", F.col("_due").alias("_in"))
+            wrong = written(wrong, "wrong")
+            if wrong.isEmpty():
+                break
+            again = scanned(parts.join(wrong.drop("_in"), ["_key", "_segment"], "left_semi"), wrong, False)
+            known = written(known.join(wrong, ["_key", "_segment"], "left_anti").unionByName(again), "left")
+        begins = known.select("_key", "_segment", "_in")
+    return scanned(rows, begins, True)
 
 
 def write_records(records: DataFrame, folder: str, kind: str = "memory_type") -> str:
