@@ -96,11 +96,11 @@ def f5_transcripts(spark, d):
 
 
 def f6_evidence(spark, d):
-    """Users whose newest month has three reflections at least: their number, time span and the hottest tier among them."""
-    e = table(spark, d, "events").where("event_type IN ('view', 'signup')")
+    """Users whose newest month has three records at least: their number, the first ones and the hottest tier among them."""
+    e = table(spark, d, "events")
     tier = F.element_at(F.array(F.lit("cold"), F.lit("warm"), F.lit("hot")), (F.col("event_id") % 3 + 1).cast("int"))
     rows = e.select("user_id", "ts", "event_id", tier.alias("tier"))
-    out = N.evidence_window(rows, "user_id", F.lit("2024-01-20 00:00:00").cast("timestamp"), days=10)
+    out = N.evidence_window(rows, "user_id", F.lit("2024-01-20 00:00:00").cast("timestamp"), days=30)
     return out.select("user_id", "records", "tier", F.array_join(F.transform(F.slice("ids", 1, 5), lambda i: i.cast("string")), ",").alias("first_ids"))
 
 
@@ -325,7 +325,7 @@ ORACLES = {
     "n21_clean_replies": r"SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'Yes.' WHEN 2 THEN t WHEN 3 THEN t WHEN 4 THEN t ELSE t END AS reply FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)",
     "f2_skip_rules": f"SELECT conv_id, turn, coalesce({_SKIP}, 'kept') AS reason FROM (SELECT conv_id, turn, {norm('text')} AS s FROM {_from(NOISY)})",
     "f5_transcripts": "SELECT conv_id, count(*) AS exchanges, md5(CASE WHEN length(t) > 8000 THEN substr(t, 1, 8000) || chr(10) || '[... truncated]' ELSE t END) AS transcript_md5, ids AS source_ids FROM (SELECT conv_id, unnest(range(n)) AS k, t, ids FROM (SELECT conv_id, count(*) AS n, string_agg('Turn ' || i || ':' || chr(10) || 'User: ' || text || chr(10) || 'Assistant: ' || coalesce(reply, '') || chr(10) || chr(10), '' ORDER BY turn) AS t, string_agg(turn::VARCHAR || CASE WHEN reply IS NULL THEN '' ELSE ',' || (turn + 1)::VARCHAR END, ',' ORDER BY turn) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, role, text, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user') GROUP BY conv_id HAVING count(*) >= 3)) GROUP BY conv_id, t, ids",
-    "f6_evidence": "SELECT user_id, count(*) AS records, CASE max(event_id % 3) WHEN 2 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier, array_to_string((list(event_id ORDER BY ts, event_id))[1:5], ',') AS first_ids FROM events WHERE event_type IN ('view', 'signup') AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' GROUP BY user_id HAVING count(*) >= 3",
+    "f6_evidence": "SELECT user_id, count(*) AS records, CASE max(event_id % 3) WHEN 2 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier, array_to_string((list(event_id ORDER BY ts, event_id))[1:5], ',') AS first_ids FROM events WHERE ts >= TIMESTAMP '2023-12-21' AND ts <= TIMESTAMP '2024-01-20' GROUP BY user_id HAVING count(*) >= 3",
     "f8_junk": f"SELECT coalesce({_JUNK}, 'kept') AS reason, role, count(*) AS n FROM (SELECT role, trim(lower({_STRIP.format('text')})) AS s FROM {_from(NOISY)}) GROUP BY 1, 2",
     "f9_noise": f"SELECT {_NOISE} AS rule, count(*) AS n FROM (SELECT lower(text) AS l FROM {_from(SAID)} WHERE role = 'assistant') GROUP BY 1",
     "f10_chunk_profile": "SELECT count(*) AS total, count(*) FILTER (n < 100) AS under_100, count(*) FILTER (n BETWEEN 100 AND 300) AS to_300, count(*) FILTER (n BETWEEN 301 AND 800) AS to_800, count(*) FILTER (n > 800) AS over_800 FROM (SELECT length(text) AS n FROM conversations WHERE role = 'assistant')",

@@ -81,10 +81,12 @@ def t7_signals(spark, d):
 
 def a9_branches(spark, d):
     """Counters of predicates, of branches with their parent's evaluations, and of a reached site, over documents."""
-    flat = T.normalize(F.col("text"))
+    # normalized once a row, for all markers
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.explode(F.array(T.normalize(F.col("text")))).alias("_flat"))
+    flat = F.col("_flat")
     predicates = {"skip.short": F.length(flat) < 40, "skip.fenced": F.when(F.length(flat) >= 40, F.contains("text", F.lit("```")))}
     branches = {"route.lang": F.col("lang"), "route.rule": F.coalesce(S.skip_reason(flat), F.lit("kept"))}
-    return A.branch_counters(table(spark, d, "documents"), branches, ["ingest.entered"], "doc_id", predicates)
+    return A.branch_counters(docs, branches, ["ingest.entered"], "doc_id", predicates)
 
 
 QUERIES = {f.__name__: f for f in (s12_ingest, t6_nightly, t6_writes, t7_moves, t7_shares, t7_signals, a9_branches)}
