@@ -173,3 +173,35 @@ def test_entry_without_the_folders(tmp_path):
         "import __spark_entry__ as e\nassert e.queries() and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']"
     )
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def pipeline_folder(tmp_path, docs, labels):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.sparkSession.createDataFrame([(1, " ".join(f"bench{k}" for k in range(12))), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_with_edge_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, very long texts and clashing columns: copies, benchmark passages and personal data go, all else stays."""
+    leak = spark.createDataFrame([(50, "so " + " ".join(f"bench{k}" for k in range(12)) + " it is", "en", "a", 1, 1, "x"), (51, "write to someone@example.org now please, or do not", "en", "a", 1, 1, "x")], edge_docs(spark).schema)
+    docs = edge_docs(spark).unionByName(leak)
+    labels = spark.createDataFrame([(1, 0, 0), (2, None, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    sf = pipeline_folder(tmp_path / "edge", docs, labels)
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, sf), name)
+        assert kept.columns == docs.columns, name
+    rows = kept.collect()
+    ids = sorted((r.doc_id for r in rows), key=str)
+    assert 50 not in ids and {5, 6, 51, None} <= set(ids)
+    assert ids.count(3) + ids.count(4) == 1  # one of the texts that are equal in words
+    assert ids.count(1) + ids.count(2) == 1 and ids.count(7) + ids.count(8) == 1
+    assert "someone@example.org" not in next(r.text for r in rows if r.doc_id == 51)
+    packed = corpus_pipeline.run(spark, sf)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(ids)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert corpus_pipeline.run(spark, pipeline_folder(tmp_path / "none", empty_docs(spark), labels)).count() == 0
