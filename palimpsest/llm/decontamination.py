@@ -232,7 +232,8 @@ def find_contamination(
     7F.  A window is ``window`` consecutive words of an item, or the whole item
     if it has fewer; an item without words has none.  Null text has no words;
     null document ids stay null and repeated rows give repeated rows; an empty
-    benchmark hits nothing.  Items with a null id hit words but aren't listed.
+    benchmark hits nothing.  Items with a null id hit words but aren't listed.  Texts of any length are read whole, a block
+    at a time; an empty table gives an empty result; columns of other names, clashing ones too, are ignored.
     """
     sent = _broadcasts(docs.sparkSession, benchmark, broadcast_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))

@@ -100,7 +100,8 @@ def identify_languages(
     isn't the held-out fold.  Null texts and texts without a letter, and all texts
     where nothing was learned, are ``unknown`` with score 0; equal cosines go to
     the language first by name.  The score is the cosine, 0 at least.  Null ids
-    count as the empty id; repeated rows get repeated results.
+    count as the empty id; repeated rows get repeated results.  Texts of any length are read whole; an empty table gives an
+    empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held_out = fold_of(F.col("doc_id"), folds) == held_out_fold

@@ -150,7 +150,8 @@ def pack_documents(
 
     Input: doc_id, text; other columns are ignored.  Null text is empty and has
     only the end id.  Null ids stay null; repeated rows are packed each for
-    itself.  An empty table gives an empty result.  ``ids`` holds the piece's
+    itself.  An empty table gives an empty result.  A text of any length is cut
+    over as many sequences as it needs; of equally good levels the fuller one is taken.  ``ids`` holds the piece's
     ids as little-endian unsigned 32-bit integers.
     """
 

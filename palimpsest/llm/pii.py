@@ -290,7 +290,7 @@ def find_personal_data(
     valid matches, leftmost and non-overlapping in each kind; ``spans`` adds what
     trusted patterns discover (instances with an @ or six digits that overlap no base span).  Both
     are ordered by start, then kind.  Repeated rows, and rows with null or equal
-    ids, are rows of their own; an empty table gives an empty result.
+    ids, are rows of their own; an empty table gives an empty result.  Texts of any length are scanned whole.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[_base_spans(text, k) for k in KINDS]))

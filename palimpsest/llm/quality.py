@@ -164,7 +164,8 @@ def score_quality(
     whose crc32(doc_id) mod folds isn't the held-out fold are learned from.
     Labels of an id that repeats count each; null ids have no label and are
     scored.  Null and empty texts have zeros as statistics.  Without labels
-    all scores are 0.5; without documents the result is empty.
+    all scores are 0.5; without documents the result is empty.  Texts of any length are read whole (a text's statistics take some
+    80 times its bytes while they are made); equal texts have equal scores; other columns are ignored.
     """
     width_x = len(STATISTICS)
     stats = materialize(document_statistics(docs), "statistics")

@@ -43,7 +43,8 @@ def shard_proportionally(
     crc32 is that of the empty text).  Null sources form a source of their own;
     null ids and repeated rows are ranked like others (equal rows are
     interchangeable).  Counts of two shards differ by one at most; slots run
-    gapless from 0 in each.  The law is ``rows``, so ``grown_shard`` is null.
+    gapless from 0 in each.  The law is ``rows``, so ``grown_shard`` is null.  Texts of any length are
+    only measured and hashed; an empty table gives an empty result; other columns are ignored.  Rows equal in id and text share a slice.
     """
     total = docs.count()
     slices = min(max_slices, max(1, total // slice_rows))
