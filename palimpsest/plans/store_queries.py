@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assembly as ASM
 from ..operators import logs as L
 from ..operators import ranking as R
 from ..sources import ingest as S
@@ -15,16 +16,6 @@ from .retrieval_queries import _CAND, _HEAT, _LOG, _NEAR, _SCORED, _STATE, _cand
 from .tables import table
 from .text_queries import NORM, _any
 
-# Markers of reflective and of work queries.
-REFLECTIVE = (
-    "what patterns", "have you noticed", "based on my history", "from my history", "what have we discussed", "what have we been discussing",
-    "what have we chatted about", "how have i been", "what themes", "summarize", "recap", "reflect", "lately",
-)
-WORK = (
-    "fix", "build", "implement", "update", "write", "refactor", "debug", "error", "issue", "architecture", "pipeline", "service", "api", "prompt",
-    "context", "ranker", "retriever", "workflow", "agent",
-)
-
 
 def s1_newest_by_type(spark, d):
     """The ten newest records of each type."""
@@ -67,7 +58,7 @@ def v7_intent_adjustment(spark, d):
     said = F.when(F.col("role") == "user", 0.10).when(F.col("role") == "assistant", -0.10).otherwise(0.0)
     reflective = F.when(kind == "conversation", 0.10).when(kind == "reflection", 0.08).otherwise(-0.03) + said
     work = F.when(kind == "ingested", 0.08).when(kind == "conversation", 0.03).otherwise(0.0)
-    score = F.when(T.contains_any(F.col("q"), REFLECTIVE), reflective).when(T.contains_any(F.col("q"), WORK), work).otherwise(0.0)
+    score = F.when(T.contains_any(F.col("q"), ASM.REFLECTIVE), reflective).when(T.contains_any(F.col("q"), ASM.WORK), work).otherwise(0.0)
     return c.select("conv_id", "turn", F.round(score, 9).alias("adjustment"))
 
 
@@ -237,7 +228,7 @@ ORACLES = {
     "repeats_of_ten_before": "SELECT doc_id, coalesce(list_contains(before, k), false) AS skipped FROM (SELECT doc_id, k, list(k) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS before FROM (SELECT doc_id, source, md5(trim(lower(text))) AS k FROM documents))",
     "v3_floor": f"SELECT query_id, count(*) AS n FROM {_NEAR.format(20)} WHERE cosine >= 0.25 GROUP BY 1",
     "v4_exclusions": f"SELECT CASE WHEN s = '' THEN 'empty' WHEN length(s) < 40 THEN 'short' WHEN {_any('s', S.META_MARKERS)} THEN 'meta' WHEN s[1] IN ('{{', '[') THEN 'json' WHEN contains(s, '```') THEN 'fence' ELSE 'kept' END AS reason, lang, count(*) AS n FROM (SELECT lang, {NORM} AS s FROM documents) GROUP BY 1, 2",
-    "v7_intent_adjustment": f"SELECT conv_id, turn, round(CASE WHEN {_any(_LOW, REFLECTIVE)} THEN CASE conv_id % 3 WHEN 0 THEN 0.10 WHEN 1 THEN 0.08 ELSE -0.03 END::DOUBLE + CASE role WHEN 'user' THEN 0.10 WHEN 'assistant' THEN -0.10 ELSE 0 END::DOUBLE WHEN {_any(_LOW, WORK)} THEN CASE conv_id % 3 WHEN 2 THEN 0.08 WHEN 0 THEN 0.03 ELSE 0 END::DOUBLE ELSE 0 END, 9) AS adjustment FROM conversations",
+    "v7_intent_adjustment": f"SELECT conv_id, turn, round(CASE WHEN {_any(_LOW, ASM.REFLECTIVE)} THEN CASE conv_id % 3 WHEN 0 THEN 0.10 WHEN 1 THEN 0.08 ELSE -0.03 END::DOUBLE + CASE role WHEN 'user' THEN 0.10 WHEN 'assistant' THEN -0.10 ELSE 0 END::DOUBLE WHEN {_any(_LOW, ASM.WORK)} THEN CASE conv_id % 3 WHEN 2 THEN 0.08 WHEN 0 THEN 0.03 ELSE 0 END::DOUBLE ELSE 0 END, 9) AS adjustment FROM conversations",
     "first_of_ten": "SELECT query_id, vec_id, kind FROM (" + _RN.format(_CAND, "query_id, vec_id // 10", "(kind <> 'profile')::INT, cosine DESC, vec_id") + "= 1)",
     "not_among_reflections": f"SELECT query_id, vec_id FROM {_CAND} c WHERE kind <> 'reflection' AND NOT EXISTS (SELECT 1 FROM {_CAND} r WHERE r.kind = 'reflection' AND r.query_id = c.query_id AND r.vec_id % 50 = c.vec_id % 50)",
     "p6_type_gate": f"SELECT query_id, vec_id, kind FROM {_SCORED} WHERE kind = 'profile' OR (kind IN ('conversation', 'ingested') AND score >= 0.25)",
