@@ -170,3 +170,40 @@ def drawn_counts(first: int, n: int, slices: int, slice_rows: int, rows: int, re
         else:
             drawn, left, node = drawn - lower, middle, 2 * node + 1
     return np.random.default_rng([seed, node, 1]).multinomial(drawn, np.full(n, 1 / n))
+
+
+class Morris:
+    """Trajectories through the grid of ``levels`` values (an even number) of each varied parameter: one parameter moves in each step, by the same
+    share of its range up or down, in an order of the trajectory's own.  Row ``t * (k + 1) + s`` is trajectory t after s steps.
+    """
+
+    def __init__(self, trajectories: int, low, high, default=None, varied=None, levels: int = 4, seed: int = 1):
+        if levels % 2:
+            raise ValueError("levels must be even, so that steps stay on the grid")
+        self.trajectories, self.levels, self.seed = trajectories, levels, seed
+        self.low, self.high = np.asarray(low, float), np.asarray(high, float)
+        self.default = self.low if default is None else np.asarray(default, float)
+        self.varied = list(range(len(self.low))) if varied is None else list(varied)
+        self.step = levels / (2 * (levels - 1))
+
+    @property
+    def rows(self) -> int:
+        return self.trajectories * (len(self.varied) + 1)
+
+    def path(self, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a trajectory begins (units), which way each parameter goes, and in what order they move."""
+        k, rng = len(self.varied), np.random.default_rng([self.seed, t])
+        low = rng.integers(0, self.levels // 2, k) / (self.levels - 1)
+        sign = rng.choice([1.0, -1.0], k)
+        return np.where(sign < 0, low + self.step, low), sign, rng.permutation(k)
+
+    def vectors(self, first: int, n: int) -> np.ndarray:
+        k, v = len(self.varied), self.varied
+        out = np.repeat(self.default[None], n, axis=0)
+        for row in range(n):
+            t, s = divmod(first + row, k + 1)
+            begin, sign, order = self.path(t)
+            units = begin.copy()
+            units[order[:s]] += self.step * sign[order[:s]]
+            out[row, v] = self.low[v] + units * (self.high[v] - self.low[v])
+        return out

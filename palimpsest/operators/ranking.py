@@ -192,6 +192,17 @@ def confidence(rows: DataFrame, query: str, age_days: str = "age") -> DataFrame:
     return rows.groupBy(query).agg(F.min("score").alias("lowest"), mean.alias("mean"), F.max("score").alias("highest"), level.alias("confidence"))
 
 
+# Places of priorities; others and none come last.
+PRIORITIES = {"high": 3, "medium": 2, "low": 1}
+
+
+def state_order(rows: DataFrame, query: str, priority: Column, boost: Column, order: list) -> DataFrame:
+    """State records of each query with their ``place``: by priority where the policy boosts states, else as ``order`` has them; equal ones keep that order."""
+    numbers = F.create_map(*[F.lit(x) for pair in PRIORITIES.items() for x in pair])
+    rank = F.when(F.coalesce(boost, F.lit(0.0)) != 0, F.coalesce(numbers[priority], F.lit(0))).otherwise(0)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(rank), *order)))
+
+
 TURNS = ("conversation", "ingested", "other")
 
 

@@ -121,6 +121,35 @@ def m11_resamples(spark, d):
     return told.select("kind", "name", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), M.supported(F.col("low"), F.col("high")).alias("supported"))
 
 
+def m7_screening(spark, d):
+    """Elementary effects of the exercised parameters on what is shown, over 16 trajectories."""
+    trace = _trace(spark, d)
+    varied = _exercised(trace)
+    design = D.Morris(16, LOW, HIGH, P.DEFAULT, varied)
+    rows = M.screening(P.endpoints(trace, design), design, [P.NAMES[k] for k in varied], y="delivery")
+    return rows.select("name", *[F.round(c, 6).alias(c) for c in ("mu", "mu_star", "sigma")], "interaction", "no_effect", "distinguishable")
+
+
+def m12_replayed(spark, d):
+    """How wide the five greatest total indices' intervals are at 64, 128 and 256 samples; a larger sample keeps the evaluations of a smaller one."""
+    trace = _trace(spark, d)
+    varied = _exercised(trace)
+    names = [P.NAMES[k] for k in varied]
+    most = 256
+    design = D.Saltelli(most, LOW, HIGH, P.DEFAULT, varied)
+    samples = written(M.by_sample(P.endpoints(trace, design), design.matrices, y="delivery"), "samples")
+
+    def measure(n):
+        mine = samples.where(F.col("sample") < n)
+        singles, _ = M.indices_with_pairs(mine, names)
+        ends = M.resampled_indices(mine, names, n, resamples=200).where("kind = 'st'").select("name", F.col("low").alias("st_low"), F.col("high").alias("st_high"))
+        return singles.join(ends, "name").select(F.col("name").alias("parameter"), "st", "st_low", "st_high")
+
+    steps = spark.createDataFrame([(n, float(w), met) for n, w, met in M.converged_samples(measure, 0.01, 64, most, 5)], "samples int, width double, met boolean")
+    need = M.required_samples(steps.select("samples", "width"), 0.1)
+    return steps.select("samples", F.round("width", 4).alias("width"), "met").crossJoin(need.select("needed"))  # one row
+
+
 def m9_design(spark, d):
     """The A and B values of each kind of event, between its least and greatest value, in as many samples as there are users."""
     e = table(spark, d, "events")
@@ -163,7 +192,7 @@ def e15_integrity(spark, d):
     return E.integrity(cases, rows.where("rank IS NOT NULL").select("query_id", "id"))
 
 
-QUERIES = {f.__name__: f for f in (e8_summary, e9_arms, e10_levers, e15_integrity, m1_compose, m2_replay, m3_endpoints, m4_fidelity, m4_fidelity_diverse, m5_ranges, m6_coverage, m6_sweeps, m13_solo, m9_design, m10_pairs, m11_resamples)}
+QUERIES = {f.__name__: f for f in (e8_summary, e9_arms, e10_levers, e15_integrity, m1_compose, m2_replay, m3_endpoints, m4_fidelity, m4_fidelity_diverse, m5_ranges, m6_coverage, m6_sweeps, m13_solo, m7_screening, m12_replayed, m9_design, m10_pairs, m11_resamples)}
 
 
 def _number(column: str, prefix: str, rename: dict | None = None, suffix: str = "") -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.designs import Saltelli, drawn_counts
+from ..operators.designs import Morris, Saltelli, drawn_counts
 
 _MASK = (1 << 53) - 1
 
@@ -277,3 +277,27 @@ def design_rows(spark: SparkSession, design: Saltelli, span: int = 4096) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(sample), pa.array(matrix), pa.array(list(x), pa.list_(pa.float64()))], names=["sample", "matrix", "x"])
 
     return spark.range(-(-design.rows // span)).mapInArrow(run, "sample long, matrix long, x array<double>")
+
+
+def screening(outputs: DataFrame, design: Morris, names: list[str], row: str = "row", y: str = "y") -> DataFrame:
+    """name, mu, mu_star, sigma (population) and flags of the elementary effects, from one row for each row of a ``Morris`` design.
+
+    ``interaction``: the effects vary by more than their size, so they interact or bend; ``no_effect``: all are 0; ``distinguishable``: beyond two standard errors.
+    Each trajectory is one row of the only shuffle.
+    """
+    paths = by_sample(outputs, len(design.varied) + 1, row, y)
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told: list[tuple[str, float]] = []
+            for t, values in zip(batch.column("sample").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                _, sign, order = design.path(t)
+                told.extend((names[k], (b - a) / (design.step * sign[k])) for k, a, b in zip(order, values[:-1], values[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in told], pa.string()), pa.array([e for _, e in told], pa.float64())], names=["name", "effect"])
+
+    each = paths.mapInArrow(effects, "name string, effect double").groupBy("name").agg(
+        F.avg("effect").alias("mu"), F.avg(F.abs("effect")).alias("mu_star"), F.stddev_pop("effect").alias("sigma"), F.count("*").alias("n")
+    )
+    error = F.when(F.col("n") > 1, F.col("sigma") / F.sqrt("n")).otherwise(0.0)
+    flags = {"interaction": (F.col("sigma") > F.col("mu_star")) & (F.col("mu_star") > 0), "no_effect": F.col("mu_star") == 0, "distinguishable": F.col("mu_star") > 2 * error}
+    return each.select("name", "mu", "mu_star", "sigma", *[test.alias(name) for name, test in flags.items()])

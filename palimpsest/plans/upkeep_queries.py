@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators import ranking as R
 from ..operators import tiering as H
 from ..sources import imports as I
 from ..sources import ingest as S
@@ -89,7 +90,17 @@ def a9_branches(spark, d):
     return A.branch_counters(docs, branches, ["ingest.entered"], "doc_id", predicates)
 
 
-QUERIES = {f.__name__: f for f in (s12_ingest, t6_nightly, t6_writes, t7_moves, t7_shares, t7_signals, a9_branches)}
+def r7_states(spark, d):
+    """Unresolved state records of each user, newest first, put in order by priority for users whose query has a policy that boosts states."""
+    boosts = R.policies(spark).select("policy", "state_boost")
+    names = F.array(*[F.lit(p[0]) for p in R.POLICIES])
+    rows = table(spark, d, "events").where("event_type <> 'error'").withColumn("policy", names[(F.col("user_id") % len(R.POLICIES)).cast("int")])
+    priority = F.element_at(F.array(*[F.lit(p) for p in ("high", "low", "medium", "urgent", None)]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = rows.join(F.broadcast(boosts), "policy")  # of ten rows
+    return R.state_order(rows, "user_id", priority, F.col("state_boost"), [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "place")
+
+
+QUERIES = {f.__name__: f for f in (r7_states, s12_ingest, t6_nightly, t6_writes, t7_moves, t7_shares, t7_signals, a9_branches)}
 
 _STORED = f"""(SELECT f.user_id AS id, {KINDS.format('(f.user_id % 10)')} AS kind, first_ts AS created, CASE WHEN f.user_id % 5 <> 0 THEN last_ts END AS last_retrieved, CASE WHEN f.user_id % 5 <> 0 THEN frequency END AS frequency,
  CASE WHEN f.user_id % 3 = 0 THEN 'hot' WHEN f.user_id % 3 = 1 THEN 'warm' WHEN f.user_id % 4 <> 0 THEN 'cold' END AS tier, CASE WHEN f.user_id % 11 <> 0 THEN f.user_id % 10 / 10 END AS heat_score
@@ -143,7 +154,9 @@ def _counted() -> str:
 SELECT c.*, coalesce(p.evaluations, c.evaluations) AS denominator FROM c LEFT JOIN c p ON p.site = c.parent"""
 
 
+_BOOSTS = "[" + ", ".join(str(p[5]) for p in R.POLICIES) + "]"
 ORACLES = {
+    "r7_states": f"SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN ({_BOOSTS})[user_id % {len(R.POLICIES)} + 1] <> 0 THEN CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END ELSE 0 END DESC, ts DESC, event_id DESC)::INT AS place FROM events WHERE event_type <> 'error'",
     "s12_ingest": _ingested(),
     "t6_nightly": _ran(False) + f"SELECT unnest([{_NAMED}]) AS name, unnest([{_VALUES}]) AS n FROM w",
     "t6_writes": _ran(False) + "SELECT id, tier, round(heat, 8) AS heat FROM w WHERE written",

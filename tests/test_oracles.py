@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "n2_token_set", "n6_parse_timestamp", "n8_n9_phrases", "s6_chunks", "s8_skip_report", "s17_upsert", "l9_current_state", "t1_frequency", "t5_source_bound",
     "v1_top_k", "r12_assembly", "p1_policy", "e1_ndcg", "e3_tie_bands", "documents_by_lang_and_source", "f17_near_repeats", "s2_import", "s3_chats", "s23_rebuilt", "x2_ingest", "l12_declines", "e10_levers", "f13_requests", "p9_low_value", "v2_federated", "x1_delivery_frequency", "x3_windows",
+    "m2_replay", "e9_arms", "f16_patterns", "f15_signals", "t6_nightly", "x4_buffers", "m9_design", "r7_states", "s12_ingest",
 ]
 
 
