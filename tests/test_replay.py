@@ -276,10 +276,10 @@ def test_trajectories_move_one_parameter_at_a_time(spark):
     assert ((np.abs(np.diff(x, axis=1)) > 1e-12).sum(axis=2) == 1).all() and (x[:, :, 2] == 5).all()
     assert x[:, :, 0].min() >= -1e-12 and x[:, :, 0].max() <= 1 + 1e-12 and (design.vectors(4, 5) == x.reshape(60, 3)[4:9]).all()
     flat = x.reshape(60, 3)
-    y = 3 * flat[:, 0] + flat[:, 0] * (flat[:, 1] > 0) * 10 + 0 * flat[:, 1]
+    y = (flat[:, 0] - 0.5) * flat[:, 1]
     rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(3 * flat[:, 0] - 2 * flat[:, 1])], "row long, y double")
     got = {r.name: r for r in M.screening(rows, design, ["a", "b"]).collect()}
     assert math.isclose(got["a"].mu, 3) and math.isclose(got["b"].mu_star, 4) and got["b"].sigma < 1e-9 and got["a"].distinguishable and not got["a"].interaction
     rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "row long, y double")
     got = {r.name: r for r in M.screening(rows, design, ["a", "b"]).collect()}
-    assert got["a"].sigma > 1 and got["b"].interaction and not got["b"].no_effect
+    assert got["b"].interaction and not got["b"].no_effect
