@@ -69,6 +69,9 @@ def searched(queries: DataFrame, records: DataFrame, markers: tuple[str, ...]) -
     # a generator's output is computed once a row, and filters on it stay here
     found = found.repartition("vec_id").withColumn("content", F.explode(F.array(T.normalize(F.col("text")))))
     found = found.where(exclusion(F.col("content"), markers).isNull())
+    lived, working = R.told_of(F.col("content_kind"), F.lower("text"), F.lower("title"))
+    facts = F.struct(lived.alias("lived"), working.alias("working"), F.length(F.trim("text")).alias("length"))
+    found = found.withColumn("_facts", F.explode(F.array(facts))).select("*", "_facts.*").drop("_facts")
     # few bytes but much work follows: a fixed number of parts, by query, which later windows use too
     rows = near.join(found, "vec_id").join(queries.drop("embedding"), "query_id")
     rows = rows.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
@@ -126,9 +129,8 @@ def scored(rows: DataFrame, as_of: Column, usual: float = 0.5, ingested: float =
         "tier_branch": F.when(F.col("kind") == "profile", "profile_bypass").otherwise(F.col("tier")),
         "author_branch": F.when(~reflection & F.col("relational"), F.when(own.isin(*R.AUTHORSHIP), own).otherwise("unknown")).otherwise("none"),
         "bucket": T.recency_bucket(T.age_days(F.col("created"), as_of)),
-        "policy_branch": R.policy_arm(F.col("preference"), F.col("content_kind"), F.lower("text"), F.lower("title")),
+        "policy_branch": R.policy_arm(F.col("preference"), F.col("content_kind"), F.col("lived"), F.col("working")),
         "in_project": F.coalesce(F.col("project_id") == F.col("q_project"), F.lit(False)),
-        "length": F.length(F.trim("text")),
     })
     author = F.when(F.col("author_branch") == "none", 1.0).when(F.col("author_branch") == "unknown", 0.5).otherwise(R._arm(R.AUTHORSHIP, F.col("author_branch")))
     prior = R.metadata_prior(F.col("content_kind"), F.col("length"), F.col("bucket"), F.col("policy_branch"), F.col("in_project"), reflection)

@@ -133,10 +133,14 @@ def metadata_prior(kind: Column, length: Column, bucket: Column, policy_arm: Col
     return F.greatest(F.lit(PRIOR_MIN), F.least(F.lit(PRIOR_MAX), value))
 
 
-def policy_arm(preference: Column, kind: Column, content: Column, title: Column) -> Column:
-    """Which arm a record takes under a policy's preference; content and title are lower-cased."""
+def told_of(kind: Column, content: Column, title: Column) -> tuple[Column, Column]:
+    """Whether a record tells of lived experience, and of work in progress; content and title are lower-cased."""
     lived = (kind == "experience") | contains_any(content, EXPERIENCE)
-    working = contains_any(content, ACTIVE_WORK) | F.coalesce(contains_any(title, ACTIVE_WORK), F.lit(False))
+    return lived, contains_any(content, ACTIVE_WORK) | F.coalesce(contains_any(title, ACTIVE_WORK), F.lit(False))
+
+
+def policy_arm(preference: Column, kind: Column, lived: Column, working: Column) -> Column:
+    """Which arm a record takes under a policy's preference."""
     return (
         F.when((preference == "experience") & lived, "prefer_experience").when((preference == "active_work") & working, "active_work")
         .when(preference == "exact", F.when(kind == "question", "exact_question").otherwise("exact_other")).otherwise("none")
