@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.replies import AFTER, EDGE, stripped, white_words
-from ..functions.text import contains_any, starts_any
+from ..functions.text import capital_letter, contains_any, starts_any
 from .gates import style_feedback
 
 # Promises in the order in which they are tried, and phrases of mere offers.
@@ -125,7 +125,7 @@ def commitment(text: Column) -> Column:
 
 def _titled(title: Column) -> Column:
     """First letter capital, eight words at most."""
-    capital = F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, F.lit(2), F.length(title)))
+    capital = F.concat(capital_letter(F.substring(title, 1, 1)), F.substring(title, F.lit(2), F.length(title)))
     words = white_words(capital)
     short = F.when(F.size(words) > 8, F.array_join(F.slice(words, 1, 8), " ")).otherwise(capital)
     return stripped(F.regexp_replace(short, "[.…]+$", ""))
