@@ -201,7 +201,7 @@ def interval_of_means(spark, d):
 
 
 def _events_stream(spark, d):
-    events = X.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet"))
+    events = X.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet"), files=None)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def file_stream(spark: SparkSession, folder: str, like: DataFrame, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, like: DataFrame, files: int | None = 1) -> DataFrame:
+    """The rows of a folder's files, so many files in a micro-batch; with None, all that there are when it starts.
+
+    Where the order of rows matters, that of the files shouldn't: files come by their time, whatever rows they have."""
+    stream = spark.readStream.schema(like.schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(folder)
 
 
 def delivery_frequency(events: DataFrame, half_life: float = 30.0) -> DataFrame:
