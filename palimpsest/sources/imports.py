@@ -91,7 +91,8 @@ def flatten_chats(raw: DataFrame, payload: str, file: str) -> DataFrame:
         return F.struct(role.alias("role"), stripped(F.array_join(F.transform(parts, part_text), "\n")).alias("text"))
 
     said = F.filter(F.transform(nodes, message), lambda m: F.coalesce(m["text"], F.lit("")) != "")
-    rows = rows.withColumn("said", said).where(F.size("said") > 0)
+    # a generator's output is computed once a row: the messages are needed for the filter and for each of their columns
+    rows = rows.select("file", "n", "c", F.explode(F.array(said)).alias("said")).where(F.size("said") > 0)
     epoch = F.timestamp_micros((F.col("c.create_time").try_cast("double") * 1_000_000).cast("long"))
     created = F.coalesce(F.date_format(epoch, "yyyy-MM-dd'T'HH-mm-ss"), F.col("c.create_time"))
     messages = F.transform("said", lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["text"]))
@@ -118,22 +119,24 @@ def load_files(spark: SparkSession, paths: str | list[str], source: str = "file"
     )
 
 
-def message_chunks(docs: DataFrame) -> DataFrame:
-    """A chunk for each kept message of documents with doc_id, messages and roles.
+def message_chunks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A chunk for each kept message of documents with doc_id, messages and roles, with the columns ``keep`` of its document.
 
     ``chunk_index`` counts kept messages, ``raw_message_index`` all; a role that is missing is told by the text's beginning.
     """
-    rows = docs.select("doc_id", "roles", F.posexplode("messages").alias("raw_message_index", "message"))
+    rows = docs.select("doc_id", *keep, "roles", F.posexplode("messages").alias("raw_message_index", "message"))
+    # a generator's output is computed once a row: the rules ask for the normalized text by each of their hundred markers
     content = stripped(F.col("message"))
-    rows = rows.withColumn("content", content).withColumn("_n", normalize(content)).where((F.col("_n") != "") & skip_reason(F.col("_n")).isNull())
+    rows = rows.select("*", F.explode(F.array(F.struct(content.alias("content"), normalize(content).alias("_n")))).alias("_m")).select("*", "_m.*").drop("message", "_m")
+    rows = rows.where((F.col("_n") != "") & skip_reason(F.col("_n")).isNull())
     role = F.coalesce(F.nullif(F.get("roles", "raw_message_index"), F.lit("")), detected_role(F.col("_n")))
-    rows = rows.withColumn("role", role)
+    rows = rows.withColumn("role", role).withColumn("content_kind", content_kind(F.col("_n"), F.col("role"))).drop("_n", "roles")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("raw_message_index")) - 1
-    rows = rows.withColumn("chunk_index", place).withColumn("content_kind", content_kind(F.col("_n"), F.col("role")))
+    rows = rows.withColumn("chunk_index", place)
     chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string"))
     return rows.select(
         "doc_id", chunk_id.alias("chunk_id"), "content", "chunk_index", "raw_message_index", "role", "content_kind",
-        (F.col("role") != "assistant").alias("index_for_retrieval"),
+        (F.col("role") != "assistant").alias("index_for_retrieval"), *keep,
     )
 
 
@@ -150,7 +153,7 @@ def ingestion(docs: DataFrame, chats: DataFrame, chat_source: str, assistant: st
         F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "_source", "title", "content",
         F.col("chunk_index").cast("int").alias("chunk_index"), none.alias("role"), none.alias("content_kind"), F.lit(True).alias("index_for_retrieval"),
     )
-    said = message_chunks(chats).join(chats.select("doc_id", "title"), "doc_id").withColumn("_source", F.lit(chat_source))
+    said = message_chunks(chats, ("title",)).withColumn("_source", F.lit(chat_source))
     rows = plain.unionByName(said.select(*plain.columns))
     target = index_target(F.col("_source"), F.col("role"), chat_source)
     kind = F.substring_index(target, "/", -1)
