@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.replies import stripped
-from ..functions.text import contains_any, normalize, starts_any
+from ..functions.text import contains_any, normalize, once, starts_any
 from ..operators.logs import ranked
+from .folders import written
 
 # Markers of records that were never a person's own text.
 META_MARKERS = (
@@ -65,8 +66,8 @@ def clean_text(text: Column, placeholder: str = "[structured numeric/table-like
     """NUL and non-ASCII to spaces, white space collapsed; mostly digits becomes a placeholder."""
     ascii_ = F.regexp_replace(F.regexp_replace(text, "\\x00", " "), r"[^\x00-\x7F]+", " ")
     flat = F.trim(F.regexp_replace(ascii_, r"[\s\x0B\x1C-\x1F]+", " "))
-    digits = F.length(F.regexp_replace(flat, "[^0-9]", ""))
-    return F.when((F.length(flat) > 40) & (digits / F.length(flat) > 0.55), placeholder).otherwise(flat)
+    digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]+", ""))
+    return once(flat, lambda t: F.when((F.length(t) > 40) & (digits(t) / F.length(t) > 0.55), placeholder).otherwise(t))
 
 
 def fixed_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 150) -> DataFrame:
@@ -134,15 +135,18 @@ def index_target(source: Column, role: Column, chat_source: str) -> Column:
 
 def skip_record(text: Column, kind: Column, assistant: str | None = None) -> Column:
     """Records that aren't indexed."""
-    flat = normalize(F.coalesce(text, F.lit("")))
     least = F.when(kind.isin("conversation", "deviation", "profile"), 0).when(kind == "journal", 20).otherwise(40)
-    return (
-        (flat == "")
-        | (F.length(flat) < least)
-        | contains_any(flat, meta_markers(assistant))
-        | ((kind != "deviation") & starts_any(flat, ("{", "[")))
-        | F.contains(F.coalesce(text, F.lit("")), F.lit("```"))
-    )
+
+    def skipped(flat: Column) -> Column:
+        return (
+            (flat == "")
+            | (F.length(flat) < least)
+            | contains_any(flat, meta_markers(assistant))
+            | ((kind != "deviation") & starts_any(flat, ("{", "[")))
+            | F.contains(F.coalesce(text, F.lit("")), F.lit("```"))
+        )
+
+    return once(normalize(F.coalesce(text, F.lit(""))), skipped)
 
 
 def content_key(text: Column) -> Column:
