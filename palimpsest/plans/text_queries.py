@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import ingest as S
+from ..sources.folders import written
 from .tables import table
 
 NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
@@ -165,7 +166,7 @@ def s19_dry_run(spark, d):
 
 
 def s22_rebuild_plan(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", S.content_key(F.col("text")).alias("content_key"))
+    docs = written(table(spark, d, "documents").select("doc_id", "source", S.content_key(F.col("text")).alias("content_key")), "keys")
     plan = S.rebuild_plan(docs.where("source <> 'src1'"), docs.where("source <> 'src2'"), "content_key", "doc_id")
     return plan.select("record_id", "index_id", "class")
 

@@ -180,9 +180,11 @@ def upsert_outcomes(batch: DataFrame, store: DataFrame, id_: str, key: str, orde
 
 def rebuild_plan(records: DataFrame, index: DataFrame, key: str, id_: str) -> DataFrame:
     """Pairs of records and index rows with equal content, in order of their ids: matched, added or orphan."""
+    # ranking reads its rows three times; the keys are made of whole texts, and are made once
+    records, index = written(records.select(key, id_), "records"), written(index.select(key, id_), "index")
     # numbers within a content come from slices, so a content of many rows isn't in one task
-    left = ranked(records.select(key, id_), key, id_, "_n").select(F.col(key), F.col(id_).alias("record_id"), "_n")
-    right = ranked(index.select(key, id_), key, id_, "_n").select(F.col(key), F.col(id_).alias("index_id"), "_n")
+    left = ranked(records, key, id_, "_n").select(F.col(key), F.col(id_).alias("record_id"), "_n")
+    right = ranked(index, key, id_, "_n").select(F.col(key), F.col(id_).alias("index_id"), "_n")
     both = left.join(right, [key, "_n"], "full_outer").drop("_n")
     kind = F.when(F.col("index_id").isNull(), "added").when(F.col("record_id").isNull(), "orphan").otherwise("matched")
     return both.withColumn("class", kind)
