@@ -8,9 +8,10 @@ memory of a task doesn't depend on how Spark cuts batches.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,38 @@ def add_up(parts: DataFrame, keys: list[str], fan: int = 256) -> DataFrame:
     return some.groupBy(*keys).applyInArrow(add, out)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, which the allocators of Arrow and of the C library don't do by themselves."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy_batches(run: Callable) -> Callable:
+    """``run`` for mapInArrow; the worker, which outlives its tasks, gives back what each has freed."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(fn: Callable) -> Callable:
+    """``fn`` for applyInArrow; the worker gives back what each group has freed."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, text_blocks
+from .common import record_batch, text_blocks, tidy_batches
 from .words import ALNUM, words_of
 
 #: Bytes of documents in one suffix array.
@@ -238,7 +238,7 @@ def find_contamination(
     sent = _broadcasts(docs.sparkSession, benchmark, broadcast_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     schema = f"doc_id long, text_hash long, n_words long, hit_words array<int>, items array<string>, matches {MATCH}"
-    found = [rows.mapInArrow(_matcher(part, window), schema) for part in sent]
+    found = [rows.mapInArrow(tidy_batches(_matcher(part, window)), schema) for part in sent]
     if len(found) == 1:
         return found[0].drop("text_hash")
     # more items than one broadcast may hold: merge the passes of each text
@@ -268,5 +268,5 @@ def remove_contaminated(
     several passes.
     """
     for part in _broadcasts(docs.sparkSession, benchmark, broadcast_bytes):
-        docs = docs.mapInArrow(_clean_only(part, window), docs.schema)
+        docs = docs.mapInArrow(tidy_batches(_clean_only(part, window)), docs.schema)
     return docs

@@ -39,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import free_name, join_hot, materialize, record_batch, text_blocks
+from .common import free_name, join_hot, materialize, record_batch, text_blocks, tidy_batches, tidy_group
 from .words import NOT_SPACE, mix, shingle_sets, words_of
 
 #: Shingles in one bucket of step 2.
 BUCKET_SHINGLES = 2_000_000
+#: Shingles of a bucket that are sorted at once.
+SLICE_SHINGLES = 250_000
 #: Members and sets of a parcel.
 PARCEL_MEMBERS, PARCEL_SETS = 1_000_000, 65_535
 #: Instead of a set's number: several sets of the parcel have the shingle.
@@ -78,7 +80,7 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
             sets = _sets_of_block(data, offsets, size)
             yield record_batch(schema, [block.column("doc_id"), [len(s) for s in sets], [set_key(s) for s in sets]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, set binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy_batches(run), "doc_id long, n int, set binary")
 
 
 # Shingles travel as the upper 48 bits of their hashes.  Two sets of 20,000 members
@@ -124,9 +126,11 @@ _SHARED = pa.schema([("parcel", pa.int64()), ("owners", pa.binary()), ("hashes",
 
 def _parcel_rows(parcel: int, keys: list[bytes], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     sizes = np.array([len(s) for s in sets])
-    members = np.concatenate(sets) & ~np.uint64(0xFFFF)
+    members = np.concatenate(sets)
+    members &= ~np.uint64(0xFFFF)
     order = np.argsort(members, kind="stable")
     members, owner = members[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+    del order
     begins = np.flatnonzero(np.append(True, members[1:] != members[:-1]))
     width = np.diff(np.append(begins, len(members)))
     several = np.repeat(width > 1, width)
@@ -136,6 +140,7 @@ def _parcel_rows(parcel: int, keys: list[bytes], sets: list[np.ndarray], buckets
 
     hashes, owner = members[begins], np.where(width > 1, SEVERAL, owner[begins]).astype(np.uint16)
     counts = np.minimum(width, 255).astype(np.uint8)
+    del members, begins, width, several
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
     rows = [own_row]
@@ -172,29 +177,57 @@ def _deal(size: int, buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """A bucket's answers to the parcels; the parcels' own rows pass."""
-    rows = table.to_pylist()
-    if rows[0]["bucket"] < 0:
-        return pa.Table.from_batches([record_batch(_SHARED, [[r[c] for r in rows] for c in ("parcel", "owners", "hashes", "counts", "sets")])], _SHARED)
-    owners = np.frombuffer(b"".join(r["owners"] for r in rows), np.uint16)
-    ends = np.cumsum([len(r["owners"]) // 2 for r in rows])
-    hashes = np.concatenate([unpack_ascending(r["hashes"], len(r["owners"]) // 2) for r in rows])
-    weight = np.ones(len(hashes), np.int32)
-    weight[owners == SEVERAL] = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint8)
+def _raw(column: pa.ChunkedArray) -> list[pa.Buffer]:
+    """The values of a binary column without nulls, not copied."""
+    return [value.as_buffer() for chunk in column.chunks for value in chunk]
+
+
+def _ranks(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weight of all that are equal, up to 255, for each."""
+    if not len(hashes):
+        return np.empty(0, np.uint8)
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
     begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    total = np.minimum(np.add.reduceat(weight[order], begins), 255).astype(np.uint8)
+    total = np.minimum(np.add.reduceat(weight[order], begins, dtype=np.int32), 255).astype(np.uint8)
     rank = np.empty(len(hashes), np.uint8)
     rank[order] = np.repeat(total, np.diff(np.append(begins, len(ordered))))
+    return rank
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """A bucket's answers to the parcels; the parcels' own rows pass.
+
+    Rows are in ascending order, so slices of the hashes are ranked one after the other.
+    """
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(["parcel", "owners", "hashes", "counts", "sets"]).rename_columns(_SHARED.names).cast(_SHARED)
+    parcels = table.column("parcel").to_pylist()
+    owners = [np.frombuffer(raw, np.uint16) for raw in _raw(table.column("owners"))]
+    hashes = [unpack_ascending(raw, len(o)) for raw, o in zip(_raw(table.column("hashes")), owners, strict=True)]
+    weights = [np.ones(len(o), np.uint8) for o in owners]
+    for weight, o, raw in zip(weights, owners, _raw(table.column("counts")), strict=True):
+        weight[o == SEVERAL] = np.frombuffer(raw, np.uint8)
+    ranks = [np.empty(len(o), np.uint8) for o in owners]
+    least, most = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes)
+    slices = -(-sum(map(len, owners)) // SLICE_SHINGLES)
+    inner = np.array([least + (most - least) * k // slices for k in range(1, slices)], np.uint64)
+    cuts = [[0, *np.searchsorted(h, inner).tolist(), len(h)] for h in hashes]
+    for k in range(slices):
+        parts = [slice(c[k], c[k + 1]) for c in cuts]
+        found = _ranks(*(np.concatenate([x[part] for x, part in zip(of, parts, strict=True)]) for of in (hashes, weights)))
+        at = 0
+        for rank, part in zip(ranks, parts, strict=True):
+            rank[part] = found[at : (at := at + part.stop - part.start)]
+    del weights
     columns: list[list] = [[] for _ in _SHARED]
-    for row, a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        keep = rank[a:b] > 1
+    for row, parcel in enumerate(parcels):
+        keep = ranks[row] > 1
         if keep.any():
-            values = (row["parcel"], owners[a:b][keep].tobytes(), to_48(hashes[a:b][keep]), rank[a:b][keep].tobytes(), None)
+            values = (parcel, owners[row][keep].tobytes(), to_48(hashes[row][keep]), ranks[row][keep].tobytes(), None)
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
+        hashes[row] = None
     return pa.Table.from_batches([record_batch(_SHARED, columns)], _SHARED)
 
 
@@ -245,9 +278,9 @@ def partnered_sets(docs: DataFrame, members: int, size: int, num: int, den: int)
     ``docs`` must give a task that runs again the same rows in the same order, as files do.
     """
     buckets = max(1, -(-members // BUCKET_SHINGLES))
-    dealt = docs.select("text").mapInArrow(_deal(size, buckets), _DEALT_DDL)
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, _SHARED_DDL)
-    found = shared.groupBy("parcel").applyInArrow(_partnered(num, den), "set binary, n int, hashes binary, ranks binary")
+    dealt = docs.select("text").mapInArrow(tidy_batches(_deal(size, buckets)), _DEALT_DDL)
+    shared = dealt.groupBy("bucket").applyInArrow(tidy_group(_shared), _SHARED_DDL)
+    found = shared.groupBy("parcel").applyInArrow(tidy_group(_partnered(num, den)), "set binary, n int, hashes binary, ranks binary")
     return found.dropDuplicates(["set"])
 
 
@@ -276,7 +309,7 @@ def _rows_of(sets: DataFrame, fn, schema: pa.Schema, ddl: str) -> DataFrame:
                             column.append(value)
                 yield record_batch(schema, columns)
 
-    return sets.select("id", "n", "hashes", "ranks").mapInArrow(run, ddl)
+    return sets.select("id", "n", "hashes", "ranks").mapInArrow(tidy_batches(run), ddl)
 
 
 def light_boundary(sets: DataFrame, num: int, den: int, largest: int = LIGHT_SIZES) -> int:
@@ -349,7 +382,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ha", "hb")
-    return whole.mapInArrow(run, "a long, b long")
+    return whole.mapInArrow(tidy_batches(run), "a long, b long")
 
 
 def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -478,7 +511,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> D
             keys = [set_key(s) for s in _sets_of_block(data, offsets, size)]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(keys, pa.binary())], [*block.schema.names, tag])
 
-    tagged = docs.mapInArrow(run, schema)
+    tagged = docs.mapInArrow(tidy_batches(run), schema)
     wordless = tagged.where(F.col(tag).isNull()).drop(tag)
     # by set and id, so the copies of a kept text don't meet
     matched = tagged.join(kept, (F.col(tag) == F.col(kept_set)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, text_blocks
+from .common import record_batch, text_blocks, tidy_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _OUT = pa.schema(
@@ -183,4 +183,4 @@ def pack_documents(
             yield rows(closed)
         yield rows(windows.close(slack))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy_batches(pack), SCHEMA)

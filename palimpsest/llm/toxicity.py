@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold_of, free_name, materialize, record_batch, text_blocks
+from .common import fold_of, free_name, materialize, record_batch, text_blocks, tidy_batches
 from .quality import calibrate
 
 #: Lengths of word beginnings that count as words when toxic words are sought.
@@ -63,7 +63,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                 counts = {}
         yield record_batch(schema, [list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()]])
 
-    rows = sample.select("text", "y").mapInArrow(run, "word binary, n0 long, n1 long")
+    rows = sample.select("text", "y").mapInArrow(tidy_batches(run), "word binary, n0 long, n1 long")
     return rows.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -156,7 +156,7 @@ def train_detector(
                     out.append(w)
             yield record_batch(schema, [ys, out])
 
-    cut = materialize(sample.select("text", "y").mapInArrow(run, "y int, window binary"), "windows")
+    cut = materialize(sample.select("text", "y").mapInArrow(tidy_batches(run), "y int, window binary"), "windows")
     per_label = {}
     for y, most in ((0, ordinary_windows), (1, toxic_windows)):
         picked = cut.where(F.col("y") == y).orderBy(F.xxhash64("window"), "window").limit(most)
@@ -195,7 +195,7 @@ def _with_distances(docs: DataFrame, detector: Detector, name: str) -> DataFrame
             found = [opened.distance(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.float64())], [*block.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidy_batches(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def _known(labels: DataFrame, folds: int, held_out_fold: int) -> DataFrame:

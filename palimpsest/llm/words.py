@@ -58,7 +58,10 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     power, inverse = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    terms = sums[1:]  # in place: a block's prefix sums are the largest that a task holds for it
+    np.take(_BYTE, data, out=terms, mode="clip")
+    terms *= power[: len(data)]
+    np.cumsum(terms, out=terms)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
